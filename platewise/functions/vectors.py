@@ -69,28 +69,6 @@ def tanimoto_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.when(either == 0, F.lit(1.0)).otherwise(F.try_divide(both, either))
 
 
-def moments(a: Column, b: Column) -> Column:
-    """Centred co-moments (sxx, syy, sxy) in one pass over the pair, shifted by the means."""
-    return F.aggregate(
-        F.arrays_zip(a.alias("x"), b.alias("y")),
-        F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "sxx", "syy", "sxy")]),
-        _co_moment_step,
-    )
-
-
-def _co_moment_step(acc: Column, p: Column) -> Column:
-    n = acc["n"] + 1.0
-    x, y = p["x"].cast("double"), p["y"].cast("double")
-    dx, dy = x - acc["mx"], y - acc["my"]
-    mx, my = acc["mx"] + dx / n, acc["my"] + dy / n
-    return F.struct(
-        n.alias("n"), mx.alias("mx"), my.alias("my"),
-        (acc["sxx"] + dx * (x - mx)).alias("sxx"),
-        (acc["syy"] + dy * (y - my)).alias("syy"),
-        (acc["sxy"] + dx * (y - my)).alias("sxy"),
-    )
-
-
 def pearson(a: Column, b: Column) -> Column:
     """Pearson correlation, NULL when either side is constant."""
     ca, cb = centred(a), centred(b)

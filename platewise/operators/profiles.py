@@ -29,33 +29,47 @@ def sparse_sums(cells: DataFrame, measured: DataFrame, genes: DataFrame, key: Se
     return kept.join(cells.select("barcode", *key), "barcode").groupBy(*key, "gene_idx").agg(F.sum("cnt").alias("val"))
 
 
-def pseudobulk(cells: DataFrame, measured: DataFrame, genes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Wide pseudobulks: dense summed vector, cells counted before and counts after the gene filter."""
-    sums = sparse_sums(cells, measured, genes, key)
-    vectors = sums.groupBy(*key).agg(
+def sparse_pseudobulk(cells: DataFrame, measured: DataFrame, genes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Pseudobulks with sorted `entries` (pos, val); cells are counted before and counts after the gene filter.
+    Only sums per (key, gene), one short list per profile, meet in one row."""
+    vectors = sparse_sums(cells, measured, genes, key).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(F.col("gene_idx").alias("pos"), "val"))).alias("entries"),
-        F.sum("val").alias("umis"))
-    meta = cells.groupBy(*key).agg(
-        *[F.min(c).alias(c) for c in META if c in cells.columns], F.count(F.lit(1)).alias("total_cells"))
-    panel = genes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    joined = meta.join(vectors, list(key), "left")
-    empty = F.array().cast("array<struct<pos:int,val:double>>")
-    return joined.select(
-        *key, *[c for c in META if c in cells.columns], "total_cells", F.coalesce("umis", F.lit(0.0)).alias("total_umis"),
-        V.densify(F.coalesce("entries", empty), panel).alias("expr"))
+        F.sum("val").alias("total_umis"))
+    labels = [c for c in META if c in cells.columns]
+    meta = cells.groupBy(*key).agg(*[F.min(c).alias(c) for c in labels], F.count(F.lit(1)).alias("total_cells"))
+    return meta.join(vectors, list(key), "left").select(
+        *key, *labels, "total_cells", F.coalesce("total_umis", F.lit(0.0)).alias("total_umis"),
+        F.coalesce("entries", F.array().cast("array<struct<pos:int,val:double>>")).alias("entries"))
 
 
 def log_normalize(df: DataFrame, alpha: float = 10000.0, digits: int = 2) -> DataFrame:
-    """ln(1 + alpha * v / sum); a profile without counts stays zero."""
+    """ln(1 + alpha * v / sum) on the stored entries; absent genes stay zero, as does an empty profile."""
     s = F.col("total_umis")
-    scaled = F.transform("expr", lambda v: F.log1p(F.when(s > 0, F.try_divide(v * alpha, s)).otherwise(0.0)))
-    return df.withColumn("expr", scaled).withColumn("total_umis", F.bround("total_umis", digits))
+    scaled = F.transform("entries", lambda e: F.struct(
+        e["pos"].alias("pos"), F.when(s > 0, F.log1p(F.try_divide(e["val"] * alpha, s))).otherwise(0.0).alias("val")))
+    return df.withColumn("entries", scaled).withColumn("total_umis", F.bround("total_umis", digits))
+
+
+def dense(df: DataFrame, width: int) -> DataFrame:
+    """Replace `entries` by the dense vector `expr`."""
+    return df.withColumn("expr", V.densify(F.col("entries"), width)).drop("entries")
+
+
+def mean_of_sparse(df: DataFrame, by: Sequence[str], width: int, name: str = "expr") -> DataFrame:
+    """Element-wise mean of sparse profiles per group, unweighted over rows. Only stored entries are shuffled."""
+    sums = df.select(*by, F.explode("entries").alias("e")).groupBy(*by, F.col("e.pos").alias("pos")).agg(F.sum("e.val").alias("s"))
+    lists = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("sums"))
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    entries = F.transform("sums", lambda e: F.struct(e["pos"].alias("pos"), (e["s"] / F.col("n")).alias("val")))
+    out = rows.join(lists, list(by), "left").select(*by, entries.alias("entries"))
+    empty = F.array().cast("array<struct<pos:int,val:double>>")
+    return out.select(*by, V.densify(F.coalesce("entries", empty), width).alias(name))
 
 
 def to_long(wide: DataFrame, genes: DataFrame | None = None, vector: str = "expr", value: str = "value") -> DataFrame:
     """One row per (profile, gene)."""
     keep = [c for c in wide.columns if c != vector]
-    out = wide.select(*keep, F.posexplode(vector).alias("gene_idx", value))
+    out = wide.select(*keep, F.posexplode_outer(vector).alias("gene_idx", value))
     return out if genes is None else out.join(genes, "gene_idx")
 
 
@@ -68,16 +82,26 @@ def to_wide(df: DataFrame, key: Sequence[str], position: str = "gene_idx", value
 def average_vectors(df: DataFrame, by: Sequence[str], vector: str = "expr", name: str | None = None) -> DataFrame:
     """Element-wise mean per group: exploded so that the mean is combined on the map side and a hot
     group is spread over its positions."""
-    cells = df.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("m"))
+    cells = df.select(*by, F.posexplode_outer(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("m"))
     return to_wide(cells, by, "pos", "m", name or vector)
 
 
-def delta_profiles(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:
-    """Treated minus the mean of the matched controls; treated rows without a control are dropped."""
-    means = average_vectors(control, key, vector, "_control")
+def subtract_control(treated: DataFrame, means: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:
+    """Treated minus the matched control mean `_control`; treated rows without a control are dropped."""
     return treated.join(means, list(key)).withColumn(vector, V.minus(F.col(vector), F.col("_control"))).drop("_control")
 
 
+def delta_profiles(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:
+    """Delta of dense profiles."""
+    return subtract_control(treated, average_vectors(control, key, vector, "_control"), key, vector)
+
+
+def delta_of_sparse(profiles: DataFrame, control: str, width: int, key: Sequence[str] = CONTROL_KEY) -> DataFrame:
+    """Delta of sparse profiles: the mean is taken on stored entries, only treated rows are made dense."""
+    means = mean_of_sparse(profiles.filter(F.col("drug") == control), key, width, "_control")
+    return subtract_control(dense(profiles.filter(F.col("drug") != control), width), means, key)
+
+
 def unmatched_controls(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY) -> DataFrame:
     return treated.select(*key).distinct().join(control.select(*key).distinct(), list(key), "left_anti")
 

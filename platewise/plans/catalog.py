@@ -25,7 +25,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        object.__setattr__(self, name, df)
+        return df
 
 
 def settle(df: DataFrame, digits: int = DIGITS) -> DataFrame:

@@ -44,18 +44,30 @@ def genes(t: Tables) -> DataFrame:
     return P.gene_dimension(t.part.select(F.col("p_brand").alias("gene")))
 
 
+def panel_width(t: Tables) -> int:
+    """Size of the gene panel, a number every dense vector needs."""
+    return t.part.select("p_brand").distinct().count()
+
+
+def sparse_bulks(t: Tables) -> DataFrame:
+    return P.sparse_pseudobulk(cell_meta(t), counts(t), genes(t))
+
+
 def pseudobulks(t: Tables) -> DataFrame:
-    return P.pseudobulk(cell_meta(t), counts(t), genes(t))
+    return P.dense(sparse_bulks(t), panel_width(t))
+
+
+def sparse_profiles(t: Tables) -> DataFrame:
+    return P.log_normalize(sparse_bulks(t))
 
 
 def profiles(t: Tables) -> DataFrame:
     """Log-normalised wide profiles, one row per (cell_line, sample)."""
-    return P.log_normalize(pseudobulks(t))
+    return P.dense(sparse_profiles(t), panel_width(t))
 
 
 def delta(t: Tables) -> DataFrame:
-    p = profiles(t)
-    return P.delta_profiles(p.filter(F.col("drug") == CONTROL), p.filter(F.col("drug") != CONTROL))
+    return P.delta_of_sparse(sparse_profiles(t), CONTROL, panel_width(t))
 
 
 def long(t: Tables, wide: DataFrame) -> DataFrame:
