@@ -6,14 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from platewise.functions import vectors as V
 from platewise.functions.dense import average_ranks
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def rank_avg(v: pd.Series) -> pd.Series:
     lengths = v.map(lambda a: -1 if a is None else len(a))
     out = pd.Series([None] * len(v), index=v.index, dtype=object)
@@ -25,21 +24,17 @@ def rank_avg(v: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f32(raw: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector."""
     return raw.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_f32(v: pd.Series) -> pd.Series:
     return v.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
 
 
-def spearman(a: Column, b: Column) -> Column:
-    return V.pearson(rank_avg(a), rank_avg(b))
-
-
 def _t_sf_two_sided(t: float, df: float) -> float:
     """Two-sided tail of Student's t through the incomplete beta function."""
     if not (df > 0) or t != t:
@@ -105,16 +100,16 @@ def _chi2_sf(x: float, df: float) -> float:
     return lead * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_t_sf_two_sided(float(x), float(k)) for x, k in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_chi2_sf(float(v), float(k)) for v, k in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")

@@ -1,44 +1,57 @@
-"""Column expressions on dense vectors stored as arrays; everything is computed in double."""
+"""Column expressions on dense vectors stored as arrays; everything is computed in double.
+
+A lambda evaluates what it captures once per element, so values used inside one are bound with `let` first.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COSINE_EPS = 1.1920929e-7  # single-precision machine epsilon
+COSINE_EPS = 1.1920929e-7  # fixed value: single-precision machine epsilon
 
 
-def fold_sum(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let_all(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
 
 
 def total(v: Column) -> Column:
-    return fold_sum(v)
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
 def mean(v: Column) -> Column:
-    return F.try_divide(fold_sum(v), F.size(v).cast("double"))
+    return let(v, lambda a: F.try_divide(total(a), F.size(a).cast("double")))
 
 
 def dot(a: Column, b: Column) -> Column:
-    return fold_sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
+
+
+def squares(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
 
 
 def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def scale(v: Column, s: Column) -> Column:
-    return F.transform(v, lambda x: x * s)
+def norm(v: Column) -> Column:
+    return F.sqrt(squares(v))
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+def squared_distance(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)))
 
 
 def mse(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return mean(d)
+    return F.try_divide(squared_distance(a, b), F.size(a).cast("double"))
 
 
 def rmse(a: Column, b: Column) -> Column:
@@ -46,7 +59,7 @@ def rmse(a: Column, b: Column) -> Column:
 
 
 def l2(a: Column, b: Column) -> Column:
-    return F.sqrt(fold_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+    return F.sqrt(squared_distance(a, b))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -64,40 +77,38 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def tanimoto_distance(a: Column, b: Column) -> Column:
     """Distance of two 0/1 vectors; two empty ones are at distance 0."""
-    both = fold_sum(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-    either = fold_sum(F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    both = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    either = total(F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
     return F.lit(1.0) - F.when(either == 0, F.lit(1.0)).otherwise(F.try_divide(both, either))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation, NULL when either side is constant."""
-    ca, cb = centred(a), centred(b)
-    return safe_cosine(ca, cb)
+def constant(v: Column) -> Column:
+    return F.array_min(v) == F.array_max(v)
 
 
 def centred(v: Column) -> Column:
-    m = mean(v)
-    return F.transform(v, lambda x: x.cast("double") - m)
+    return let(mean(v), lambda m: F.transform(v, lambda x: x.cast("double") - m))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation, NULL when either side is constant."""
+    r = let_all({"a": centred(a), "b": centred(b)}, lambda c: safe_cosine(c["a"], c["b"]))
+    return F.when(~constant(a) & ~constant(b), r)
 
 
 def standardised(v: Column) -> Column:
     """Centred and scaled to unit length, NULL for a constant vector; Pearson is then a dot product."""
-    c = centred(v)
-    length = norm(c)
-    return F.when(length > 0, F.transform(c, lambda x: F.try_divide(x, length)))
+    unit = let(centred(v), lambda c: let(norm(c), lambda length: F.transform(c, lambda x: F.try_divide(x, length))))
+    return F.when(~constant(v), unit)
 
 
-def densify(entries: Column, width: int | Column) -> Column:
+def densify(entries: Column, width: int) -> Column:
     """Dense array from `array<struct<pos,val>>` sorted by pos; gaps are zero, linear in `width`."""
-    w = F.lit(width) if isinstance(width, int) else width
     zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
-    pieces = F.transform(
-        entries,
-        lambda e, i: F.concat(
-            zeros(e["pos"] - F.when(i == 0, F.lit(-1)).otherwise(entries[F.greatest(i - 1, F.lit(0))]["pos"]) - 1),
-            F.array(e["val"].cast("double")),
-        ),
-    )
-    last = F.coalesce(F.element_at(entries, -1)["pos"], F.lit(-1))
-    filled = F.concat(F.flatten(pieces), zeros(w - last - 1))
-    return F.when(F.size(entries) > 0, filled).otherwise(zeros(w))
+
+    def fill(e: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(e, i - 1)["pos"], F.lit(-1))
+        pieces = F.transform(e, lambda x, i: F.concat(zeros(x["pos"] - before(i) - 1), F.array(x["val"].cast("double"))))
+        return F.concat(F.flatten(pieces), zeros(F.lit(width - 1) - F.coalesce(F.get(e, F.size(e) - 1)["pos"], F.lit(-1))))
+
+    return let(entries, fill)

@@ -139,29 +139,51 @@ def numbered_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket
     return keyed.withColumn("_rn", rn).join(starts, by + ["_b"]).withColumn("pos", F.col("_rn") + F.col("_o")).drop("_k", "_b", "_rn", "_o")
 
 
-def sample_pairs(df: DataFrame, max_pairs: int, seed: int = 42, by: Sequence[str] = CONDITION) -> DataFrame:
+def sample_pairs(df: DataFrame, max_pairs: int, mode: str = "inter", seed: int = 42, by: Sequence[str] = CONDITION) -> DataFrame:
     """At most `max_pairs` pairs per group, without replacement and without listing the pairs.
 
-    Pairs are numbered 0..N-1 along the lower triangle; the range is cut into `max_pairs` strata and one
-    number is drawn in each, so every pair has the same chance. A number is decoded to two row positions.
+    The eligible pairs of a group are numbered plate by plate: on the plate itself (`intra`, lower triangle) or
+    against all rows of earlier plates (`inter`). The numbers are cut into `max_pairs` strata and one is drawn in
+    each, so every pair has the same chance; a number is decoded to two row positions. Groups with fewer
+    pairs are kept whole.
     """
     by = list(by)
-    rows = numbered_rows(df.select(*by, "sample", "expr"), by, ["sample"])
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("total", F.expr("n * (n - 1) div 2"))
-    draws = sizes.withColumn("m", F.least(F.col("total"), F.lit(max_pairs).cast("bigint"))) \
-        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    rows = numbered_rows(df.select(*by, "plate", "sample", "expr"), [*by, "plate"], ["sample"])
+    per_plate = df.groupBy(*by, "plate").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*by).orderBy("plate").rowsBetween(Window.unboundedPreceding, -1)
+    plates = per_plate.withColumn("o", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint")))
+    plates = plates.withColumn("cnt", F.expr("n * o") if mode == "inter" else F.expr("n * (n - 1) div 2"))
+    plates = plates.withColumn("base", F.coalesce(F.sum("cnt").over(earlier), F.lit(0).cast("bigint"))) \
+        .withColumn("total", F.sum("cnt").over(Window.partitionBy(*by))).filter("cnt > 0") \
+        .withColumn("m", F.least(F.col("total"), F.lit(max_pairs).cast("bigint")))
+    first = F.expr("greatest(0L, base * m div total - 1)")
+    last = F.expr("least(m - 1, (base + cnt) * m div total + 1)")
+    draws = plates.withColumn("k", F.explode(F.sequence(first, last)))
     lo, hi = F.expr("k * total div m"), F.expr("(k + 1) * total div m")
-    picked = draws.withColumn("c", lo + F.pmod(md5_int(md5_key(seed, *by, "k")), hi - lo))
-    j = F.floor((1 + F.sqrt(1 + 8.0 * F.col("c"))) / 2)
-    picked = picked.withColumn("j", j).withColumn("j", F.when(F.expr("j * (j - 1) div 2 > c"), F.col("j") - 1)
-                                                  .when(F.expr("j * (j + 1) div 2 <= c"), F.col("j") + 1).otherwise(F.col("j")))
-    picked = picked.withColumn("i", F.expr("c - j * (j - 1) div 2")).select(*by, "i", "j")
-    side = lambda s: rows.select(*by, F.col("pos").alias(s), F.col("sample").alias(f"rep_{s}"), F.col("expr").alias(f"expr_{s}"))
-    both = picked.join(side("i"), by + ["i"]).join(side("j"), by + ["j"])
-    swap = F.col("rep_i") < F.col("rep_j")
-    return both.select(*by, F.least("rep_i", "rep_j").alias("rep_i"), F.greatest("rep_i", "rep_j").alias("rep_j"),
-                       F.when(swap, F.col("expr_i")).otherwise(F.col("expr_j")).alias("expr_i"),
-                       F.when(swap, F.col("expr_j")).otherwise(F.col("expr_i")).alias("expr_j"))
+    draws = draws.withColumn("c", lo + F.pmod(md5_int(md5_key(seed, *by, "k")), hi - lo) - F.col("base")).filter("c >= 0 and c < cnt")
+    if mode == "inter":
+        picked = draws.select(*by, (F.col("o") + F.expr("c div o")).alias("j"), F.expr("c % o").alias("i"))
+    else:
+        guess = draws.withColumn("t", F.floor((1 + F.sqrt(1 + 8.0 * F.col("c"))) / 2))
+        exact = guess.withColumn("t", F.when(F.expr("t * (t - 1) div 2 > c"), F.col("t") - 1)
+                                 .when(F.expr("t * (t + 1) div 2 <= c"), F.col("t") + 1).otherwise(F.col("t")))
+        picked = exact.select(*by, (F.col("o") + F.col("t")).alias("j"), (F.col("o") + F.expr("c - t * (t - 1) div 2")).alias("i"))
+    placed = rows.join(plates.select(*by, "plate", "o"), [*by, "plate"], "right") if mode == "intra" else \
+        rows.join(per_plate.withColumn("o", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint"))).drop("n"), [*by, "plate"])
+    side = lambda s: placed.select(*by, (F.col("pos") + F.col("o")).alias(s), F.col("plate").alias(f"plate_{s}"),
+                                   F.col("sample").alias(f"rep_{s}"), F.col("expr").alias(f"expr_{s}"))
+    both = picked.join(side("i"), by + ["i"]).join(side("j"), by + ["j"]).drop("i", "j")
+    keep = F.struct("plate_i", "rep_i") < F.struct("plate_j", "rep_j")
+    pick = lambda c, x, y: F.when(keep, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    return both.select(*by, *[pick(c, x, y).alias(f"{c}_{x}") for c in ("plate", "rep", "expr") for x, y in (("i", "j"), ("j", "i"))])
+
+
+def pair_metrics(pairs: DataFrame) -> DataFrame:
+    """Norms, Pearson and Spearman of a table with `expr_i` and `expr_j`."""
+    a, b = F.col("expr_i"), F.col("expr_j")
+    ranked = pairs.withColumn("rank_i", rank_avg(a)).withColumn("rank_j", rank_avg(b))
+    return ranked.withColumn("norm_rep_i", V.norm(a)).withColumn("norm_rep_j", V.norm(b)).withColumn("pearson", V.pearson(a, b)) \
+        .withColumn("spearman", V.pearson(F.col("rank_i"), F.col("rank_j"))).drop("expr_i", "expr_j", "rank_i", "rank_j")
 
 
 def one_per_key(df: DataFrame, by: Sequence[str], *tie: str, seed: int = 42) -> DataFrame:
@@ -253,7 +275,7 @@ def context_correlations(df: DataFrame, match: Sequence[str] = ("drug", "dose",
 
 def distinct_fingerprints(df: DataFrame, row_id: str, bits: str) -> DataFrame:
     """One row per distinct fingerprint: smallest id, number of copies, set bits."""
-    return df.groupBy(bits).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("popcount", V.fold_sum(F.col(bits)).cast("int"))
+    return df.groupBy(bits).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("popcount", V.total(F.col(bits)).cast("int"))
 
 
 def neighbour_pairs(points: DataFrame, cutoff: float, bits: str = "bits", tile_rows: int = 1024) -> DataFrame:
@@ -335,7 +357,3 @@ def nearest_neighbours(df: DataFrame, row_id: str, vector: str, k: int = 15, til
     found = tile_apply(tiled, ["_all"], run, "id bigint, neighbour bigint, dist double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
-
-
-def with_standard_ranks(df: DataFrame, vector: str = "expr") -> DataFrame:
-    return df.withColumn(f"{vector}_rank", rank_avg(F.col(vector)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import vectors as V
@@ -106,6 +106,12 @@ def unmatched_controls(control: DataFrame, treated: DataFrame, key: Sequence[str
     return treated.select(*key).distinct().join(control.select(*key).distinct(), list(key), "left_anti")
 
 
-def keep_positions(df: DataFrame, positions: Column, vector: str = "expr") -> DataFrame:
-    """Subset every vector to sorted `positions` (array of indices)."""
-    return df.withColumn(vector, F.transform(positions, lambda i: F.get(F.col(vector), i)))
+def panel_positions(panel: DataFrame, wanted: DataFrame, name: str = "gene") -> list[int]:
+    """Positions of the wanted genes in the panel; one number per gene of the panel reaches the driver."""
+    return sorted(r[0] for r in panel.join(wanted.select(name).distinct(), name, "left_semi").select("gene_idx").collect())
+
+
+def keep_positions(df: DataFrame, positions: Sequence[int], vector: str = "expr") -> DataFrame:
+    """Subset every vector to the given positions, in order."""
+    keep = F.array(*[F.lit(i) for i in positions])
+    return df.withColumn(vector, F.transform(keep, lambda i: F.get(F.col(vector), i)))

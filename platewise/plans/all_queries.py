@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from platewise.plans import queries_profiles, queries_cleaning  # noqa: F401
+from platewise.plans import queries_profiles, queries_cleaning, queries_pairs  # noqa: F401
 from platewise.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -219,9 +219,7 @@ SELECT cell_line, sample, new_idx AS pos, gene, value FROM profile_long JOIN sha
 """, "value")
 def gene_mask(t):
     shared = P.gene_dimension(t.part.filter("p_size <= 25 and p_brand like 'Brand#1%'").select(F.col("p_brand").alias("gene")))
-    keep = I.genes(t).join(shared.select("gene"), "gene", "left_semi")
-    positions = keep.agg(F.array_sort(F.collect_list("gene_idx")).alias("p")).scalar()
-    cut = P.keep_positions(I.profiles(t), positions)
+    cut = P.keep_positions(I.profiles(t), P.panel_positions(I.genes(t), shared))
     out = P.to_long(cut.select("cell_line", "sample", "expr")).withColumnRenamed("gene_idx", "pos")
     return out.join(shared.withColumnRenamed("gene_idx", "pos"), "pos").select("cell_line", "sample", "pos", "gene", "value")
 
