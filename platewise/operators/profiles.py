@@ -31,12 +31,14 @@ def sparse_sums(cells: DataFrame, measured: DataFrame, genes: DataFrame, key: Se
 
 def sparse_pseudobulk(cells: DataFrame, measured: DataFrame, genes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Pseudobulks with sorted `entries` (pos, val); cells are counted before and counts after the gene filter.
-    Only sums per (key, gene), one short list per profile, meet in one row."""
+    Only sums per (key, gene), one list of panel length per profile, meet in one row; labels are counted per
+    combination first, so that cells shrink in a hash aggregate."""
     vectors = sparse_sums(cells, measured, genes, key).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(F.col("gene_idx").alias("pos"), "val"))).alias("entries"),
         F.sum("val").alias("total_umis"))
     labels = [c for c in META if c in cells.columns]
-    meta = cells.groupBy(*key).agg(*[F.min(c).alias(c) for c in labels], F.count(F.lit(1)).alias("total_cells"))
+    kinds = cells.groupBy(*key, *labels).agg(F.count(F.lit(1)).alias("c"))
+    meta = kinds.groupBy(*key).agg(*[F.min(c).alias(c) for c in labels], F.sum("c").alias("total_cells"))
     return meta.join(vectors, list(key), "left").select(
         *key, *labels, "total_cells", F.coalesce("total_umis", F.lit(0.0)).alias("total_umis"),
         F.coalesce("entries", F.array().cast("array<struct<pos:int,val:double>>")).alias("entries"))

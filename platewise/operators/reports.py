@@ -15,3 +15,29 @@ def shared_cohort(df: DataFrame, keys: Sequence[str], arm: str, exempt: Column |
     n_arms = bound.select(arm).distinct().count()
     keep = bound.groupBy(*keys).agg(F.count_distinct(arm).alias("n")).filter(F.col("n") == n_arms).select(*keys)
     return bound.join(keep, list(keys), "left_semi").unionByName(df.filter(exempt))
+
+
+def run_registry(runs: DataFrame, keep: int = 50) -> DataFrame:
+    """Run folders to a table: time stamp and experiment from the name, numbers from `key = value` lines of the
+    summary, the first `keep` runs of each experiment by time (the window keeps only those before the shuffle)."""
+    from platewise.functions.text import RUN_STAMP
+    pairs = F.map_from_entries(F.transform(
+        F.filter(F.split("summary", "\n"), lambda s: s.contains(" = ")),
+        lambda s: F.struct(F.trim(F.substring_index(s, " = ", 1)), F.trim(F.substring_index(s, " = ", -1)))))
+    parsed = runs.select("run_id", F.regexp_extract("dir_name", RUN_STAMP, 1).alias("stamp"),
+                         F.regexp_replace("dir_name", RUN_STAMP, "").alias("experiment"), pairs.alias("kv"))
+    typed = parsed.filter("stamp <> ''").select(
+        "run_id", "stamp", "experiment", *[F.try_element_at("kv", F.lit(c)).try_cast(k).alias(c)
+                                           for c, k in (("val_spearman", "double"), ("test_pearson", "double"), ("n_train", "bigint"))])
+    order = Window.partitionBy("experiment").orderBy("stamp", "run_id")
+    return typed.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
+
+
+def validate_bundle(df: DataFrame, vectors: Sequence[str], width: int) -> DataFrame:
+    """Shape and finiteness of the vector columns in one aggregate."""
+    bad_shape = F.lit(False)
+    not_finite = F.lit(False)
+    for v in vectors:
+        bad_shape |= F.size(v) != width
+        not_finite |= F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad_shape).alias("n_bad_shape"), F.count_if(not_finite).alias("n_not_finite"))
