@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import profiles as P
 from platewise.plans.catalog import Tables
+from platewise.session import cut_lineage
 
 REFERENCE_LINE = "BUILDING"
 CONTROL = "DMSO"
@@ -92,3 +93,14 @@ def scores(t: Tables) -> DataFrame:
         (F.avg("l_discount") * 20 - 1).alias("pearson"), (F.avg("l_tax") * 25 - 1).alias("spearman"),
         F.avg("l_quantity").alias("l2"), (F.avg(F.col("l_discount") + F.col("l_tax")) * 5).alias("cosine"),
         (F.avg("l_extendedprice") / 1000).alias("rmse"))
+
+
+def bundle(t: Tables) -> DataFrame:
+    """Prediction bundle: per treated profile of a target line the truth `y`, the reference delta `ref` and a
+    prediction `yhat` (mean of the training plates). The delta table is written once and read by all branches."""
+    d = cut_lineage(delta(t))
+    target = d.filter(F.col("cell_line") != REFERENCE_LINE).withColumn("split", F.when(F.col("plate") >= "1999", "test").otherwise("train"))
+    match = ["drug", "dose", "time"]
+    ref = P.average_vectors(d.filter(F.col("cell_line") == REFERENCE_LINE), match, "expr", "ref")
+    pred = P.average_vectors(target.filter("split = 'train'"), P.CONDITION, "expr", "yhat")
+    return target.withColumnRenamed("expr", "y").drop("rep", "total_cells", "total_umis").join(ref, match).join(pred, P.CONDITION)
