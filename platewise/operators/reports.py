@@ -41,3 +41,27 @@ def validate_bundle(df: DataFrame, vectors: Sequence[str], width: int) -> DataFr
         bad_shape |= F.size(v) != width
         not_finite |= F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad_shape).alias("n_bad_shape"), F.count_if(not_finite).alias("n_not_finite"))
+
+
+def filter_sweep(arms: DataFrame, base: DataFrame, arm: str, bin_: str, keys: Sequence[str], metric: str) -> DataFrame:
+    """Mean of each arm per bin of the base table, difference to the base on shared keys, signed-rank p, and q over
+    all (arm, bin) tests."""
+    from platewise.operators.statistics import bh_fdr, wilcoxon
+    j = arms.select(arm, *keys, F.col(metric).alias("_v")).join(base.select(bin_, *keys, F.col(metric).alias("_b")), list(keys))
+    j = j.withColumn("d", F.round(F.col("_v") - F.col("_b"), 12))
+    means = j.groupBy(arm, bin_).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.avg("d").alias("diff"))
+    tests = wilcoxon(j, [arm, bin_]).select(arm, bin_, "p")
+    return bh_fdr(means.join(tests, [arm, bin_], "left"), "p")
+
+
+def compare_by_cluster(paired: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
+    """Micro and macro means of two arms, clusters won, signed-rank test over clusters."""
+    from platewise.operators.statistics import wilcoxon
+    by = list(by)
+    per = paired.groupBy(*by, cluster).agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("d", F.round(F.col("sa") / F.col("n") - F.col("sb") / F.col("n"), 9))
+    out = per.groupBy(*by).agg(
+        (F.sum("sa") / F.sum("n")).alias("micro_a"), (F.sum("sb") / F.sum("n")).alias("micro_b"),
+        F.avg(F.col("sa") / F.col("n")).alias("macro_a"), F.avg(F.col("sb") / F.col("n")).alias("macro_b"),
+        F.avg(F.col("sa") / F.col("n") - F.col("sb") / F.col("n")).alias("macro_diff"), F.count_if(F.col("d") > 0).alias("wins"), F.count(F.lit(1)).alias("n_lines"))
+    return out.join(wilcoxon(per, by).select(*by, "w", "p"), by, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.plans.ordering import exact_quantiles
+from platewise.session import cut_lineage
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -60,7 +61,7 @@ def best_per_group(df: DataFrame, by: Sequence[str], score: str, tie: Sequence[s
 
 def condition_quality(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per condition: pairs, defined pairs, mean and median Pearson, mean norm, distinct replicates on either side."""
-    by = list(by)
+    by, pairs = list(by), cut_lineage(pairs)
     base = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count("pearson").alias("n_defined"), F.avg("pearson").alias("mean_pearson"),
         ((F.avg("norm_rep_i") + F.avg("norm_rep_j")) / 2).alias("mean_norm"))

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.session import cut_lineage
+
 RANGES = 64
 
 
@@ -30,10 +32,15 @@ def range_of(value: Column, cuts: list[float]) -> Column:
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, parts: int = RANGES) -> DataFrame:
-    """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group)."""
+    """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group).
+
+    The counted values are checkpointed: the cut points need one look at them, the ranks a second."""
     by = list(by)
     freq = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cuts = value_ranges(df, value, parts) if parts > 1 else []
+    cuts = []
+    if parts > 1:
+        freq = cut_lineage(freq)
+        cuts = value_ranges(freq, value, parts)
     freq = freq.withColumn("_r", range_of(F.col(value), cuts))
     totals = freq.groupBy(*by, "_r").agg(F.sum("cnt").alias("_t"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -68,7 +75,11 @@ def running_min_from_top(df: DataFrame, by: Sequence[str], order: str, value: st
     """Per distinct `order` value: minimum of `value` over rows with order >= this one."""
     by = list(by)
     freq = df.groupBy(*by, order).agg(F.min(value).alias("_v"))
-    freq = freq.withColumn("_r", range_of(F.col(order), value_ranges(df, order, parts) if parts > 1 else []))
+    cuts = []
+    if parts > 1:
+        freq = cut_lineage(freq)
+        cuts = value_ranges(freq, order, parts)
+    freq = freq.withColumn("_r", range_of(F.col(order), cuts))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     later = freq.groupBy(*by, "_r").agg(F.min("_v").alias("_m")).withColumn(
         "_m", F.min("_m").over(over.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))

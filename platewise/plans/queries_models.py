@@ -58,7 +58,7 @@ def ref_draw(t):
     return O.draw_reference(obs, O.reference_pool(d, I.REFERENCE_LINE)).drop("expr")
 
 
-@query("q_resample_epochs", DRAW_SQL.format(epoch=", e::INT AS epoch", epochs=", (SELECT unnest(range(1, 6)) AS e)", key="e,"))
+@query("q_resample_epochs", DRAW_SQL.format(epoch=", e::INT AS epoch", epochs=", (SELECT unnest(range(1, 6)) AS e)", key="epoch,"))
 def resample_epochs(t):
     d = cut_lineage(I.delta(t))
     obs = d.filter(F.col("cell_line") != I.REFERENCE_LINE).select(*OBS).distinct()
@@ -217,9 +217,9 @@ def gbt(t):
 
 
 @query("q_best_epoch", """
-SELECT * FROM (SELECT l_suppkey AS run, l_linenumber AS epoch, avg(l_discount) AS val_avg_pearson, 'max' AS direction FROM lineitem GROUP BY ALL
+SELECT * FROM (SELECT l_suppkey AS run, l_linenumber AS epoch, avg(l_discount) AS val_avg_pearson, 'max' AS direction FROM lineitem GROUP BY l_suppkey, l_linenumber
  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY round(avg(l_discount), 9) DESC, l_linenumber) = 1)
-UNION ALL SELECT * FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity), 'min' FROM lineitem GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity), 'min' FROM lineitem GROUP BY l_suppkey, l_linenumber
  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY round(avg(l_quantity), 9), l_linenumber) = 1)
 """, "val_avg_pearson")
 def best_epoch(t):

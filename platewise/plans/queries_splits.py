@@ -47,7 +47,7 @@ def butina(t):
 
 
 @query("q_fill_split", """
-WITH RECURSIVE c AS (SELECT p_name, p_brand, count(*) AS s, row_number() OVER (ORDER BY count(*) DESC, p_name, p_brand) AS o FROM part GROUP BY ALL),
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY s DESC, p_name, p_brand) AS o FROM (SELECT p_name, p_brand, count(*) AS s FROM part GROUP BY p_name, p_brand)),
 w AS (SELECT 0::BIGINT AS o, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS d, '' AS split
  UNION ALL SELECT c.o, CASE WHEN a < 0.8::DOUBLE * (a + b + d + s) THEN a + s ELSE a END,
   CASE WHEN a < 0.8::DOUBLE * (a + b + d + s) THEN b WHEN b < 0.1::DOUBLE * (a + b + d + s) THEN b + s ELSE b END,
