@@ -38,10 +38,11 @@ def percentile_score(df: DataFrame, column: str, name: str, higher_is_better: bo
 
 def case_thresholds(metrics: DataFrame) -> DataFrame:
     """One row: median target norm, lowest decile of the reference and highest decile of the prediction correlation."""
-    one = metrics.withColumn("_k", F.lit(0))
-    q = lambda c, n, p: exact_quantiles(one, ["_k"], c, {n: p})
-    return q("target_norm", "norm_median", 0.5).join(q("reference_target_pearson", "ref_q10", 0.1), "_k").join(
-        q("prediction_target_pearson", "pred_q90", 0.9), "_k")
+    names = ["target_norm", "reference_target_pearson", "prediction_target_pearson"]
+    long = metrics.unpivot([], names, "metric", "v")
+    q = exact_quantiles(long, ["metric"], "v", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return q.agg(pick(names[0], "q50").alias("norm_median"), pick(names[1], "q10").alias("ref_q10"), pick(names[2], "q90").alias("pred_q90")).withColumn("_k", F.lit(0))
 
 
 def rank_cases(metrics: DataFrame, n_cases: int) -> DataFrame:

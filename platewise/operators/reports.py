@@ -65,3 +65,151 @@ def compare_by_cluster(paired: DataFrame, by: Sequence[str], cluster: str) -> Da
         F.avg(F.col("sa") / F.col("n")).alias("macro_a"), F.avg(F.col("sb") / F.col("n")).alias("macro_b"),
         F.avg(F.col("sa") / F.col("n") - F.col("sb") / F.col("n")).alias("macro_diff"), F.count_if(F.col("d") > 0).alias("wins"), F.count(F.lit(1)).alias("n_lines"))
     return out.join(wilcoxon(per, by).select(*by, "w", "p"), by, "left")
+
+
+# sampling
+
+def lines_on_plates(df: DataFrame, min_plates: int, line: str = "cell_line", plate: str = "plate") -> DataFrame:
+    """Rows of cell lines measured on at least `min_plates` plates."""
+    enough = df.groupBy(line).agg(F.count_distinct(plate).alias("_n")).filter(F.col("_n") >= min_plates)
+    return df.join(enough.select(line), line, "left_semi")
+
+
+def sample_plates(df: DataFrame, k: int, seed: int = 42, line: str = "cell_line", plate: str = "plate") -> DataFrame:
+    """k plates per cell line in md5 order; a plate kept for one line is kept for all. The window sees distinct
+    (line, plate) pairs and keeps k before the shuffle."""
+    from platewise.functions.hashing import md5_key
+    pairs = df.select(line, plate).distinct()
+    kept = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(line).orderBy(md5_key(seed, line, plate)))).filter(F.col("_rn") <= k)
+    return df.join(kept.select(plate).distinct(), plate, "left_semi")
+
+
+def sample_per_group(df: DataFrame, by: Sequence[str], key: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """k rows per group in md5 order; each task keeps k per group before the shuffle."""
+    from platewise.functions.hashing import md5_key
+    w = Window.partitionBy(*by).orderBy(md5_key(seed, *by, *key), *key)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+# result tables
+
+def run_statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of every metric, all runs and splits in one aggregate."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_std") for m in metrics])
+
+
+def substitute_arm(df: DataFrame, keys: Sequence[str], is_replacement: Column) -> DataFrame:
+    """Replacement rows take the place of plain rows with the same keys; plain rows without one stay. Fails when a
+    key has two replacements."""
+    from platewise.operators.cleaning import DataError
+    new, plain = df.filter(is_replacement), df.filter(~is_replacement)
+    if not new.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise DataError(f"several replacements for one {list(keys)}")
+    return plain.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def representation_coverage(inputs: DataFrame, embeddings: DataFrame, key: str = "smiles") -> DataFrame:
+    """Distinct inputs and successes per representation, vector length, and a summary of failures."""
+    n_in = inputs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_inputs")).withColumn("_k", F.lit(0))
+    ok = embeddings.join(inputs.select(key).distinct(), key, "left_semi").groupBy("representation").agg(
+        F.count_distinct(key).alias("n_success"), F.max(F.size("embedding")).alias("dimension")).withColumn("_k", F.lit(0))
+    out = ok.join(F.broadcast(n_in), "_k").drop("_k")
+    failed = F.col("n_inputs") - F.col("n_success")
+    return out.withColumn("failures", F.when(failed == 0, "none").otherwise(F.concat(failed, F.lit(" of "), F.col("n_inputs"), F.lit(" inputs"))))
+
+
+def name_lookup(df: DataFrame, names: DataFrame, key: str, name: str, out: str, order: Sequence[str]) -> DataFrame:
+    """Display name of an id, the first one by `order`; the id itself when there is none."""
+    first = names.groupBy(key).agg(F.min_by(name, F.struct(*[F.col(o) for o in order])).alias(out))
+    return df.join(first, key, "left").withColumn(out, F.coalesce(out, F.col(key).cast("string")))
+
+
+def selected_models(runs: DataFrame, by: str = "experiment") -> DataFrame:
+    """Best run per experiment with the number of trials and derived fields."""
+    from platewise.functions.text import layer_sizes, parameter_count
+    from platewise.operators.summaries import best_per_group
+    trials = runs.groupBy(by).agg(F.count(F.lit(1)).alias("n_trials"))
+    best = best_per_group(runs, [by], "val_spearman", ["stamp", "run_id"]).join(trials, by)
+    layers = layer_sizes(F.col("hidden_layers"))
+    return best.withColumn("depth", F.size(layers)).withColumn("n_params", parameter_count(F.col("input_dim"), layers, F.col("output_dim"))) \
+        .withColumn("compression", F.when(F.col("n_pca").isNull(), "none").otherwise(F.concat(F.lit("pca"), F.col("n_pca"))))
+
+
+def scale_table(runs: DataFrame, native: DataFrame, key: str = "representation") -> DataFrame:
+    """Effective treatment size (components, else native length) and parameter count; incomplete rows dropped."""
+    from platewise.functions.text import layer_sizes, parameter_count
+    j = runs.join(native, key, "left").withColumn("treatment_size", F.coalesce("n_pca", "dimension"))
+    j = j.withColumn("n_params", parameter_count(F.col("treatment_size"), layer_sizes(F.col("hidden_layers")), F.col("output_dim")))
+    return j.dropna(subset=["treatment_size", "n_params"])
+
+
+SAR_COLUMNS = ["pair_id", "cell_line", "dose_um", "time_h", "plate", "compound_i", "compound_j", "pearson", "spearman", "ecfp_dist", "dense_dist", "graph_dist"]
+
+
+def sar_export(pairs: DataFrame) -> DataFrame:
+    """Pair table with ids, numeric dose and time, and a fixed column list; absent distances are NULL columns."""
+    from platewise.functions.hashing import pair_id
+    from platewise.functions.text import parse_number
+    out = pairs.withColumns({"pair_id": pair_id("pair_", F.concat_ws("|", "cell_line", "smiles_i"), F.concat_ws("|", "cell_line", "smiles_j")),
+                             "dose_um": parse_number(F.col("dose")), "time_h": parse_number(F.col("time"))})
+    out = out.withColumnsRenamed({"smiles_i": "compound_i", "smiles_j": "compound_j"})
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in SAR_COLUMNS])
+
+
+def performance_table(main: DataFrame, fallback: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Metric x group means and deviations from the main source, from the fallback where it has none, with the status."""
+    by = [*by, "metric"]
+    side = lambda df, n: df.unpivot(by[:-1], list(metrics), "metric", "v").groupBy(*by).agg(F.avg("v").alias(f"mean_{n}"), F.stddev_pop("v").alias(f"sd_{n}"))
+    j = side(main, "a").join(side(fallback, "b"), by, "full")
+    return j.select(*by, F.coalesce("mean_a", "mean_b").alias("mean"), F.coalesce("sd_a", "sd_b").alias("sd"),
+                    F.when(F.col("mean_a").isNotNull(), "main").otherwise("fallback").alias("source"))
+
+
+def cluster_performance(scores: DataFrame, setting: Sequence[str], cluster: str, keys: Sequence[str], n_boot: int = 1000) -> DataFrame:
+    """Per (setting, cluster) mean and interval of the model, means of the two baselines and gains over them."""
+    from platewise.operators.statistics import bootstrap_mean
+    by = [*setting, cluster]
+    ci = bootstrap_mean(scores.filter("arm = 'model'"), by, "pearson", keys, n_boot)
+    base = scores.groupBy(*by).pivot("arm", ["reference", "train_mean"]).agg(F.avg("pearson"))
+    return ci.join(base, by).withColumn("gain_reference", F.col("mean") - F.col("reference")).withColumn("gain_train_mean", F.col("mean") - F.col("train_mean"))
+
+
+def similarity_table(pairs: DataFrame, names: DataFrame, min_n: int = 2) -> DataFrame:
+    """Reference-target similarity with display names, inclusion flag and reason."""
+    left = names.select(F.col("cell_line").alias("cl_i"), F.col("name").alias("reference_name"))
+    right = names.select(F.col("cell_line").alias("cl_j"), F.col("name").alias("target_name"))
+    ok = F.col("n_conditions") >= min_n
+    return pairs.join(left, "cl_i", "left").join(right, "cl_j", "left").select(
+        F.coalesce("reference_name", "cl_i").alias("reference"), F.coalesce("target_name", "cl_j").alias("target"), F.col("mean_delta_pearson").alias("similarity"),
+        "n_conditions", ok.alias("included"), F.when(ok, "").otherwise("fewer than two shared conditions").alias("reason"))
+
+
+def long_statistics(tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Stack tests and intervals in one schema with id, method and level."""
+    from platewise.functions.hashing import stable_id
+    from platewise.functions.text import statistic_method
+    parts = []
+    for label, df in tables.items():
+        values = [f.name for f in df.schema.fields if f.name not in keys and f.dataType.simpleString() in ("double", "bigint", "int")]
+        wide = df.select(F.concat_ws("|", *[k for k in keys if k in df.columns]).alias("level"), *[F.col(v).cast("double").alias(v) for v in values])
+        parts.append(wide.unpivot(["level"], values, "statistic", "value").withColumn("analysis", F.lit(label)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("method", statistic_method(F.col("analysis"))).withColumn("id", stable_id("stat_", F.col("analysis"), F.col("level"), F.col("statistic")))
+
+
+def annotate_components(vp: DataFrame, genes: DataFrame, components: Sequence[str]) -> DataFrame:
+    """Variance rows joined to the gene table by position, components unpivoted, percent to fraction."""
+    long = vp.unpivot(["position"], list(components), "component", "percent")
+    return long.join(genes, "position").select("gene", "component", (F.col("percent") / 100).alias("fraction"))
+
+
+def output_check(spark, paths: dict[str, str]) -> DataFrame:
+    """Whether each expected output exists and holds a row."""
+    rows = []
+    for name, path in paths.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        rows.append((name, bool(there), bool(there) and not spark.read.parquet(path).limit(1).isEmpty()))
+    return spark.createDataFrame(rows, "output string, present boolean, has_rows boolean")

@@ -51,7 +51,7 @@ def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, unit: Sequence[
     map side, so n_boot rows per group and task are shuffled whatever the number of rows."""
     by = list(by)
     ok = finite(df, value).select(*by, F.col(value).alias("x"), md5_int(md5_key(seed, *unit)).alias("u"))
-    sums = with_replicates(ok, n_boot).groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    sums = with_replicates(ok, n_boot).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w").cast("double")).alias("m"))
     point = ok.groupBy(*by).agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
     return _attach(point, percentile_bounds(sums, by, "m", ci), by)
 
@@ -144,7 +144,7 @@ def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int
         s = lambda e: F.sum(F.col("w") * e)
         rx, ry = F.col("rx"), F.col("ry")
         moments = reps.groupBy(*by, "b").agg(F.sum("w").alias("n"), s(rx).alias("sx"), s(ry).alias("sy"), s(rx * rx).alias("sxx"), s(ry * ry).alias("syy"), s(rx * ry).alias("sxy"))
-        n = F.col("n")
+        n = F.nullif(F.col("n"), F.lit(0))
         m = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt((F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))
         point = _attach(point, percentile_bounds(moments.select(*by, m.alias("m")), by), by)
     return point.withColumn("p", correlation_p(F.col("rho"), F.col("n")))

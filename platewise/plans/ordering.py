@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from platewise.session import cut_lineage
 
-RANGES = 64
+RANGES = 1024
+SMALL = 1_000_000  # distinct values one window may hold; more are cut into ranges
 
 
 def value_ranges(df: DataFrame, value: str, parts: int = RANGES) -> list[float]:
@@ -31,19 +32,18 @@ def range_of(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
-def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, parts: int = RANGES) -> DataFrame:
+def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group).
 
-    The counted values are checkpointed: the cut points need one look at them, the ranks a second."""
+    The counted values are checkpointed: their number decides between one window and value ranges, and the cut
+    points need another look at them."""
     by = list(by)
-    freq = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cuts = []
-    if parts > 1:
-        freq = cut_lineage(freq)
-        cuts = value_ranges(freq, value, parts)
-    freq = freq.withColumn("_r", range_of(F.col(value), cuts))
-    totals = freq.groupBy(*by, "_r").agg(F.sum("cnt").alias("_t"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    freq = cut_lineage(df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt")))
+    if freq.count() <= SMALL:
+        return freq.select(*by, value, "cnt", (F.sum("cnt").over(over.orderBy(value)) - F.col("cnt")).alias("before"), F.sum("cnt").over(over).alias("n"))
+    freq = freq.withColumn("_r", range_of(F.col(value), value_ranges(freq, value)))
+    totals = freq.groupBy(*by, "_r").agg(F.sum("cnt").alias("_t"))
     offsets = totals.select(*by, "_r",
                             (F.sum("_t").over(over.orderBy("_r")) - F.col("_t")).alias("_o"), F.sum("_t").over(over).alias("n"))
     inner = Window.partitionBy(*by, "_r").orderBy(value)
@@ -51,17 +51,17 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, parts: int =
     return run.join(offsets, by + ["_r"]).select(*by, value, "cnt", (F.col("_o") + F.col("_c")).alias("before"), "n")
 
 
-def with_average_rank(df: DataFrame, by: Sequence[str], value: str, name: str, parts: int = RANGES) -> DataFrame:
+def with_average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the 1-based average rank of `value` within `by`; rows without a value get NULL."""
     by = list(by)
-    ranks = cumulative_counts(df, by, value, parts).select(
+    ranks = cumulative_counts(df, by, value).select(
         *by, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(name))
     return df.join(ranks, by + [value], "left")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], parts: int = RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Quantiles with linear interpolation, from cumulative counts instead of per-group value buffers."""
-    cum = cumulative_counts(df, by, value, parts)
+    cum = cumulative_counts(df, by, value)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n") - 1)
@@ -71,16 +71,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return cum.groupBy(*by).agg(*aggs)
 
 
-def running_min_from_top(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, parts: int = RANGES) -> DataFrame:
+def running_min_from_top(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Per distinct `order` value: minimum of `value` over rows with order >= this one."""
     by = list(by)
-    freq = df.groupBy(*by, order).agg(F.min(value).alias("_v"))
-    cuts = []
-    if parts > 1:
-        freq = cut_lineage(freq)
-        cuts = value_ranges(freq, order, parts)
-    freq = freq.withColumn("_r", range_of(F.col(order), cuts))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    freq = cut_lineage(df.groupBy(*by, order).agg(F.min(value).alias("_v")))
+    if freq.count() <= SMALL:
+        run = over.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return freq.select(*by, order, F.min("_v").over(run).alias(name))
+    freq = freq.withColumn("_r", range_of(F.col(order), value_ranges(freq, order)))
     later = freq.groupBy(*by, "_r").agg(F.min("_v").alias("_m")).withColumn(
         "_m", F.min("_m").over(over.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))
     inner = Window.partitionBy(*by, "_r").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)

@@ -39,7 +39,7 @@ cte("es_table", """
 SELECT profile, collection, term, CASE WHEN max(after_) >= -min(before_) THEN max(after_) ELSE min(before_) END AS es, max(set_size) AS set_size,
  arg_max(rank, (round(after_, 12), -rank)) AS peak_up, arg_min(rank, (round(before_, 12), rank)) AS peak_down FROM es_runs GROUP BY ALL
 """)
-cte("enriched", "SELECT profile, collection, term, es * 3 AS nes, greatest(0, 1 - 2.5 * abs(es)) AS fdr_q FROM es_table")
+cte("enriched", "SELECT profile, collection, term, es * 3 AS nes, greatest(0, 1 - 4 * abs(es)) AS fdr_q FROM es_table")
 cte("edges", """
 SELECT h.profile, h.collection, h.term, string_agg(symbol, ';' ORDER BY rank) AS leading_edge_genes, count(*) AS n_edge FROM set_hits h JOIN es_table e USING (profile, collection, term)
 WHERE CASE WHEN es >= 0 THEN rank <= peak_up ELSE rank >= peak_down END GROUP BY ALL
@@ -80,7 +80,7 @@ def gene_sets(t: Tables):
 def enriched(t: Tables):
     """Score table of all sets and profiles with a significance stand-in derived from the score."""
     es = E.enrichment_scores(E.hits_of(ranked(t), gene_sets(t), ["profile"]), ["profile"])
-    return es.select("profile", "collection", "term", (F.col("es") * 3).alias("nes"), F.greatest(F.lit(0.0), 1 - 2.5 * F.abs("es")).alias("fdr_q"))
+    return es.select("profile", "collection", "term", (F.col("es") * 3).alias("nes"), F.greatest(F.lit(0.0), 1 - 4 * F.abs("es")).alias("fdr_q"))
 
 
 def compared(t: Tables):
