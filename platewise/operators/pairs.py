@@ -127,7 +127,7 @@ def mean_pair_pearson(df: DataFrame, mode: str = "inter", by: Sequence[str] = CO
     return out.filter("n_pairs > 0").select(*by, F.col("n_pairs").cast("bigint").alias("n_pairs"), (F.col("s") / F.col("n_pairs")).alias("mean_pearson"))
 
 
-def numbered_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int = 32) -> DataFrame:
+def numbered_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int = 1024) -> DataFrame:
     """0-based `pos` of each row in its group, by an order key cut into ranges of its md5, so that no
     window holds a whole group."""
     by = list(by)
@@ -232,7 +232,7 @@ def sar_pairs(df: DataFrame, representations: dict[str, str] | None = None, by:
         i, j = ordered(i, j, table["smiles"].to_pylist())
         x = matrix(table["expr"])
         length = np.sqrt((x * x).sum(axis=1))
-        sq = np.array([((x[a] - x[b]) ** 2).sum() for a, b in zip(i, j)])
+        sq = np.stack([((x - row) ** 2).sum(axis=1) for row in x])[i, j]
         take = lambda c, k: table[c].combine_chunks().take(pa.array(k))
         cols = {c: take(c, i) for c in by}
         cols |= {"drug_i": take("drug", i), "drug_j": take("drug", j), "smiles_i": take("smiles", i), "smiles_j": take("smiles", j),

@@ -47,7 +47,8 @@ def leader_clusters(df: DataFrame, row_id: str, bits: str, cutoff: float = 0.4)
     owner = follow.groupBy("a").agg(F.max_by("b", "prio_b").alias("centroid")).withColumnRenamed("a", "id")
     member = owner.unionByName(leaders.select("id", F.col("id").alias("centroid")))
     order = ranked.select(F.col("id").alias("centroid"), F.col("prio.d").alias("neighbours"))
-    return df.join(points.select(bits, "id"), bits).join(member, "id").join(order, "centroid").select(row_id, "centroid", "neighbours")
+    named = points.select(bits, F.col("id").alias("_point")).join(member.withColumnRenamed("id", "_point"), "_point").join(order, "centroid")
+    return df.select(row_id, bits).join(named, bits).select(row_id, "centroid", "neighbours")
 
 
 def cluster_sizes(members: DataFrame) -> DataFrame:

@@ -64,23 +64,24 @@ def _attach(point: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame
 
 def cluster_draws(clusters: DataFrame, by: Sequence[str], key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Whole clusters drawn with replacement: as many draws per replicate as there are clusters. Input is one row per
-    cluster; a draw is a position joined to the numbered clusters. Column `b` is the replicate."""
-    by = list(by)
-    rows = numbered_rows(clusters, by or ["_all"], key) if by else numbered_rows(clusters.withColumn("_all", F.lit(0)), ["_all"], key)
-    on = by or ["_all"]
-    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("k"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))))
-    picked = draws.withColumn("pos", F.pmod(md5_int(md5_key(seed, "b", "i")), F.col("k"))).groupBy(*on, "b", "pos").agg(F.count(F.lit(1)).alias("times"))
+    cluster; a draw is a position joined to the numbered clusters. Adds the replicate `b` and the count `times`."""
+    on = list(by) or ["_all"]
+    rows = numbered_rows(clusters if by else clusters.withColumn("_all", F.lit(0)), on, key)
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn(
+        "_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
+    pos = F.pmod(md5_int(md5_key(seed, "b", "_i")), F.col("_size"))
+    picked = draws.withColumn("pos", pos).groupBy(*on, "b", "pos").agg(F.count(F.lit(1)).alias("times"))
     return picked.join(rows.drop("group_rows"), [*on, "pos"])
 
 
 def cluster_bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, cluster: str, n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
     """Mean over rows, interval over resampled clusters from their sums and counts."""
     by = list(by)
-    per = finite(df, value).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    per = finite(df, value).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"))
     drawn = cluster_draws(per, by, [cluster], n_boot, seed)
-    reps = drawn.groupBy(*by, "b").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
-    point = per.groupBy(*by).agg((F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
+    reps = drawn.groupBy(*by, "b").agg((F.sum(F.col("_s") * F.col("times")) / F.sum(F.col("_c") * F.col("times"))).alias("m"))
+    point = per.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("mean"), F.sum("_c").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
     return _attach(point, percentile_bounds(reps, by, "m", ci), by)
 
 

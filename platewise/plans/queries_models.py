@@ -43,7 +43,7 @@ def ref_pool(t):
 
 
 DRAW_SQL = """
-WITH pool AS (SELECT *, row_number() OVER (PARTITION BY drug, dose, time ORDER BY ('0x' || substr(md5('row|' || sample), 1, 8))::BIGINT % 32, md5('row|' || sample)) - 1 AS pos,
+WITH pool AS (SELECT *, row_number() OVER (PARTITION BY drug, dose, time ORDER BY ('0x' || substr(md5('row|' || sample), 1, 8))::BIGINT % 1024, md5('row|' || sample)) - 1 AS pos,
    count(*) OVER (PARTITION BY drug, dose, time) AS n FROM (SELECT DISTINCT drug, dose, time, sample FROM delta_long WHERE cell_line = 'BUILDING')),
 o AS (SELECT DISTINCT cell_line, drug, smiles, dose, time {epoch} FROM obs_long {epochs})
 SELECT o.*, sample FROM o JOIN pool USING (drug, dose, time)

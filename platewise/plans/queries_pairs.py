@@ -117,7 +117,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_line, dose, time,
 cte("emb_rank", """
 SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, x) - 1) / 2.0::DOUBLE AS rk FROM emb_long
 """)
-cte("rep_long", "SELECT concat('v', vec_id) AS smiles, pos, x FROM emb_long WHERE vec_id % 7 <> 0")
+cte("rep_long", "SELECT concat('v', vec_id) AS smiles, pos, x FROM emb_long WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE embedding[1] < 0.15::FLOAT)")
 cte("sar", """
 WITH y AS (SELECT s.*, e.pos, e.x, e.rk, r.x AS rx FROM sar_single s JOIN emb_rank e USING (vec_id) LEFT JOIN rep_long r ON r.smiles = s.smiles AND r.pos = e.pos)
 SELECT cell_line, dose, time, plate, a.drug AS drug_i, b.drug AS drug_j, a.smiles AS smiles_i, b.smiles AS smiles_j,
@@ -135,7 +135,8 @@ def sar_rows(t: Tables):
     base = t.embeddings.select(
         F.concat(F.lit("L"), "label").alias("cell_line"), F.lit("1.0 uM").alias("dose"), F.lit("24 h").alias("time"), F.lit("P0").alias("plate"),
         F.concat(F.lit("d"), "vec_id").alias("drug"), F.concat(F.lit("v"), F.expr("vec_id div 2")).alias("smiles"), F.col("embedding").alias("expr"))
-    rep = I.fingerprints(t).filter("vec_id % 7 <> 0").join(t.embeddings.select("vec_id", "embedding"), "vec_id").select(
+    parsed = t.embeddings.filter("embedding[0] < cast(0.15 as float)").select("vec_id", "embedding")
+    rep = I.fingerprints(t).join(parsed, "vec_id").select(
         F.concat(F.lit("v"), "vec_id").alias("smiles"), F.col("bits").alias("ecfp"), F.col("embedding").alias("dense"))
     return base.join(rep, "smiles", "left")
 

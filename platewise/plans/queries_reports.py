@@ -32,12 +32,16 @@ def min_plates(t):
     return B.lines_on_plates(wells(t), 6)
 
 
+cte("line_plates", "SELECT o_orderkey, o_orderpriority AS cell_line, concat('PL', o_custkey % 500) AS plate FROM orders")
+
+
 @query("q_sample_plates", """
-SELECT * FROM wells WHERE plate IN (SELECT plate FROM (SELECT cell_line, plate, row_number() OVER (PARTITION BY cell_line ORDER BY md5(concat_ws('|', '42', cell_line, plate))) AS rn
- FROM (SELECT DISTINCT cell_line, plate FROM wells WHERE length(cell_line) = 1)) WHERE rn <= 1) AND length(cell_line) = 1
+SELECT * FROM line_plates WHERE plate IN (SELECT plate FROM (SELECT cell_line, plate, row_number() OVER (PARTITION BY cell_line ORDER BY md5(concat_ws('|', '42', cell_line, plate))) AS rn
+ FROM (SELECT DISTINCT cell_line, plate FROM line_plates)) WHERE rn <= 20)
 """)
 def sample_plates(t):
-    return B.sample_plates(wells(t).filter("length(cell_line) = 1"), 1)
+    w = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("cell_line"), F.concat(F.lit("PL"), F.col("o_custkey") % 500).alias("plate"))
+    return B.sample_plates(w, 20)
 
 
 @query("q_sample_per_plate", """
@@ -110,7 +114,7 @@ def arm_substitution(t):
 
 @query("q_representation_coverage", """
 WITH i AS (SELECT concat('v', vec_id) AS smiles FROM embeddings UNION SELECT concat('v', p_partkey) FROM part),
-r AS (SELECT 'dense' AS representation, concat('v', vec_id) AS smiles, 64 AS d FROM embeddings UNION ALL SELECT 'ecfp', concat('v', vec_id), 64 FROM embeddings WHERE vec_id % 7 <> 0)
+r AS (SELECT 'dense' AS representation, concat('v', vec_id) AS smiles, 64 AS d FROM embeddings UNION ALL SELECT 'ecfp', concat('v', vec_id), 64 FROM embeddings WHERE embedding[1] < 0.15::FLOAT)
 SELECT representation, count(DISTINCT smiles) AS n_success, max(d) AS dimension, (SELECT count(*) FROM i) AS n_inputs, concat((SELECT count(*) FROM i) - count(DISTINCT smiles), ' of ', (SELECT count(*) FROM i), ' inputs') AS failures
 FROM r SEMI JOIN i USING (smiles) GROUP BY 1
 """)
@@ -118,7 +122,8 @@ def representation_coverage(t):
     v = lambda c: F.concat(F.lit("v"), c).alias("smiles")
     inputs = t.embeddings.select(v("vec_id")).union(t.part.select(v("p_partkey")))
     dense = t.embeddings.select(F.lit("dense").alias("representation"), v("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    ecfp = I.fingerprints(t).filter("vec_id % 7 <> 0").select(F.lit("ecfp").alias("representation"), v("vec_id"), F.col("bits").alias("embedding"))
+    parsed = t.embeddings.filter("embedding[0] < cast(0.15 as float)").select("vec_id")
+    ecfp = I.fingerprints(t).join(parsed, "vec_id", "left_semi").select(F.lit("ecfp").alias("representation"), v("vec_id"), F.col("bits").alias("embedding"))
     return B.representation_coverage(inputs, dense.unionByName(ecfp))
 
 

@@ -33,7 +33,7 @@ pt AS (SELECT {pre}avg(x) AS mean, count(*) AS n FROM u0 {grp})"""
 
 def clus_sql(src: str, by: str, value: str, cluster: str, boot: int = BOOT) -> str:
     return f"""cl AS (SELECT {by}, {cluster} AS c_, sum({value}) AS s, count(*) AS c FROM {src} GROUP BY {by}, {cluster}),
-nm AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ('0x' || substr(md5('row|' || c_), 1, 8))::BIGINT % 32, md5('row|' || c_)) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS k FROM cl),
+nm AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ('0x' || substr(md5('row|' || c_), 1, 8))::BIGINT % 1024, md5('row|' || c_)) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS k FROM cl),
 dr AS (SELECT {by}, b, ('0x' || substr(md5(concat_ws('|', '0', b, i)), 1, 8))::BIGINT % k AS pos FROM (SELECT DISTINCT {by}, k, unnest(range(1, k + 1)) AS i FROM nm), (SELECT unnest(range(1, {boot} + 1)) AS b)),
 rp AS (SELECT {by}, b, sum(s) / sum(c) AS m FROM dr JOIN nm USING ({by}, pos) GROUP BY {by}, b),
 bd AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY {by}),
