@@ -88,20 +88,18 @@ def average_vectors(df: DataFrame, by: Sequence[str], vector: str = "expr", name
     return to_wide(cells, by, "pos", "m", name or vector)
 
 
-def subtract_control(treated: DataFrame, means: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:
-    """Treated minus the matched control mean `_control`; treated rows without a control are dropped."""
-    return treated.join(means, list(key)).withColumn(vector, V.minus(F.col(vector), F.col("_control"))).drop("_control")
-
-
 def delta_profiles(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:
-    """Delta of dense profiles."""
-    return subtract_control(treated, average_vectors(control, key, vector, "_control"), key, vector)
+    """Treated minus the mean of the matched controls, for dense profiles; treated rows without a control are dropped."""
+    means = average_vectors(control, key, vector, "_control")
+    return treated.join(means, list(key)).withColumn(vector, V.minus(F.col(vector), F.col("_control"))).drop("_control")
 
 
 def delta_of_sparse(profiles: DataFrame, control: str, width: int, key: Sequence[str] = CONTROL_KEY) -> DataFrame:
-    """Delta of sparse profiles: the mean is taken on stored entries, only treated rows are made dense."""
+    """Delta of sparse profiles. The mean is taken on stored entries, treated rows travel to the join as entries and
+    become dense only after it."""
     means = mean_of_sparse(profiles.filter(F.col("drug") == control), key, width, "_control")
-    return subtract_control(dense(profiles.filter(F.col("drug") != control), width), means, key)
+    joined = profiles.filter(F.col("drug") != control).join(means, list(key))
+    return joined.withColumn("expr", V.minus(V.densify(F.col("entries"), width), F.col("_control"))).drop("entries", "_control")
 
 
 def unmatched_controls(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY) -> DataFrame:

@@ -282,14 +282,18 @@ def curve_fits(df: DataFrame, x: str, y: str, grids: dict[str, list[float]]) ->
 
 
 def factor_sums(long: DataFrame, unit: str, value: str, factors: Sequence[str]) -> DataFrame:
-    """Per (unit, factor) sum of squares between levels, from per-level sums; the total as factor 'total'."""
-    base = long.groupBy(unit).agg(F.count(F.lit(1)).alias("N"), F.sum(value).alias("T"), F.sum(F.col(value) ** 2).alias("Q"))
-    parts = []
-    for f in factors:
-        level = long.groupBy(unit, f).agg(F.sum(value).alias("t"), F.count(F.lit(1)).alias("n"))
-        parts.append(level.groupBy(unit).agg(F.sum(F.col("t") ** 2 / F.col("n")).alias("s")).withColumn("factor", F.lit(f)))
-    between = union_all(parts).join(base, unit).select(unit, "factor", (F.col("s") - F.col("T") ** 2 / F.col("N")).alias("ss"))
-    return between.unionByName(base.select(unit, F.lit("total").alias("factor"), (F.col("Q") - F.col("T") ** 2 / F.col("N")).alias("ss")))
+    """Per (unit, factor) sum of squares between levels, the total as factor 'total'. All level sums come from one
+    pass with grouping sets."""
+    sets = [[F.col(unit), F.col(f)] for f in factors] + [[F.col(unit)]]
+    sums = long.groupingSets(sets, F.col(unit), *[F.col(f) for f in factors]).agg(
+        F.sum(value).alias("_t"), F.sum(F.col(value) ** 2).alias("_q"), F.count(F.lit(1)).alias("_n"),
+        *[F.grouping(f).alias(f"_g{i}") for i, f in enumerate(factors)])
+    name = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, F.lit(f)) for i, f in enumerate(factors)], F.lit("total"))
+    parts = sums.select(unit, name.alias("factor"), (F.col("_t") ** 2 / F.col("_n")).alias("_s"), "_t", "_q", "_n").groupBy(unit, "factor").agg(
+        F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.sum("_q").alias("_q"), F.sum("_n").alias("_n"))
+    centre = F.col("_t") ** 2 / F.col("_n")
+    return parts.select(unit, "factor", F.when(F.col("factor") == "total", F.col("_q")).otherwise(F.col("_s")).alias("_x"), centre.alias("_c")) \
+        .select(unit, "factor", (F.col("_x") - F.col("_c")).alias("ss"))
 
 
 def variance_partition(long: DataFrame, unit: str, value: str, factors: Sequence[str], design: DataFrame) -> DataFrame:

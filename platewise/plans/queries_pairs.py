@@ -65,7 +65,7 @@ def repro_grid(t):
 @query("q_max_pairs", """
 WITH pos AS (SELECT DISTINCT cell_line, drug, dose, time, plate, sample FROM profile_long WHERE drug <> 'DMSO'),
 num AS (SELECT *, row_number() OVER (PARTITION BY cell_line, drug, dose, time ORDER BY plate,
-   (('0x' || substr(md5('row|' || sample), 1, 8))::BIGINT) % 32, md5('row|' || sample)) - 1 AS g FROM pos),
+   (('0x' || substr(md5('row|' || sample), 1, 8))::BIGINT) % 1024, md5('row|' || sample)) - 1 AS g FROM pos),
 pl AS (SELECT cell_line, drug, dose, time, plate, count(*) AS n FROM pos GROUP BY ALL),
 off AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cell_line, drug, dose, time ORDER BY plate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM pl),
 bas AS (SELECT *, coalesce(sum(n * o) OVER (PARTITION BY cell_line, drug, dose, time ORDER BY plate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base,
