@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions import metrics as N
 from platewise.functions import vectors as V
 from platewise.functions.dense import average_ranks, matrix, nan_to_null, unit_rows
 from platewise.functions.hashing import md5_int, md5_key
-from platewise.functions.ranks import rank_avg
 from platewise.operators.profiles import CONDITION
 from platewise.plans.ordering import tile_apply, tiles
 
@@ -180,10 +180,8 @@ def sample_pairs(df: DataFrame, max_pairs: int, mode: str = "inter", seed: int =
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:
     """Norms, Pearson and Spearman of a table with `expr_i` and `expr_j`."""
-    a, b = F.col("expr_i"), F.col("expr_j")
-    ranked = pairs.withColumn("rank_i", rank_avg(a)).withColumn("rank_j", rank_avg(b))
-    return ranked.withColumn("norm_rep_i", V.norm(a)).withColumn("norm_rep_j", V.norm(b)).withColumn("pearson", V.pearson(a, b)) \
-        .withColumn("spearman", V.pearson(F.col("rank_i"), F.col("rank_j"))).drop("expr_i", "expr_j", "rank_i", "rank_j")
+    out = pairs.withColumn("_m", N.pair_struct(F.col("expr_i"), F.col("expr_j"))).drop("expr_i", "expr_j")
+    return out.select(*[c for c in out.columns if c != "_m"], "_m.*")
 
 
 def one_per_key(df: DataFrame, by: Sequence[str], *tie: str, seed: int = 42) -> DataFrame:

@@ -12,28 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.functions import metrics as N
 from platewise.functions import vectors as V
 from platewise.functions.dense import matrix
-from platewise.functions.ranks import rank_avg
 from platewise.operators.cleaning import DataError, missing_keys
 from platewise.operators.profiles import average_vectors
 from platewise.operators.summaries import QUARTILES, best_per_group, union_all
 from platewise.plans.ordering import exact_quantiles, tile_apply, tiles
 
-METRICS = ["rmse", "pearson", "spearman", "l2", "cosine"]
+METRICS = N.SCORES
 TOP_K = 20
 
 
-def score_rows(df: DataFrame, y: str = "y", yhat: str = "yhat", digits: int | None = None, spearman: bool = True) -> DataFrame:
-    """Five metrics per row; each vector is ranked once. Ties round to even."""
-    a, b = F.col(y), F.col(yhat)
-    ranked = df.withColumn("_ra", rank_avg(a)).withColumn("_rb", rank_avg(b)) if spearman else df
-    cols = {"rmse": V.rmse(a, b), "pearson": V.pearson(a, b)}
-    if spearman:
-        cols["spearman"] = V.pearson(F.col("_ra"), F.col("_rb"))
-    cols |= {"l2": V.l2(a, b), "cosine": V.cosine(a, b)}
-    out = ranked.withColumns({k: F.bround(c, digits) if digits is not None else c for k, c in cols.items()})
-    return out.drop("_ra", "_rb", y, yhat)
+def score_rows(df: DataFrame, y: str = "y", yhat: str = "yhat", digits: int | None = None) -> DataFrame:
+    """Five metrics per row; ties round to even."""
+    out = df.withColumn("_m", N.score_struct(F.col(y), F.col(yhat))).drop(y, yhat)
+    value = lambda m: F.col(f"_m.{m}") if digits is None else F.bround(F.col(f"_m.{m}"), digits)
+    return out.select(*[c for c in out.columns if c != "_m"], *[value(m).alias(m) for m in METRICS])
 
 
 def average_metrics(scored: DataFrame, by: Sequence[str], digits: int = 4) -> DataFrame:
@@ -161,15 +156,8 @@ def centroid_metrics(df: DataFrame, k: int = TOP_K) -> DataFrame:
     vectors as they are, `_systema` after subtracting the centroid from both."""
     two = union_all([df.withColumn("method", F.lit("model")),
                      df.withColumn("yhat", F.col("centroid")).withColumn("method", F.lit("perturbed_mean"))])
-    two = two.withColumn("_top", top_positions(F.col("y"), k)).withColumn("_yc", V.minus(F.col("y"), F.col("centroid"))) \
-        .withColumn("_pc", V.minus(F.col("yhat"), F.col("centroid")))
-    cols = {}
-    for tag, a, b in (("control", F.col("y"), F.col("yhat")), ("systema", F.col("_yc"), F.col("_pc"))):
-        zero = (V.norm(a) == 0) | (V.norm(b) == 0)
-        cols |= {f"pearson_{tag}": V.pearson(a, b),
-                 f"pearson_topk_{tag}": V.let_all({"a": take(a, F.col("_top")), "b": take(b, F.col("_top"))}, lambda s: V.pearson(s["a"], s["b"])),
-                 f"cosine_{tag}": F.when(~zero, V.cosine(a, b)), f"rmse_{tag}": V.rmse(a, b)}
-    return two.withColumns(cols).drop("_top", "_yc", "_pc", "y", "yhat", "centroid")
+    out = two.withColumn("_m", N.centroid_struct(k)(F.col("y"), F.col("yhat"), F.col("centroid"))).drop("y", "yhat", "centroid")
+    return out.select(*[c for c in out.columns if c != "_m"], "_m.*")
 
 
 def centroid_accuracy(df: DataFrame, context: Sequence[str], row_id: Column, keys: Sequence[str], tile_rows: int = 512) -> DataFrame:
@@ -231,12 +219,7 @@ def metric_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
 
 def case_metrics(df: DataFrame) -> DataFrame:
     """Diagnostics of a prediction against reference and target (y, ref, yhat)."""
-    y, ref, yhat = F.col("y"), F.col("ref"), F.col("yhat")
-    base = df.withColumn("_t", V.minus(y, ref)).withColumn("_p", V.minus(yhat, ref)).withColumns({
-        "reference_target_pearson": V.pearson(ref, y), "prediction_target_pearson": V.pearson(yhat, y),
-        "reference_target_cosine": V.cosine(ref, y), "prediction_target_cosine": V.cosine(yhat, y),
-        "adaptation_pearson": V.pearson(F.col("_p"), F.col("_t")), "adaptation_cosine": V.cosine(F.col("_p"), F.col("_t")),
-        "reference_target_l2": V.l2(ref, y), "prediction_target_l2": V.l2(yhat, y),
-        "target_norm": V.norm(y), "reference_norm": V.norm(ref), "prediction_norm": V.norm(yhat)})
-    return base.withColumn("pearson_gain", F.col("prediction_target_pearson") - F.col("reference_target_pearson")).withColumn(
-        "fractional_l2_reduction", 1 - F.try_divide("prediction_target_l2", "reference_target_l2")).drop("_t", "_p", "y", "ref", "yhat")
+    out = df.withColumn("_m", N.case_struct(F.col("y"), F.col("ref"), F.col("yhat"))).drop("y", "ref", "yhat")
+    return out.select(*[c for c in out.columns if c != "_m"], "_m.*").withColumn(
+        "pearson_gain", F.col("prediction_target_pearson") - F.col("reference_target_pearson")).withColumn(
+        "fractional_l2_reduction", 1 - F.try_divide("prediction_target_l2", "reference_target_l2"))

@@ -6,6 +6,7 @@ sees the distinct values of one range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +26,15 @@ def value_ranges(df: DataFrame, value: str, parts: int = RANGES) -> list[float]:
 
 
 def range_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the value range, a function of the value alone."""
+    """Index of the value range, a function of the value alone: coarse cuts first, then those of one stretch."""
     if not cuts:
         return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
     edges = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(edges, lambda e: e < value))
+    coarse = F.array(*[F.lit(c) for c in cuts[step - 1::step]])
+    below = lambda arr: F.size(F.filter(arr, lambda e: e < value))
+    skipped = below(coarse) * step
+    return skipped + below(F.slice(edges, skipped + 1, F.lit(step)))
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
