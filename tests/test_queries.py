@@ -51,4 +51,5 @@ def test_query_equals_oracle(spark, con, name):
 def test_registry_is_consistent():
     q, o = entry_points.queries(), entry_points.oracle_sql()
     assert set(o) <= set(q) and len(q) > 140
-    assert set(q) - set(o) == {"q_pca", "q_ridge", "q_lasso", "q_gbt", "q_butina", "q_cluster_ols", "q_variance_components", "q_gsea_nes"}
+    q, o = ({n for n in names if n.startswith("q_")} for names in (q, o))
+    assert q - o == {"q_pca", "q_ridge", "q_lasso", "q_gbt", "q_butina", "q_cluster_ols", "q_variance_components", "q_gsea_nes"}
