@@ -115,3 +115,10 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     return rows.join(groups, "ids").select(
         col(id_col), *[col(c) for c in keep], F.col("best.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("best.row")).alias("kept"),
         F.col("sha").alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that stay, one of each group of equal texts, with all their columns."""
+    marked, row = with_row_id(docs)
+    kept = exact_duplicates(marked, text, id_col, (row,)).filter("kept").select(col(row))
+    return marked.join(kept, row, "left_semi").drop(row)

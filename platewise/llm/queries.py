@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import byte_bpe, chat_parts, chunk_recipes, packing, pseudonyms, scaled_sketch, simhash_golay, training_order
+from platewise.llm import byte_bpe, chat_parts, chunk_recipes, packing, passage_attention, pseudonyms, scaled_sketch, simhash_golay, toxic_grammar, training_order
 from platewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.read_back(chat_parts.format_turns(turns))
 
 
+@query("op4_toxic_grammar")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_pack_bounded")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
@@ -68,6 +73,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_passage_attention")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_attention.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_chunk_recipes", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
      n AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import col, components, slices, staged
+from platewise.llm.common import col, components, slices, staged, with_row_id
 
 SHINGLE = 4
 SEED = 42
@@ -256,7 +256,8 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of `docs`: `id_col`, `keep`, `fp` (bigint) and `component_id`, the smallest id reachable over links of `radius` differing bits.
+    """Per row of `docs`: `id_col`, `keep`, `fp` (bigint), `class_fp` (a fingerprint that names the class) and `component_id`, the smallest id reachable over
+    links of `radius` differing bits.
 
     Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Repeated rows give repeated
     rows. Null ids are returned and ignored when the smallest is sought (null if a class has no other). Copies share a fingerprint and are
@@ -266,8 +267,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     root = components(links(prints, radius)).withColumnRenamed("node", "fp")
     rooted = prints.join(root, "fp", "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    classes = rooted.join(smallest, "_root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(col(id_col), *[col(c) for c in keep], "fp", "component_id")
+    classes = rooted.join(smallest, "_root").select("fp", F.col("_root").alias("class_fp"), "component_id")
+    return marked.join(classes, "fp").select(col(id_col), *[col(c) for c in keep], "fp", "class_fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each class of near duplicates (null ids last, of equal ids the first row scanned), with all its columns."""
+    marked, row = with_row_id(docs)
+    order = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(row).alias("row"))
+    best = near_duplicates(marked, text, id_col, (row,)).groupBy("class_fp").agg(F.min(order).alias("best"))
+    return marked.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
 
 
 def hex_of(fp: str = "fp"):
