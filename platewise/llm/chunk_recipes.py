@@ -111,7 +111,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     group is kept. Other columns are left out; an empty table gives an empty result. `keep` must not name the columns made here."""
     rows = recipes(docs, text, (id_col, *keep), chunk, hash_bits)
     order = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), F.col("_row").alias("row"))
-    groups = rows.groupBy("ids").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    # Written out, so that both sides of the join are plain exchanges and Spark can split the rows of a large group.
+    groups = staged(rows.groupBy("ids").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, "ids").select(
         col(id_col), *[col(c) for c in keep], F.col("best.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("best.row")).alias("kept"),
         F.col("sha").alias("text_sha256"))
