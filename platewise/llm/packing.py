@@ -24,7 +24,7 @@ LENGTH = 2048
 #: Open windows of a partition.
 OPEN = 32
 #: Partitions whose leftover windows are merged in one task: at most GROUP * OPEN * LENGTH ids.
-GROUP = 64
+GROUP = 16
 END_ID = 1
 
 PIECES = "doc_tokens bigint, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
