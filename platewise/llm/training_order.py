@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -112,7 +113,7 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 0, text:
     no shard and gives an empty manifest."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
-    found = staged(sequences(docs, text, id_col, vocabulary, length), "sequences")
+    found = staged(sequences(docs, text, id_col, vocabulary, length), "sequences", "zstd")
     # One number per partition reaches the driver.
     counts = sorted((r["part"], r["n"]) for r in found.groupBy("part").agg(F.count("*").alias("n")).collect())
     total, before = 0, {}
@@ -130,13 +131,17 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 0, text:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute, start = Permutation(total, key), np.zeros(max(before, default=0) + 1, np.int64)
         start[list(before)] = list(before.values())
+        # ids cross the network compressed; shards hold them plain
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             slot = permute(start[b.column("part").to_numpy()] + b.column("idx").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), *(b.column(n) for n in ("n_tokens", "doc_ids", "ids"))],
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), b.column("n_tokens"), b.column("doc_ids"),
+                                              pa.array([pack(v) for v in b.column("ids").to_pylist()], pa.binary())],
                                              ["slot", "shard", "n_tokens", "doc_ids", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, at = arrow_fs.FileSystem.from_uri(folder)
+        unpack = zstandard.ZstdDecompressor().decompress
         attempt = TaskContext.get().taskAttemptId()
         shard, stream = None, None
 
@@ -155,6 +160,7 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 0, text:
                     close()
                     shard = s
                     stream = target.open_output_stream(f"{at}/.shard-{s:08d}.{attempt}")
+                ids = unpack(ids)
                 stream.write(ids)
                 if n < length:
                     stream.write(np.full(length - n, PAD_ID, "<u2").tobytes())
