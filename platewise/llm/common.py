@@ -38,7 +38,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", "6").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
