@@ -17,12 +17,9 @@ def md5_int(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
 
 
-def mix32(x: Column) -> Column:
-    """Integer finaliser on 32-bit values held in BIGINT (xor-shift, multiply, twice)."""
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(73244475).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+def md5_halves(key: Column) -> tuple[Column, Column]:
+    """First 60 bits of a hex digest as two numbers of 32 and 28 bits."""
+    return md5_int(key), F.conv(F.substring(key, 9, 7), 16, 10).cast("bigint")
 
 
 def stable_id(prefix: str, *cols: Column) -> Column:

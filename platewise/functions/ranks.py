@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +25,14 @@ def rank_avg(v: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decode_f32(raw: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes to a vector."""
-    return raw.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def decode_f32(raw: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes to a vector; the batch's bytes are taken as they lie."""
+    raw = raw.cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    floats = np.frombuffer(data, "<f4", (ends[-1] - ends[0]) // 4, ends[0]) if data is not None and ends[-1] > ends[0] else np.empty(0, "<f4")
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4, pa.int32()), pa.array(floats, pa.float32()), mask=raw.is_null())
 
 
 @F.pandas_udf(T.BinaryType())
@@ -35,81 +40,100 @@ def encode_f32(v: pd.Series) -> pd.Series:
     return v.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
 
 
-def _t_sf_two_sided(t: float, df: float) -> float:
-    """Two-sided tail of Student's t through the incomplete beta function."""
-    if not (df > 0) or t != t:
-        return float("nan")
-    return _betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / (c if abs(c) > tiny else tiny)
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
+def _log_gamma(a: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in a])
+
+
+def _log_gamma_step(a: np.ndarray) -> np.ndarray:
+    """log gamma(a + 1/2) - log gamma(a); the difference of large terms is taken by its series."""
+    big = a > 1e3
+    return np.where(big, 0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a**3), _log_gamma(np.where(big, 1.0, a) + 0.5) - _log_gamma(np.where(big, 1.0, a)))
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz), until every element stands still."""
+    tiny = 1e-300
+    guard = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+    h, m, on = d.copy(), 0, np.ones(len(x), bool)
+    while on.any():
+        m += 1
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / guard(1 + num * d)
+            c = guard(1 + num / c)
+            h = np.where(on, h * d * c, h)
+        on &= np.abs(d * c - 1) > 4e-16
     return h
 
 
-def _chi2_sf(x: float, df: float) -> float:
-    """Upper tail of chi-square: regularised upper incomplete gamma by series or fraction."""
-    if x != x or not (df > 0):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    a, z = df / 2.0, x / 2.0
-    lead = math.exp(-z + a * math.log(z) - math.lgamma(a))
-    if z < a + 1.0:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1.0
-            term *= z / k
-            total += term
-        return 1.0 - total * lead
-    b, c = z + 1.0 - a, 1e300
-    d = 1.0 / b
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2.0
-        d = 1.0 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return lead * h
+def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail of Student's t through the incomplete beta function I_x(df / 2, 1 / 2) at x = df / (df + t^2)."""
+    out = np.full(len(t), np.nan)
+    ok = np.isfinite(t) & (df > 0)
+    out[(np.isinf(t)) & (df > 0)] = 0.0
+    a, t2 = df[ok] / 2, t[ok] ** 2
+    x, y = df[ok] / (df[ok] + t2), t2 / (df[ok] + t2)
+    b = np.full_like(a, 0.5)
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma_step(a) - 0.5 * math.log(math.pi) - a * np.log1p(t2 / df[ok]) + 0.5 * np.log(y))
+    low = x < (a + 1) / (a + 2.5)
+    res = np.ones_like(a)
+    res[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
+    res[~low] = 1 - front[~low] * _beta_fraction(b[~low], a[~low], y[~low]) / 0.5
+    out[ok] = np.where(y == 0, 1.0, res)
+    return out
+
+
+def chi2_tails(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tail of chi-square: regularised incomplete gamma by series below the mean, by continued fraction above, each until it stands still."""
+    out = np.full(len(x), np.nan)
+    ok = ~np.isnan(x) & (df > 0)
+    out[ok & (x <= 0)], out[ok & np.isinf(x)] = 1.0, 0.0
+    ok &= (x > 0) & np.isfinite(x)
+    a, z = df[ok] / 2, x[ok] / 2
+    delta = (z - a) / a
+    stirling = 0.5 * np.log(a / (2 * math.pi)) - 1 / (12 * a) + 1 / (360 * a**3)
+    lead = np.exp(-a * (delta - np.log1p(delta)) + np.where(a > 1e3, stirling, a * np.log(a) - a - _log_gamma(a)))
+    low, res = z < a + 1, np.zeros_like(a)
+    if low.any():
+        n, w = a[low], z[low]
+        term = total = 1 / n
+        k = n.copy()
+        while (np.abs(term) > np.abs(total) * 1e-17).any():
+            k = k + 1
+            term = term * w / k
+            total = total + term
+        res[low] = 1 - total * lead[low]
+    if (~low).any():
+        n, w = a[~low], z[~low]
+        b, c = w + 1 - n, np.full_like(w, 1e300)
+        d = 1 / b
+        h, i, on = d.copy(), 0, np.ones(len(w), bool)
+        while on.any():
+            i += 1
+            an = -i * (i - n)
+            b = b + 2
+            d = an * d + b
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = b + an / c
+            c = np.where(c == 0, 1e-300, c)
+            h = np.where(on, h * d * c, h)
+            on &= np.abs(d * c - 1) > 4e-16
+        res[~low] = lead[~low] * h
+    out[ok] = res
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_t_sf_two_sided(float(x), float(k)) for x, k in zip(t, df)], dtype="float64")
+    return pd.Series(t_tails(t.to_numpy(float), df.to_numpy(float)))
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_chi2_sf(float(v), float(k)) for v, k in zip(x, df)], dtype="float64")
+    return pd.Series(chi2_tails(x.to_numpy(float), df.to_numpy(float)))
 
 
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
+    return pd.Series([math.nan if v != v else math.erfc(abs(v) / math.sqrt(2.0)) for v in z.to_numpy(float)])

@@ -34,7 +34,12 @@ def p_text(p: Column) -> Column:
 
 
 def stars(p: Column) -> Column:
-    return F.when(p.isNull() | F.isnan(p), "n/a").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
+
+
+def normalise_symbol(c: Column) -> Column:
+    """Trimmed upper-case symbol; blank counts as missing."""
+    return F.nullif(F.upper(F.trim(c)), F.lit(""))
 
 
 def layer_sizes(c: Column) -> Column:
@@ -61,9 +66,10 @@ def representation_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s*\+\s*dose\s*\(.*\)\s*$", ""))
 
 
-def statistic_method(text: Column) -> Column:
-    """Method name from a free-text statistic label."""
+def statistic_method(text: Column, p: Column) -> Column:
+    """Test name from a free-text analysis label; without a p-value there is no test. The names are fixed values."""
     low = F.lower(text)
-    return (F.when(low.contains("wilcoxon"), "wilcoxon_signed_rank").when(low.contains("friedman"), "friedman")
-            .when(low.contains("partial"), "partial_spearman").when(low.contains("spearman"), "spearman")
-            .when(low.contains("ols") | low.contains("slope"), "ols").when(low.contains("ci"), "bootstrap_ci").otherwise("summary"))
+    has = lambda *words: F.lit(False) if not words else low.contains(words[0]) | has(*words[1:])
+    name = (F.when(has("friedman"), "Friedman test").when(has("wilcoxon", "paired"), "paired Wilcoxon signed-rank test")
+            .when(has("spearman"), "Spearman rank correlation").when(has("slope", "curve", "ols"), "regression").otherwise("NA"))
+    return F.when(p.isNotNull() & ~F.isnan(p.cast("double")), name)

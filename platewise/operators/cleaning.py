@@ -88,6 +88,12 @@ def duplicate_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def missing_structures(df: DataFrame, control: str, drug: str = "drug", smiles: str = "smiles") -> DataFrame:
+    """Treatments (not the control) with rows that lack a structure, and how many."""
+    s = F.coalesce(F.col(smiles), F.lit(""))
+    return df.filter((F.col(drug) != control) & s.isin(STRUCTURE_MISSING)).groupBy(drug).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def patch_values(df: DataFrame, patch: DataFrame, on: str, column: str) -> DataFrame:
     """Values of a per-key patch table replace the column where the key is present."""
     p = patch.select(on, F.col(column).alias("_patch"))
@@ -118,10 +124,10 @@ def choose_dose_time(df: DataFrame, doses: Sequence[str] | None, times: Sequence
 
 
 def set_signature(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of a row set: count, xor and sum of 32-bit digests; nothing is collected."""
+    """Order-free fingerprint of a row set: count, xor and sum (as text) of 32-bit digests; nothing is collected."""
     from platewise.functions.hashing import md5_int
     h = md5_int(F.md5(F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("NA")) for n in names])))
-    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("xor_hash"), F.sum("h").alias("sum_hash"))
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("xor_hash"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("sum_hash"))
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:

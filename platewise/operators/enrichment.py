@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.hashing import md5_key
+from platewise.functions.text import normalise_symbol
 from platewise.operators.cleaning import DataError
 from platewise.operators.summaries import union_all
-from platewise.plans.ordering import exact_quantiles, with_average_rank
+from platewise.plans.ordering import cumulative_counts, exact_quantiles, with_average_ranks
 
 
 def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str], va: str, vb: str) -> DataFrame:
@@ -27,13 +28,9 @@ def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str], va: str, vb: str) -
 def percentile_score(df: DataFrame, column: str, name: str, higher_is_better: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """0..1 by average rank; reversed if a low value is better. Undefined for a single row."""
     by = list(by)
-    ranked = with_average_rank(df, by, column, "_rank")
-    if by:
-        ranked = ranked.withColumn("_n", F.count(column).over(Window.partitionBy(*by)))
-    else:
-        ranked = ranked.withColumn("_k", F.lit(0)).join(F.broadcast(df.agg(F.count(column).alias("_n")).withColumn("_k", F.lit(0))), "_k").drop("_k")
-    p = F.try_divide(F.col("_rank") - 1, (F.col("_n") - 1).cast("double"))
-    return ranked.withColumn(name, p if higher_is_better else 1 - p).drop("_rank", "_n")
+    p = F.try_divide(F.col("before") + (F.col("cnt") - 1) / 2.0, (F.col("n") - 1).cast("double"))
+    scores = cumulative_counts(df, by, column).select(*by, column, (p if higher_is_better else 1 - p).alias(name))
+    return df.join(scores, by + [column], "left")
 
 
 def case_thresholds(metrics: DataFrame) -> DataFrame:
@@ -80,16 +77,21 @@ def annotate_unique(df: DataFrame, annotation: DataFrame, on: str) -> DataFrame:
 
 
 def mapping_report(df: DataFrame, symbol: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ids mapped, unmapped, distinct symbols, rows beyond the first of a symbol."""
-    mapped = F.count(symbol)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ids"), mapped.alias("n_mapped"), (F.count(F.lit(1)) - mapped).alias("n_unmapped"),
-                               F.count_distinct(symbol).alias("n_symbols"), (mapped - F.count_distinct(symbol)).alias("n_duplicate_rows"))
+    """Ids, ids with a symbol after normalising, ids without an entry, distinct symbols, and rows whose symbol is not theirs alone. Symbols
+    are counted first, so the report needs no distinct count."""
+    per = df.groupBy(*by, normalise_symbol(F.col(symbol)).alias("_s"), F.col(symbol).isNull().alias("_none")).agg(F.count(F.lit(1)).alias("_n"))
+    per = per.groupBy(*by, "_s").agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_none"), F.col("_n")).otherwise(0)).alias("_none"))
+    named = F.col("_s").isNotNull()
+    of = lambda ok: F.sum(F.when(ok, F.col("_n")).otherwise(0))
+    return per.groupBy(*by).agg(F.sum("_n").alias("n_ids"), of(named).alias("n_mapped"), F.sum("_none").alias("n_unmapped"),
+                                F.count_if(named).alias("n_symbols"), of(named & (F.col("_n") > 1)).alias("n_duplicate_rows"))
 
 
 def collapse_ranking(df: DataFrame, by: Sequence[str], symbol: str = "symbol", score: str = "score") -> DataFrame:
     """One score per gene: the largest absolute value, the positive one among equals. An aggregate."""
     ok = df.filter(F.col(symbol).isNotNull() & F.col(score).isNotNull())
-    return ok.groupBy(*by, symbol).agg(F.max_by(score, F.struct(F.abs(score), F.col(score))).alias(score))
+    up, down = F.max(score), F.min(score)
+    return ok.groupBy(*by, symbol).agg(F.when(up >= -down, up).otherwise(down).alias(score))
 
 
 def ranked_list(df: DataFrame, by: Sequence[str], symbol: str = "symbol", score: str = "score") -> DataFrame:
@@ -193,8 +195,7 @@ def pathway_summary(compared: DataFrame) -> DataFrame:
     """Counts, sign agreement, Spearman and mean absolute error per collection and over all (grouping sets)."""
     from platewise.operators.statistics import safe_corr
     scopes = union_all([compared.withColumn("scope", F.lit("all")), compared.withColumn("scope", F.col("collection"))])
-    for p in PROFILES:
-        scopes = with_average_rank(scopes, ["scope"], f"{p}_nes", f"_r_{p}")
+    scopes = with_average_ranks(scopes, ["scope"], {f"{p}_nes": f"_r_{p}" for p in PROFILES})
     share = lambda c: F.avg(F.col(c).cast("double"))
     return scopes.groupBy("scope").agg(
         F.count(F.lit(1)).alias("n_sets"), F.count_if("significant").alias("n_significant"), F.count_if("target_specific").alias("n_target_specific"),

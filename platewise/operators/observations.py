@@ -104,17 +104,3 @@ def fit_pca(train: DataFrame, vector: str, k: int) -> PipelineModel:
 def apply_pca(df: DataFrame, model: PipelineModel, vector: str, name: str) -> DataFrame:
     out = model.transform(df.withColumn("_x", array_to_vector(F.col(vector))))
     return out.withColumn(name, vector_to_array("_p")).drop("_x", "_c", "_p")
-
-
-def cached_pca(train: DataFrame, vector: str, k: int, folder: str, keys: Sequence[str]) -> PipelineModel:
-    """Fitted model stored under a signature of the training rows and read back when it exists."""
-    from platewise.operators.cleaning import set_signature
-    sig = set_signature(train, keys).first()
-    path = f"{folder.rstrip('/')}/pca-{k}-{vector}-{sig['n_rows']}-{sig['xor_hash']:x}-{sig['sum_hash']:x}"
-    spark = train.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return PipelineModel.load(path)
-    model = fit_pca(train, vector, k)
-    model.save(path)
-    return model

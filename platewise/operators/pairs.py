@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from platewise.functions import metrics as N
 from platewise.functions import vectors as V
 from platewise.functions.dense import average_ranks, matrix, nan_to_null, unit_rows
-from platewise.functions.hashing import md5_int, md5_key
+from platewise.functions.hashing import md5_halves, md5_int, md5_key
 from platewise.operators.profiles import CONDITION
 from platewise.plans.ordering import tile_apply, tiles
 
@@ -156,10 +156,12 @@ def sample_pairs(df: DataFrame, max_pairs: int, mode: str = "inter", seed: int =
     plates = plates.withColumn("base", F.coalesce(F.sum("cnt").over(earlier), F.lit(0).cast("bigint"))) \
         .withColumn("total", F.sum("cnt").over(Window.partitionBy(*by))).filter("cnt > 0") \
         .withColumn("m", F.least(F.col("total"), F.lit(max_pairs).cast("bigint")))
-    first = F.expr("greatest(0L, base * m div total - 1)")
-    last = F.expr("least(m - 1, (base + cnt) * m div total + 1)")
+    # products of two counts may pass 2^63, so they are taken as decimals
+    share = lambda a, b, c: F.expr(f"cast(cast({a} as decimal(19,0)) * cast({b} as decimal(19,0)) div {c} as bigint)")
+    first = F.greatest(F.lit(0).cast("bigint"), share("base", "m", "total") - 1)
+    last = F.least(F.col("m") - 1, share("(base + cnt)", "m", "total") + 1)
     draws = plates.withColumn("k", F.explode(F.sequence(first, last)))
-    lo, hi = F.expr("k * total div m"), F.expr("(k + 1) * total div m")
+    lo, hi = share("k", "total", "m"), share("(k + 1)", "total", "m")
     draws = draws.withColumn("c", lo + F.pmod(md5_int(md5_key(seed, *by, "k")), hi - lo) - F.col("base")).filter("c >= 0 and c < cnt")
     if mode == "inter":
         picked = draws.select(*by, (F.col("o") + F.expr("c div o")).alias("j"), F.expr("c % o").alias("i"))
@@ -185,21 +187,26 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def one_per_key(df: DataFrame, by: Sequence[str], *tie: str, seed: int = 42) -> DataFrame:
-    """A pseudo-random representative per group: the row with the smallest md5, found by aggregation."""
+    """A pseudo-random representative per group: the row with the smallest md5. The first 60 bits of the digest are compared as a number in a hash aggregate;
+    the whole digest decides among the few rows that share them."""
     by = list(by)
+    low, high = md5_halves(md5_key(seed, *by, *tie))
+    keyed = df.withColumn("_k", low * F.lit(1 << 28).cast("bigint") + high)
     rest = [c for c in df.columns if c not in by]
+    first = keyed.join(keyed.groupBy(*by).agg(F.min("_k").alias("_least")), by).filter("_k = _least")
     pick = F.min_by(F.struct(*rest), F.struct(md5_key(seed, *by, *tie), *[F.col(c) for c in tie]))
-    return df.groupBy(*by).agg(pick.alias("_r")).select(*by, "_r.*")
+    return first.groupBy(*by).agg(pick.alias("_r")).select(*by, "_r.*")
 
 
 SAR_KEY = ["cell_line", "dose", "time", "plate"]
 
 
 def sar_pairs(df: DataFrame, representations: dict[str, str] | None = None, by: Sequence[str] = SAR_KEY,
-              tile_rows: int = TILE_ROWS) -> DataFrame:
+              tile_rows: int = TILE_ROWS, required: Sequence[str] = ()) -> DataFrame:
     """Pairs of compounds measured side by side: five response metrics and one chemical distance per
     representation column. `representations` maps a vector column to 'tanimoto' or 'cosine'; a compound
-    without a vector gives a NULL distance and keeps the pair.
+    without a vector gives a NULL distance and keeps the pair, unless the representation is in `required`: then a pair
+    needs the vector on both sides.
     """
     by, reps = list(by), dict(representations or {})
     schema = ", ".join(f"{c} string" for c in by) + \
@@ -242,7 +249,7 @@ def sar_pairs(df: DataFrame, representations: dict[str, str] | None = None, by:
         cols |= {f"{r}_dist": nan_to_null(distance(table, r, kind, i, j)) for r, kind in reps.items()}
         return pa.table(cols)
 
-    single = one_per_key(df.select(*by, "drug", "smiles", "expr", *reps), [*by, "smiles"], "drug")
+    single = one_per_key(df.select(*by, "drug", "smiles", "expr", *reps), [*by, "smiles"], "drug").dropna(subset=list(required) or None, how="any" if required else "all")
     return tile_apply(tiles(single, by, F.col("smiles"), tile_rows), by, run, schema)
 
 

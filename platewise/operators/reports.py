@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 
 def shared_cohort(df: DataFrame, keys: Sequence[str], arm: str, exempt: Column | None = None) -> DataFrame:
-    """Restrict every arm to the observation keys present in all arms; exempt rows bypass the restriction."""
+    """Restrict every arm to the observation keys present in all arms; exempt rows bypass the restriction. A key that an arm has twice is an error."""
     exempt = F.lit(False) if exempt is None else exempt
     bound = df.filter(~exempt)
-    n_arms = bound.select(arm).distinct().count()
-    keep = bound.groupBy(*keys).agg(F.count_distinct(arm).alias("n")).filter(F.col("n") == n_arms).select(*keys)
+    per = bound.groupBy(*keys, arm).agg(F.count(F.lit(1)).alias("_c"))
+    n_arms = per.agg(F.count_distinct(arm).alias("_arms"))
+    once = F.when(F.max("_c") > 1, F.raise_error(F.lit("a key stands several times in one arm"))).otherwise(F.count(F.lit(1)))
+    keep = per.groupBy(*keys).agg(once.alias("_n")).join(F.broadcast(n_arms), F.col("_n") == F.col("_arms")).select(*keys)
     return bound.join(keep, list(keys), "left_semi").unionByName(df.filter(exempt))
 
 
-def run_registry(runs: DataFrame, keep: int = 50) -> DataFrame:
+def run_registry(runs: DataFrame, keep: int | None = None) -> DataFrame:
     """Run folders to a table: time stamp and experiment from the name, numbers from `key = value` lines of the
-    summary, the first `keep` runs of each experiment by time (the window keeps only those before the shuffle)."""
+    summary; all runs, or the first `keep` of each experiment by time (the window keeps only those before the shuffle)."""
     from platewise.functions.text import RUN_STAMP
     pairs = F.map_from_entries(F.transform(
         F.filter(F.split("summary", "\n"), lambda s: s.contains(" = ")),
@@ -29,6 +31,8 @@ def run_registry(runs: DataFrame, keep: int = 50) -> DataFrame:
     typed = parsed.filter("stamp <> ''").select(
         "run_id", "stamp", "experiment", *[F.try_element_at("kv", F.lit(c)).try_cast(k).alias(c)
                                            for c, k in (("val_spearman", "double"), ("test_pearson", "double"), ("n_train", "bigint"))])
+    if keep is None:
+        return typed
     order = Window.partitionBy("experiment").orderBy("stamp", "run_id")
     return typed.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
 
@@ -91,6 +95,13 @@ def sample_per_group(df: DataFrame, by: Sequence[str], key: Sequence[str], k: in
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def export_profiles(df: DataFrame, folder: str, min_plates: int, max_plates: int, max_per_plate: int, key: str = "sample", seed: int = 42) -> None:
+    """Write vectors with their labels after the plate and row sampling: lines on enough plates, some plates per line, some rows per plate. Vector and
+    labels stand in one row, so they cannot fall out of step."""
+    kept = sample_per_group(sample_plates(lines_on_plates(df, min_plates), max_plates, seed), ["plate"], ["cell_line", key], max_per_plate, seed)
+    kept.select("expr", "sample", "cell_line", "plate", "drug", "dose", "time").write.mode("overwrite").parquet(folder)
+
+
 # result tables
 
 def run_statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -196,7 +207,9 @@ def long_statistics(tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("method", statistic_method(F.col("analysis"))).withColumn("id", stable_id("stat_", F.col("analysis"), F.col("level"), F.col("statistic")))
+    has_p = F.max(F.when(F.col("statistic") == "p", F.col("value"))).over(Window.partitionBy("analysis", "level"))
+    unit = F.when(F.col("analysis").contains("compound-cluster"), "compound").when(F.col("analysis").contains("cell-line"), "cell_line").otherwise("observation")
+    return out.withColumn("method", statistic_method(F.col("analysis"), has_p)).withColumn("unit", unit).withColumn("id", stable_id("stat_", F.col("analysis"), F.col("level"), F.col("statistic")))
 
 
 def annotate_components(vp: DataFrame, genes: DataFrame, components: Sequence[str]) -> DataFrame:

@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.functions.hashing import md5_int, md5_key, mix32
+from platewise.functions.hashing import md5_halves, md5_key
 from platewise.functions.ranks import chi2_upper, normal_two_sided, t_two_sided
 from platewise.operators.pairs import numbered_rows
 from platewise.operators.summaries import union_all
 from platewise.session import cut_lineage
-from platewise.plans.ordering import cumulative_counts, running_min_from_top, with_average_rank
+from platewise.plans.ordering import cumulative_counts, least_from_top, with_average_ranks
 
 N_BOOT = 1000
 POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]  # fixed values: P(X <= k), mean 1
@@ -27,16 +28,65 @@ def finite(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def with_replicates(df: DataFrame, n_boot: int, unit: str = "u") -> DataFrame:
-    """Every row in every replicate `b` with its Poisson(1) count `w`, a function of the unit key and b only. The
-    integer mixing is staged in columns; no filter on `w`, which would be pushed below the stages and evaluated apart."""
-    mask = F.lit(4294967295).cast("bigint")
-    out = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)).cast("array<bigint>")))
-    out = out.withColumn("_m", mix32((F.col(unit) + F.col("b") * F.lit(2654435769).cast("bigint")).bitwiseAND(mask)) / F.lit(4294967296.0))
-    w = F.lit(0)
-    for c in POISSON_CDF:
-        w = w + (F.col("_m") >= c).cast("int")
-    return out.withColumn("w", w).drop("_m")
+def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int) -> np.ndarray:
+    """Poisson(1) counts (rows x replicates), functions of a unit's 60-bit key (32 + 28 bits) and the replicate's number only."""
+    mask = np.uint64(4294967295)
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & mask
+        return x ^ (x >> np.uint64(16))
+
+    b = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(2654435769)
+    x = mix((low.astype(np.uint64)[:, None] + mix((high.astype(np.uint64)[:, None] + b[None, :]) & mask)) & mask)
+    return np.searchsorted(POISSON_CDF, x / 4294967296.0, side="right").astype(np.int8)
+
+
+def unit_keys(seed: int, unit: Sequence[str]) -> list[Column]:
+    if not unit:
+        raise ValueError("name the columns that identify a resampled unit")
+    low, high = md5_halves(md5_key(seed, *unit))
+    return [low.alias("_low"), high.alias("_high")]
+
+
+def replicate_sums(rows: DataFrame, by: Sequence[str], terms: Sequence[str], n_boot: int) -> DataFrame:
+    """Per group and replicate `b` the sum of counts `w` and the weighted sums of `terms`. `rows` has `by`, `terms`, `_low` and `_high`. A task weighs its
+    rows in blocks by one matrix product per group and block, and sends one array of replicates per group and term."""
+    by, terms = list(by), list(terms)
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in held], types[i]) for i in range(len(by))]
+            sums = pa.array([[{"w": float(v[0, j]), **{t: float(v[1 + n, j]) for n, t in enumerate(terms)}} for j in range(n_boot)] for v in held.values()],
+                            pa.list_(pa.struct([("w", pa.float64()), *((t, pa.float64()) for t in terms)])))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*keys, sums], [*by, "_s"])
+
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                counts = poisson_counts(part.column("_low").to_numpy(), part.column("_high").to_numpy(), n_boot)
+                values = np.stack([np.ones(part.num_rows), *(part.column(t).to_numpy(zero_copy_only=False).astype(float) for t in terms)])
+                places: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*[part.column(c).to_pylist() for c in by]) if by else [()] * part.num_rows):
+                    places.setdefault(key, []).append(i)
+                for key, rows_of in places.items():
+                    sums = values[:, rows_of] @ counts[rows_of]
+                    held[key] = held[key] + sums if key in held else sums
+            if len(held) > 256:
+                yield out()
+        if held:
+            yield out()
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "_s array<struct<w:double," + ",".join(f"{t}:double" for t in terms) + ">>"
+    parts = rows.select(*by, *terms, "_low", "_high").mapInArrow(run, schema)
+    long = parts.select(*by, F.posexplode("_s").alias("b", "_v"))
+    return long.groupBy(*by, "b").agg(F.sum("_v.w").alias("w"), *[F.sum(f"_v.{t}").alias(t) for t in terms])
 
 
 def percentile_bounds(replicates: DataFrame, by: Sequence[str], value: str = "m", ci: float = 95.0) -> DataFrame:
@@ -48,10 +98,10 @@ def percentile_bounds(replicates: DataFrame, by: Sequence[str], value: str = "m"
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, unit: Sequence[str], n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
     """Mean with a percentile interval over rows. Rows get Poisson counts per replicate instead of drawn
     positions, which needs no row numbers and no join: weighted sums per (group, replicate) are combined on the
-    map side, so n_boot rows per group and task are shuffled whatever the number of rows."""
+    map side, so n_boot numbers per group and task are shuffled whatever the number of rows."""
     by = list(by)
-    ok = finite(df, value).select(*by, F.col(value).alias("x"), md5_int(md5_key(seed, *unit)).alias("u"))
-    sums = with_replicates(ok, n_boot).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w").cast("double")).alias("m"))
+    ok = finite(df, value).select(*by, F.col(value).cast("double").alias("x"), *unit_keys(seed, unit))
+    sums = replicate_sums(ok, by, ["x"], n_boot).withColumn("m", F.try_divide(F.col("x"), F.col("w")))
     point = ok.groupBy(*by).agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
     return _attach(point, percentile_bounds(sums, by, "m", ci), by)
 
@@ -70,7 +120,8 @@ def cluster_draws(clusters: DataFrame, by: Sequence[str], key: Sequence[str], n_
     sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn(
         "_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
-    pos = F.pmod(md5_int(md5_key(seed, "b", "_i")), F.col("_size"))
+    low, high = md5_halves(md5_key(seed, *on, "b", "_i"))
+    pos = F.pmod(high * F.lit(4294967296).cast("bigint") + low, F.col("_size"))
     picked = draws.withColumn("pos", pos).groupBy(*on, "b", "pos").agg(F.count(F.lit(1)).alias("times"))
     return picked.join(rows.drop("group_rows"), [*on, "pos"])
 
@@ -96,7 +147,8 @@ def paired_delta(a: DataFrame, b: DataFrame, keys: Sequence[str], metric: str =
     by = list(by)
     means = d.groupBy(*by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
     ci = bootstrap_mean(d, by, "d", keys, n_boot, seed=seed).withColumnsRenamed({"mean": "mean_diff", "n": "n_pairs"})
-    return _attach(means, ci, by)
+    test = wilcoxon(d.withColumn("d", F.round("d", 9)), by).select(*by, "p")
+    return _attach(means, ci, by).join(test, by, "left") if by else _attach(_attach(means, ci, by), test, by)
 
 
 def wilcoxon(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
@@ -131,14 +183,14 @@ def correlation_p(r: Column, n: Column, k: int = 0) -> Column:
 def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int | None = None, unit: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Spearman correlation with p and, if asked, a bootstrap interval whose replicates are ranked anew.
 
-    A replicate ranks weighted rows, so a window holds the rows of one (group, replicate); meant for result tables."""
+    A replicate's ranks come from the counts of its distinct values, so a window holds the distinct values of one (group, replicate); meant for result tables."""
     by = list(by)
     ok = finite(df, x, y)
-    ranked = with_average_rank(with_average_rank(ok, by, x, "_rx"), by, y, "_ry")
+    ranked = with_average_ranks(ok, by, {x: "_rx", y: "_ry"})
     point = ranked.groupBy(*by).agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
     if n_boot:
-        u = ok.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), md5_int(md5_key(seed, *unit)).alias("u"))
-        reps = with_replicates(u, n_boot)
+        u = ok.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), *unit_keys(seed, unit))
+        reps = drawn_rows(u, n_boot)
         for c in ("x", "y"):
             below = Window.partitionBy(*by, "b").orderBy(c)
             reps = reps.withColumn(f"r{c}", F.sum("w").over(below.rangeBetween(Window.unboundedPreceding, 0)) - (F.sum("w").over(Window.partitionBy(*by, "b", c)) - 1) / 2.0)
@@ -151,21 +203,52 @@ def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int
     return point.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
-def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares line with r and p."""
+def drawn_rows(rows: DataFrame, n_boot: int) -> DataFrame:
+    """Every row in every replicate `b` that draws it, with its count `w`."""
+    kept = [c for c in rows.columns if c not in ("_low", "_high")]
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = poisson_counts(part.column("_low").to_numpy(), part.column("_high").to_numpy(), n_boot)
+                row, b = np.nonzero(counts)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in kept), pa.array(b + 1, pa.int32()), pa.array(counts[row, b].astype(np.int32))], [*kept, "b", "w"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "b int, w int"]))
+
+
+def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str] | None = None, n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
+    """Least-squares line with r and p of groups of three rows or more; with `unit` also a bootstrap interval of the slope."""
+    by = list(by)
+    out = _line(df, by, x, y)
+    if unit is None:
+        return out
+    ok = finite(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *unit_keys(seed, unit))
+    # centred on the group's means first, so that sums of squares keep their digits
+    means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    c = _attach(ok, means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).withColumns(
+        {"xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y")})
+    s = replicate_sums(c, by, ["x", "y", "xx", "xy"], n_boot)
+    n = F.nullif("w", F.lit(0.0))
+    slope = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / n, F.col("xx") - F.col("x") * F.col("x") / n)
+    return _attach(out, percentile_bounds(s.select(*by, slope.alias("m")), by, "m", ci), by)
+
+
+def _line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     a = finite(df, x, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(x, y), F.var_pop(x)).alias("slope"),
         F.avg(x).alias("_mx"), F.avg(y).alias("_my"), safe_corr(F.col(x), F.col(y)).alias("r"))
-    out = a.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).drop("_mx", "_my")
+    out = a.filter("n >= 3").withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).drop("_mx", "_my")
     return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, covariates: Sequence[str]) -> DataFrame:
     """Rank correlation of x and y with the covariates' ranks removed, from pairwise rank correlations."""
     by, names = list(by), [x, y, *covariates]
-    ranked = finite(df, *names)
-    for c in names:
-        ranked = with_average_rank(ranked, by, c, f"_r_{c}")
+    ranked = with_average_ranks(finite(df.select(*by, *names), *names), by, {c: f"_r_{c}" for c in names})
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     row = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         safe_corr(F.col(f"_r_{names[i]}"), F.col(f"_r_{names[j]}")).alias(f"_c{i}_{j}") for i, j in pairs])
@@ -234,8 +317,7 @@ def friedman(df: DataFrame, block: Sequence[str], treatment: str, value: str, k:
 def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "q") -> DataFrame:
     """Benjamini-Hochberg: q = min over p' >= p of p' m / rank, capped at 1; undefined p stays undefined."""
     by = list(by)
-    cum = cumulative_counts(df, by, p).withColumn("_s", F.col(p) * F.col("n") / (F.col("before") + F.col("cnt")))
-    q = running_min_from_top(cum, by, p, "_s", "_q").select(*by, p, F.least(F.lit(1.0), F.col("_q")).alias(name))
+    q = least_from_top(df, by, p, lambda v, n, rank: v * n / rank, "_q").select(*by, p, F.least(F.lit(1.0), F.col("_q")).alias(name))
     return df.join(q, [*by, p], "left")
 
 

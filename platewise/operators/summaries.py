@@ -23,19 +23,21 @@ def distribution_summary(df: DataFrame, by: Sequence[str], value: str, probs: di
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Equal bins [a, b), the last one closed; count, density, share of the peak; empty bins are present.
-    Values are reduced to one count per (group, bin) before anything else."""
+    """Equal bins [a, b), the last one closed; midpoint, count, density over all finite values, share of the peak; empty bins are present. `n`, `mean`
+    and `median` describe all finite values of the group, those outside the bins too."""
     by = list(by)
     width = (hi - lo) / bins
     v = F.col(value)
     index = F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int")
+    df = df.filter(v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v) < float("inf")))
+    whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(exact_quantiles(df, by, value, {"median": 0.5}), by)
     counted = df.filter((v >= lo) & (v <= hi)).groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spine = counted.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    spine = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = spine.join(counted, by + ["bin"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
     g = Window.partitionBy(*by)
     return full.select(*by, "bin", (F.lit(lo) + F.col("bin") * width).alias("left"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("right"),
-                       "count", (F.col("count") / (F.sum("count").over(g) * width)).alias("density"),
-                       (F.col("count") / F.max("count").over(g)).alias("peak"))
+                       (F.lit(lo) + (F.col("bin") + 0.5) * width).alias("midpoint"), "count", (F.col("count") / (F.col("n") * width)).alias("density"),
+                       (F.col("count") / F.greatest(F.max("count").over(g), F.lit(1).cast("bigint"))).alias("peak"), "n", "mean", "median")
 
 
 def inventory(df: DataFrame, distinct: Sequence[str], flags: dict[str, str]) -> DataFrame:
@@ -52,11 +54,13 @@ def micro_macro(df: DataFrame, by: Sequence[str], cluster: str, value: str) -> D
 
 
 def best_per_group(df: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], largest: bool = True) -> DataFrame:
-    """Row with the best finite score per group, first by `tie` among equals; an aggregate, no sort."""
+    """Row with the best finite score per group, first by `tie` among equals. The best score is a hash aggregate of numbers; only the rows that reach it
+    are compared by `tie`."""
     rest = [c for c in df.columns if c not in by]
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    rank = F.struct((-F.col(score) if largest else F.col(score)).alias("s"), *[F.col(c) for c in tie])
-    return ok.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(*by, "r.*")
+    best = ok.groupBy(*by).agg((F.max(score) if largest else F.min(score)).alias("_best"))
+    level = ok.join(best, list(by)).filter(F.col(score) == F.col("_best"))
+    return level.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in tie])).alias("r")).select(*by, "r.*")
 
 
 def condition_quality(pairs: DataFrame, by: Sequence[str]) -> DataFrame:

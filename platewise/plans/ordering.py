@@ -1,67 +1,55 @@
 """Exact ranks, quantiles and tiles that hold for hot groups.
 
-Equal values are counted before any window runs, groups are cut into value ranges, and a window only
-sees the distinct values of one range.
+Equal values are counted before any window runs. A group's distinct values are cut into ranges by a function of the value
+alone, so a window sees only the distinct values of one range, and the plan is the same lazy one for every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.session import cut_lineage
+STEPS = 1024  # ranges between a value and its double
 
-RANGES = 1024
-SMALL = 1_000_000  # distinct values one window may hold; more are cut into ranges
 
+def range_of(value: Column) -> Column:
+    """Number of the value's range, never falling as the value grows: the scaled logarithm, mirrored below zero."""
+    v = value.cast("double")
+    step = F.floor(F.log2(F.abs(v)) * STEPS) + 1100 * STEPS
+    return F.when(v == 0, 0).when(v > 0, step).otherwise(-step).cast("bigint")
 
-def value_ranges(df: DataFrame, value: str, parts: int = RANGES) -> list[float]:
-    """Cut points of roughly equal mass; a fixed number of values reaches the driver."""
-    probs = [i / parts for i in range(1, parts)]
-    found = df.select(F.col(value).cast("double").alias("v")).agg(F.percentile_approx("v", probs, 1000)).first()[0]
-    return sorted(set(v for v in found or [] if v == v))
 
-
-def range_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the value range, a function of the value alone: coarse cuts first, then those of one stretch."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    edges = F.array(*[F.lit(c) for c in cuts])
-    coarse = F.array(*[F.lit(c) for c in cuts[step - 1::step]])
-    below = lambda arr: F.size(F.filter(arr, lambda e: e < value))
-    skipped = below(coarse) * step
-    return skipped + below(F.slice(edges, skipped + 1, F.lit(step)))
+def one_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The grouping columns, or a constant one where there are none."""
+    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group).
-
-    The counted values are checkpointed: their number decides between one window and value ranges, and the cut
-    points need another look at them."""
-    by = list(by)
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    freq = cut_lineage(df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt")))
-    if freq.count() <= SMALL:
-        return freq.select(*by, value, "cnt", (F.sum("cnt").over(over.orderBy(value)) - F.col("cnt")).alias("before"), F.sum("cnt").over(over).alias("n"))
-    freq = freq.withColumn("_r", range_of(F.col(value), value_ranges(freq, value)))
-    totals = freq.groupBy(*by, "_r").agg(F.sum("cnt").alias("_t"))
-    offsets = totals.select(*by, "_r",
-                            (F.sum("_t").over(over.orderBy("_r")) - F.col("_t")).alias("_o"), F.sum("_t").over(over).alias("n"))
-    inner = Window.partitionBy(*by, "_r").orderBy(value)
-    run = freq.withColumn("_c", F.sum("cnt").over(inner) - F.col("cnt"))
-    return run.join(offsets, by + ["_r"]).select(*by, value, "cnt", (F.col("_o") + F.col("_c")).alias("before"), "n")
+    """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group)."""
+    df, on = one_group(df, by)
+    freq = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*on, value).agg(F.count(F.lit(1)).alias("cnt"))
+    freq = freq.withColumn("_r", range_of(F.col(value)))
+    over = Window.partitionBy(*on)
+    totals = freq.groupBy(*on, "_r").agg(F.sum("cnt").alias("_t"))
+    offsets = totals.select(*on, "_r", (F.sum("_t").over(over.orderBy("_r")) - F.col("_t")).alias("_o"), F.sum("_t").over(over).alias("n"))
+    run = freq.withColumn("_c", F.sum("cnt").over(Window.partitionBy(*on, "_r").orderBy(value)) - F.col("cnt"))
+    return run.join(offsets, on + ["_r"]).select(*by, value, "cnt", (F.col("_o") + F.col("_c")).alias("before"), "n")
+
+
+def with_average_ranks(df: DataFrame, by: Sequence[str], ranks: dict[str, str]) -> DataFrame:
+    """Add the 1-based average rank within `by` of each column named by `ranks` (column to new name); rows without a value get NULL. All
+    ranks are taken from `df` itself, so several cost no more than their sum."""
+    by, out = list(by), df
+    for value, name in ranks.items():
+        found = cumulative_counts(df, by, value).select(*by, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(name))
+        out = out.join(found, by + [value], "left")
+    return out
 
 
 def with_average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add the 1-based average rank of `value` within `by`; rows without a value get NULL."""
-    by = list(by)
-    ranks = cumulative_counts(df, by, value).select(
-        *by, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(name))
-    return df.join(ranks, by + [value], "left")
+    return with_average_ranks(df, by, {value: name})
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -76,19 +64,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return cum.groupBy(*by).agg(*aggs)
 
 
-def running_min_from_top(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
-    """Per distinct `order` value: minimum of `value` over rows with order >= this one."""
-    by = list(by)
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    freq = cut_lineage(df.groupBy(*by, order).agg(F.min(value).alias("_v")))
-    if freq.count() <= SMALL:
-        run = over.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return freq.select(*by, order, F.min("_v").over(run).alias(name))
-    freq = freq.withColumn("_r", range_of(F.col(order), value_ranges(freq, order)))
-    later = freq.groupBy(*by, "_r").agg(F.min("_v").alias("_m")).withColumn(
-        "_m", F.min("_m").over(over.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))
-    inner = Window.partitionBy(*by, "_r").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    mins = freq.withColumn("_c", F.min("_v").over(inner)).join(later, by + ["_r"])
+def least_from_top(df: DataFrame, by: Sequence[str], order: str, value: Callable[[Column, Column, Column], Column], name: str) -> DataFrame:
+    """Per distinct `order` value: the minimum over all rows with order >= this one of `value(order, rows of the group, rows up to this value)`."""
+    df, on = one_group(df, by)
+    cum = cumulative_counts(df, on, order).withColumns({"_v": value(F.col(order), F.col("n"), F.col("before") + F.col("cnt")), "_r": range_of(F.col(order))})
+    later = cum.groupBy(*on, "_r").agg(F.min("_v").alias("_m")).withColumn(
+        "_m", F.min("_m").over(Window.partitionBy(*on).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))
+    inner = Window.partitionBy(*on, "_r").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    mins = cum.withColumn("_c", F.min("_v").over(inner)).join(later, on + ["_r"])
     return mins.select(*by, order, F.least("_c", F.coalesce("_m", F.col("_c"))).alias(name))
 
 

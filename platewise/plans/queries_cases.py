@@ -175,11 +175,15 @@ def annotate_cases(t):
 
 
 @query("q_map_report", """
-SELECT profile, count(*) AS n_ids, count(symbol) AS n_mapped, count(*) - count(symbol) AS n_unmapped, count(DISTINCT symbol) AS n_symbols, count(symbol) - count(DISTINCT symbol) AS n_duplicate_rows
-FROM part_scores JOIN gene_map USING (p_partkey) GROUP BY 1
+WITH raw AS (SELECT p_partkey, CASE WHEN p_size % 13 = 0 THEN '  ' WHEN p_size % 5 = 0 THEN concat(' ', lower(symbol)) ELSE symbol END AS symbol FROM gene_map JOIN part USING (p_partkey)),
+m AS (SELECT profile, symbol, nullif(upper(trim(symbol)), '') AS s FROM part_scores LEFT JOIN raw USING (p_partkey)), c AS (SELECT *, count(s) OVER (PARTITION BY profile, s) AS k FROM m)
+SELECT profile, count(*) AS n_ids, count(s) AS n_mapped, count(*) - count(symbol) AS n_unmapped, count(DISTINCT s) AS n_symbols, count(*) FILTER (k > 1) AS n_duplicate_rows FROM c GROUP BY 1
 """)
 def map_report(t):
-    return E.mapping_report(part_scores(t).join(gene_map(t), "p_partkey"), "symbol", ["profile"])
+    """Symbols as an annotation file has them: some blank, some in lower case with a space before."""
+    raw = gene_map(t).join(t.part.select("p_partkey", "p_size"), "p_partkey").select(
+        "p_partkey", F.when(F.col("p_size") % 13 == 0, "  ").when(F.col("p_size") % 5 == 0, F.concat(F.lit(" "), F.lower("symbol"))).otherwise(F.col("symbol")).alias("symbol"))
+    return E.mapping_report(part_scores(t).join(raw, "p_partkey", "left"), "symbol", ["profile"])
 
 
 @query("q_collapse_ranking", "SELECT profile, symbol, score, rank FROM ranked", "score")

@@ -176,6 +176,14 @@ def patch_values(t):
     return C.patch_values(base, patch, "drug", "smiles").withColumn("batch", F.lit("v1"))
 
 
+@query("q_missing_structures", """
+SELECT p_brand AS drug, count(*) AS n_rows FROM part WHERE p_size % 4 = 0 AND p_brand <> 'Brand#11' GROUP BY 1
+""")
+def missing_structures(t):
+    base = t.part.select(F.col("p_brand").alias("drug"), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_name")).alias("smiles"))
+    return C.missing_structures(base, "Brand#11")
+
+
 @query("q_dup_check", """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1
 """)
@@ -241,7 +249,7 @@ def q_stable_id(t):
 
 
 @query("q_signature", """
-SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h)::BIGINT AS sum_hash FROM (
+SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, CAST(sum(h) AS VARCHAR) AS sum_hash FROM (
   SELECT ('0x' || substr(md5(concat_ws('|', cast(o_orderkey AS VARCHAR), o_orderpriority)), 1, 8))::BIGINT AS h FROM orders)
 """)
 def signature(t):
@@ -249,7 +257,7 @@ def signature(t):
 
 
 @query("q_fdr_class", """
-SELECT l_orderkey, l_linenumber, l_partkey, q, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END AS stars,
+SELECT l_orderkey, l_linenumber, l_partkey, q, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'n.s.' END AS stars,
   CASE WHEN q < 0.05 AND l_quantity >= 25 THEN 'significant up' WHEN q < 0.05 THEN 'significant down' ELSE 'not significant' END AS class
 FROM (SELECT *, l_discount * l_tax * 5 AS q FROM lineitem)
 """, "q")

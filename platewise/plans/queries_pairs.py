@@ -150,6 +150,12 @@ def sar_table(t):
     return sar(t)
 
 
+@query("q_sar_fingerprint_only", "SELECT * EXCLUDE (dense_dist) FROM sar WHERE ecfp_dist IS NOT NULL", SAR_FLOATS.removesuffix(" dense_dist"))
+def sar_fingerprint_only(t):
+    """Without embeddings: pairs that lack a fingerprint are skipped."""
+    return R.sar_pairs(sar_rows(t), {"ecfp": "tanimoto"}, required=["ecfp"])
+
+
 @query("q_sar_wide", "SELECT cell_line, drug_i, drug_j, ecfp_dist AS ecfp, dense_dist AS dense FROM sar WHERE ecfp_dist IS NOT NULL OR dense_dist IS NOT NULL", "ecfp dense")
 def sar_wide(t):
     long = sar(t).select("cell_line", "drug_i", "drug_j", F.explode(F.array(

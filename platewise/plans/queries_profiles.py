@@ -77,11 +77,12 @@ def distribution_summary(t: Tables):
 
 @query("q_histogram", """
 WITH c AS (SELECT event_type, least(floor(value / 5.0::DOUBLE), 19)::INT AS bin, count(*) AS cnt FROM events WHERE value BETWEEN 0 AND 100 GROUP BY ALL),
-s AS (SELECT event_type, unnest(range(20))::INT AS bin FROM (SELECT DISTINCT event_type FROM c)),
-f AS (SELECT event_type, bin, coalesce(cnt, 0) AS count FROM s LEFT JOIN c USING (event_type, bin))
-SELECT event_type, bin, bin * 5.0::DOUBLE AS "left", (bin + 1) * 5.0::DOUBLE AS "right", count,
- count / (sum(count) OVER (PARTITION BY event_type) * 5.0::DOUBLE) AS density, count / (max(count) OVER (PARTITION BY event_type))::DOUBLE AS peak FROM f
-""", 'density peak')
+w AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median FROM events WHERE isfinite(value::DOUBLE) GROUP BY 1),
+s AS (SELECT *, unnest(range(20))::INT AS bin FROM w),
+f AS (SELECT event_type, bin, n, mean, median, coalesce(cnt, 0) AS count FROM s LEFT JOIN c USING (event_type, bin))
+SELECT event_type, bin, bin * 5.0::DOUBLE AS "left", (bin + 1) * 5.0::DOUBLE AS "right", (bin + 0.5::DOUBLE) * 5.0::DOUBLE AS midpoint, count,
+ count / (n * 5.0::DOUBLE) AS density, count / greatest(1, max(count) OVER (PARTITION BY event_type))::DOUBLE AS peak, n, mean, median FROM f
+""", 'density peak mean median')
 def histogram(t: Tables):
     return M.histogram(t.events, ["event_type"], "value", 0.0, 100.0, 20)
 

@@ -16,7 +16,7 @@ from platewise.plans.oracle import cte
 from platewise.plans.queries_pairs import OBS, sar
 from platewise.plans.queries_sources import run_text
 from platewise.plans.queries_splits import smiles_split
-from platewise.plans.queries_stats import BOOT, FACTORS, boot_sql
+from platewise.plans.queries_stats import BOOT, FACTORS, boot_sql, correlation_t, student_p
 from platewise.session import scratch_path
 from platewise.streaming import pseudobulk as Z
 
@@ -51,13 +51,26 @@ def sample_per_plate(t):
     return B.sample_per_group(wells(t), ["plate"], ["o_orderkey"], 25)
 
 
+@query("q_export_profiles", """
+WITH e AS (SELECT DISTINCT cell_line, sample, plate, drug, dose, time FROM delta_long), a AS (SELECT * FROM e WHERE cell_line IN (SELECT cell_line FROM e GROUP BY 1 HAVING count(DISTINCT plate) >= 3)),
+b AS (SELECT * FROM a WHERE plate IN (SELECT plate FROM (SELECT plate, row_number() OVER (PARTITION BY cell_line ORDER BY md5(concat_ws('|', '42', cell_line, plate))) AS rn FROM (SELECT DISTINCT cell_line, plate FROM a)) WHERE rn <= 2)),
+k AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY plate ORDER BY md5(concat_ws('|', '42', plate, cell_line, sample)), cell_line, sample) AS rn FROM b) WHERE rn <= 15)
+SELECT k.cell_line, k.sample, k.plate, k.drug, k.dose, k.time, d.gene_idx, d.value FROM k JOIN delta_long d USING (cell_line, sample, plate, drug, dose, time)
+""", "value")
+def export_profiles(t):
+    """Sampled delta profiles written with their labels and read back in long form."""
+    folder = scratch_path(t.spark, "export")
+    B.export_profiles(I.delta(t), folder, 3, 2, 15)
+    return t.spark.read.parquet(folder).select("cell_line", "sample", "plate", "drug", "dose", "time", F.posexplode("expr").alias("gene_idx", "value"))
+
+
 cte("registry", r"""
 SELECT regexp_extract(dir_name, '^(.*)_\d{4}-\d{2}-\d{2}_\d{6}$', 1) AS experiment, regexp_extract(dir_name, '_(\d{4}-\d{2}-\d{2}_\d{6})$', 1) AS stamp, run_id, val_spearman, test_pearson, n_train FROM run_text
 """)
 
 
 def registry(t: Tables):
-    return B.run_registry(run_text(t), keep=1_000_000_000).drop("rn")
+    return B.run_registry(run_text(t), keep=None)
 
 
 @query("q_best_run", "SELECT experiment, run_id, val_spearman FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY val_spearman DESC, stamp, run_id) AS rn FROM registry) WHERE rn = 1", "val_spearman")
@@ -115,7 +128,7 @@ def arm_substitution(t):
 @query("q_representation_coverage", """
 WITH i AS (SELECT concat('v', vec_id) AS smiles FROM embeddings UNION SELECT concat('v', p_partkey) FROM part),
 r AS (SELECT 'dense' AS representation, concat('v', vec_id) AS smiles, 64 AS d FROM embeddings UNION ALL SELECT 'ecfp', concat('v', vec_id), 64 FROM embeddings WHERE embedding[1] < 0.15::FLOAT)
-SELECT representation, count(DISTINCT smiles) AS n_success, max(d) AS dimension, (SELECT count(*) FROM i) AS n_inputs, concat((SELECT count(*) FROM i) - count(DISTINCT smiles), ' of ', (SELECT count(*) FROM i), ' inputs') AS failures
+SELECT representation, count(DISTINCT smiles) AS n_success, max(d) AS dimension, (SELECT count(*) FROM i) AS n_inputs, CASE WHEN (SELECT count(*) FROM i) = count(DISTINCT smiles) THEN 'none' ELSE concat((SELECT count(*) FROM i) - count(DISTINCT smiles), ' of ', (SELECT count(*) FROM i), ' inputs') END AS failures
 FROM r SEMI JOIN i USING (smiles) GROUP BY 1
 """)
 def representation_coverage(t):
@@ -128,14 +141,14 @@ def representation_coverage(t):
 
 
 @query("q_infer_method", """
-SELECT l_orderkey, l_linenumber, l_partkey, txt, CASE WHEN contains(lower(txt), 'wilcoxon') THEN 'wilcoxon_signed_rank' WHEN contains(lower(txt), 'friedman') THEN 'friedman' WHEN contains(lower(txt), 'partial') THEN 'partial_spearman'
- WHEN contains(lower(txt), 'spearman') THEN 'spearman' WHEN contains(lower(txt), 'ols') OR contains(lower(txt), 'slope') THEN 'ols' WHEN contains(lower(txt), 'ci') THEN 'bootstrap_ci' ELSE 'summary' END AS method
-FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'Wilcoxon p' WHEN 2 THEN 'Friedman chi2' WHEN 3 THEN 'partial Spearman' WHEN 4 THEN 'Spearman rho' WHEN 5 THEN 'slope' WHEN 6 THEN 'mean CI' ELSE 'n' END AS txt FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, txt, CASE WHEN p IS NULL THEN NULL WHEN contains(lower(txt), 'friedman') THEN 'Friedman test' WHEN contains(lower(txt), 'wilcoxon') OR contains(lower(txt), 'paired') THEN 'paired Wilcoxon signed-rank test'
+ WHEN contains(lower(txt), 'spearman') THEN 'Spearman rank correlation' WHEN contains(lower(txt), 'slope') OR contains(lower(txt), 'curve') OR contains(lower(txt), 'ols') THEN 'regression' ELSE 'NA' END AS method
+FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'Wilcoxon p' WHEN 2 THEN 'Friedman chi2' WHEN 3 THEN 'partial Spearman' WHEN 4 THEN 'Spearman rho' WHEN 5 THEN 'slope' WHEN 6 THEN 'mean CI' ELSE 'n' END AS txt, CASE WHEN l_tax > 0 THEN l_discount END AS p FROM lineitem)
 """)
 def infer_method(t):
     labels = F.array(*[F.lit(x) for x in ("Wilcoxon p", "Friedman chi2", "partial Spearman", "Spearman rho", "slope", "mean CI")])
     txt = F.coalesce(F.get(labels, F.col("l_linenumber") - 1), F.lit("n"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", txt.alias("txt")).withColumn("method", X.statistic_method(F.col("txt")))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", txt.alias("txt"), F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("_p")).withColumn("method", X.statistic_method(F.col("txt"), F.col("_p"))).drop("_p")
 
 
 @query("q_output_check", "SELECT 'orders' AS output, true AS present, true AS has_rows UNION ALL SELECT 'none', true, false UNION ALL SELECT 'gone', false, false")
@@ -233,17 +246,19 @@ def reference_similarity(t):
     return B.similarity_table(pairs, names)
 
 
-@query("q_long_statistics", """
-WITH a AS (SELECT arm AS level, count(*)::DOUBLE AS n, regr_slope(pearson, rmse) AS slope, corr(pearson, rmse) AS r, regr_intercept(pearson, rmse) AS intercept FROM scores GROUP BY 1),
+@query("q_long_statistics", f"""
+WITH a AS (SELECT level, n, slope, r, intercept, {student_p(correlation_t('r', 'n - 2'), 'n - 2')} AS p FROM (
+ SELECT arm AS level, count(*)::DOUBLE AS n, regr_slope(pearson, rmse) AS slope, corr(pearson, rmse) AS r, regr_intercept(pearson, rmse) AS intercept FROM scores GROUP BY 1)),
 b AS (SELECT arm AS level, avg(pearson) AS micro, count(*)::DOUBLE AS n FROM scores GROUP BY 1),
-u AS (SELECT level, statistic, value, 'slope of errors' AS analysis FROM (UNPIVOT a ON n, slope, r, intercept INTO NAME statistic VALUE value)
+u AS (SELECT level, statistic, value, 'slope of errors, cell-line' AS analysis FROM (UNPIVOT a ON n, slope, r, intercept, p INTO NAME statistic VALUE value)
  UNION ALL SELECT level, statistic, value, 'mean score' FROM (UNPIVOT b ON micro, n INTO NAME statistic VALUE value))
-SELECT level, statistic, value, analysis, CASE WHEN analysis LIKE 'slope%' THEN 'ols' ELSE 'summary' END AS method, concat('stat_', substr(sha256(concat_ws(chr(31), analysis, level, statistic)), 1, 16)) AS id FROM u
+SELECT level, statistic, value, analysis, CASE WHEN analysis LIKE 'slope%' THEN 'regression' END AS method, CASE WHEN analysis LIKE '%cell-line' THEN 'cell_line' ELSE 'observation' END AS unit,
+ concat('stat_', substr(sha256(concat_ws(chr(31), analysis, level, statistic)), 1, 16)) AS id FROM u
 """, "value")
 def long_statistics(t):
     s = I.scores(t)
     means = s.groupBy("arm").agg(F.avg("pearson").alias("micro"), F.count(F.lit(1)).alias("n"))
-    return B.long_statistics({"slope of errors": S.line_fit(s, ["arm"], "rmse", "pearson").drop("p"), "mean score": means}, ["arm"])
+    return B.long_statistics({"slope of errors, cell-line": S.line_fit(s, ["arm"], "rmse", "pearson"), "mean score": means}, ["arm"])
 
 
 @query("q_vp_annotate", """
@@ -278,6 +293,6 @@ def stream_pseudobulk(t):
     """Measurements written as files by plate, read as a stream one file at a time, summed in state."""
     folder, out, state = (scratch_path(t.spark, n) for n in ("cells", "sums", "state"))
     rows = I.counts(t).join(I.cell_meta(t).select("barcode", "cell_line", "sample"), "barcode").select("cell_line", "sample", "gene", "cnt")
-    rows.repartition(4, "sample").write.parquet(folder)
+    rows.repartition(F.col("sample")).write.parquet(folder)
     Z.run_to_table(Z.read_measurements(t.spark, folder, rows.schema), out, state)
     return Z.latest_sums(t.spark, out)

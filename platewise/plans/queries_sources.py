@@ -14,19 +14,35 @@ from platewise.sources import readers as S
 from platewise.sources import writers as W
 
 
-def nested_cells(t: Tables):
-    """Cell table in its stored shape: two list columns per cell."""
+def stored_cells(t: Tables) -> str:
+    """Folder of cell files in their stored shape, several files in two directories: two list columns and eight texts, known by position only."""
     n = F.transform(F.array("l_quantity", "l_linenumber"), lambda x: x.cast("double"))
-    return t.lineitem.select(F.col("l_orderkey").alias("barcode"), F.concat(F.lit("D"), "l_suppkey").alias("drug"),
-                             F.array(F.col("l_partkey"), F.col("l_suppkey")).alias("genes"), n.alias("expressions"))
+    text = lambda c: F.col(c).cast("string")
+    cells = t.lineitem.select(
+        F.array("l_partkey", "l_suppkey").alias("c0"), n.alias("c1"), F.concat(F.lit("D"), "l_suppkey").alias("c2"), text("l_linenumber").alias("c3"), text("l_orderkey").alias("c4"),
+        text("l_returnflag").alias("c5"), text("l_shipdate").alias("c6"), text("l_returnflag").alias("c7"), text("l_partkey").alias("c8"), text("l_linestatus").alias("c9"))
+    folder = scratch_path(t.spark, "cells")
+    for part, flag in (("a", "c7 = 'N'"), ("b", "c7 <> 'N'")):
+        cells.filter(flag).repartition(F.col("c9")).write.parquet(f"{folder}/{part}")
+    return folder
 
 
-@query("q_scan_cells", """
-SELECT l_orderkey AS barcode, concat('D', l_suppkey) AS drug, l_partkey AS gene, l_quantity AS value FROM lineitem
-UNION ALL SELECT l_orderkey, concat('D', l_suppkey), l_suppkey, l_linenumber FROM lineitem
-""", "value")
+CELLS = """
+SELECT l_orderkey::VARCHAR AS barcode, concat('D', l_suppkey) AS drug, l_returnflag AS cell_line, l_linestatus AS plate, l_partkey AS gene, l_quantity AS value FROM lineitem
+UNION ALL SELECT l_orderkey::VARCHAR, concat('D', l_suppkey), l_returnflag, l_linestatus, l_suppkey, l_linenumber FROM lineitem
+"""
+
+
+@query("q_scan_cells", CELLS, "value")
 def scan_cells(t):
-    return S.explode_cells(nested_cells(t))
+    return S.explode_cells(S.read_cells(t.spark, stored_cells(t)).select("barcode", "drug", "cell_line", "plate", "genes", "expressions"))
+
+
+@query("q_scan_cells_panel", f"SELECT * FROM ({CELLS}) WHERE gene IN (SELECT p_partkey FROM part WHERE p_size > 25)", "value")
+def scan_cells_panel(t):
+    """The same scan restricted to a gene panel; the lists are exploded and joined in one pass."""
+    cells = S.read_cells(t.spark, stored_cells(t)).select("barcode", "drug", "cell_line", "plate", "genes", "expressions")
+    return S.explode_cells(cells, keep=t.part.filter("p_size > 25").select(F.col("p_partkey").alias("gene")))
 
 
 @query("q_tsv_scan", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS p_name, p_brand FROM part")
@@ -137,7 +153,7 @@ def chunk_union(t):
     for i, cond in enumerate(("p_size <= 25", "p_size > 25")):
         t.part.filter(cond).select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("cell_line:plate"), F.col("p_size").alias("Residuals")) \
             .write.csv(f"{folder}/vp_chunk{i}.csv", header=True)
-    df = S.read_chunks(t.spark, f"{folder}/*_chunk*.csv", f"{folder}/vp.csv", {"cell_line:plate": "plate_share", "Residuals": "residual"})
+    df = S.read_chunks(t.spark, f"{folder}/*_chunk*.csv", f"{folder}/vp.csv", "gene BIGINT, `cell_line:plate` DOUBLE, Residuals INT", {"cell_line:plate": "plate_share", "Residuals": "residual"})
     return df.select(F.col("gene").cast("bigint").alias("gene"), F.col("plate_share").cast("double").alias("plate_share"), F.col("residual").cast("int").alias("residual"))
 
 

@@ -14,7 +14,7 @@ from platewise.plans.queries_pairs import sar
 from platewise.session import cut_lineage
 
 OBS = ["cell_line", "drug", "smiles", "dose", "time"]
-BOOT = 200
+BOOT = S.N_BOOT
 
 
 def boot_sql(src: str, by: str, value: str, unit: str, boot: int = BOOT, extra: str = "") -> str:
@@ -22,10 +22,12 @@ def boot_sql(src: str, by: str, value: str, unit: str, boot: int = BOOT, extra:
     cdf = " + ".join(f"(u >= {c}::DOUBLE)::INT" for c in S.POISSON_CDF)
     pre = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""
-    return f"""u0 AS (SELECT {pre}{value} AS x, ('0x' || substr(md5(concat_ws('|', '0', {unit})), 1, 8))::BIGINT AS h FROM {src} WHERE {value} IS NOT NULL),
-u1 AS (SELECT *, (h + b * 2654435769) & 4294967295 AS x0 FROM u0, (SELECT unnest(range(1, {boot} + 1)) AS b)),
-u2 AS (SELECT *, (xor(x0, x0 >> 16) * 73244475) & 4294967295 AS x1 FROM u1), u3 AS (SELECT *, (xor(x1, x1 >> 16) * 73244475) & 4294967295 AS x2 FROM u2),
-u4 AS (SELECT *, xor(x2, x2 >> 16) / 4294967296.0::DOUBLE AS u FROM u3), u5 AS (SELECT *, {cdf} AS w FROM u4),
+    rounds = lambda a, b: f"(xor({a}, {a} >> 16) * 73244475) & 4294967295 AS {b}"
+    return f"""u0 AS (SELECT {pre}{value} AS x, md5(concat_ws('|', '0', {unit})) AS key FROM {src} WHERE {value} IS NOT NULL),
+u1 AS (SELECT * EXCLUDE (key), ('0x' || substr(key, 1, 8))::BIGINT AS h, (('0x' || substr(key, 9, 7))::BIGINT + b * 2654435769) & 4294967295 AS x0 FROM u0, (SELECT unnest(range(1, {boot} + 1)) AS b)),
+v1 AS (SELECT *, {rounds('x0', 'x1')} FROM u1), v2 AS (SELECT * EXCLUDE (x0, x1), {rounds('x1', 'x2')} FROM v1), v3 AS (SELECT * EXCLUDE (x2), (h + xor(x2, x2 >> 16)) & 4294967295 AS y0 FROM v2),
+u2 AS (SELECT * EXCLUDE (h, y0), {rounds('y0', 'y1')} FROM v3), u3 AS (SELECT * EXCLUDE (y1), {rounds('y1', 'y2')} FROM u2),
+u4 AS (SELECT * EXCLUDE (y2), xor(y2, y2 >> 16) / 4294967296.0::DOUBLE AS u FROM u3), u5 AS (SELECT * EXCLUDE (u), {cdf} AS w FROM u4),
 rp AS (SELECT {pre}b, sum(w * x) / sum(w) AS m FROM u5 WHERE w > 0 GROUP BY {pre}b),
 bd AS (SELECT {pre}quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp {grp}),
 pt AS (SELECT {pre}avg(x) AS mean, count(*) AS n FROM u0 {grp})"""
@@ -34,12 +36,30 @@ pt AS (SELECT {pre}avg(x) AS mean, count(*) AS n FROM u0 {grp})"""
 def clus_sql(src: str, by: str, value: str, cluster: str, boot: int = BOOT) -> str:
     return f"""cl AS (SELECT {by}, {cluster} AS c_, sum({value}) AS s, count(*) AS c FROM {src} GROUP BY {by}, {cluster}),
 nm AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ('0x' || substr(md5('row|' || c_), 1, 8))::BIGINT % 1024, md5('row|' || c_)) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS k FROM cl),
-dr AS (SELECT {by}, b, ('0x' || substr(md5(concat_ws('|', '0', b, i)), 1, 8))::BIGINT % k AS pos FROM (SELECT DISTINCT {by}, k, unnest(range(1, k + 1)) AS i FROM nm), (SELECT unnest(range(1, {boot} + 1)) AS b)),
+dr AS (SELECT {by}, b, (('0x' || substr(key, 9, 7))::BIGINT * 4294967296 + ('0x' || substr(key, 1, 8))::BIGINT) % k AS pos FROM (SELECT *, md5(concat_ws('|', '0', {by}, b, i)) AS key FROM (SELECT DISTINCT {by}, k, unnest(range(1, k + 1)) AS i FROM nm), (SELECT unnest(range(1, {boot} + 1)) AS b))),
 rp AS (SELECT {by}, b, sum(s) / sum(c) AS m FROM dr JOIN nm USING ({by}, pos) GROUP BY {by}, b),
 bd AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY {by}),
 pt AS (SELECT {by}, sum(s) / sum(c) AS mean, sum(c)::BIGINT AS n, count(*) AS n_clusters FROM cl GROUP BY {by})"""
 
 
+def normal_p(z: str) -> str:
+    """Two-sided normal tail by the series of the error function; beyond 5.6 it is below the digits compared."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    term = f"pow(-1.0::DOUBLE, k) * pow({x}, 2 * k + 1) / (gamma(k + 1.0::DOUBLE) * (2 * k + 1))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) > 5.6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: {term})) END"
+
+
+def student_p(t: str, v: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule over the density; beyond 60 it is below the digits compared (v >= 10)."""
+    weight = "CASE WHEN i = 0 OR i = 4000 THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    area = f"list_sum(list_transform(range(0, 4001), lambda i: {weight} * pow(1 + pow(abs({t}) * i / 4000.0::DOUBLE, 2) / ({v}), -(({v}) + 1) / 2))) * abs({t}) / 12000.0::DOUBLE"
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN abs({t}) > 60 THEN 0 ELSE greatest(0, 1 - 2 * exp(lgamma((({v}) + 1) / 2.0::DOUBLE) - lgamma(({v}) / 2.0::DOUBLE)) / sqrt(({v}) * pi()) * {area}) END")
+
+
+def correlation_t(r: str, v: str) -> str:
+    return f"CASE WHEN {r} * {r} < 1 THEN {r} * sqrt({v}) / sqrt(1 - {r} * {r}) END"
+
+
 @query("q_bootstrap_ci", f"WITH {boot_sql('scores', 'arm', 'pearson', 'cell_line, drug, dose, time')} SELECT * FROM pt JOIN bd USING (arm)", "mean lo hi")
 def bootstrap_ci(t):
     return S.bootstrap_mean(I.scores(t), ["arm"], "pearson", ["cell_line", "drug", "dose", "time"], BOOT)
@@ -65,14 +85,6 @@ def paired(t: Tables):
     return S.paired_differences(*arms(t), OBS, "pearson")
 
 
-@query("q_paired_delta", f"""
-WITH {boot_sql('paired', 'dose', 'd', 'cell_line, drug, smiles, dose, time')} SELECT dose, m.mean_a, m.mean_b, pt.mean AS mean_diff, pt.n AS n_pairs, lo, hi
-FROM pt JOIN bd USING (dose) JOIN (SELECT dose, avg(a) AS mean_a, avg(b) AS mean_b FROM paired GROUP BY 1) m USING (dose)
-""", "mean_a mean_b mean_diff lo hi")
-def paired_delta(t):
-    return S.paired_delta(*arms(t), OBS, "pearson", ["dose"], BOOT)
-
-
 def wilcoxon_sql(src: str, by: str, d: str = "d") -> str:
     pre = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
@@ -82,29 +94,49 @@ ws AS (SELECT {pre}count(*) AS n, sum(CASE WHEN d > 0 THEN r0 + (t - 1) / 2.0::D
 wz AS (SELECT *, least(w_plus, w_minus) AS w, (least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1.0::DOUBLE) * (2 * n + 1) / 24 - ties / 48.0::DOUBLE) AS z FROM ws)"""
 
 
-@query("q_wilcoxon", f"WITH r AS (SELECT dose, round(d, 9) AS d FROM paired), {wilcoxon_sql('r', 'dose')} SELECT dose, n, w_plus, w_minus, w, z FROM wz", "w_plus w_minus w z")
+@query("q_wilcoxon", f"WITH r AS (SELECT dose, round(d, 9) AS d FROM paired), {wilcoxon_sql('r', 'dose')} SELECT dose, n, w_plus, w_minus, w, z, {normal_p('z')} AS p FROM wz", "w_plus w_minus w z p")
 def wilcoxon(t):
-    return S.wilcoxon(paired(t).withColumn("d", F.round("d", 9)), ["dose"]).drop("p")
+    return S.wilcoxon(paired(t).withColumn("d", F.round("d", 9)), ["dose"])
+
+
+@query("q_paired_delta", f"""
+WITH {boot_sql('paired', 'dose', 'd', 'cell_line, drug, smiles, dose, time')}, r AS (SELECT dose, round(d, 9) AS d FROM paired), {wilcoxon_sql('r', 'dose')}
+SELECT dose, m.mean_a, m.mean_b, pt.mean AS mean_diff, pt.n AS n_pairs, lo, hi, p
+FROM pt JOIN bd USING (dose) JOIN (SELECT dose, avg(a) AS mean_a, avg(b) AS mean_b FROM paired GROUP BY 1) m USING (dose) LEFT JOIN (SELECT dose, {normal_p('z')} AS p FROM wz) USING (dose)
+""", "mean_a mean_b mean_diff lo hi p")
+def paired_delta(t):
+    return S.paired_delta(*arms(t), OBS, "pearson", ["dose"], BOOT)
 
 
 @query("q_spearman_ci", """
 WITH r AS (SELECT *, rank() OVER (PARTITION BY arm ORDER BY rmse) + (count(*) OVER (PARTITION BY arm, rmse) - 1) / 2.0::DOUBLE AS rx,
  rank() OVER (PARTITION BY arm ORDER BY pearson) + (count(*) OVER (PARTITION BY arm, pearson) - 1) / 2.0::DOUBLE AS ry FROM (SELECT * REPLACE (round(pearson, 9) AS pearson, round(rmse, 9) AS rmse) FROM scores)),
-""" + boot_sql("scores", "arm", "pearson", "cell_line, drug, dose, time", 50).split("rp AS")[0].replace("pearson AS x,", "round(rmse, 9) AS x, round(pearson, 9) AS y,") + """
+""" + boot_sql("scores", "arm", "pearson", "cell_line, drug, dose, time").split("rp AS")[0].replace("pearson AS x,", "round(rmse, 9) AS x, round(pearson, 9) AS y,") + """
 rr AS (SELECT arm, b, w, sum(w) OVER (PARTITION BY arm, b ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY arm, b, x) - 1) / 2.0::DOUBLE AS rx,
  sum(w) OVER (PARTITION BY arm, b ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY arm, b, y) - 1) / 2.0::DOUBLE AS ry FROM u5 WHERE w > 0),
 rm AS (SELECT arm, b, sum(w) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * rx) AS sxx, sum(w * ry * ry) AS syy, sum(w * rx * ry) AS sxy FROM rr GROUP BY ALL),
 bb AS (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT arm, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS m FROM rm) GROUP BY 1)
-SELECT arm, corr(rx, ry) AS rho, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM r JOIN bb USING (arm) GROUP BY 1
-""", "rho lo hi")
+SELECT *, """ + student_p(correlation_t("rho", "n - 2"), "n - 2") + """ AS p FROM (SELECT arm, corr(rx, ry) AS rho, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM r JOIN bb USING (arm) GROUP BY 1)
+""", "rho lo hi p")
 def spearman_ci(t):
     s = I.scores(t).withColumn("pearson", F.round("pearson", 9)).withColumn("rmse", F.round("rmse", 9))
-    return S.spearman_test(s, ["arm"], "rmse", "pearson", 50, ["cell_line", "drug", "dose", "time"]).drop("p")
+    return S.spearman_test(s, ["arm"], "rmse", "pearson", BOOT, ["cell_line", "drug", "dose", "time"])
+
+
+def line_boot_sql(boot: int = BOOT) -> str:
+    """Slopes of resampled rows, from sums about the means of all rows."""
+    return boot_sql("c", "arm", "x", "cell_line, drug, dose, time", boot).split("rp AS")[0].replace("x AS x,", "x, y,") + """
+lr AS (SELECT arm, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS m FROM u5 GROUP BY arm, b),
+lb AS (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM lr GROUP BY 1)"""
 
 
-@query("q_linfit", "SELECT arm, count(*) AS n, regr_slope(pearson, rmse) AS slope, corr(pearson, rmse) AS r, regr_intercept(pearson, rmse) AS intercept FROM scores GROUP BY 1", "slope r intercept")
+@query("q_linfit", f"""
+WITH c AS (SELECT *, rmse - avg(rmse) OVER (PARTITION BY arm) AS x, pearson - avg(pearson) OVER (PARTITION BY arm) AS y FROM scores), {line_boot_sql()},
+f AS (SELECT arm, count(*) AS n, regr_slope(pearson, rmse) AS slope, corr(pearson, rmse) AS r, regr_intercept(pearson, rmse) AS intercept FROM scores GROUP BY 1)
+SELECT arm, n, slope, r, intercept, lo, hi, {student_p(correlation_t('r', 'n - 2'), 'n - 2')} AS p FROM f JOIN lb USING (arm)
+""", "slope r intercept lo hi p")
 def linfit(t):
-    return S.line_fit(I.scores(t), ["arm"], "rmse", "pearson").drop("p")
+    return S.line_fit(I.scores(t), ["arm"], "rmse", "pearson", ["cell_line", "drug", "dose", "time"])
 
 
 @query("q_partial_spearman", """
@@ -113,10 +145,10 @@ WITH r AS (SELECT l_returnflag, """ + ", ".join(
     for c, n in (("l_quantity", "x"), ("l_extendedprice", "y"), ("l_discount", "c"), ("l_tax", "e"))) + """ FROM lineitem),
 q AS (SELECT l_returnflag, count(*) AS n, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc, corr(x, e) AS xe, corr(y, e) AS ye, corr(c, e) AS ce FROM r GROUP BY 1),
 p AS (SELECT *, (xy - xc * yc) / sqrt((1 - xc * xc) * (1 - yc * yc)) AS a, (xe - xc * ce) / sqrt((1 - xc * xc) * (1 - ce * ce)) AS b, (ye - yc * ce) / sqrt((1 - yc * yc) * (1 - ce * ce)) AS d FROM q)
-SELECT l_returnflag, n, (a - b * d) / sqrt((1 - b * b) * (1 - d * d)) AS rho FROM p
-""", "rho")
+SELECT *, """ + student_p(correlation_t("rho", "n - 4"), "n - 4") + """ AS p FROM (SELECT l_returnflag, n, (a - b * d) / sqrt((1 - b * b) * (1 - d * d)) AS rho FROM p)
+""", "rho p")
 def partial_spearman(t):
-    return S.partial_spearman(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice", ["l_discount", "l_tax"]).drop("p")
+    return S.partial_spearman(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice", ["l_discount", "l_tax"])
 
 
 @query("q_cluster_ols")
@@ -129,11 +161,11 @@ WITH w AS (SELECT cell_line, drug, arm, dose, avg(round(pearson, 9)) AS v FROM s
 r AS (SELECT *, rank() OVER (PARTITION BY dose, cell_line, drug ORDER BY v) + (count(*) OVER (PARTITION BY dose, cell_line, drug, v) - 1) / 2.0::DOUBLE AS rk,
   count(*) OVER (PARTITION BY dose, cell_line, drug, v) AS t FROM c WHERE n_ = 3),
 s AS (SELECT dose, sum(R * R) AS ss FROM (SELECT dose, arm, sum(rk) AS R FROM r GROUP BY ALL) GROUP BY 1), k AS (SELECT dose, count(*) / 3.0::DOUBLE AS n, sum(t * t - 1) AS ties FROM r GROUP BY 1)
-SELECT dose, n::BIGINT AS n_blocks, (12 / (n * 12) * ss - 12 * n) / (1 - ties / (n * 24)) AS stat, (12 / (n * 12) * ss - 12 * n) / (1 - ties / (n * 24)) / (n * 2) AS w FROM s JOIN k USING (dose)
-""", "stat w")
+SELECT *, exp(-stat / 2) AS p FROM (SELECT dose, n::BIGINT AS n_blocks, (12 / (n * 12) * ss - 12 * n) / (1 - ties / (n * 24)) AS stat, (12 / (n * 12) * ss - 12 * n) / (1 - ties / (n * 24)) / (n * 2) AS w FROM s JOIN k USING (dose))
+""", "stat w p")
 def friedman(t):
     s = I.scores(t).withColumn("pearson", F.round("pearson", 9))
-    return S.friedman(s, ["cell_line", "drug"], "arm", "pearson", 3, ["dose"]).drop("p")
+    return S.friedman(s, ["cell_line", "drug"], "arm", "pearson", 3, ["dose"])
 
 
 @query("q_bh_fdr", """
@@ -157,13 +189,13 @@ def sar_corr(t):
 
 BINNED = f"""
 WITH g AS (SELECT arm, cell_line, drug, dose, pearson AS y, (ceil(round((spearman + 1) / 0.1::DOUBLE, 9)) - 1)::INT AS bin FROM scores),
-k AS (SELECT * FROM g WHERE bin >= 0 AND bin < 20), {boot_sql('k', 'arm, bin', 'y', 'arm, cell_line, drug, dose', 100)}
+k AS (SELECT * FROM g WHERE bin >= 0 AND bin < 20), {boot_sql('k', 'arm, bin', 'y', 'arm, cell_line, drug, dose')}
 """
 
 
 @query("q_repro_bins", BINNED + "SELECT arm, bin, mean, n, lo, hi, -1 + (bin + 0.5::DOUBLE) * 0.1::DOUBLE AS mid FROM pt JOIN bd USING (arm, bin) WHERE n >= 20", "mean lo hi mid")
 def repro_bins(t):
-    return S.binned_means(I.scores(t), ["arm"], "spearman", "pearson", -1.0, 0.1, 20, 20, ["arm", "cell_line", "drug", "dose"], 100)
+    return S.binned_means(I.scores(t), ["arm"], "spearman", "pearson", -1.0, 0.1, 20, 20, ["arm", "cell_line", "drug", "dose"], BOOT)
 
 
 @query("q_binned_r2", """
@@ -180,15 +212,19 @@ def binned_r2(t):
 @query("q_filter_sweep", """
 WITH a AS (SELECT th AS threshold, cell_line, drug, dose, pearson, spearman FROM scores, (SELECT unnest([-0.5::DOUBLE, 0.0, 0.3]) AS th) WHERE arm = 'model' AND l2 / 25 - 1 >= th / 10),
 n AS (SELECT cell_line, drug, dose, pearson AS p0, (ceil(round((spearman + 1) / 0.2::DOUBLE, 9)) - 1)::INT AS bin FROM scores WHERE arm = 'reference')
-SELECT threshold, bin, count(*) AS n, avg(pearson) AS mean, avg(pearson - p0) AS diff FROM a JOIN n USING (cell_line, drug, dose) WHERE bin >= 0 AND bin < 10 GROUP BY ALL
-""", "mean diff")
+, j AS (SELECT threshold, bin, pearson, round(pearson - p0, 12) AS d FROM a JOIN n USING (cell_line, drug, dose) WHERE bin >= 0 AND bin < 10),
+""" + wilcoxon_sql("j", "threshold, bin") + """,
+o AS (SELECT * FROM (SELECT threshold, bin, count(*) AS n, avg(pearson) AS mean, avg(d) AS diff FROM j GROUP BY ALL) LEFT JOIN (SELECT threshold, bin, """ + normal_p("z") + """ AS p FROM wz) USING (threshold, bin)),
+b AS (SELECT *, count(p) OVER () AS m, CASE WHEN p IS NOT NULL THEN count(p) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS r FROM o)
+SELECT threshold, bin, n, mean, diff, p, CASE WHEN p IS NOT NULL THEN least(1, min(p * m / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS q FROM b
+""", "mean diff p q")
 def filter_sweep(t):
     """Arms of a training-filter sweep against the unfiltered arm, per reproducibility bin, with tests."""
     from platewise.operators.reports import filter_sweep as sweep
     a, b = arms(t)
     kept = a.withColumn("threshold", F.explode(F.array(F.lit(-0.5), F.lit(0.0), F.lit(0.3)))).filter(F.col("l2") / 25 - 1 >= F.col("threshold") / 10)
     binned = b.withColumn("bin", S.right_closed_bin(F.col("spearman"), -1.0, 0.2, 10)).dropna(subset=["bin"])
-    return sweep(kept, binned, "threshold", "bin", ["cell_line", "drug", "dose"], "pearson").drop("p", "q")
+    return sweep(kept, binned, "threshold", "bin", ["cell_line", "drug", "dose"], "pearson")
 
 
 GRIDS = {"power": [0.1, 0.2, 0.5, 1.5, 2.0], "saturating": [1.0, 3.0, 10.0, 30.0], "michaelis_menten": [1.0, 5.0, 20.0, 80.0]}
@@ -208,12 +244,12 @@ def curve_fits(t):
 
 @query("q_quadrant_vs_baseline", f"""
 WITH c AS (SELECT dose, cell_line, round(avg(a) - avg(b), 9) AS d, avg(a) AS a, avg(b) AS b, sum(a) AS sa, sum(b) AS sb, count(*) AS n FROM paired GROUP BY ALL), {wilcoxon_sql('c', 'dose')}
-SELECT dose, sum(sa) / sum(c.n) AS micro_a, sum(sb) / sum(c.n) AS micro_b, avg(a) AS macro_a, avg(b) AS macro_b, avg(a - b) AS macro_diff, count(*) FILTER (d > 0) AS wins, count(*) AS n_lines, any_value(w) AS w
-FROM c JOIN (SELECT dose, w FROM wz) z USING (dose) GROUP BY dose
-""", "micro_a micro_b macro_a macro_b macro_diff w")
+SELECT dose, sum(sa) / sum(c.n) AS micro_a, sum(sb) / sum(c.n) AS micro_b, avg(a) AS macro_a, avg(b) AS macro_b, avg(a - b) AS macro_diff, count(*) FILTER (d > 0) AS wins, count(*) AS n_lines, any_value(w) AS w, any_value(p) AS p
+FROM c JOIN (SELECT dose, w, {normal_p('z')} AS p FROM wz) z USING (dose) GROUP BY dose
+""", "micro_a micro_b macro_a macro_b macro_diff w p")
 def quadrant_vs_baseline(t):
     from platewise.operators.reports import compare_by_cluster
-    return compare_by_cluster(paired(t), ["dose"], "cell_line").drop("p")
+    return compare_by_cluster(paired(t), ["dose"], "cell_line")
 
 
 @query("q_unseen_gain", f"""

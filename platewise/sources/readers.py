@@ -56,6 +56,18 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.filter(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0))), lambda g: g != ""))).alias("genes"))
 
 
+#: Columns of a stored cell file by position; the names in the files are not relied on.
+CELL_COLUMNS = ["genes", "expressions", "drug", "sample", "barcode", "cell_line", "moa", "smiles", "pubchem", "plate"]
+
+
+def read_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell file below a folder: two list columns (gene ids, values) and eight text columns, taken by position."""
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    if len(raw.columns) < len(CELL_COLUMNS):
+        raise ValueError(f"a cell file needs {len(CELL_COLUMNS)} columns")
+    return raw.select(raw.columns[:len(CELL_COLUMNS)]).toDF(*CELL_COLUMNS)
+
+
 def explode_cells(cells: DataFrame, genes: str = "genes", values: str = "expressions", keep: DataFrame | None = None) -> DataFrame:
     """List columns of a cell table to long rows; with `keep` (allowed gene ids) the rest is dropped at once."""
     rest = [c for c in cells.columns if c not in (genes, values)]
@@ -72,9 +84,9 @@ def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:
                       decode_f32(F.col("embedding")).alias("embedding"))
 
 
-def read_chunks(spark: SparkSession, pattern: str, merged: str, rename: dict[str, str]) -> DataFrame:
-    """All chunk files of a pattern, or the merged file when there is no chunk; columns renamed."""
+def read_chunks(spark: SparkSession, pattern: str, merged: str, schema: str, rename: dict[str, str]) -> DataFrame:
+    """All chunk files of a pattern, or the merged file when there is no chunk, read by `schema`; columns renamed."""
     paths = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     hits = paths.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(paths)
     source = pattern if hits is not None and len(hits) > 0 else merged
-    return spark.read.csv(source, header=True, inferSchema=True).withColumnsRenamed(rename)
+    return spark.read.csv(source, header=True, schema=schema).withColumnsRenamed(rename)

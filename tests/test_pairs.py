@@ -183,8 +183,7 @@ def test_pseudobulk_counts_cells_before_the_gene_filter(spark):
 
 @pytest.fixture
 def force_ranges(monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL", 0)
-    monkeypatch.setattr(ordering, "RANGES", 7)
+    monkeypatch.setattr(ordering, "STEPS", 3)
 
 
 def test_ranks_and_quantiles_by_ranges(spark, force_ranges):

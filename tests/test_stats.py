@@ -112,13 +112,6 @@ def test_ridge_and_pca_match_numpy(spark):
     assert np.allclose(np.abs(pc), np.abs(centred @ s[2][:2].T), atol=1e-8)
 
 
-def test_pca_cache_is_read_back(spark):
-    df = spark.createDataFrame([(i, [float(i), float(i * i), 1.0]) for i in range(6)], "i int, x array<double>")
-    folder = scratch_path(spark, "pca")
-    first, second = O.cached_pca(df, "x", 1, folder, ["i"]), O.cached_pca(df, "x", 1, folder, ["i"])
-    assert first.stages[-1].pc == second.stages[-1].pc
-
-
 def test_permutation_test_finds_a_planted_set(spark):
     rng = np.random.default_rng(9)
     scores = np.sort(rng.normal(size=200))[::-1]

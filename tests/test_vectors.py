@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from platewise.functions import text as X
 from platewise.functions import vectors as V
 from platewise.functions.dense import average_ranks
-from platewise.functions.ranks import _chi2_sf, _t_sf_two_sided, decode_f32, encode_f32, rank_avg
+from platewise.functions.ranks import chi2_tails, t_tails, decode_f32, encode_f32, rank_avg
 
 
 def one(spark, expr, **arrays):
@@ -52,10 +52,11 @@ def test_float32_round_trip(spark):
 
 
 def test_tails():
-    assert _t_sf_two_sided(2.0, 10) == pytest.approx(0.07338803477074045, rel=1e-9)
-    assert _t_sf_two_sided(0.0, 3) == pytest.approx(1.0)
-    assert _chi2_sf(5.991464547107979, 2) == pytest.approx(0.05, rel=1e-9)
-    assert _chi2_sf(0.5, 3) == pytest.approx(math.erfc(0.5) + math.sqrt(1 / math.pi) * math.exp(-0.25))
+    t = t_tails(np.array([2.0, 0.0, 1.96, np.nan]), np.array([10, 3, 1e10, 4.0]))
+    assert t[:3] == pytest.approx([0.07338803477074045, 1.0, math.erfc(1.96 / math.sqrt(2))], rel=1e-8) and np.isnan(t[3])
+    c = chi2_tails(np.array([5.991464547107979, 0.5, 1e7, 9e6]), np.array([2, 3, 1e7, 1e7]))
+    assert c[:2] == pytest.approx([0.05, math.erfc(0.5) + math.sqrt(1 / math.pi) * math.exp(-0.25)], rel=1e-9)
+    assert c[2:] == pytest.approx([0.5 - 1 / (3 * math.sqrt(math.pi * 1e7)), 1.0], abs=1e-7)
 
 
 def test_text(spark):
