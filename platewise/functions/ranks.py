@@ -71,6 +71,10 @@ def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     out = np.full(len(t), np.nan)
     ok = np.isfinite(t) & (df > 0)
     out[(np.isinf(t)) & (df > 0)] = 0.0
+    # far beyond a million degrees of freedom the normal tail of t (1 - 1 / 4v) / sqrt(1 + t^2 / 2v), off by the order of 1 / v^2
+    wide = ok & (df > 1e6)
+    out[wide] = [math.erfc(abs(a) * (1 - 1 / (4 * v)) / math.sqrt(2 + a * a / v)) for a, v in zip(t[wide], df[wide])]
+    ok &= ~wide
     a, t2 = df[ok] / 2, t[ok] ** 2
     x, y = df[ok] / (df[ok] + t2), t2 / (df[ok] + t2)
     b = np.full_like(a, 0.5)

@@ -1,6 +1,7 @@
 """Every registered query with an oracle against DuckDB at the smallest scale."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -39,7 +40,11 @@ FAST = ["q_delta_profile", "q_pseudobulk", "q_repro_inter", "q_max_pairs", "q_fi
         "q_variance_partition", "q_long_statistics", "q_histogram"]
 
 
-@pytest.mark.parametrize("name", FAST)
+#: PLATEWISE_ALL_ORACLES=1 runs every oracle in one session (about ten minutes).
+NAMES_TO_RUN = sorted(n for n in entry_points.oracle_sql() if n.startswith("q_")) if os.environ.get("PLATEWISE_ALL_ORACLES") else FAST
+
+
+@pytest.mark.parametrize("name", NAMES_TO_RUN)
 def test_query_equals_oracle(spark, con, name):
     df = entry_points.queries()[name](spark, SF)
     res = con.execute(entry_points.oracle_sql()[name])
@@ -52,4 +57,4 @@ def test_registry_is_consistent():
     q, o = entry_points.queries(), entry_points.oracle_sql()
     assert set(o) <= set(q) and len(q) > 140
     q, o = ({n for n in names if n.startswith("q_")} for names in (q, o))
-    assert q - o == {"q_pca", "q_ridge", "q_lasso", "q_gbt", "q_butina", "q_cluster_ols", "q_variance_components", "q_gsea_nes"}
+    assert q - o <= {"q_pca", "q_ridge", "q_lasso", "q_gbt", "q_butina", "q_cluster_ols", "q_variance_components", "q_gsea_nes"}
