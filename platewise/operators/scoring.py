@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,12 +88,48 @@ def gram_sums(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(dbl(x), dbl(y)).mapInArrow(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
 
 
-def ridge_fit(df: DataFrame, x: str, y: str, penalty: float) -> np.ndarray:
-    """Multi-output ridge coefficients (features + intercept, outputs); the intercept is not penalised.
-    Features x (features + outputs) sums reach the driver, whatever the number of rows."""
+MAX_FEATURES = 5000  # features + 1 of a linear fit whose products one process can hold and solve; reduce wider inputs first (fit_pca)
+
+
+def gram(df: DataFrame, x: str, y: str) -> np.ndarray:
+    """[X 1]'[X 1 | Y] on the driver: features x (features + outputs) numbers, whatever the number of rows."""
+    sizes = df.agg(F.max(F.size(x)), F.max(F.size(y))).first()
+    if max(sizes) >= MAX_FEATURES:
+        raise ValueError(f"{max(sizes)} features or outputs; at most {MAX_FEATURES - 1} are solved in one process, reduce them first")
     cells = gram_sums(df, x, y).toPandas()
     g = np.zeros((cells.i.max() + 1, cells.j.max() + 1))
     g[cells.i, cells.j] = cells.s
+    return g
+
+
+def lasso_fit(df: DataFrame, x: str, y: str, penalty: float, tolerance: float = 1e-10) -> np.ndarray:
+    """Lasso coefficients (features + intercept, outputs) of every output, features scaled to unit deviation, from one pass over the
+    rows: cyclic coordinate descent on the moments, all outputs at once, until no coefficient moves."""
+    g = gram(df, x, y)
+    p = len(g) - 1
+    n = g[p, p]
+    mx, my = g[p, :p] / n, g[p, p + 1:] / n
+    a, b = g[:p, :p] / n - np.outer(mx, mx), g[:p, p + 1:] / n - np.outer(mx, my)
+    sd = np.sqrt(np.maximum(np.diag(a), 0))
+    used = np.flatnonzero(sd > 1e-12)
+    a, b = a[np.ix_(used, used)] / np.outer(sd[used], sd[used]), b[used] / sd[used, None]
+    w, moved = np.zeros_like(b), 1.0
+    while moved > tolerance * max(1.0, float(np.abs(b).max(initial=0))):
+        moved = 0.0
+        for k in range(len(used)):
+            rho = b[k] - a[k] @ w + a[k, k] * w[k]
+            now = np.sign(rho) * np.maximum(np.abs(rho) - penalty, 0) / a[k, k]
+            moved = max(moved, float(np.abs(now - w[k]).max(initial=0)))
+            w[k] = now
+    full = np.zeros((p + 1, b.shape[1]))
+    full[used] = w / sd[used, None]
+    full[p] = my - mx @ full[:p]
+    return full
+
+
+def ridge_fit(df: DataFrame, x: str, y: str, penalty: float) -> np.ndarray:
+    """Multi-output ridge coefficients (features + intercept, outputs); the intercept is not penalised."""
+    g = gram(df, x, y)
     p = len(g)
     reg = np.eye(p) * penalty
     reg[-1, -1] = 0.0
@@ -112,17 +148,13 @@ def linear_predict(df: DataFrame, x: str, coef: np.ndarray, name: str = "yhat")
     return df.withColumn(name, predict(F.col(x).cast("array<double>")))
 
 
-def per_gene_model(train: DataFrame, test: DataFrame, x: str, y: str, genes: Sequence[int], keys: Sequence[str], kind: str, **params) -> DataFrame:
-    """One lasso or boosted-tree model per chosen gene; predictions of all genes as long rows."""
+def per_gene_trees(train: DataFrame, test: DataFrame, x: str, y: str, genes: Sequence[int], keys: Sequence[str], rounds: int = 50, eta: float = 0.1, depth: int = 6) -> DataFrame:
+    """One model of boosted trees per chosen gene; predictions of all genes as long rows."""
     feats = lambda d: d.select(*keys, array_to_vector(F.col(x).cast("array<double>")).alias("features"), F.col(y).alias("_y"))
     fit, score = feats(train).cache(), feats(test)
     out = []
     for g in genes:
-        if kind == "lasso":
-            est = LinearRegression(elasticNetParam=1.0, regParam=params.get("penalty", 0.01))
-        else:
-            est = GBTRegressor(maxIter=params.get("rounds", 50), stepSize=params.get("eta", 0.1), maxDepth=params.get("depth", 6), seed=42)
-        model = est.setLabelCol("label").fit(fit.withColumn("label", F.get("_y", F.lit(g))))
+        model = GBTRegressor(maxIter=rounds, stepSize=eta, maxDepth=depth, seed=42, labelCol="label").fit(fit.withColumn("label", F.get("_y", F.lit(g))))
         out.append(model.transform(score).select(*keys, F.lit(g).alias("gene_idx"), F.get("_y", F.lit(g)).alias("y"), F.col("prediction").alias("yhat")))
     fit.unpersist()
     return union_all(out)

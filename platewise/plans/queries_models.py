@@ -206,14 +206,17 @@ def ridge(t):
 
 @query("q_lasso")
 def lasso(t):
+    """Every gene of the panel from one pass over the training rows."""
     b = cut_lineage(I.bundle(t).drop("yhat"))
-    return S.per_gene_model(b.filter("split = 'train'"), b.filter("split = 'test'"), "ref", "y", [0, 7], KEY, "lasso", penalty=0.001)
+    coef = S.lasso_fit(b.filter("split = 'train'"), "ref", "y", 0.001)
+    long = F.posexplode(F.arrays_zip("y", "yhat")).alias("gene_idx", "v")
+    return S.linear_predict(b.filter("split = 'test'"), "ref", coef).select(*KEY, long).select(*KEY, "gene_idx", "v.y", "v.yhat")
 
 
 @query("q_gbt")
 def gbt(t):
     b = cut_lineage(I.bundle(t).drop("yhat"))
-    return S.per_gene_model(b.filter("split = 'train'"), b.filter("split = 'test'"), "ref", "y", [3], KEY, "gbt", rounds=5, depth=4)
+    return S.per_gene_trees(b.filter("split = 'train'"), b.filter("split = 'test'"), "ref", "y", [3], KEY, rounds=5, depth=4)
 
 
 @query("q_best_epoch", """

@@ -183,3 +183,23 @@ def test_ragged_reader(spark):
     got = sorted(tuple(r) for r in readers.read_ragged(spark, path, ["cell_line"], "drug", ["dose", "rmse"]).collect())
     d = "Dapagliflozin ((2S)-1,2-propanediol, hydrate)"
     assert got == [("A", d, "1 uM", "0.5"), ("A", d, "1 uM", "0.5"), ("B", "plain", "2 uM", "0.1")]
+
+
+def test_lasso_meets_its_optimality_conditions(spark):
+    from platewise.operators import scoring
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)) * [1, 5, 0.2, 1, 2, 1]
+    x[:, 5] = 7.0
+    y = np.stack([x[:, 0] - 0.3 * x[:, 1] + rng.normal(size=200), rng.normal(size=200)], axis=1) + 4
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>")
+    w = scoring.lasso_fit(df, "x", "y", 0.1)
+    sd = x.std(axis=0)
+    for k in range(2):
+        r = y[:, k] - x @ w[:6, k] - w[6, k]
+        assert abs(r.mean()) < 1e-9
+        for j in range(5):
+            slope = (x[:, j] - x[:, j].mean()) @ r / 200 / sd[j]
+            assert slope == pytest.approx(0.1 * np.sign(w[j, k]), abs=1e-8) if w[j, k] else abs(slope) <= 0.1 + 1e-8
+    assert (w[5] == 0).all() and w[0, 0] > 0.5 and (w[:5, 1] == 0).any()
+    with pytest.raises(ValueError, match="reduce them"):
+        scoring.gram(spark.createDataFrame([([0.0] * 6000, [1.0])], "x array<double>, y array<double>"), "x", "y")
