@@ -68,20 +68,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b bigint): one row (node, root) per linked node except the roots
     themselves; root is the smallest node of its component. Alternates large-star and small-star steps, each an aggregate and
-    an equi-join, until the edge set stands still; every round is written to the shared folder."""
-    spark = edges.sparkSession
+    an equi-join, until only stars are left; every round is written to the shared folder."""
     e = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the least neighbours are written out: a join of two plain exchanges lets Spark split the edges of a hub
-        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "large")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         e = staged(small.select("s.u", F.col("s.m").alias("v")).filter("u <> v").distinct(), "edges")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node points to one other at most and nothing points on from there."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out")).union(e.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    return ends.groupBy("node").agg(F.sum("out").alias("n"), F.min("out").alias("low")).filter("n > 1 OR (n = 1 AND low = 0)").isEmpty()

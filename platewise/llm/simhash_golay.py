@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     prints = staged(marked.groupBy("fp").agg(F.min(col(id_col)).alias("_first")), "prints")
     root = components(links(prints, radius)).withColumnRenamed("node", "fp")
     rooted = prints.join(root, "fp", "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
-    # Written out, so that the joins have plain exchanges on both sides and Spark can split the rows of a large class.
-    smallest = staged(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "smallest")
+    smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    # Written out, so that the last join has plain exchanges on both sides and Spark can split the rows of a large group of copies.
     classes = staged(rooted.join(smallest, "_root").select("fp", F.col("_root").alias("class_fp"), "component_id"), "classes")
     return marked.join(classes, "fp").select(col(id_col), *[col(c) for c in keep], "fp", "class_fp", "component_id")
 
