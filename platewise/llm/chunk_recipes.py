@@ -121,5 +121,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, one of each group of equal texts, with all their columns."""
     marked, row = with_row_id(docs)
+    # Written once: another plan may cut the files otherwise and number the rows anew.
+    marked = staged(marked, "numbered", "zstd")
     kept = exact_duplicates(marked, text, id_col, (row,)).filter("kept").select(col(row))
     return marked.join(kept, row, "left_semi").drop(row)

@@ -43,7 +43,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "__row") -> tuple[DataFrame, str]:
-    """Number rows by scan position. Stable over recomputation for tables read from files; stage other inputs first."""
+    """Number rows by scan position. The numbers hold within one plan only, since another may cut the files otherwise: where they are used twice, stage the result."""
     name = fresh(df, name)
     return df.withColumn(name, F.monotonically_increasing_id()), name
 

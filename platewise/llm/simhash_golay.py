@@ -275,6 +275,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The row with the smallest id of each class of near duplicates (null ids last, of equal ids the first row scanned), with all its columns."""
     marked, row = with_row_id(docs)
+    # Written once: another plan may cut the files otherwise and number the rows anew.
+    marked = staged(marked, "numbered", "zstd")
     order = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(row).alias("row"))
     best = near_duplicates(marked, text, id_col, (row,)).groupBy("class_fp").agg(F.min(order).alias("best"))
     return marked.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
