@@ -23,9 +23,15 @@ SECRET = r"(?i:(?:token|key|secret|password)\s?[=:]\s?\"?)[0-9A-Fa-f]{32,120}+(?
 DATE_YMD = r"(?<![\d./-])\d{4}-\d{2}-\d{2}(?![\d/-]|\.\d)"
 DATE_DMY = r"(?<![\d./-])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/-]|\.\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+PHONE = r"(?<![\d+])\+(?:\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}|[ .-]\d){3,6})(?!\d)"
+#: A run of digit groups, in which the cards are looked for; it ends before dates, national numbers and what goes on after a point or stroke.
+CARD = r"(?<!\d)(?<!\d\.)\d(?:(?:[ -](?!\d+[./]\d|\d{4}-\d{2}-\d{2}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)))?\d){12,}+(?!\.\d)"
+#: Characters of an account number by country.
+LANDS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+         24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+         31: "MT SC", 32: "LC", 33: "RU"}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(v.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in LANDS.items()) \
+    + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: Tried in this order where several start at the same place.
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, DATE_YMD, DATE_DMY.replace("\\1", "[/.]").replace("([/.])", "[/.]"), ADDRESS, PHONE, IBAN, NATIONAL, CARD))
@@ -97,6 +103,36 @@ def card(m: Column, key: str) -> Column:
     return put_back(m, number(digits(m)))
 
 
+def cards(m: Column, key: str) -> Column:
+    """struct(now, n): a run of digit groups with its cards replaced, and their number. The whole run is tried first, then from left to right four groups of four digits,
+    groups of 4, 6 and 5, and single groups of 13 to 19."""
+    groups, marks = F.regexp_extract_all(m, F.lit("[0-9]+"), 0), F.split(m, "[0-9]+")
+    valid = lambda p: F.call_function("luhn_check", digits(p))
+
+    def split_up(g: Column, mark: Column) -> Column:
+        def piece(i: Column, k: int) -> Column:
+            return F.array_join(F.zip_with(F.slice(g, i + 1, k), F.concat(F.slice(mark, i + 2, k - 1), F.array(F.lit(""))), lambda d, b: F.concat(d, b)), "")
+
+        def step(s: Column, i: Column) -> Column:
+            size = lambda k: F.length(F.get(g, i + k))
+            fits = lambda *n: F.coalesce(F.forall(F.array(*[size(k) == v for k, v in enumerate(n)]), lambda x: x), F.lit(False))
+            k = F.when(fits(4, 4, 4, 4) & valid(piece(i, 4)), 4).when(fits(4, 6, 5) & valid(piece(i, 3)), 3).when(size(0).between(13, 19) & valid(piece(i, 1)), 1).otherwise(0)
+            part = lambda k: F.when(k == 4, piece(i, 4)).when(k == 3, piece(i, 3)).otherwise(F.get(g, i))
+            taken = lambda k: F.struct(F.concat(s["out"], F.array(F.struct(F.get(mark, i).alias("mark"), part(k).alias("part"), (k > 0).alias("card")))).alias("out"), F.greatest(k - 1, F.lit(0)).alias("skip"))
+            return F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"))).otherwise(let(k, taken))
+
+        start = F.struct(F.array().cast("array<struct<mark:string,part:string,card:boolean>>").alias("out"), F.lit(0).alias("skip"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)["out"]
+
+    def written(parts: Column) -> Column:
+        text = F.array_join(F.transform(parts, lambda p: F.concat(p["mark"], F.when(p["card"], card(p["part"], key)).otherwise(p["part"]))), "")
+        return F.struct(text.alias("now"), F.size(F.filter(parts, lambda p: p["card"])).alias("n"))
+
+    whole = (F.length(digits(m)) <= 19) & valid(m)
+    parts = let(groups, lambda g: let(marks, lambda mark: split_up(g, mark)))
+    return F.when(whole, F.struct(card(m, key).alias("now"), F.lit(1).alias("n"))).otherwise(let(parts, written))
+
+
 def mod97(text: Column) -> Column:
     """Remainder by 97 of a number with letters as 10 to 35."""
     def step(acc: Column, c: Column) -> Column:
@@ -174,7 +210,7 @@ def date(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match, or null where it isn't valid."""
+    """struct(now, n): the pseudonym of a match and how many values it holds; `now` is null where it isn't valid."""
     whole = lambda p: F.lit(f"^(?:{p})$")
     is_a = lambda p: F.regexp_like(m, whole(p))
     local, rest = F.regexp_extract(m, "^[^@]+", 0), F.regexp_extract(m, "@.*$", 0)
@@ -183,15 +219,16 @@ def pseudonym(m: Column, key: str) -> Column:
     prefix = F.regexp_extract(m, r"^\+\d{1,3}", 0)
     number = F.substring(m, F.length(prefix) + 1, F.length(m))
     mixed = lambda x: F.regexp_replace(x, "[^0-9A-Za-z]", "")
-    return (
+    single = (
         F.when(F.contains(m, F.lit("@")), F.concat(put_back(local, feistel(mixed(local), key, "email")), rest))
         .when(F.regexp_like(m, F.lit("[=:]")), F.concat(name, feistel(value, key, "secret", True)))
         .when(is_a(DATE_YMD) | is_a(DATE_DMY), F.when(date_valid(m), date(m, key)))
         .when(is_a(ADDRESS), F.when(octets_valid(m), address(m, key)))
         .when(is_a(PHONE), F.concat(prefix, put_back(number, feistel(digits(number), key, "phone"))))
         .when(is_a(IBAN), F.when(iban_valid(m), iban(m, key)))
-        .when(is_a(NATIONAL), put_back(m, feistel(digits(m), key, "national")))
-        .when(F.call_function("luhn_check", digits(m)), card(m, key)))
+        .when(is_a(NATIONAL), put_back(m, feistel(digits(m), key, "national"))))
+    run = is_a(CARD) & ~(is_a(DATE_YMD) | is_a(NATIONAL))
+    return F.when(run, cards(m, key)).otherwise(let(single, lambda x: F.struct(x.alias("now"), F.when(x.isNull(), 0).otherwise(1).alias("n"))))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_pseudonyms") -> DataFrame:
@@ -201,11 +238,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     (check digits renewed), calendar dates, national numbers of the form 3-2-4, and hexadecimal secrets named as such. What fails its validation is left as it is, as
     is all other text. Null stays null with count 0; repeated rows get the same result; all other columns are kept."""
     source = col(text).cast("string")
-    marks = F.transform(F.regexp_extract_all(source, F.lit(PATTERN), 0), lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
+    marks = F.transform(F.regexp_extract_all(source, F.lit(PATTERN), 0), lambda m: let(pseudonym(m, key), lambda p: F.struct(m.alias("was"), p["now"].alias("now"), p["n"].alias("n"))))
 
     def replaced(found: Column) -> Column:
         pieces = F.zip_with(F.split(source, PATTERN, -1), found, lambda gap, f: F.concat(gap, F.coalesce(f["now"], f["was"], F.lit(""))))
-        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(found, lambda f: f["now"].isNotNull())).cast("bigint").alias("n"))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.aggregate(found, F.lit(0), lambda n, f: n + f["n"]).cast("bigint").alias("n"))
 
     done = fresh(docs, "_done")
     out = docs.withColumn(done, F.when(source.rlike("[0-9@=:]"), let(marks, replaced)).otherwise(F.struct(source.alias("text"), F.lit(0).cast("bigint").alias("n"))))
