@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import byte_bpe, chat_parts, chunk_recipes, packing, passage_attention, pseudonyms, scaled_sketch, simhash_golay, toxic_grammar, training_order
+from platewise.llm import (byte_bpe, chat_parts, chunk_recipes, merkle, packing, passage_attention, periodic_runs, pseudonyms, scaled_sketch, simhash_golay, toxic_grammar,
+                           training_order, url_trees)
 from platewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +89,76 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM n
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def planted_period(key: tuple, n: int) -> np.ndarray | None:
+    """Numbers of the words that op11 reads of a document with n words: of one in ten, the words from some place on repeat with some period."""
+    if key[0] is None or not n:
+        return None
+    g, r = divmod(zlib.crc32(str(key[0]).encode()), 10)
+    if r:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapsed(table(spark, sf_dir, "documents"), order=planted_period).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+                        F.sha2(periodic_runs.printed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Fixed rules of the query: verdict, host, path.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op12_url_trees")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judged(table(spark, sf_dir, "pages"), [url_trees.Rule(*r) for r in RULES])
+
+
+def merkle_sql(levels: int = 8, fan: int = merkle.FAN) -> str:
+    """The manifest level by level, for groups of at most fan ** levels rows: DuckDB has no crc32, so it is folded bit by bit."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {bits}), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT)"
+    steps = [f"""a0 AS (SELECT doc_id, source, {leaf('text')} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS t FROM documents),
+n0 AS (SELECT '' AS top, source, doc_id, h, coalesce(t, h) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, count(*) OVER (PARTITION BY source) AS total FROM a0)"""]
+
+    def level(k: int, by: str, nodes: str) -> None:
+        run = f"OVER (PARTITION BY {by}, slot // {fan} ORDER BY slot ROWS BETWEEN"
+        steps.append(f"""k{k} AS (SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {nodes}),
+n{k + 1} AS (SELECT {by}, slot // {fan} AS slot, (total + {fan - 1}) // {fan} AS total, CASE WHEN total = 1 THEN h ELSE sha256(h || r) END AS h FROM k{k} WHERE slot % {fan} = 0)""")
+
+    for k in range(levels):
+        level(k, "top, source" if k else "source", f"n{k}" if k else "n0")
+    steps = [s.replace("(SELECT source, slot", "(SELECT '' AS top, source, slot") for s in steps]
+    steps.append(f"m{levels} AS (SELECT '' AS top, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS slot, count(*) OVER () AS total FROM n{levels})")
+    for k in range(levels, levels + 5):
+        level(k, "top", f"m{levels}" if k == levels else f"n{k}")
+    up = "CASE WHEN k.total = 1 THEN d.folded ELSE sha256(k.l || d.folded || k.r) END AS folded, CASE WHEN k.total = 1 THEN d.path ELSE d.path || k.l || k.r END AS path"
+    steps.append("d0 AS (SELECT doc_id, source, slot, h AS leaf, t AS folded, '' AS path FROM n0)")
+    for k in range(levels):
+        steps.append(f"d{k + 1} AS (SELECT d.doc_id, d.source, d.slot // {fan} AS slot, d.leaf, {up} FROM d{k} d JOIN k{k} k ON d.source IS NOT DISTINCT FROM k.source AND d.slot = k.slot)")
+    steps.append(f"e{levels} AS (SELECT d.doc_id, m.slot, d.leaf, d.folded, d.path, m.h AS subroot FROM d{levels} d JOIN m{levels} m ON d.source IS NOT DISTINCT FROM m.source)")
+    for k in range(levels, levels + 5):
+        steps.append(f"e{k + 1} AS (SELECT d.doc_id, d.slot // {fan} AS slot, d.leaf, d.subroot, {up} FROM e{k} d JOIN k{k} k ON d.slot = k.slot)")
+    last = levels + 5
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT e.doc_id, e.leaf, e.subroot, n.h AS root, sha256(e.path) AS proof_sha256, e.folded AS folded_root, e.folded = n.h AS verified FROM e{last} e CROSS JOIN n{last} n"""
+
+
+@query("op13_merkle_manifest", merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = merkle.leaves(table(spark, sf_dir, "documents"), copies={"text": merkle.ascii_lower(F.col("text"))}, copied=tampered)
+    found = merkle.manifest(rows).withColumn("folded_root", merkle.folded(F.coalesce("copy", "leaf"), F.col("path")))
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
