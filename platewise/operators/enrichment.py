@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.hashing import md5_key
 from platewise.functions.text import normalise_symbol
 from platewise.operators.cleaning import DataError
 from platewise.operators.summaries import union_all
-from platewise.plans.ordering import cumulative_counts, exact_quantiles, with_average_ranks
+from platewise.plans.ordering import cumulative_counts, exact_quantiles, numbered, with_average_ranks
+from platewise.session import cut_lineage
 
 
 def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str], va: str, vb: str) -> DataFrame:
@@ -95,16 +97,16 @@ def collapse_ranking(df: DataFrame, by: Sequence[str], symbol: str = "symbol", s
 
 
 def ranked_list(df: DataFrame, by: Sequence[str], symbol: str = "symbol", score: str = "score") -> DataFrame:
-    """Position 1..n by score descending, then symbol. A list holds one row per gene of the panel."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), F.asc(symbol)))).withColumn("n_genes", F.count(F.lit(1)).over(w))
+    """Position 1..n by score descending, then symbol, and the list's length."""
+    return numbered(df, by, [F.desc(score), F.asc(symbol)], "rank", "n_genes")
 
 
 def hits_of(ranked: DataFrame, sets: DataFrame, by: Sequence[str], symbol: str = "symbol", lo: int = 15, hi: int = 500) -> DataFrame:
-    """Ranked members of every gene set whose size inside the list is within lo..hi."""
+    """Ranked members of every gene set whose size inside the list is within lo..hi. Sizes are counted first, so members of other sets are not shuffled."""
     joined = ranked.join(sets.select("collection", "term", symbol).distinct(), symbol)
-    w = Window.partitionBy(*by, "collection", "term")
-    return joined.withColumn("set_size", F.count(F.lit(1)).over(w)).filter(F.col("set_size").between(lo, hi))
+    keys = [*by, "collection", "term"]
+    sizes = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("set_size")).filter(F.col("set_size").between(lo, hi))
+    return joined.join(sizes, keys)
 
 
 def running_sums(hits: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
@@ -139,39 +141,119 @@ def leading_edge(hits: DataFrame, scores: DataFrame, by: Sequence[str], symbol:
     return edge.groupBy(*keys).agg(F.array_join(genes, ";").alias("leading_edge_genes"), F.count(F.lit(1)).alias("n_edge"))
 
 
-def permutation_test(ranked: DataFrame, sets: DataFrame, by: Sequence[str], n_perm: int = 5000, seed: int = 42, lo: int = 15, hi: int = 500) -> DataFrame:
+def permuted_ranks(n: int, perms: np.ndarray, seed: int) -> np.ndarray:
+    """For each permutation the new position (from 0) of the gene at each position: genes in the order of a 32-bit mix of position, permutation and seed. The mix has an inverse
+    for each permutation, so no two genes of a list share a key."""
+    mask = np.uint64(0xFFFFFFFF)
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & mask
+        x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & mask
+        return x ^ (x >> np.uint64(16))
+
+    own = mix((perms.astype(np.uint64) * np.uint64(2654435769) + np.uint64(seed)) & mask)
+    keys = mix(mix((np.arange(n, dtype=np.uint64)[None, :] + own[:, None]) & mask) ^ own[:, None])
+    order = np.argsort(keys.astype(np.uint32), axis=1)
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.broadcast_to(np.arange(n), order.shape), axis=1)
+    return out
+
+
+def set_scores(positions: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Enrichment score of each set (a column) for each row of member positions; a row lists the members of all sets one after another. NaN without any weight."""
+    n, sizes = len(weights), np.diff(np.append(starts, positions.shape[1]))
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    place = np.sort(positions + owner * n, axis=1) - owner * n
+    w = weights[place]
+    total = np.add.reduceat(w, starts, axis=1)
+    cum = np.cumsum(w, axis=1)
+    cum = cum - np.repeat(cum[:, starts] - w[:, starts], sizes, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        miss = (place + 1 - (np.arange(len(owner)) - starts[owner] + 1)) / (n - sizes)[owner]
+        share = np.repeat(total, sizes, axis=1)
+        up = np.maximum.reduceat(cum / share - miss, starts, axis=1)
+        down = np.minimum.reduceat((cum - w) / share - miss, starts, axis=1)
+    return np.where(up >= -down, up, down)
+
+
+def null_scores(ranked: DataFrame, hits: DataFrame, by: Sequence[str], n_perm: int, seed: int, block: int) -> DataFrame:
+    """Per set and block of permutations: the observed score `es`, the scores `es0` under the permutations, and what of them a set's mean and tail need. A task takes one list and one
+    block; it holds the list's scores and its sets' members, that is a gene panel and a collection of sets, and `block` rows of them."""
+    by = list(by)
+    keys = [*by, "collection", "term"]
+    number = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // block))).alias("block")
+    members = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("rank").cast("bigint"))).alias("ranks")).select("*", number)
+    lists = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").cast("double").alias("score")))).alias("l")).select(*by, F.col("l.score").alias("scores"), number)
+
+    def score(sets: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        if not len(sets):
+            return pd.DataFrame({c: [] for c in columns})
+        weights = np.abs(np.asarray(of["scores"].iloc[0], float))
+        ranks = [np.asarray(r) - 1 for r in sets["ranks"]]
+        starts = np.cumsum([0, *map(len, ranks[:-1])])
+        flat = np.concatenate(ranks)
+        seen = set_scores(flat[None, :], starts, weights)[0]
+        first = int(sets["block"].iloc[0]) * block
+        perms = np.arange(first, min(n_perm, first + block))
+        step = max(1, (1 << 22) // max(len(flat), len(weights)))
+        null = np.concatenate([set_scores(permuted_ranks(len(weights), perms[k:k + step], seed)[:, flat], starts, weights) for k in range(0, len(perms), step)]).T
+        up, known = null >= 0, ~np.isnan(null)
+        same = known & (np.sign(null) == np.sign(seen)[:, None])
+        far = same & (np.abs(null) >= np.abs(seen)[:, None])
+        found = sets[[*keys, "block"]].assign(set_size=[len(r) for r in ranks], es=seen, es0=list(null), n_up=up.sum(axis=1), n_down=(known & ~up).sum(axis=1), s_up=np.where(up, null, 0).sum(axis=1),
+                                              s_down=np.where(known & ~up, -null, 0).sum(axis=1), n_same=same.sum(axis=1), n_far=far.sum(axis=1))
+        return found[columns]
+
+    types = dict(hits.dtypes)
+    made = "set_size bigint, es double, es0 array<double>, n_up bigint, n_down bigint, s_up double, s_down double, n_same bigint, n_far bigint"
+    columns = [*keys, "block", *(c.split()[0] for c in made.split(", "))]
+    # The lists once more under names of their own, since both sides come from them.
+    return members.groupBy(*by, "block").cogroup(lists.toDF(*lists.columns).groupBy(*by, "block")).applyInPandas(score, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "block int", made]))
+
+
+def null_tails(null: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Per set and block of (scope, term, block, nes, m_up, m_down, es0): null scores of the scope and of the set's sign that reach its normalised score, and permutations whose extreme does.
+    A task sees the sets of one scope and one block; counts come from one sorted array of null scores, so they add up over blocks."""
+    keys = [*scope, "term"]
+
+    def tails(sets: pd.DataFrame) -> pd.DataFrame:
+        nes = sets["nes"].to_numpy(float)
+        es0 = np.stack(sets["es0"].to_numpy())
+        with np.errstate(invalid="ignore", divide="ignore"):
+            null = np.where(es0 >= 0, es0 / sets["m_up"].to_numpy(float)[:, None], es0 / sets["m_down"].to_numpy(float)[:, None])
+        out = sets[keys].copy()
+        reach, pool, seen, all_seen = (np.zeros(len(sets)) for _ in range(4))
+        for side, same in ((nes >= 0, null >= 0), (nes < 0, null < 0)):
+            sizes, own = np.sort(np.abs(null[same])), np.sort(np.abs(nes[side]))
+            reach[side], pool[side] = len(sizes) - np.searchsorted(sizes, np.abs(nes[side])), len(sizes)
+            seen[side], all_seen[side] = len(own) - np.searchsorted(own, np.abs(nes[side])), len(own)
+        top, bottom = np.fmax.reduce(null, axis=0), np.fmin.reduce(null, axis=0)
+        top, bottom = np.sort(top[~np.isnan(top)]), np.sort(bottom[~np.isnan(bottom)])
+        beyond = np.where(nes >= 0, len(top) - np.searchsorted(top, nes), np.searchsorted(bottom, nes, side="right"))
+        return out.assign(n_reach=reach, n_pool=pool, obs_reach=seen, obs_all=all_seen, n_beyond=beyond, n_perm=len(top))
+
+    types = dict(null.dtypes)
+    made = "n_reach double, n_pool double, obs_reach double, obs_all double, n_beyond double, n_perm double"
+    return null.groupBy(*scope, "block").applyInPandas(tails, ", ".join([*(f"`{k}` {types[k]}" for k in keys), made]))
+
+
+def permutation_test(ranked: DataFrame, sets: DataFrame, by: Sequence[str], n_perm: int = 5000, seed: int = 42, lo: int = 15, hi: int = 500, block: int = 250) -> DataFrame:
     """Normalised score, nominal p, FDR q and FWER from gene-label permutations.
 
-    A permutation reorders the list by md5(seed, permutation, gene) and keeps the scores at their positions. Work is spread
-    over (list, permutation); windows hold one list, one set, or the sets x permutations of one list.
-    """
-    by, symbol = list(by), "symbol"
-    hits = hits_of(ranked, sets, by, symbol, lo, hi)
-    seen = enrichment_scores(hits, by)
-    perms = ranked.select(*by, symbol, "n_genes").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    order = Window.partitionBy(*by, "perm").orderBy(md5_key(seed, "perm", symbol))
-    shuffled = perms.withColumn("rank", F.row_number().over(order)).join(ranked.select(*by, "rank", "score"), [*by, "rank"])
-    member = hits.select(*by, "collection", "term", symbol, "set_size")
-    null = enrichment_scores(shuffled.join(member, [*by, symbol]), [*by, "perm"]).select(*by, "perm", "collection", "term", F.col("es").alias("es0"))
-    keys = [*by, "collection", "term"]
-    means = null.groupBy(*keys).agg(F.avg(F.when(F.col("es0") >= 0, F.col("es0"))).alias("m_up"), F.avg(F.when(F.col("es0") < 0, -F.col("es0"))).alias("m_down"))
-    norm = lambda c: F.try_divide(F.col(c), F.when(F.col(c) >= 0, F.col("m_up")).otherwise(F.col("m_down")))
-    obs = seen.join(means, keys).withColumn("nes", norm("es"))
-    null = null.join(means, keys).withColumn("nes0", norm("es0"))
-    tail = null.join(seen.select(*keys, "es"), keys).groupBy(*keys).agg(
-        F.try_divide(F.count_if((F.signum("es0") == F.signum("es")) & (F.abs("es0") >= F.abs("es"))).cast("double"),
-                     F.count_if(F.signum("es0") == F.signum("es")).cast("double")).alias("nominal_p"))
-    scope = [*by, "collection"]
-    pool = union_all([null.select(*scope, F.lit(1).alias("is_null"), F.col("nes0").alias("v"), F.lit(None).cast("string").alias("term")),
-                      obs.select(*scope, F.lit(0).alias("is_null"), F.col("nes").alias("v"), "term")]).filter("v is not null")
-    pool = pool.withColumn("sgn", F.when(F.col("v") >= 0, 1).otherwise(-1)).withColumn("a", F.abs("v"))
-    w = Window.partitionBy(*scope, "sgn")
-    up = w.orderBy(F.desc("a")).rangeBetween(Window.unboundedPreceding, 0)
-    share = lambda flag: F.try_divide(F.sum(flag).over(up).cast("double"), F.sum(flag).over(w).cast("double"))
-    fdr = pool.withColumn("q", F.try_divide(share(F.col("is_null")), share(1 - F.col("is_null")))).filter("is_null = 0").select(*keys, F.least(F.lit(1.0), "q").alias("fdr_q"))
-    best = null.groupBy(*scope, "perm").agg(F.max("nes0").alias("hi"), F.min("nes0").alias("lo"))
-    fwer = obs.join(best, scope).groupBy(*keys).agg(F.avg(F.when(F.col("nes") >= 0, F.col("hi") >= F.col("nes")).otherwise(F.col("lo") <= F.col("nes")).cast("double")).alias("fwer_p"))
-    return obs.select(*keys, "set_size", "es", "nes").join(tail, keys).join(fdr, keys, "left").join(fwer, keys)
+    A permutation deals the genes to the positions anew and keeps the scores at the positions. Null scores are made by (list, block of permutations) in Arrow tasks, written once, and
+    read twice: for the means that normalise them, and for the tails. What a set is compared with is its collection within its list."""
+    by = list(by)
+    keys, scope = [*by, "collection", "term"], [*by, "collection"]
+    null = cut_lineage(null_scores(ranked, hits_of(ranked, sets, by, "symbol", lo, hi), by, n_perm, seed, block))
+    total = lambda c: F.sum(c).cast("double")
+    seen = null.groupBy(*keys).agg(F.first("es").alias("es"), F.first("set_size").alias("set_size"), F.try_divide(total("s_up"), total("n_up")).alias("m_up"),
+                                   F.try_divide(total("s_down"), total("n_down")).alias("m_down"), F.try_divide(total("n_far"), total("n_same")).alias("nominal_p"))
+    nes = F.try_divide("es", F.when(F.col("es") >= 0, F.col("m_up")).otherwise(F.col("m_down")))
+    seen = cut_lineage(seen.filter(~F.isnan("es")).withColumn("nes", nes))
+    counted = null_tails(null.select(*keys, "block", "es0").join(seen.filter("nes IS NOT NULL").select(*keys, "nes", "m_up", "m_down"), keys), scope)
+    rate = F.try_divide(F.try_divide(total("n_reach"), total("n_pool")), F.try_divide(F.max("obs_reach"), F.max("obs_all")))
+    rates = counted.groupBy(*keys).agg(F.least(F.lit(1.0), rate).alias("fdr_q"), F.try_divide(total("n_beyond"), total("n_perm")).alias("fwer_p"))
+    return seen.select(*keys, "set_size", "es", "nes", "nominal_p").join(rates, keys, "left")
 
 
 PROFILES = ["target", "reference", "prediction"]

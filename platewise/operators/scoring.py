@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from platewise.functions import metrics as N
 from platewise.functions import vectors as V
 from platewise.functions.dense import matrix
+from platewise.operators import boosting
 from platewise.operators.cleaning import DataError, missing_keys
 from platewise.operators.profiles import average_vectors
 from platewise.operators.summaries import QUARTILES, best_per_group, union_all
@@ -148,16 +147,12 @@ def linear_predict(df: DataFrame, x: str, coef: np.ndarray, name: str = "yhat")
     return df.withColumn(name, predict(F.col(x).cast("array<double>")))
 
 
-def per_gene_trees(train: DataFrame, test: DataFrame, x: str, y: str, genes: Sequence[int], keys: Sequence[str], rounds: int = 50, eta: float = 0.1, depth: int = 6) -> DataFrame:
-    """One model of boosted trees per chosen gene; predictions of all genes as long rows."""
-    feats = lambda d: d.select(*keys, array_to_vector(F.col(x).cast("array<double>")).alias("features"), F.col(y).alias("_y"))
-    fit, score = feats(train).cache(), feats(test)
-    out = []
-    for g in genes:
-        model = GBTRegressor(maxIter=rounds, stepSize=eta, maxDepth=depth, seed=42, labelCol="label").fit(fit.withColumn("label", F.get("_y", F.lit(g))))
-        out.append(model.transform(score).select(*keys, F.lit(g).alias("gene_idx"), F.get("_y", F.lit(g)).alias("y"), F.col("prediction").alias("yhat")))
-    fit.unpersist()
-    return union_all(out)
+def per_gene_trees(train: DataFrame, test: DataFrame, x: str, y: str, keys: Sequence[str], rounds: int = 50, eta: float = 0.1, depth: int = 6) -> DataFrame:
+    """One model of boosted trees for every gene of the panel; predictions as long rows."""
+    model = boosting.fit(train, x, y, rounds, eta, depth)
+    long = F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col("yhat").alias("yhat"))).alias("gene_idx", "v")
+    return boosting.predict(test, model, x).select(*keys, long).select(*keys, "gene_idx", "v.y", "v.yhat")
+
 
 
 # centroid-referenced evaluation

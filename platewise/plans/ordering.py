@@ -11,14 +11,36 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.session import cut_lineage
+
 STEPS = 1024  # ranges between a value and its double
 
 
 def range_of(value: Column) -> Column:
-    """Number of the value's range, never falling as the value grows: the scaled logarithm, mirrored below zero."""
+    """Number of the value's range, never falling as the value grows: the scaled logarithm, mirrored below zero. Infinite values have the outermost ranges."""
     v = value.cast("double")
     step = F.floor(F.log2(F.abs(v)) * STEPS) + 1100 * STEPS
-    return F.when(v == 0, 0).when(v > 0, step).otherwise(-step).cast("bigint")
+    end, far = F.lit(float("inf")), F.lit(4000 * STEPS)
+    return F.when(v == 0, 0).when(v == end, far).when(v == -end, -far).when(v > 0, step).otherwise(-step).cast("bigint")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank", count: str | None = None) -> DataFrame:
+    """Add the place 1, 2, ... of every row within its group in the given order, and the group's rows as `count`, without a window over a group.
+
+    Rows are sorted over ranges cut by their numbers, ties included, and written once with their place in the range; only the rows of each (range, group), at
+    most ranges plus groups of them, meet in a window. Rows equal in the whole order are numbered in any order."""
+    df, on = one_group(df, by)
+    keys = [F.col(c) for c in on] + list(order) + [F.col("_tie")]
+    spread = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut_lineage(spread.drop("_tie").withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    whole = Window.partitionBy(*on)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = placed.groupBy("_part", *on).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n")).select(
+        "_part", *on, (before - F.col("_low") + 1).alias("_base"), F.sum("_n").over(whole).alias("_all_rows"))
+    out = placed.join(spans, ["_part", *on]).withColumn(name, F.col("_at") + F.col("_base"))
+    if count:
+        out = out.withColumn(count, F.col("_all_rows"))
+    return out.drop("_part", "_at", "_base", "_all_rows", *(["_all"] if not by else []))
 
 
 def one_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:

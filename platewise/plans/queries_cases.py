@@ -39,7 +39,49 @@ cte("es_table", """
 SELECT profile, collection, term, CASE WHEN max(after_) >= -min(before_) THEN max(after_) ELSE min(before_) END AS es, max(set_size) AS set_size,
  arg_max(rank, (round(after_, 12), -rank)) AS peak_up, arg_min(rank, (round(before_, 12), rank)) AS peak_down FROM es_runs GROUP BY ALL
 """)
-cte("enriched", "SELECT profile, collection, term, es * 3 AS nes, greatest(0, 1 - 4 * abs(es)) AS fdr_q FROM es_table")
+PERMUTATIONS, SEED = 5000, 42
+
+
+def mix_sql(x: str) -> str:
+    """The 32-bit mix of `enrichment.permuted_ranks`."""
+    x = f"((xor({x}, ({x}) >> 16) * 2246822507) & 4294967295)"
+    x = f"((xor({x}, {x} >> 13) * 3266489909) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
+cte("permutations", f"SELECT perm, {mix_sql(f'((perm * 2654435769 + {SEED}) & 4294967295)')} AS own FROM (SELECT range::UBIGINT AS perm FROM range({PERMUTATIONS}))")
+cte("dealt", f"""
+SELECT profile, perm, rank, row_number() OVER (PARTITION BY profile, perm ORDER BY k) AS pos FROM
+ (SELECT profile, perm, rank, {mix_sql('xor(k, own)')} AS k FROM (SELECT profile, perm, rank, own, {mix_sql('((rank - 1 + own) & 4294967295)')} AS k FROM (SELECT profile, rank::UBIGINT AS rank FROM ranked), permutations))
+""")
+cte("null_hits", """
+SELECT profile, collection, term, perm, pos, abs(w.score) AS w, set_size, w.n_genes FROM dealt d JOIN set_hits h USING (profile, rank) JOIN (SELECT profile, rank AS pos, score, n_genes FROM ranked) w USING (profile, pos)
+""")
+cte("null_es", """
+SELECT profile, collection, term, perm, CASE WHEN max(a) >= -min(b) THEN max(a) ELSE min(b) END AS es0 FROM
+ (SELECT *, cum / tot - (pos - kth) / (n_genes - set_size)::DOUBLE AS a, (cum - w) / tot - (pos - kth) / (n_genes - set_size)::DOUBLE AS b FROM
+ (SELECT *, sum(w) OVER (PARTITION BY profile, collection, term, perm) AS tot, sum(w) OVER (PARTITION BY profile, collection, term, perm ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum,
+  row_number() OVER (PARTITION BY profile, collection, term, perm ORDER BY pos) AS kth FROM null_hits)) GROUP BY ALL
+""")
+cte("null_means", """
+SELECT profile, collection, term, any_value(e.es) AS es, any_value(e.set_size) AS set_size, avg(es0) FILTER (es0 >= 0) AS m_up, -avg(es0) FILTER (es0 < 0) AS m_down,
+ count(*) FILTER (sign(es0) = sign(e.es) AND abs(es0) >= abs(e.es)) / nullif(count(*) FILTER (sign(es0) = sign(e.es)), 0)::DOUBLE AS nominal_p FROM null_es JOIN es_table e USING (profile, collection, term) GROUP BY ALL
+""")
+cte("normed", "SELECT *, es / CASE WHEN es >= 0 THEN m_up ELSE m_down END AS nes FROM null_means")
+cte("null_nes", "SELECT profile, collection, perm, es0 / CASE WHEN es0 >= 0 THEN m_up ELSE m_down END AS nes0 FROM null_es JOIN normed USING (profile, collection, term) WHERE nes IS NOT NULL")
+cte("null_share", """
+SELECT profile, collection, term, count(*) FILTER (nes0 >= 0 AND nes >= 0 AND nes0 >= nes OR nes0 < 0 AND nes < 0 AND nes0 <= nes) / nullif(count(*) FILTER ((nes0 >= 0) = (nes >= 0)), 0)::DOUBLE AS share
+ FROM normed JOIN null_nes USING (profile, collection) WHERE nes IS NOT NULL GROUP BY ALL
+""")
+cte("seen_share", """
+SELECT a.profile, a.collection, a.term, count(*) FILTER (abs(b.nes) >= abs(a.nes)) / count(*)::DOUBLE AS share FROM normed a JOIN normed b ON a.profile = b.profile AND a.collection = b.collection AND (a.nes >= 0) = (b.nes >= 0) GROUP BY ALL
+""")
+cte("extremes", "SELECT profile, collection, perm, max(nes0) AS top, min(nes0) AS bottom FROM null_nes GROUP BY ALL")
+cte("family", "SELECT profile, collection, term, avg(CASE WHEN nes >= 0 THEN top >= nes ELSE bottom <= nes END::INT) AS fwer_p FROM normed JOIN extremes USING (profile, collection) WHERE nes IS NOT NULL GROUP BY ALL")
+cte("enriched", """
+SELECT n.profile, n.collection, n.term, n.set_size, n.es, n.nes, n.nominal_p, least(1, o.share / s.share) AS fdr_q, f.fwer_p FROM normed n LEFT JOIN null_share o USING (profile, collection, term)
+ LEFT JOIN seen_share s USING (profile, collection, term) LEFT JOIN family f USING (profile, collection, term)
+""")
 cte("edges", """
 SELECT h.profile, h.collection, h.term, string_agg(symbol, ';' ORDER BY rank) AS leading_edge_genes, count(*) AS n_edge FROM set_hits h JOIN es_table e USING (profile, collection, term)
 WHERE CASE WHEN es >= 0 THEN rank <= peak_up ELSE rank >= peak_down END GROUP BY ALL
@@ -47,9 +89,9 @@ WHERE CASE WHEN es >= 0 THEN rank <= peak_up ELSE rank >= peak_down END GROUP BY
 cte("compared", """
 WITH w AS (SELECT collection, term, max(nes) FILTER (profile = 'target') AS target_nes, max(nes) FILTER (profile = 'reference') AS reference_nes, max(nes) FILTER (profile = 'prediction') AS prediction_nes,
  max(fdr_q) FILTER (profile = 'target') AS target_fdr FROM enriched GROUP BY ALL)
-SELECT *, abs(reference_nes - target_nes) AS reference_abs_delta, abs(prediction_nes - target_nes) AS prediction_abs_delta, target_fdr < 0.3 AS significant,
- CASE WHEN target_fdr < 0.3 THEN sign(reference_nes) = sign(target_nes) END AS reference_sign_agrees, CASE WHEN target_fdr < 0.3 THEN sign(prediction_nes) = sign(target_nes) END AS prediction_sign_agrees,
- target_fdr < 0.3 AND (sign(reference_nes) <> sign(target_nes) OR abs(reference_nes - target_nes) >= 0.4) AS target_specific
+SELECT *, abs(reference_nes - target_nes) AS reference_abs_delta, abs(prediction_nes - target_nes) AS prediction_abs_delta, target_fdr < 0.05 AS significant,
+ CASE WHEN target_fdr < 0.05 THEN sign(reference_nes) = sign(target_nes) END AS reference_sign_agrees, CASE WHEN target_fdr < 0.05 THEN sign(prediction_nes) = sign(target_nes) END AS prediction_sign_agrees,
+ target_fdr < 0.05 AND (sign(reference_nes) <> sign(target_nes) OR abs(reference_nes - target_nes) >= 1) AS target_specific
 FROM w WHERE target_nes IS NOT NULL AND reference_nes IS NOT NULL AND prediction_nes IS NOT NULL
 """)
 
@@ -78,13 +120,12 @@ def gene_sets(t: Tables):
 
 
 def enriched(t: Tables):
-    """Score table of all sets and profiles with a significance stand-in derived from the score."""
-    es = E.enrichment_scores(E.hits_of(ranked(t), gene_sets(t), ["profile"]), ["profile"])
-    return es.select("profile", "collection", "term", (F.col("es") * 3).alias("nes"), F.greatest(F.lit(0.0), 1 - 4 * F.abs("es")).alias("fdr_q"))
+    """Permutation test of all sets in all profiles."""
+    return E.permutation_test(cut_lineage(ranked(t)), gene_sets(t), ["profile"], PERMUTATIONS, SEED)
 
 
 def compared(t: Tables):
-    return E.compare_pathways(enriched(t), 0.3, 0.4)
+    return E.compare_pathways(enriched(t))
 
 
 def edges(t: Tables):
@@ -201,9 +242,9 @@ def gsea_edge(t):
     return edges(t)
 
 
-@query("q_gsea_nes")
+@query("q_gsea_nes", "SELECT profile, collection, term, set_size, es, nes, nominal_p, fdr_q, fwer_p FROM enriched", "es nes nominal_p fdr_q fwer_p")
 def gsea_nes(t):
-    return E.permutation_test(cut_lineage(ranked(t)), gene_sets(t), ["profile"], n_perm=20)
+    return enriched(t)
 
 
 COMPARE = "target_nes reference_nes prediction_nes reference_abs_delta prediction_abs_delta"
@@ -258,5 +299,6 @@ WITH c AS (SELECT term, error, NULL AS nes, 'candidate' AS record_type FROM (SEL
 SELECT c.*, term IN (SELECT term FROM enriched WHERE profile = 'target' AND nes > 0) AS has_enrichment FROM c
 """, "error nes")
 def candidate_union(t):
-    c = compared(t).filter("target_specific").select("term", F.col("reference_abs_delta").alias("error"))
-    return E.candidate_union(c, enriched(t).filter("profile = 'target' and nes > 0").select("term", "nes"), "term")
+    e = cut_lineage(enriched(t))
+    c = E.compare_pathways(e).filter("target_specific").select("term", F.col("reference_abs_delta").alias("error"))
+    return E.candidate_union(c, e.filter("profile = 'target' and nes > 0").select("term", "nes"), "term")

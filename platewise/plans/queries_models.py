@@ -215,8 +215,9 @@ def lasso(t):
 
 @query("q_gbt")
 def gbt(t):
+    """Every gene, 50 rounds of depth 6."""
     b = cut_lineage(I.bundle(t).drop("yhat"))
-    return S.per_gene_trees(b.filter("split = 'train'"), b.filter("split = 'test'"), "ref", "y", [3], KEY, rounds=5, depth=4)
+    return S.per_gene_trees(b.filter("split = 'train'"), b.filter("split = 'test'"), "ref", "y", KEY)
 
 
 @query("q_best_epoch", """

@@ -123,6 +123,47 @@ def test_permutation_test_finds_a_planted_set(spark):
     assert r["mixed"].nominal_p > 0.05
 
 
+def walked(scores, members):
+    """Enrichment score of a set of positions by walking the list."""
+    total = sum(abs(scores[i]) for i in members)
+    run, up, down = 0.0, -np.inf, np.inf
+    for i, s in enumerate(scores):
+        down = min(down, run) if i in members else down
+        run += abs(s) / total if i in members else -1 / (len(scores) - len(members))
+        up = max(up, run) if i in members else up
+    return up if up >= -down else down
+
+
+def test_permutation_test_like_a_plain_one(spark):
+    """Two lists, two collections, 70 permutations in blocks of 30: every number again from whole arrays of null scores."""
+    rng = np.random.default_rng(11)
+    n, perms = 50, 70
+    lists = {p: np.sort(rng.normal(size=n))[::-1] for p in ("a", "b")}
+    sets = {("c", "top"): list(range(15)), ("c", "mixed"): list(range(3, 50, 3)), ("c", "low"): list(range(30, 50)), ("d", "odd"): list(range(1, 40, 2))}
+    ranked = spark.createDataFrame([(p, f"g{i:02d}", float(v)) for p, s in lists.items() for i, v in enumerate(s)], "profile string, symbol string, score double")
+    terms = spark.createDataFrame([(c, t, f"g{i:02d}") for (c, t), m in sets.items() for i in m], "collection string, term string, symbol string")
+    got = {(r.profile, r.collection, r.term): r for r in E.permutation_test(E.ranked_list(ranked, ["profile"]), terms, ["profile"], perms, seed=5, block=30).collect()}
+    moved = E.permuted_ranks(n, np.arange(perms), 5)
+    assert sorted(map(tuple, np.sort(moved, axis=1).tolist())) == [tuple(range(n))] * perms and len(set(map(tuple, moved.tolist()))) == perms
+    assert set(got) == {(p, *k) for p in lists for k in sets}
+    for p, scores in lists.items():
+        null = {k: np.array([walked(scores, {int(row[i]) for i in m}) for row in moved]) for k, m in sets.items()}
+        seen = {k: walked(scores, set(m)) for k, m in sets.items()}
+        up, down = ({k: v[v >= 0].mean() for k, v in null.items()}, {k: -v[v < 0].mean() for k, v in null.items()})
+        norm = lambda k, v: np.where(v >= 0, v / up[k], v / down[k])
+        for k in sets:
+            r, es, nes = got[(p, *k)], seen[k], float(norm(k, np.array(seen[k])))
+            mates = [m for m in sets if m[0] == k[0]]
+            pool = np.concatenate([norm(m, null[m]) for m in mates])
+            pool = np.abs(pool[(pool >= 0) == (nes >= 0)])
+            own = np.abs([v for m in mates for v in [float(norm(m, np.array(seen[m])))] if (v >= 0) == (nes >= 0)])
+            fdr = min(1, (pool >= abs(nes)).mean() / (own >= abs(nes)).mean())
+            ends = np.stack([norm(m, null[m]) for m in mates])
+            fwer = (ends.max(axis=0) >= nes).mean() if nes >= 0 else (ends.min(axis=0) <= nes).mean()
+            same = null[k][np.sign(null[k]) == np.sign(es)]
+            assert [r.es, r.nes, r.nominal_p, r.fdr_q, r.fwer_p, r.set_size] == pytest.approx([es, nes, (np.abs(same) >= abs(es)).mean(), fdr, fwer, len(sets[k])]), (p, k)
+
+
 def test_enrichment_score_by_walking_the_list(spark):
     rng = np.random.default_rng(10)
     scores = np.sort(rng.normal(size=60))[::-1]
