@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.hashing import md5_key
 from platewise.operators.pairs import CONDITION, distinct_fingerprints, neighbour_pairs
+from platewise.plans.ordering import numbered
 from platewise.session import cut_lineage
 
 
@@ -56,28 +58,67 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("centroid", "neighbours").agg(F.count(F.lit(1)).alias("size"))
 
 
-def fill_split(clusters: DataFrame, order: Sequence[Column], key: str, size: str = "size", val: float = 0.1, test: float = 0.1) -> DataFrame:
+#: Clusters that a task of `fill_split` walks.
+BLOCK = 65_536
+PARTS = ("train", "val", "test")
+
+
+def picks(limit: np.ndarray, have: int, size: int) -> np.ndarray:
+    """How many clusters of one size a part has taken after each offer, if it takes one whenever it holds less than the offer's limit (limits never fall). With L the clusters that
+    fit below a limit, it is the least of (offers, L at any earlier offer + offers since)."""
+    n = np.arange(1, len(limit) + 1)
+    fits = np.maximum(-((have - np.ceil(limit).astype(np.int64)) // size), 0)
+    return np.minimum(n, n + np.minimum.accumulate(fits - n)) if len(n) else n
+
+
+def after_run(state: tuple[int, int, int], size: int, count: int, train: float, val: float) -> tuple[int, int, int]:
+    """Members of train, validation and test after `count` clusters of one size, without walking them."""
+    a, b, c = state
+    seen = a + b + c + size * np.arange(1, count + 1)
+    taken = picks(train * seen, a, size)
+    others = seen[np.diff(taken, prepend=0) == 0]
+    x, y = int(taken[-1]), int(picks(val * others, b, size)[-1]) if len(others) else 0
+    return a + x * size, b + y * size, c + (count - x - y) * size
+
+
+def walk(state: tuple[int, int, int], sizes: Sequence[int], train: float, val: float) -> tuple[tuple[int, int, int], list[str]]:
+    n, out = list(state), []
+    for s in sizes:
+        seen = sum(n) + s
+        k = 0 if n[0] < train * seen else 1 if n[1] < val * seen else 2
+        n[k] += s
+        out.append(PARTS[k])
+    return tuple(n), out
+
+
+def fill_split(clusters: DataFrame, order: Sequence[Column], key: str, size: str = "size", val: float = 0.1, test: float = 0.1, block: int = BLOCK) -> DataFrame:
     """Walk the clusters in order: train while it is below its share of everything seen, then validation, else test.
 
-    The walk depends on its own past, so it is one pass over (key, size), one short row per cluster, sorted by
-    Spark and read as a stream with two counters; members are joined back in parallel.
-    """
+    Clusters are numbered by a range sort and cut into blocks. Only the runs of equal sizes in a row, about sqrt(2 x members) where the order is by size, come to the driver,
+    which steps over each run in closed form and so finds the state at every block's start; blocks are then walked in parallel. Clusters that tie in the whole order stand in any order."""
     train = 1.0 - val - test
     kind = dict(clusters.dtypes)[key]
-
-    def walk(frames):
-        n = {"train": 0, "val": 0, "test": 0}
-        for frame in frames:
-            out = []
-            for s in frame["s"]:
-                seen = sum(n.values()) + s
-                part = "train" if n["train"] < train * seen else "val" if n["val"] < val * seen else "test"
-                n[part] += s
-                out.append(part)
-            yield pd.DataFrame({key: frame[key], "split": out})
-
-    rows = clusters.orderBy(*order).select(key, F.col(size).alias("s")).coalesce(1)
-    return rows.mapInPandas(walk, f"{key} {kind}, split string")
+    placed = numbered(clusters, [], order, "_place").select(key, F.col(size).cast("bigint").alias("_size"), "_place", F.floor((F.col("_place") - 1) / block).alias("_block"))
+
+    def runs(frame: pd.DataFrame) -> pd.DataFrame:
+        s = frame.sort_values("_place")["_size"].to_numpy()
+        start = np.flatnonzero(np.diff(s, prepend=-1) != 0)
+        return pd.DataFrame({"block": int(frame["_block"].iloc[0]), "at": start, "size": s[start], "count": np.diff(np.append(start, len(s)))})
+
+    found = placed.select("_place", "_size", "_block").groupBy("_block").applyInPandas(runs, "block bigint, at bigint, size bigint, count bigint").toPandas().sort_values(["block", "at"])
+    state, states = (0, 0, 0), {}
+    for r in found.itertuples():
+        states.setdefault(r.block, state)
+        state = after_run(state, r.size, r.count, train, val) if r.count > 8 else walk(state, [r.size] * r.count, train, val)[0]
+    spark = clusters.sparkSession
+    starts = spark.createDataFrame([(k, *v) for k, v in states.items()], "_block bigint, _a bigint, _b bigint, _c bigint")
+
+    def assigned(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_place")
+        first = tuple(int(frame[c].iloc[0]) for c in ("_a", "_b", "_c"))
+        return pd.DataFrame({key: frame[key], "split": walk(first, frame["_size"].tolist(), train, val)[1]})
+
+    return placed.join(starts, "_block").groupBy("_block").applyInPandas(assigned, f"`{key}` {kind}, split string")
 
 
 def split_cell_lines(obs: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42, min_obs: int = 0,

@@ -7,6 +7,8 @@ alone, so a window sees only the distinct values of one range, and the plan is t
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +38,12 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: st
     whole = Window.partitionBy(*on)
     before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = placed.groupBy("_part", *on).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n")).select(
-        "_part", *on, (before - F.col("_low") + 1).alias("_base"), F.sum("_n").over(whole).alias("_all_rows"))
-    out = placed.join(spans, ["_part", *on]).withColumn(name, F.col("_at") + F.col("_base"))
+        F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)], (before - F.col("_low") + 1).alias("_base"), F.sum("_n").over(whole).alias("_all_rows"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(on)]  # a null group is one, too
+    out = placed.join(spans, reduce(and_, same, F.col("_part") == F.col("_p"))).withColumn(name, F.col("_at") + F.col("_base"))
     if count:
         out = out.withColumn(count, F.col("_all_rows"))
-    return out.drop("_part", "_at", "_base", "_all_rows", *(["_all"] if not by else []))
+    return out.drop("_part", "_p", "_at", "_base", "_all_rows", *(f"_g{i}" for i in range(len(on))), *([] if by else ["_all"]))
 
 
 def one_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:

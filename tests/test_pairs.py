@@ -1,5 +1,7 @@
 """Tiled pair operators against brute force, with hot groups and small tiles."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +144,38 @@ def test_fill_split_walk(spark):
         assert got[o] == part
 
 
+@pytest.mark.parametrize("val, test", [(0.1, 0.1), (0.3, 0.0), (0.25, 0.05), (0.45, 0.45), (0.0, 0.2)])
+def test_fill_split_over_runs_and_blocks(spark, val, test):
+    rng = np.random.default_rng(int(100 * val))
+    for sizes in (np.sort(rng.geometric(0.3, 400))[::-1], rng.integers(1, 40, 60), np.repeat([500, 1], [1, 300]), np.repeat([3, 1, 7], [90, 200, 50])):
+        sizes = sizes.tolist()
+        state, expect = L.walk((0, 0, 0), sizes, 1.0 - val - test, val)
+        got = (0, 0, 0)
+        for s, run in itertools.groupby(sizes):
+            got = L.after_run(got, s, len(list(run)), 1.0 - val - test, val)
+        assert got == state
+    df = spark.createDataFrame(list(enumerate(sizes)), "o int, size int").repartition(4)
+    got = {r.o: r.split for r in L.fill_split(df, [F.asc("o")], "o", val=val, test=test, block=37).collect()}
+    assert [got[i] for i in range(len(sizes))] == expect
+
+
+def test_numbered_places(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if i % 3 else None if i % 2 else "b", int(v)) for i, v in enumerate(rng.integers(0, 30, 500))]
+    got = ordering.numbered(spark.createDataFrame(rows, "g string, v int").repartition(7), ["g"], [F.desc("v")], "r", "n").collect()
+    for g in ("hot", "b", None):
+        own = sorted((r.r, r.v, r.n) for r in got if r.g == g)
+        want = sorted((v for k, v in rows if k == g), reverse=True)
+        assert [r[0] for r in own] == list(range(1, len(want) + 1)) and [r[1] for r in own] == want and {r[2] for r in own} == {len(want)}
+
+
+def test_ranks_of_infinite_values(spark):
+    x = [float("inf"), float("-inf"), 1.0, 1.0 + 1e-12, -0.0, 1e300, -1e300, 5e-324, float("inf")]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    ranks = average_rank_map(np.array(x))
+    assert [r.r for r in ordering.with_average_rank(df, [], "v", "r").collect()] and all(r.r == ranks[r.v] for r in ordering.with_average_rank(df, [], "v", "r").collect())
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(60, 8))
