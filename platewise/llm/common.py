@@ -39,7 +39,16 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", "6").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_in = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what `staged` wrote for these frames. Only for tables that nothing reads any more: all that was made from them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_in)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row_id(df: DataFrame, name: str = "__row") -> tuple[DataFrame, str]:
@@ -76,7 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
-        e = staged(small.select("s.u", F.col("s.m").alias("v")).filter("u <> v").distinct(), "edges")
+        last, e = e, staged(small.select("s.u", F.col("s.m").alias("v")).filter("u <> v").distinct(), "edges")
+        discard(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
