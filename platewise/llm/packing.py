@@ -17,6 +17,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from platewise.llm.common import col, slices, staged
 
@@ -30,12 +31,28 @@ END_ID = 1
 PIECES = "doc_tokens bigint, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
 
 
-def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
-    """Token ids of a text by the byte-level vocabulary in a rank file, with no special tokens."""
+def byte_bpe(path: str, tokenizer: str | None = None) -> Callable[[str], np.ndarray]:
+    """Token ids of a text by the byte-level vocabulary in a rank file. `tokenizer` names the JSON file of the same vocabulary: texts that hold one of its added tokens are
+    encoded by it, so that these become their own ids; without it they are ordinary text."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    whole = Tokenizer.from_file(tokenizer) if tokenizer else None
+    added = [t.content for t in whole.get_added_tokens_decoder().values()] if whole else []
+
+    def encode(text: str) -> np.ndarray:
+        if any(t in text for t in added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return encoding.encode_to_numpy(text, disallowed_special=())
+
+    return encode
+
+
+def encoder(vocabulary: str | None, tokenizer: str | None) -> Callable[[str], np.ndarray]:
+    """`byte_bpe` of the named files; without names of the public 50k byte-level vocabulary."""
+    if vocabulary is None and tokenizer is None:
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return byte_bpe(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), tokenizer)
 
 
 class Packer:
@@ -71,17 +88,18 @@ class Packer:
 
 
 def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, length: int = LENGTH,
-         open_windows: int = OPEN, group: int = GROUP, end_id: int = END_ID) -> DataFrame:
+         open_windows: int = OPEN, group: int = GROUP, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: `keep`, `doc_tokens` (ids of the document with its end id), `start` and `length` of the piece, its `ids` (unsigned 32-bit,
     little-endian), `sequence_id` and `offset`. Every id lies in exactly one piece; sequences hold at most `length` ids and only those left over
     at the end of a merge group are short, cut so that each is a power of two long and needs no padding.
 
     Null texts count as empty (one piece holding the end id); repeated rows are packed each; other columns are left out; an empty table gives an
-    empty result. `vocabulary` names a rank file; executors open it at the same path (default: the public 50k byte-level vocabulary)."""
+    empty result. `vocabulary` names a rank file and `tokenizer` the JSON file with its added tokens; executors open them at the same paths (default: the public 50k
+    byte-level vocabulary)."""
     names = list(keep)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = encoder(vocabulary, tokenizer)
         task = TaskContext.get().partitionId()
         rows: list = []
         sequence = [task << 32]

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import col, slices, staged
-from platewise.llm.packing import byte_bpe
+from platewise.llm.packing import encoder
 from platewise.session import scratch_path
 
 LENGTH = 2048
@@ -61,12 +60,12 @@ class Permutation:
         return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
+def sequences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary: str | None = None, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """Rows (part, idx, n_tokens, doc_ids, ids): the partition's token stream cut every `length` ids, 16 bits each; only a partition's last sequence
     is shorter. `doc_ids` are the documents that have ids in it, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = encoder(vocabulary, tokenizer)
         part, idx, held, owners, filled = TaskContext.get().partitionId(), 0, [], [], 0
         end, rows = np.array([END_ID], "<u2"), []
 

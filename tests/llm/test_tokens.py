@@ -90,3 +90,14 @@ def test_packing_empty_and_query(spark):
     check_packing(rows, packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect(), 2048)
     got = entry_points.queries()["op5_pack_bounded"](spark, SF)
     assert set(got.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and got.count() >= len(rows)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|> hi", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endoftext|", "plain", "", "naïve 漢字 <|endoftext|> 😀"])
+def test_added_tokens_are_their_own_ids(text):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(None, None)(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_with_added_tokens(spark):
+    rows = [(1, "<|endoftext|> hi"), (2, "x <|endoftext|>" * 300), (3, None)]
+    check_packing(rows, packing.pack(frame(spark, rows), length=64).collect(), 64)
