@@ -18,12 +18,17 @@ ROUNDS = 8
 #: A cycle of the Gregorian calendar, 400 years of 146,097 days, as the product of two near factors.
 CYCLE, WEEKS, DAYS = 146097, 189, 773
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}"
-SECRET = r"(?i:(?:token|key|secret|password)\s?[=:]\s?\"?)[0-9A-Fa-f]{32,120}+(?![0-9A-Za-z])"
+#: Letters and digits that are permuted, each within its own row: first code point and number of characters.
+ALPHABETS = [(0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x3B1, 25), (0x410, 32), (0x430, 32), (0x4E00, 20902)]
+LETTERS = "0-9A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00E0-\u00F6\u00F8-\u00FF\u03B1-\u03C9\u0410-\u044F\u4E00-\u9FA5"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}][\p{L}\p{N}.-]{0,250}\.\p{L}{2,24}"
+SECRET = r"(?i:(?:token|key|secret|password)\s?[=:]\s?[\"']?)[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 DATE_YMD = r"(?<![\d./-])\d{4}-\d{2}-\d{2}(?![\d/-]|\.\d)"
 DATE_DMY = r"(?<![\d./-])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/-]|\.\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 PHONE = r"(?<![\d+])\+(?:\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}|[ .-]\d){3,6})(?!\d)"
+#: Country codes of telephone numbers.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: A run of digit groups, in which the cards are looked for; it ends before dates, national numbers and what goes on after a point or stroke.
 CARD = r"(?<!\d)(?<!\d\.)\d(?:(?:[ -](?!\d+[./]\d|\d{4}-\d{2}-\d{2}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)))?\d){12,}+(?!\.\d)"
 #: Characters of an account number by country.
@@ -47,37 +52,47 @@ def digits(text: Column) -> Column:
 
 
 def add_digest(text: Column, digest: Column, hexadecimal: bool) -> Column:
-    """Each digit moved by a byte of the hex `digest` within 0-9, each letter within its case's alphabet (a-f in hexadecimal values)."""
-    letters = 6 if hexadecimal else 26
-
+    """Each digit moved by a byte of the hex `digest` within 0-9, each letter within its alphabet (a-f in hexadecimal values)."""
     def moved(i: Column) -> Column:
         c = F.ascii(F.substring(text, i, F.lit(1)))
         by = F.conv(F.substring(digest, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-        base = F.when(c < 58, 48).when(c < 91, 65).otherwise(97)
-        return F.char(base + (c - base + by) % F.when(c < 58, 10).otherwise(letters))
+        if hexadecimal:
+            base = F.when(c < 58, 48).when(c < 91, 65).otherwise(97)
+            return F.char(base + (c - base + by) % F.when(c < 58, 10).otherwise(6))
+        base, size = c, F.lit(1)
+        for first, many in ALPHABETS:
+            here = c.between(first, first + many - 1)
+            base, size = F.when(here, first).otherwise(base), F.when(here, many).otherwise(size)
+        return let(base + (c - base + by) % size, lambda n: F.when(n < 128, F.char(n)).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")))
 
     n = F.length(text)
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), moved), "")).otherwise("")
 
 
+def long_digest(base: Column, size: Column) -> Column:
+    """Hex digits for `size` characters, two each: a digest for every 64."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((size - 1) / 64).cast("int"))), lambda j: F.sha2(F.concat_ws("|", base, j.cast("string")), 512))
+    return F.concat(F.sha2(base, 512), F.when(size > 64, F.array_join(more, "")).otherwise(""))
+
+
 def feistel(core: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
-    """Permutation of letter-and-digit strings of up to 128 characters of one length and character pattern."""
+    """Permutation of letter-and-digit strings of one length and character pattern."""
     half = F.floor(F.length(core) / 2).cast("int")
     start = F.struct(F.substring(core, F.lit(1), half).alias("l"), F.substring(core, half + 1, F.length(core)).alias("r"))
 
     def step(s: Column, turn: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), s["r"]), 512)
+        digest = long_digest(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), s["r"]), F.length(s["l"]))
         return F.struct(s["r"].alias("l"), let(digest, lambda d: add_digest(s["l"], d, hexadecimal)).alias("r"))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     return let(end, lambda s: F.concat(s["l"], s["r"]))
 
 
-def put_back(form: Column, core: Column) -> Column:
+def put_back(form: Column, core: Column, letters: str = "0-9A-Za-z") -> Column:
     """`core` written over the letters and digits of `form`, separators left in place."""
     def at(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
-        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(core, before, F.lit(1))).otherwise(c)
+        before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i + 1), f"[^{letters}]", ""))
+        return F.when(c.rlike(f"[{letters}]"), F.substring(core, before, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.split(form, ""), at), "")
 
@@ -214,13 +229,13 @@ def pseudonym(m: Column, key: str) -> Column:
     whole = lambda p: F.lit(f"^(?:{p})$")
     is_a = lambda p: F.regexp_like(m, whole(p))
     local, rest = F.regexp_extract(m, "^[^@]+", 0), F.regexp_extract(m, "@.*$", 0)
-    name = F.regexp_extract(m, "^.*?[=:]\\s?\"?", 0)
+    name = F.regexp_extract(m, "^.*?[=:]\\s?[\"']?", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    prefix = F.regexp_extract(m, r"^\+\d{1,3}", 0)
+    prefix = F.regexp_extract(m, COUNTRY, 0)
     number = F.substring(m, F.length(prefix) + 1, F.length(m))
-    mixed = lambda x: F.regexp_replace(x, "[^0-9A-Za-z]", "")
+    mixed = lambda x: F.regexp_replace(x, f"[^{LETTERS}]", "")
     single = (
-        F.when(F.contains(m, F.lit("@")), F.concat(put_back(local, feistel(mixed(local), key, "email")), rest))
+        F.when(F.contains(m, F.lit("@")), F.concat(put_back(local, feistel(mixed(local), key, "email"), LETTERS), rest))
         .when(F.regexp_like(m, F.lit("[=:]")), F.concat(name, feistel(value, key, "secret", True)))
         .when(is_a(DATE_YMD) | is_a(DATE_DMY), F.when(date_valid(m), date(m, key)))
         .when(is_a(ADDRESS), F.when(octets_valid(m), address(m, key)))
@@ -234,8 +249,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_pseudonyms") -> DataFrame:
     """`docs` with the personal values in `text` replaced and their number added as `count` (numbered if the frame has such a column).
 
-    Values: e-mail addresses (the local part), telephone numbers after the country code, valid IPv4 addresses, payment cards and account numbers
-    (check digits renewed), calendar dates, national numbers of the form 3-2-4, and hexadecimal secrets named as such. What fails its validation is left as it is, as
+    Values: e-mail addresses (the local part; Latin, Greek, Cyrillic and Han letters), telephone numbers after the country code, valid IPv4 addresses, payment cards and account numbers
+    (check digits renewed), calendar dates, national numbers of the form 3-2-4, and hexadecimal secrets of 32 digits and more named as such. What fails its validation is left as it is, as
     is all other text. Null stays null with count 0; repeated rows get the same result; all other columns are kept."""
     source = col(text).cast("string")
     marks = F.transform(F.regexp_extract_all(source, F.lit(PATTERN), 0), lambda m: let(pseudonym(m, key), lambda p: F.struct(m.alias("was"), p["now"].alias("now"), p["n"].alias("n"))))
