@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-An automaton over the lexicon finds insults and threats; only the clauses that hold one are read further. There the words become symbols (insult, threat,
-target, negation, reported speech, quotation mark, other), and a machine composed of the transducers for negation, reported speech and target weighs every insult or
-threat by the state it is met in. Clauses are scored, not words, and a logistic model over the clause scores gives a document's probability.
+An automaton over the lexicon finds words that may insult or threaten; only the clauses that hold one are read further. There the words become symbols (insult, threat,
+target, negation, reported speech, quotation mark, other). The weighted transducers for insult, threat, negation, reported speech and target are composed into one machine that reads a clause
+from the left, the target's is read from the right as well; what they mark is weighed by the product of their factors. Clauses are scored, not words, and a logistic model over the clause scores
+gives a document's probability.
 Lexicon weights are learnt from labels: whole words, and stems of compounds.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import col, slices
+from platewise.llm.common import col, slices, staged
 from platewise.llm.labelled import fit_logistic, held_out, sample
 from platewise.llm.simhash_golay import shingle_hashes
 
@@ -41,31 +42,33 @@ CLAUSE_END = re.compile(r"[.!?;\n\r]")
 TOKEN = re.compile(rf"[\w']+|[{QUOTES}]")
 SYMBOLS = "IHTNRQo"
 
-#: Weight of a match by what it is modified by.
-FACTORS = {"targeted": 1.5, "negated": 0.3, "reported": 0.5}
-
-
 @dataclass(frozen=True)
 class Transducer:
-    """A finite-state machine over SYMBOLS that marks insults and threats (I, H) met in some of its states."""
+    """A weighted finite-state machine over SYMBOLS: it goes from state to state, and marks and weighs some of the symbols it reads by the state it is in."""
 
     mark: str
+    factor: float
     table: tuple[tuple[int, ...], ...]  # next state by state and symbol
-    marking: tuple[bool, ...]  # whether a state marks
+    marking: tuple[tuple[bool, ...], ...]  # whether the symbol is marked, by state and symbol
 
 
-def machine(mark: str, states: int, step, marking) -> Transducer:
-    return Transducer(mark, tuple(tuple(step(s, c) for c in SYMBOLS) for s in range(states)), tuple(marking(s) for s in range(states)))
+def machine(mark: str, factor: float, states: int, step, marks) -> Transducer:
+    return Transducer(mark, factor, tuple(tuple(step(s, c) for c in SYMBOLS) for s in range(states)), tuple(tuple(marks(s, c) for c in SYMBOLS) for s in range(states)))
 
 
-#: Negation reaches three words on; reported speech lasts to the clause's end, quotation marks switch it; a target stands before.
-NEGATION = machine("negated", 4, lambda s, c: 3 if c == "N" else max(0, s - 1), lambda s: s > 0)
-REPORTED = machine("reported", 2, lambda s, c: 1 if c == "R" else 1 - s if c == "Q" else s, lambda s: s == 1)
-TARGETED = machine("targeted", 2, lambda s, c: 1 if c == "T" else s, lambda s: s == 1)
+MATCHES = "IH"
+#: Insults and threats are marked wherever they stand. Negation reaches three words on; reported speech lasts to the clause's end, quotation marks switch it; a target stands
+#: before the match, read from the left, or after it, read from the right.
+INSULT = machine("insult", 1.0, 1, lambda s, c: 0, lambda s, c: c == "I")
+THREAT = machine("threat", 1.0, 1, lambda s, c: 0, lambda s, c: c == "H")
+NEGATION = machine("negated", 0.3, 4, lambda s, c: 3 if c == "N" else max(0, s - 1), lambda s, c: s > 0 and c in MATCHES)
+REPORTED = machine("reported", 0.5, 2, lambda s, c: 1 if c == "R" else 1 - s if c == "Q" else s, lambda s, c: s == 1 and c in MATCHES)
+TARGETED = machine("targeted", 1.5, 2, lambda s, c: 1 if c == "T" else s, lambda s, c: s == 1 and c in MATCHES)
+FACTORS = {t.mark: t.factor for t in (INSULT, THREAT, NEGATION, REPORTED, TARGETED)}
 
 
-def compose(*parts: Transducer) -> tuple[list[list[int]], list[frozenset[str]]]:
-    """The product of transducers that read the same symbols: next state by state and symbol, and the marks of each state. State 0 is the start."""
+def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[frozenset[str]]]]:
+    """The product of transducers that read the same symbols: next state, and the marks it gives, by state and symbol. State 0 is the start."""
     start = (0,) * len(parts)
     index, order, table = {start: 0}, [start], []
     for state in order:
@@ -77,7 +80,16 @@ def compose(*parts: Transducer) -> tuple[list[list[int]], list[frozenset[str]]]:
                 order.append(after)
             row.append(index[after])
         table.append(row)
-    return table, [frozenset(p.mark for p, s in zip(parts, state) if p.marking[s]) for state in order]
+    return table, [[frozenset(p.mark for p, s in zip(parts, state) if p.marking[s][k]) for k in range(len(SYMBOLS))] for state in order]
+
+
+def read(machine: tuple[list[list[int]], list[list[frozenset[str]]]], symbols: list[int]) -> list[frozenset[str]]:
+    """The marks of each symbol of a clause."""
+    (table, marks), state, out = machine, 0, []
+    for k in symbols:
+        out.append(marks[state][k])
+        state = table[state][k]
+    return out
 
 
 FEATURES = ["bias", "total", "best", "clauses", "threats", "targeted", "negated", "reported", "density"]
@@ -97,7 +109,7 @@ class Grammar:
         if best:
             self.finder.make_automaton()
         self.any = bool(best)
-        self.table, self.marks = compose(NEGATION, REPORTED, TARGETED)
+        self.rightward, self.leftward = compose(INSULT, THREAT, NEGATION, REPORTED, TARGETED), compose(TARGETED)
         self.words = {**dict.fromkeys(TARGETS, "T"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(REPORTS, "R"), **dict.fromkeys(QUOTES, "Q")}
         self.number = {c: k for k, c in enumerate(SYMBOLS)}
 
@@ -118,33 +130,28 @@ class Grammar:
         hits = self.hits(text)
         if not hits:
             return [1.0] + [0.0] * (len(FEATURES) - 1)
-        total = best = threats = 0.0
+        total = best = 0.0
         counts = Counter()
         starts = sorted(hits)
         clauses, at, begin = 0, 0, 0
         for stop in [*(m.start() for m in CLAUSE_END.finditer(text)), len(text)]:
             if at < len(starts) and starts[at] < stop:
-                score = 0.0
-                state, aimed, weights = 0, False, []
+                score, symbols, weights = 0.0, [], []
                 for m in TOKEN.finditer(text, begin, stop):
                     hit = hits.get(m.start())
-                    symbol = hit[1] if hit else self.words.get(m.group(), "o")
-                    if hit:
-                        weights.append((hit[0], symbol, self.marks[state]))
-                    aimed |= symbol == "T"
-                    state = self.table[state][self.number[symbol]]
-                for weight, symbol, marks in weights:
-                    marks = marks | {"targeted"} if aimed else marks
-                    for mark in marks:
-                        weight *= FACTORS[mark]
-                        counts[mark] += 1
-                    threats += symbol == "H"
-                    score += weight
-                total, best, clauses = total + score, max(best, score), clauses + bool(weights)
+                    symbols.append(self.number[hit[1] if hit else self.words.get(m.group(), "o")])
+                    weights.append(hit[0] if hit else 0.0)
+                matched = False
+                for weight, ahead, behind in zip(weights, read(self.rightward, symbols), reversed(read(self.leftward, symbols[::-1]))):
+                    if ahead:
+                        matched, marks = True, ahead | behind
+                        counts.update(marks)
+                        score += weight * math.prod(FACTORS[mark] for mark in marks)
+                total, best, clauses = total + score, max(best, score), clauses + matched
                 while at < len(starts) and starts[at] < stop:
                     at += 1
             begin = stop + 1
-        return [1.0, math.log1p(total), best / 4, math.log1p(clauses), math.log1p(threats), *(math.log1p(counts[m]) for m in ("targeted", "negated", "reported")),
+        return [1.0, math.log1p(total), best / 4, math.log1p(clauses), *(math.log1p(counts[m]) for m in ("threat", "targeted", "negated", "reported")),
                 math.log1p(1000 * total / (len(text) + 200))]
 
 
@@ -153,7 +160,8 @@ def base_lexicon() -> list[tuple[str, bool, float, str]]:
 
 
 def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> list[tuple[str, bool, float, str]]:
-    """Words and stems that toxic texts have in excess. Texts that share their least or greatest shingle hash are copies of a kind and count once."""
+    """Words and stems that toxic texts have in excess. Texts that share their least or greatest shingle hash are copies of a kind and count once, as the one with the smallest id; all
+    texts without words are such copies."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
@@ -184,7 +192,10 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> list[tuple[str, bool
         yield out()
 
     kinds = dict(rows.dtypes)
-    keyed = rows.mapInArrow(keys, f"_id {kinds['_id']}, _text string, _label int, low bigint, high bigint").dropDuplicates(["low"]).dropDuplicates(["high"])
+    keyed = rows.mapInArrow(keys, f"_id {kinds['_id']}, _text string, _label int, low bigint, high bigint")
+    for end in ("low", "high"):
+        keyed = keyed.groupBy(end).agg(F.min(F.struct("_id", "_text", "_label", F.col("high").alias("other"))).alias("_first")).select("_first._id", "_first._text", "_first._label", F.col("_first.other").alias("high"))
+    keyed = staged(keyed, "kinds")
     counted = keyed.select("_text", "_label").mapInArrow(terms, "term string, stem boolean, n bigint, t bigint")
     totals = keyed.agg(F.count("*"), F.sum("_label")).first()
     n, toxic = totals[0] or 0, totals[1] or 0
@@ -222,12 +233,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, text: str = "text", id_col: str = "doc_id") -> Model:
     """Learn lexicon and weights from at most `rows` labelled documents outside the held-out fold. Without usable labels the built-in lexicon and the prior hold."""
-    known = sample(docs, labels, label, rows, text, id_col).persist()
-    try:
-        lexicon = learn_lexicon(known.select("_id", "_text", F.col("_label").cast("int").alias("_label")))
-        got = featured(known, ("_label",), lexicon).collect()
-    finally:
-        known.unpersist()
+    known = staged(sample(docs, labels, label, rows, text, id_col), "sample")
+    lexicon = learn_lexicon(known.select("_id", "_text", F.col("_label").cast("int").alias("_label")))
+    got = sorted(featured(known, ("_id", "_label"), lexicon).collect(), key=lambda r: r["_id"])
     x, y = np.array([r["score"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["_label"] for r in got], float)
     return Model(lexicon, fit_logistic(x, y, PRIOR))
 
@@ -240,15 +248,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text scores below `threshold`, with all their columns."""
+    """The rows of `docs` whose text scores below `threshold`, with all their columns, whatever their names. Null and empty texts have the score of a text without matches;
+    repeated rows are judged each; an empty table gives an empty result."""
+    # By position, since a name with a dot would be taken for a field of a struct.
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.lexicon)
-        for part in slices(batches, text):
-            x = np.array([grammar.features(t or "") for t in part.column(text).to_pylist()])
+        for part in slices(batches, f"c{at}"):
+            x = np.array([grammar.features(t or "") for t in part.column(at).to_pylist()])
             yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
