@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import col, slices
+from platewise.llm.common import col, discard, slices, staged
 from platewise.llm.labelled import held_out, sample
 
-#: Words of a passage; labelled documents that are learnt from at most.
-PASSAGE, SAMPLE = 64, 6_000
+#: Words of a passage; labelled documents, and passages of theirs, that are learnt from at most.
+PASSAGE, SAMPLE, SAMPLE_PASSAGES = 64, 6_000, 120_000
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 16, 12, 64, 0.01, 1e-4
 #: Character classes of the bytes of a text; what is in none of these sets has a class for itself, bytes above 127 another.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", ".", ",;:", "!", "?", "|", "*#$%&@^~=+_<>/\\", "\"'`()[]{}-"]
@@ -127,8 +127,9 @@ def train(x: np.ndarray, counts: np.ndarray, truth: np.ndarray, seed: int = 0) -
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, text: str = "text", id_col: str = "doc_id") -> Network:
-    """Train on at most `rows` labelled documents outside the held-out fold; their passage vectors, not their texts, come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, text: str = "text", id_col: str = "doc_id", most: int = SAMPLE_PASSAGES) -> Network:
+    """Train on at most `rows` labelled documents outside the held-out fold, shortest first as long as they have `most` passages together at most; their passage vectors,
+    not their texts, come to the driver."""
     known = sample(docs, labels, label, rows, text, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
                                              ["_id", "_label", "x"])
 
     kinds = dict(known.dtypes)
-    got = known.select("_id", "_label", "_text").mapInArrow(run, f"_id {kinds['_id']}, _label {kinds['_label']}, x binary").collect()
+    found = staged(known.select("_id", "_label", "_text").mapInArrow(run, f"_id {kinds['_id']}, _label {kinds['_label']}, x binary"), "passages")
+    # A window over the sample's lengths, at most `rows` of them.
+    size = F.sum("n").over(Window.orderBy("n", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    picked = found.select("_id", F.octet_length("x").alias("n")).withColumn("all", size).filter(F.col("all") <= most * WIDTH * 4).select("_id")
+    got = found.join(F.broadcast(picked), "_id", "left_semi").collect()
+    discard(found)
     got.sort(key=lambda r: r["_id"])
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in got]
     x = np.concatenate(bags) if bags else np.empty((0, WIDTH), np.float32)
