@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +31,11 @@ def stable_id(prefix: str, *cols: Column) -> Column:
 
 def pair_id(prefix: str, a: Column, b: Column) -> Column:
     return stable_id(prefix, F.least(a, b), F.greatest(a, b))
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 32-bit numbers held as unsigned 64-bit ones."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & mask
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & mask
+    return x ^ (x >> np.uint64(16))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.hashing import mix32
 from platewise.functions.text import normalise_symbol
 from platewise.operators.cleaning import DataError
 from platewise.operators.summaries import union_all
@@ -145,14 +146,8 @@ def permuted_ranks(n: int, perms: np.ndarray, seed: int) -> np.ndarray:
     """For each permutation the new position (from 0) of the gene at each position: genes in the order of a 32-bit mix of position, permutation and seed. The mix has an inverse
     for each permutation, so no two genes of a list share a key."""
     mask = np.uint64(0xFFFFFFFF)
-
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & mask
-        x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & mask
-        return x ^ (x >> np.uint64(16))
-
-    own = mix((perms.astype(np.uint64) * np.uint64(2654435769) + np.uint64(seed)) & mask)
-    keys = mix(mix((np.arange(n, dtype=np.uint64)[None, :] + own[:, None]) & mask) ^ own[:, None])
+    own = mix32((perms.astype(np.uint64) * np.uint64(2654435769) + np.uint64(seed)) & mask)
+    keys = mix32(mix32((np.arange(n, dtype=np.uint64)[None, :] + own[:, None]) & mask) ^ own[:, None])
     order = np.argsort(keys.astype(np.uint32), axis=1)
     out = np.empty_like(order)
     np.put_along_axis(out, order, np.broadcast_to(np.arange(n), order.shape), axis=1)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +84,90 @@ def to_wide(df: DataFrame, key: Sequence[str], position: str = "gene_idx", value
     return df.groupBy(*key).agg(F.transform(packed, lambda e: e["v"]).alias(name))
 
 
+#: Positions of a vector that are summed and sent together, and sums that a task holds before it sends them.
+VECTOR_BLOCK, HELD_SUMS = 4096, 1 << 22
+
+
 def average_vectors(df: DataFrame, by: Sequence[str], vector: str = "expr", name: str | None = None) -> DataFrame:
-    """Element-wise mean per group: exploded so that the mean is combined on the map side and a hot
-    group is spread over its positions."""
-    cells = df.select(*by, F.posexplode_outer(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("m"))
-    return to_wide(cells, by, "pos", "m", name or vector)
+    """Element-wise mean per group over the values that are not null, without a row per element: each task adds up the vectors of its groups and sends a sum and a count per block of
+    positions, and these are added in the order of group and block. Null vectors are skipped; a group without any has none."""
+    by = list(by)
+    kinds = dict(df.dtypes)
+    source = df.select(*by, F.col(vector).cast("array<double>").alias("_v"))
+
+    def sums(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+        types = None
+
+        def out() -> pa.RecordBatch:
+            rows = [(key, at, s[at:at + VECTOR_BLOCK], c[at:at + VECTOR_BLOCK]) for key, (s, c) in held.items() for at in range(0, max(1, len(s)), VECTOR_BLOCK)]
+            held.clear()
+            keys = [pa.array([r[0][i] for r in rows], types[i]) for i in range(len(by))]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())),
+                                               pa.array([r[3] for r in rows], pa.list_(pa.int64()))], [*by, "_at", "_s", "_c"])
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(by))]
+            lists = batch.column(len(by))
+            flat = lists.flatten()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.cumsum(size)
+            there = ~flat.is_null().to_numpy(zero_copy_only=False)
+            values = flat.fill_null(0.0).to_numpy()
+            rows_of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch.column(i).to_pylist() for i in range(len(by))])):
+                rows_of.setdefault(key, []).append(i)
+            for key, rows in rows_of.items():
+                n = int(size[rows].max())
+                own = held.setdefault(key, [np.zeros(0), np.zeros(0, np.int64)])
+                if n > len(own[0]):
+                    own[0], own[1] = (np.concatenate([x, np.zeros(n - len(x), x.dtype)]) for x in own)
+                for i in rows:
+                    a, b = ends[i] - size[i], ends[i]
+                    own[0][:b - a] += values[a:b]
+                    own[1][:b - a] += there[a:b]
+            if sum(len(v[0]) + 1 for v in held.values()) > HELD_SUMS:
+                yield out()
+        if held:
+            yield out()
+
+    def means(batches):
+        key, blocks, made = None, {}, []
+        types = None
+
+        def close() -> None:
+            if key is not None:
+                s, c = (np.concatenate([blocks[at][k] for at in sorted(blocks)]) for k in (0, 1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    made.append((key, pa.array(s / c, mask=c == 0) if len(s) else None))
+
+        def out() -> pa.RecordBatch:
+            keys = [pa.array([r[0][i] for r in made], types[i]) for i in range(len(by))]
+            batch = pa.RecordBatch.from_arrays([*keys, pa.array([None if r[1] is None else r[1].to_pylist() for r in made], pa.list_(pa.float64()))], [*by, "_m"])
+            made.clear()
+            return batch
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(by))]
+            at, s, c = (batch.column(len(by) + k) for k in range(3))
+            for i, own in enumerate(zip(*[batch.column(i).to_pylist() for i in range(len(by))])):
+                if own != key:
+                    close()
+                    key, blocks = own, {}
+                place, more = at[i].as_py(), (s[i].values.to_numpy(), c[i].values.to_numpy())
+                if place in blocks:
+                    had, n = blocks[place], max(len(more[0]), len(blocks[place][0]))
+                    more = tuple(np.pad(x, (0, n - len(x))) + np.pad(y, (0, n - len(y))) for x, y in zip(had, more))
+                blocks[place] = more
+            if len(made) > 256:
+                yield out()
+        close()
+        if made:
+            yield out()
+
+    keys = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    parts = source.mapInArrow(sums, keys + "_at bigint, _s array<double>, _c array<bigint>").repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, "_at")
+    return parts.mapInArrow(means, keys + "_m array<double>").select(*by, F.col("_m").alias(name or vector))
 
 
 def delta_profiles(control: DataFrame, treated: DataFrame, key: Sequence[str] = CONTROL_KEY, vector: str = "expr") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.functions.hashing import md5_halves, md5_key
+from platewise.functions.hashing import md5_halves, md5_key, mix32
 from platewise.functions.ranks import chi2_upper, normal_two_sided, t_two_sided
-from platewise.operators.pairs import numbered_rows
 from platewise.operators.summaries import union_all
 from platewise.session import cut_lineage
-from platewise.plans.ordering import cumulative_counts, least_from_top, with_average_ranks
+from platewise.plans.ordering import cumulative_counts, least_from_top, numbered, one_group, with_average_ranks
 
 N_BOOT = 1000
 POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]  # fixed values: P(X <= k), mean 1
@@ -112,26 +111,58 @@ def _attach(point: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame
     return point.withColumn("_k", F.lit(0)).join(F.broadcast(bounds.withColumn("_k", F.lit(0))), "_k").drop("_k")
 
 
-def cluster_draws(clusters: DataFrame, by: Sequence[str], key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Whole clusters drawn with replacement: as many draws per replicate as there are clusters. Input is one row per
-    cluster; a draw is a position joined to the numbered clusters. Adds the replicate `b` and the count `times`."""
-    on = list(by) or ["_all"]
-    rows = numbered_rows(clusters if by else clusters.withColumn("_all", F.lit(0)), on, key)
-    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
-    low, high = md5_halves(md5_key(seed, *on, "b", "_i"))
-    pos = F.pmod(high * F.lit(4294967296).cast("bigint") + low, F.col("_size"))
-    picked = draws.withColumn("pos", pos).groupBy(*on, "b", "pos").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(rows.drop("group_rows"), [*on, "pos"])
+#: Clusters whose draws a task counts, and replicates it counts at a time.
+CLUSTER_BLOCK, REPLICATES = 65_536, 50
+
+
+def drawn_positions(k: int, replicates: np.ndarray, draws: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Position (0 to k - 1) of each draw (a column) of each replicate (a row): a function of the group's key (32 + 28 bits), the replicate and the draw."""
+    mask = np.uint64(0xFFFFFFFF)
+    own = mix32((replicates.astype(np.uint64) * np.uint64(2654435769) + np.uint64(low)) & mask)
+    x = mix32(mix32((draws.astype(np.uint64)[None, :] + own[:, None]) & mask) ^ np.uint64(high))
+    return ((x * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+
+
+def cluster_replicates(clusters: DataFrame, by: Sequence[str], key: Sequence[str], terms: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Whole clusters drawn with replacement, as many per replicate as there are clusters: sums of `terms` per group and replicate `b`. Input is one row per cluster, a group's name is part of
+    the draw. A task has a block of numbered clusters and some replicates; it makes the draws in pieces, counts those that fall into its block and weighs its clusters by the counts, so
+    a group of any number of clusters spreads over tasks and no draw becomes a row."""
+    by, terms = list(by), list(terms)
+    on = by or ["_all"]
+    rows = clusters if by else clusters.withColumn("_all", F.lit(0))
+    kinds = dict(rows.dtypes)
+    low, high = md5_halves(md5_key(seed, *on))
+    placed = numbered(rows.select(*on, *key, *terms), on, [F.col(c) for c in key], "_pos", "_k")
+    placed = placed.select(*on, *[F.col(t).cast("double").alias(t) for t in terms], (F.col("_pos") - 1).alias("_pos"), "_k", low.alias("_low"), high.alias("_high"),
+                           F.floor((F.col("_pos") - 1) / CLUSTER_BLOCK).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATES))).alias("_part"))
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table.column("_pos").to_numpy() - int(table.column("_block")[0].as_py()) * CLUSTER_BLOCK
+        k, low, high = (int(table.column(c)[0].as_py()) for c in ("_k", "_low", "_high"))
+        first = int(table.column("_part")[0].as_py()) * REPLICATES
+        b = np.arange(first + 1, min(n_boot, first + REPLICATES) + 1)
+        counts, start = np.zeros(len(b) * CLUSTER_BLOCK if k > CLUSTER_BLOCK else len(b) * k), int(table.column("_block")[0].as_py()) * CLUSTER_BLOCK
+        width = len(counts) // len(b)
+        for i in range(0, k, 8192):
+            pos = drawn_positions(k, b, np.arange(i + 1, min(k, i + 8192) + 1), low, high) - start
+            inside = (pos >= 0) & (pos < width)
+            counts += np.bincount((pos + np.arange(len(b))[:, None] * width)[inside], minlength=len(counts))
+        values = np.zeros((width, len(terms)))
+        values[at] = np.stack([table.column(t).to_numpy() for t in terms], axis=1)
+        sums = counts.reshape(len(b), width) @ values
+        keys = [pa.array([table.column(c)[0].as_py()] * len(b), table.schema.field(c).type) for c in on]
+        return pa.Table.from_arrays([*keys, pa.array(b.astype(np.int32)), *(pa.array(v) for v in sums.T)], [*on, "b", *terms])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), "b int", *(f"`{t}` double" for t in terms)])
+    out = placed.groupBy(*on, "_block", "_part").applyInArrow(run, schema).groupBy(*on, "b").agg(*[F.sum(t).alias(t) for t in terms])
+    return out if by else out.drop("_all")
 
 
 def cluster_bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, cluster: str, n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
     """Mean over rows, interval over resampled clusters from their sums and counts."""
     by = list(by)
-    per = finite(df, value).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    drawn = cluster_draws(per, by, [cluster], n_boot, seed)
-    reps = drawn.groupBy(*by, "b").agg((F.sum(F.col("_s") * F.col("times")) / F.sum(F.col("_c") * F.col("times"))).alias("m"))
+    per = cut_lineage(finite(df, value).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c")))
+    reps = cluster_replicates(per, by, [cluster], ["_s", "_c"], n_boot, seed).select(*by, (F.col("_s") / F.col("_c")).alias("m"))
     point = per.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("mean"), F.sum("_c").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
     return _attach(point, percentile_bounds(reps, by, "m", ci), by)
 
@@ -180,46 +211,152 @@ def correlation_p(r: Column, n: Column, k: int = 0) -> Column:
     return t_two_sided(F.try_divide(r * F.sqrt(free), F.sqrt(1 - r * r)), free)
 
 
-def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int | None = None, unit: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Spearman correlation with p and, if asked, a bootstrap interval whose replicates are ranked anew.
+#: Distinct values of a range of `replicate_moments`, and rows that a task weighs.
+RANGE_VALUES, WEIGHED_ROWS = 512, 8192
+
+
+def coded_rows(rows: DataFrame, on: list[str], names: Sequence[str]) -> DataFrame:
+    """Rows of `on`, `_low`, `_high` with, for each variable k, the place `_p{k}` of its value among the group's distinct ones; `_block` has bounded rows and bounded values of variable 0."""
+    for k, v in enumerate(names):
+        places = numbered(rows.groupBy(*on, v).agg(F.count(F.lit(1)).alias("_c")), on, [F.col(v)], f"_p{k}").withColumn("_range", F.floor((F.col(f"_p{k}") - 1) / RANGE_VALUES))
+        sizes = places.groupBy(*on, "_range").agg(F.ceil(F.sum("_c") / WEIGHED_ROWS).alias(f"_parts{k}"))
+        rows = rows.join(places.drop("_c").join(sizes, [*on, "_range"]).withColumnRenamed("_range", f"_r{k}"), [*on, v]).withColumn(f"_s{k}", F.pmod(F.xxhash64("_low", "_high"), F.col(f"_parts{k}")))
+    codes = [f"_{c}{k}" for k in range(len(names)) for c in "prs"]
+    return cut_lineage(rows.select(*on, "_low", "_high", *codes, F.concat_ws("|", "_r0", "_s0").alias("_block")))
+
+
+def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> DataFrame:
+    """(on, p, ranks) of each distinct value of variable k: twice its average rank in every replicate, as 64-bit integers. Counts of (range, replicate) are summed up over ranges; within a range
+    a task counts by value. No window holds a replicate, and a value of many rows is counted in parts."""
+    kinds = dict(coded.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in on)
+
+    def vectors(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, n_boot)
+
+    def told(table: pa.Table, p: np.ndarray, v: np.ndarray) -> pa.Table:
+        first = lambda c: pa.array([table.column(c)[0].as_py()] * len(p), table.schema.field(c).type)
+        return pa.Table.from_arrays([*(first(c) for c in on), first("r"), pa.array(p), pa.array([x.tobytes() for x in v], pa.binary())], [*on, "r", "p", "v"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("p").to_numpy(), kind="stable")
+        p, low, high = (table.column(c).to_numpy()[order] for c in ("p", "_low", "_high"))
+        values, code = np.unique(p, return_inverse=True)
+        out = np.zeros((len(values), n_boot), np.int64)
+        for i in range(0, len(p), 2048):
+            own = code[i:i + 2048]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[starts]] += np.add.reduceat(poisson_counts(low[i:i + 2048], high[i:i + 2048], n_boot).astype(np.int64), starts, axis=0)
+        return told(table, values, out)
+
+    def ranked(table: pa.Table) -> pa.Table:
+        """Ranks within the range, and as value -1 the range's sums."""
+        values, code = np.unique(table.column("p").to_numpy(), return_inverse=True)
+        v = np.zeros((len(values), n_boot), np.int64)
+        np.add.at(v, code, vectors(table.column("v")))
+        upto = v.cumsum(axis=0)
+        return told(table, np.append(values, -1), np.vstack([2 * upto - v + 1, upto[-1]]))
+
+    def lifted(table: pa.Table, below: pa.Table) -> pa.Table:
+        more = np.zeros(n_boot, np.int64)
+        more[below.column("b").to_numpy()] = below.column("o").to_numpy()
+        return told(table, table.column("p").to_numpy(), vectors(table.column("v")) + 2 * more)
+
+    schema = f"{keys}, r bigint, p bigint, v binary"
+    source = coded.select(*on, F.col(f"_r{k}").cast("bigint").alias("r"), F.col(f"_s{k}").alias("s"), F.col(f"_p{k}").cast("bigint").alias("p"), "_low", "_high")
+    inner = cut_lineage(source.groupBy(*on, "r", "s").applyInArrow(counted, schema).groupBy(*on, "r").applyInArrow(ranked, schema))
+
+    def spread(batches):
+        for batch in batches:
+            n = batch.num_rows
+            at = pa.array(np.repeat(np.arange(n), n_boot))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (*on, "r")), pa.array(np.tile(np.arange(n_boot), n)), pa.array(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.int64))],
+                                             [*on, "r", "b", "t"])
+
+    totals = inner.filter("p = -1").drop("p").mapInArrow(spread, f"{keys}, r bigint, b bigint, t bigint")
+    before = Window.partitionBy(*on, "b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*on, "r", "b", F.coalesce(F.sum("t").over(before), F.lit(0).cast("bigint")).alias("o"))
+    out = inner.filter("p > 0").groupBy(*on, "r").cogroup(renamed(offsets).groupBy(*on, "r")).applyInArrow(lifted, schema)
+    return out.select(*on, "p", F.col("v").alias("ranks"))
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """The frame with columns of its own, for a cogroup with one that it comes from."""
+    return df.toDF(*df.columns)
+
+
+def replicate_moments(rows: DataFrame, by: Sequence[str], names: Sequence[str], n_boot: int) -> DataFrame:
+    """Per group and replicate `b`: the drawn rows `n`, sums `s{i}` and products `s{i}_{j}` of the variables' doubled average ranks among the drawn rows. `rows` has `by`, `names`, `_low` and
+    `_high`. Tasks hold a bounded block of rows and the replicate ranks of the values in it."""
+    rows, on = one_group(rows, by)
+    kinds = dict(rows.dtypes)
+    names, p = list(names), len(names)
+    coded = coded_rows(rows, on, names)
+    tables = []
+    for k in range(p):
+        wanted = coded.select(*on, "_block", F.col(f"_p{k}").cast("bigint").alias("p")).distinct()
+        tables.append(wanted.join(replicate_ranks(coded, on, k, n_boot), [*on, "p"]).withColumn("k", F.lit(k)))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    made = ["n", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in pairs)]
+
+    def moments(block: pa.Table, table: pa.Table) -> pa.Table:
+        ks, values = table.column("k").to_numpy(), table.column("p").to_numpy()
+        ranks = np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.int64).reshape(-1, n_boot)
+        places = []
+        for k in range(p):
+            own = np.flatnonzero(ks == k)
+            own = own[np.argsort(values[own])]
+            places.append(own[np.searchsorted(values[own], block.column(f"_p{k}").to_numpy())])
+        low, high = block.column("_low").to_numpy(), block.column("_high").to_numpy()
+        sums = np.zeros((len(made), n_boot))
+        for i in range(0, len(low), 1024):
+            w = poisson_counts(low[i:i + 1024], high[i:i + 1024], n_boot).astype(float)
+            r = [ranks[at[i:i + 1024]].astype(float) for at in places]
+            wr = [w * x for x in r]
+            sums += np.stack([w.sum(axis=0), *(x.sum(axis=0) for x in wr), *(np.einsum("rb,rb->b", wr[a], r[b]) for a, b in pairs)])
+        keys = [pa.array([block.column(c)[0].as_py()] * n_boot, block.schema.field(c).type) for c in on]
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(1, n_boot + 1)), *(pa.array(v) for v in sums)], [*on, "b", *made])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), "b bigint", *(f"{c} double" for c in made)])
+    out = coded.groupBy(*on, "_block").cogroup(renamed(union_all(tables)).groupBy(*on, "_block")).applyInArrow(moments, schema)
+    out = out.groupBy(*on, "b").agg(*[F.sum(c).alias(c) for c in made])
+    return out if by else out.drop(*on)
+
+
+def partial_correlation(c: Callable[[int, int], Column], covariates: int) -> Column:
+    """Correlation of variables 0 and 1 without the covariates 2, 3, ..., from all pairwise ones."""
+    def partial(i: int, j: int, given: tuple[int, ...]) -> Column:
+        if not given:
+            return c(min(i, j), max(i, j))
+        k, rest = given[-1], given[:-1]
+        a, b, d = partial(i, j, rest), partial(i, k, rest), partial(j, k, rest)
+        return F.try_divide(a - b * d, F.sqrt((1 - b * b) * (1 - d * d)))
+
+    return partial(0, 1, tuple(range(2, 2 + covariates)))
+
 
-    A replicate's ranks come from the counts of its distinct values, so a window holds the distinct values of one (group, replicate); meant for result tables."""
+def rank_bounds(rows: DataFrame, by: Sequence[str], names: Sequence[str], n_boot: int, ci: float = 95.0) -> DataFrame:
+    """Bootstrap interval of the (partial) rank correlation of the first two names, each replicate ranked anew."""
+    sums = replicate_moments(rows, by, names, n_boot)
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    cov = lambda i, j: F.col(f"s{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / n
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    found = sums.select(*by, *[F.try_divide(cov(i, j), F.sqrt(cov(i, i) * cov(j, j))).alias(f"_c{i}_{j}") for i, j in pairs])
+    return percentile_bounds(found.select(*by, partial_correlation(lambda i, j: F.col(f"_c{i}_{j}"), len(names) - 2).alias("m")).filter("m IS NOT NULL"), by, "m", ci)
+
+
+def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int | None = None, unit: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Spearman correlation with p and, if asked, a bootstrap interval whose replicates are ranked anew."""
     by = list(by)
     ok = finite(df, x, y)
     ranked = with_average_ranks(ok, by, {x: "_rx", y: "_ry"})
     point = ranked.groupBy(*by).agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
     if n_boot:
-        u = ok.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), *unit_keys(seed, unit))
-        reps = drawn_rows(u, n_boot)
-        for c in ("x", "y"):
-            below = Window.partitionBy(*by, "b").orderBy(c)
-            reps = reps.withColumn(f"r{c}", F.sum("w").over(below.rangeBetween(Window.unboundedPreceding, 0)) - (F.sum("w").over(Window.partitionBy(*by, "b", c)) - 1) / 2.0)
-        s = lambda e: F.sum(F.col("w") * e)
-        rx, ry = F.col("rx"), F.col("ry")
-        moments = reps.groupBy(*by, "b").agg(F.sum("w").alias("n"), s(rx).alias("sx"), s(ry).alias("sy"), s(rx * rx).alias("sxx"), s(ry * ry).alias("syy"), s(rx * ry).alias("sxy"))
-        n = F.nullif(F.col("n"), F.lit(0))
-        m = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt((F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))
-        point = _attach(point, percentile_bounds(moments.select(*by, m.alias("m")), by), by)
+        rows = cut_lineage(ok.select(*by, F.col(x).alias("_v0"), F.col(y).alias("_v1"), *unit_keys(seed, unit)))
+        point = _attach(point, rank_bounds(rows, by, ["_v0", "_v1"], n_boot), by)
     return point.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
-def drawn_rows(rows: DataFrame, n_boot: int) -> DataFrame:
-    """Every row in every replicate `b` that draws it, with its count `w`."""
-    kept = [c for c in rows.columns if c not in ("_low", "_high")]
-    kinds = dict(rows.dtypes)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts = poisson_counts(part.column("_low").to_numpy(), part.column("_high").to_numpy(), n_boot)
-                row, b = np.nonzero(counts)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in kept), pa.array(b + 1, pa.int32()), pa.array(counts[row, b].astype(np.int32))], [*kept, "b", "w"])
-
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "b int, w int"]))
-
-
 def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str] | None = None, n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
     """Least-squares line with r and p of groups of three rows or more; with `unit` also a bootstrap interval of the slope."""
     by = list(by)
@@ -245,24 +382,20 @@ def _line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
-def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, covariates: Sequence[str]) -> DataFrame:
-    """Rank correlation of x and y with the covariates' ranks removed, from pairwise rank correlations."""
+def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, covariates: Sequence[str], n_boot: int | None = None, unit: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Rank correlation of x and y with the covariates' ranks removed, from pairwise rank correlations; if asked with a bootstrap interval over rows, each replicate ranked anew."""
     by, names = list(by), [x, y, *covariates]
-    ranked = with_average_ranks(finite(df.select(*by, *names), *names), by, {c: f"_r_{c}" for c in names})
+    ok = finite(df.select(*dict.fromkeys([*by, *names, *unit])), *names)
+    ranked = with_average_ranks(ok, by, {c: f"_r_{c}" for c in names})
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     row = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         safe_corr(F.col(f"_r_{names[i]}"), F.col(f"_r_{names[j]}")).alias(f"_c{i}_{j}") for i, j in pairs])
-
-    def partial(i: int, j: int, given: tuple[int, ...]) -> Column:
-        if not given:
-            return F.col(f"_c{min(i, j)}_{max(i, j)}")
-        k, rest = given[-1], given[:-1]
-        a, b, c = partial(i, j, rest), partial(i, k, rest), partial(j, k, rest)
-        return F.try_divide(a - b * c, F.sqrt((1 - b * b) * (1 - c * c)))
-
     k = len(covariates)
-    out = row.withColumn("rho", partial(0, 1, tuple(range(2, 2 + k)))).filter(F.col("n") >= k + 3)
-    return out.select(*by, "n", "rho").withColumn("p", correlation_p(F.col("rho"), F.col("n"), k))
+    out = row.withColumn("rho", partial_correlation(lambda i, j: F.col(f"_c{i}_{j}"), k)).filter(F.col("n") >= k + 3).select(*by, "n", "rho")
+    if n_boot:
+        rows = cut_lineage(ok.select(*by, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(names)], *unit_keys(seed, unit)))
+        out = _attach(out, rank_bounds(rows, by, [f"_v{i}" for i in range(len(names))], n_boot), by)
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n"), k))
 
 
 def cluster_ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str, n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
@@ -272,20 +405,18 @@ def cluster_ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str, n_boot:
     p = len(names)
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
     products = {f"a{i}_{j}": cols[i] * cols[j] for i in range(p) for j in range(i, p)} | {f"b{i}": cols[i] * F.col(y) for i in range(p)}
-    per = finite(df, y, *xs).groupBy(cluster).agg(*[F.sum(e).alias(n) for n, e in products.items()])
+    per = cut_lineage(finite(df, y, *xs).groupBy(cluster).agg(*[F.sum(e).alias(n) for n, e in products.items()]))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in rows.itertuples(index=False):
-            d = r._asdict()
-            a = np.array([[d[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-            out.append(np.linalg.lstsq(a, np.array([d[f"b{i}"] for i in range(p)]), rcond=None)[0])
-        return pd.Series(out)
-
-    packed = F.struct(*[F.col(n) for n in products])
+        """Least-squares solutions of a batch of systems at once; of least length where one is singular."""
+        a = np.stack([np.stack([rows[f"a{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(p)], axis=1) for i in range(p)], axis=1)
+        b = np.stack([rows[f"b{i}"].to_numpy(float) for i in range(p)], axis=1)
+        return pd.Series(list((np.linalg.pinv(a, hermitian=True) @ b[:, :, None])[:, :, 0]), dtype=object)
+
+    packed = F.struct(*[F.col(n).cast("double").alias(n) for n in products])
     whole = per.agg(*[F.sum(n).alias(n) for n in products]).select(solve(packed).alias("beta"))
-    reps = cluster_draws(per, [], [cluster], n_boot, seed).groupBy("b").agg(*[F.sum(F.col(n) * F.col("times")).alias(n) for n in products])
+    reps = cluster_replicates(per, [], [cluster], list(products), n_boot, seed)
     label = F.array(*[F.lit(n) for n in names])
     long = lambda d, v: d.select(F.posexplode("beta").alias("i", v)).withColumn("term", F.get(label, F.col("i"))).drop("i")
     boots = long(reps.select(solve(packed).alias("beta")), "v")

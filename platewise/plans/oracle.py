@@ -34,6 +34,13 @@ def with_ctes(body: str) -> str:
     return head + "\n" + body
 
 
+def mix_sql(x: str) -> str:
+    """The 32-bit mix of `functions.hashing.mix32`."""
+    x = f"((xor({x}, ({x}) >> 16) * 2246822507) & 4294967295)"
+    x = f"((xor({x}, {x} >> 13) * 3266489909) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
 cte("cell_meta", """
 SELECT o_orderkey AS barcode, c_mktsegment AS cell_line, CAST(year(o_orderdate) AS VARCHAR) AS plate,
        quarter(o_orderdate)::BIGINT AS rep,

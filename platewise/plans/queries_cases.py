@@ -8,7 +8,7 @@ from platewise.operators import enrichment as E
 from platewise.operators import profiles as P
 from platewise.plans import inputs as I
 from platewise.plans.catalog import Tables, query
-from platewise.plans.oracle import cte
+from platewise.plans.oracle import cte, mix_sql
 from platewise.plans.queries_models import case_table
 from platewise.session import cut_lineage
 
@@ -40,15 +40,6 @@ SELECT profile, collection, term, CASE WHEN max(after_) >= -min(before_) THEN ma
  arg_max(rank, (round(after_, 12), -rank)) AS peak_up, arg_min(rank, (round(before_, 12), rank)) AS peak_down FROM es_runs GROUP BY ALL
 """)
 PERMUTATIONS, SEED = 5000, 42
-
-
-def mix_sql(x: str) -> str:
-    """The 32-bit mix of `enrichment.permuted_ranks`."""
-    x = f"((xor({x}, ({x}) >> 16) * 2246822507) & 4294967295)"
-    x = f"((xor({x}, {x} >> 13) * 3266489909) & 4294967295)"
-    return f"xor({x}, {x} >> 16)"
-
-
 cte("permutations", f"SELECT perm, {mix_sql(f'((perm * 2654435769 + {SEED}) & 4294967295)')} AS own FROM (SELECT range::UBIGINT AS perm FROM range({PERMUTATIONS}))")
 cte("dealt", f"""
 SELECT profile, perm, rank, row_number() OVER (PARTITION BY profile, perm ORDER BY k) AS pos FROM

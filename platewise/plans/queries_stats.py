@@ -9,7 +9,7 @@ from platewise.operators import statistics as S
 from platewise.operators import summaries as M
 from platewise.plans import inputs as I
 from platewise.plans.catalog import Tables, query
-from platewise.plans.oracle import cte
+from platewise.plans.oracle import cte, mix_sql
 from platewise.plans.queries_pairs import sar
 from platewise.session import cut_lineage
 
@@ -33,10 +33,20 @@ bd AS (SELECT {pre}quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
 pt AS (SELECT {pre}avg(x) AS mean, count(*) AS n FROM u0 {grp})"""
 
 
+def drawn_sql(by: str, boot: int = BOOT) -> str:
+    """Draws of whole clusters from `cl` (by, c_, sums): same keys, same integer mixing as `statistics.drawn_positions`."""
+    pre, group = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    key = f"md5(concat_ws('|', '0', {by or 0}))"
+    return f"""nm AS (SELECT *, row_number() OVER ({group} ORDER BY c_) - 1 AS pos FROM cl),
+gk AS (SELECT {pre}count(*)::UBIGINT AS k, ('0x' || substr({key}, 1, 8))::UBIGINT AS low, ('0x' || substr({key}, 9, 7))::UBIGINT AS high FROM cl {'GROUP BY ' + by if by else ''}),
+go AS (SELECT {pre}b, k, high, {mix_sql('((b * 2654435769 + low) & 4294967295)')} AS own FROM gk, (SELECT unnest(range(1, {boot} + 1))::UBIGINT AS b)),
+gd AS (SELECT {pre}b, k, high, {mix_sql('((i + own) & 4294967295)')} AS x FROM go, LATERAL (SELECT unnest(range(1, k::BIGINT + 1))::UBIGINT AS i)),
+dr AS (SELECT {pre}b, ((({mix_sql('xor(x, high)')}) * k) >> 32)::BIGINT AS pos FROM gd)"""
+
+
 def clus_sql(src: str, by: str, value: str, cluster: str, boot: int = BOOT) -> str:
     return f"""cl AS (SELECT {by}, {cluster} AS c_, sum({value}) AS s, count(*) AS c FROM {src} GROUP BY {by}, {cluster}),
-nm AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ('0x' || substr(md5('row|' || c_), 1, 8))::BIGINT % 1024, md5('row|' || c_)) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS k FROM cl),
-dr AS (SELECT {by}, b, (('0x' || substr(key, 9, 7))::BIGINT * 4294967296 + ('0x' || substr(key, 1, 8))::BIGINT) % k AS pos FROM (SELECT *, md5(concat_ws('|', '0', {by}, b, i)) AS key FROM (SELECT DISTINCT {by}, k, unnest(range(1, k + 1)) AS i FROM nm), (SELECT unnest(range(1, {boot} + 1)) AS b))),
+{drawn_sql(by, boot)},
 rp AS (SELECT {by}, b, sum(s) / sum(c) AS m FROM dr JOIN nm USING ({by}, pos) GROUP BY {by}, b),
 bd AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY {by}),
 pt AS (SELECT {by}, sum(s) / sum(c) AS mean, sum(c)::BIGINT AS n, count(*) AS n_clusters FROM cl GROUP BY {by})"""
@@ -151,7 +161,60 @@ def partial_spearman(t):
     return S.partial_spearman(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice", ["l_discount", "l_tax"])
 
 
-@query("q_cluster_ols")
+_ci = {"rmse": "v0", "pearson": "v1", "l2": "v2", "cosine": "v3"}
+_pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def partial_sql(i: int, j: int, given: tuple[int, ...]) -> str:
+    if not given:
+        return f"c{min(i, j)}{max(i, j)}"
+    k, rest = given[-1], given[:-1]
+    a, b, d = partial_sql(i, j, rest), partial_sql(i, k, rest), partial_sql(j, k, rest)
+    return f"(({a} - {b} * {d}) / sqrt((1 - {b} * {b}) * (1 - {d} * {d})))"
+
+
+def ranks_sql(weight: str, by: str) -> str:
+    """Average ranks r0 .. r3 of v0 .. v3 among rows of a weight."""
+    return ", ".join(f"sum({weight}) OVER (PARTITION BY {by} ORDER BY v{i} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum({weight}) OVER (PARTITION BY {by}, v{i}) - 1) / 2.0::DOUBLE AS r{i}" for i in range(4))
+
+
+@query("q_partial_spearman_ci", f"""
+WITH s4 AS (SELECT arm, cell_line, drug, dose, time, {', '.join(f'round({c}, 9) AS {v}' for c, v in _ci.items())} FROM scores),
+{boot_sql('s4', 'arm', 'v0', 'cell_line, drug, dose, time').split('rp AS')[0].replace('v0 AS x,', 'v0, v1, v2, v3,')}
+rr AS (SELECT arm, b, w, {ranks_sql('w', 'arm, b')} FROM u5 WHERE w > 0),
+rm AS (SELECT arm, b, sum(w) AS n, {', '.join(f'sum(w * r{i}) AS s{i}' for i in range(4))}, {', '.join(f'sum(w * r{i} * r{j}) AS s{i}{j}' for i in range(4) for j in range(i, 4))} FROM rr GROUP BY ALL),
+rc AS (SELECT arm, {', '.join(f'(s{i}{j} - s{i} * s{j} / n) / sqrt((s{i}{i} - s{i} * s{i} / n) * (s{j}{j} - s{j} * s{j} / n)) AS c{i}{j}' for i, j in _pairs)} FROM rm),
+rb AS (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT arm, {partial_sql(0, 1, (2, 3))} AS m FROM rc) GROUP BY 1),
+pr AS (SELECT arm, {ranks_sql('1', 'arm')} FROM s4),
+pc AS (SELECT arm, count(*) AS n, {', '.join(f'corr(r{i}, r{j}) AS c{i}{j}' for i, j in _pairs)} FROM pr GROUP BY 1)
+SELECT *, {student_p(correlation_t('rho', 'n - 4'), 'n - 4')} AS p FROM (SELECT arm, n, {partial_sql(0, 1, (2, 3))} AS rho, lo, hi FROM pc JOIN rb USING (arm))
+""", "rho lo hi p")
+def partial_spearman_ci(t):
+    s = I.scores(t).withColumns({c: F.round(c, 9) for c in _ci})
+    return S.partial_spearman(s, ["arm"], "rmse", "pearson", ["l2", "cosine"], BOOT, ["cell_line", "drug", "dose", "time"])
+
+
+def cramer(i: int) -> str:
+    """Coefficient i of three by Cramer's rule over the sums a00 .. a22, b0 .. b2."""
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    a = [[f"a{min(r, c)}{max(r, c)}" for c in range(3)] for r in range(3)]
+    return f"{det([[f'b{r}' if c == i else a[r][c] for c in range(3)] for r in range(3)])} / {det(a)}"
+
+
+_ols = {f"a{i}{j}": (i, j) for i in range(3) for j in range(i, 3)} | {f"b{i}": (i, 3) for i in range(3)}
+_of = ["1.0::DOUBLE", "rmse", "l2", "pearson"]
+_solved = ", ".join(f"{cramer(i)} AS t{i}" for i in range(3))
+
+
+@query("q_cluster_ols", f"""
+WITH cl AS (SELECT drug AS c_, {', '.join(f'sum({_of[i]} * {_of[j]}) AS {n}' for n, (i, j) in _ols.items())} FROM scores WHERE arm = 'model' GROUP BY drug),
+{drawn_sql('')},
+rp AS (SELECT b, {', '.join(f'sum({n}) AS {n}' for n in _ols)} FROM dr JOIN nm USING (pos) GROUP BY b),
+bt AS (SELECT unnest(['intercept', 'rmse', 'l2']) AS term, unnest([t0, t1, t2]) AS v FROM (SELECT {_solved} FROM rp)),
+wh AS (SELECT unnest(['intercept', 'rmse', 'l2']) AS term, unnest([t0, t1, t2]) AS coef FROM (SELECT {_solved} FROM (SELECT {', '.join(f'sum({n}) AS {n}' for n in _ols)} FROM cl)))
+SELECT term, any_value(coef) AS coef, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, least(1, greatest(2 * least(avg((v > 0)::INT), 1 - avg((v > 0)::INT)), 1.0::DOUBLE / count(v))) AS p
+FROM bt JOIN wh USING (term) GROUP BY term
+""", "coef lo hi p")
 def cluster_ols(t):
     return S.cluster_ols(I.scores(t).filter("arm = 'model'"), "pearson", ["rmse", "l2"], "drug", BOOT)
 

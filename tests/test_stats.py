@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from platewise.functions.dense import average_ranks
 from platewise.operators import cleaning as C
 from platewise.operators import enrichment as E
 from platewise.operators import observations as O
@@ -62,6 +63,65 @@ def test_cluster_ols_point_estimate(spark):
     assert got["a"].p == pytest.approx(0.01)
 
 
+def group_key(seed, *parts):
+    import hashlib
+    digest = hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:15], 16)
+
+
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_cluster_intervals_like_concatenated_draws(spark, monkeypatch, block):
+    """Every draw written out: clusters concatenated as drawn, least squares and means of the rows."""
+    monkeypatch.setattr(S, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(S, "REPLICATES", 9)
+    rng = np.random.default_rng(6)
+    n, boot = 120, 25
+    x = rng.normal(size=(n, 2))
+    g = rng.integers(0, 23, n)
+    y = 1 + x @ [2.0, -0.5] + rng.normal(0, 0.3, n) + g % 5
+    df = spark.createDataFrame([(int(k), *map(float, r), float(v), "p") for k, r, v in zip(g, x, y)], "g int, a double, b double, y double, h string").repartition(4)
+    names = sorted(set(g.tolist()))
+    members = [np.flatnonzero(g == c) for c in names]
+    full = np.column_stack([np.ones(n), x])
+    draws = lambda *key: [np.concatenate([members[i] for i in row]) for row in S.drawn_positions(len(names), np.arange(1, boot + 1), np.arange(1, len(names) + 1), *group_key(0, *key))]
+    betas = np.array([np.linalg.lstsq(full[r], y[r], rcond=None)[0] for r in draws(0)])
+    got = {r.term: r for r in S.cluster_ols(df, "y", ["a", "b"], "g", boot).collect()}
+    for k, term in enumerate(("intercept", "a", "b")):
+        above = (betas[:, k] > 0).mean()
+        want = [*np.percentile(betas[:, k], [2.5, 97.5]), min(1, max(2 * min(above, 1 - above), 1 / boot))]
+        assert [got[term].lo, got[term].hi, got[term].p] == pytest.approx(want)
+    means = [y[r].mean() for r in draws("p")]
+    row = S.cluster_bootstrap_mean(df, ["h"], "y", "g", boot).first()
+    assert [row["mean"], row.lo, row.hi, row.n, row.n_clusters] == pytest.approx([y.mean(), *np.percentile(means, [2.5, 97.5]), n, len(names)])
+
+
+@pytest.mark.parametrize("values, rows", [(512, 8192), (3, 11)])
+def test_rank_intervals_like_resampled_rows(spark, monkeypatch, values, rows):
+    """Rows repeated as drawn and ranked anew, with ties, a hot value and two groups."""
+    monkeypatch.setattr(S, "RANGE_VALUES", values)
+    monkeypatch.setattr(S, "WEIGHED_ROWS", rows)
+    rng = np.random.default_rng(12)
+    boot, data, df_rows = 20, {}, []
+    for g, n in (("p", 90), ("q", 45)):
+        c = rng.integers(0, 6, n).astype(float)
+        x = np.where(rng.random(n) < 0.4, 1.0, np.round(rng.normal(size=n), 1)) + c
+        y = np.round(x + rng.normal(size=n), 1)
+        data[g] = np.stack([x, y, c])
+        df_rows += [(g, i, *map(float, r)) for i, r in enumerate(data[g].T)]
+    df = spark.createDataFrame(df_rows, "g string, i int, x double, y double, c double").repartition(3)
+    plain = {r.g: r for r in S.spearman_test(df, ["g"], "x", "y", boot, ["g", "i"]).collect()}
+    part = {r.g: r for r in S.partial_spearman(df, ["g"], "x", "y", ["c"], boot, ["g", "i"]).collect()}
+    for g, v in data.items():
+        low, high = np.array([group_key(0, g, i) for i in range(v.shape[1])], np.uint64).T
+        rhos, partials = [], []
+        for w in S.poisson_counts(low, high, boot).T:
+            r = np.corrcoef(average_ranks(np.repeat(v, w, axis=1)))
+            rhos.append(r[0, 1])
+            partials.append((r[0, 1] - r[0, 2] * r[1, 2]) / np.sqrt((1 - r[0, 2] ** 2) * (1 - r[1, 2] ** 2)))
+        assert [plain[g].lo, plain[g].hi] == pytest.approx(np.percentile(rhos, [2.5, 97.5])) and plain[g].lo < plain[g].rho < plain[g].hi
+        assert [part[g].lo, part[g].hi] == pytest.approx(np.percentile(partials, [2.5, 97.5]))
+
+
 def test_partial_spearman_matches_residuals(spark):
     rng = np.random.default_rng(8)
     c = rng.normal(size=(120, 2))

@@ -67,3 +67,17 @@ def test_text(spark):
     assert [r[0] for r in p] == ["n/a", "<1e-300", "2e-05", "0.250"]
     n = spark.createDataFrame([("[512, 256]",)], "l string").select(X.parameter_count(F.lit(10), X.layer_sizes(F.col("l")), F.lit(3))).first()[0]
     assert n == 10 * 512 + 512 + 512 * 256 + 256 + 256 * 3 + 3
+
+
+@pytest.mark.parametrize("block, held", [(4096, 1 << 22), (2, 3)])
+def test_average_vectors(spark, monkeypatch, block, held):
+    from platewise.operators import profiles as P
+    monkeypatch.setattr(P, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(P, "HELD_SUMS", held)
+    rows = [("hot", 1, [float(i), 2.0, None, float(i % 3), 1.0]) for i in range(40)] + [("ragged", 1, [1.0]), ("ragged", 1, [3.0, 5.0, 7.0]), ("ragged", 1, None), ("none", 1, None), (None, 2, [4.0]),
+            (None, 2, [8.0]), ("empty", 3, []), ("nan", 4, [float("nan"), 1.0]), ("nan", 4, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "g string, h int, v array<double>").repartition(5)
+    got = {(r.g, r.h): r.m for r in P.average_vectors(df, ["g", "h"], "v", "m").collect()}
+    nan = got.pop(("nan", 4))
+    assert np.isnan(nan[0]) and nan[1] == 2.0
+    assert got == {("hot", 1): [19.5, 2.0, None, pytest.approx(39 / 40), 1.0], ("ragged", 1): [2.0, 5.0, 7.0], ("none", 1): None, (None, 2): [6.0], ("empty", 3): None}
