@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Equal-length list column as a 2-D float64 array."""
+def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    """Equal-length list column as a 2-D array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import metrics as N
@@ -278,17 +278,24 @@ def context_correlations(df: DataFrame, match: Sequence[str] = ("drug", "dose",
     return both.select("p.cl_i", "p.cl_j", "mean_delta_pearson", "n_conditions")
 
 
+def packed(bits: Column) -> Column:
+    """A vector of zeros and ones as 64-bit words (array<bigint>): a key and an operand of eight bytes for 64 bits."""
+    word = lambda w: F.aggregate(F.slice(bits, w * 64 + 1, 64), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
+    return F.when(F.size(bits) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 64).cast("int")), word)).otherwise(F.array().cast("array<bigint>"))
+
+
 def distinct_fingerprints(df: DataFrame, row_id: str, bits: str) -> DataFrame:
-    """One row per distinct fingerprint: smallest id, number of copies, set bits."""
-    return df.groupBy(bits).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("popcount", V.total(F.col(bits)).cast("int"))
+    """One row per distinct fingerprint: its words, smallest id, number of copies, set bits."""
+    ones = F.aggregate("words", F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    return df.groupBy(packed(F.col(bits)).alias("words")).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("popcount", ones)
 
 
-def neighbour_pairs(points: DataFrame, cutoff: float, bits: str = "bits", tile_rows: int = 1024) -> DataFrame:
+def neighbour_pairs(points: DataFrame, cutoff: float, words: str = "words", tile_rows: int = 1024) -> DataFrame:
     """Pairs of distinct fingerprints at Tanimoto distance <= cutoff, exact.
 
     Points are banded by set bits: with similarity s = 1 - cutoff a partner has between s*c and c/s bits, so a
     point visits only the bands in that reach. Bands are split into hashed blocks of bounded size, each block
-    pair is one matrix product, and only pairs within the cutoff leave a task.
+    pair counts common bits word by word, and only pairs within the cutoff leave a task.
     """
     s = 1.0 - cutoff
     sizes = points.groupBy("popcount").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("nb"))
@@ -301,19 +308,22 @@ def neighbour_pairs(points: DataFrame, cutoff: float, bits: str = "bits", tile_r
     second = visits.filter("pc2 != popcount or b2 != block").select(
         F.col("pc2").alias("popcount"), F.col("b2").alias("block"), F.col("popcount").alias("pc1"), F.col("block").alias("b1"))
     a = placed.join(first, ["popcount", "block"]).select(
-        F.col("popcount").alias("pc1"), F.col("block").alias("b1"), "pc2", "b2", "_side", "id", bits)
+        F.col("popcount").alias("pc1"), F.col("block").alias("b1"), "pc2", "b2", "_side", "id", words)
     b = placed.join(second, ["popcount", "block"]).select(
-        "pc1", "b1", F.col("popcount").alias("pc2"), F.col("block").alias("b2"), F.lit(1).alias("_side"), "id", bits)
+        "pc1", "b1", F.col("popcount").alias("pc2"), F.col("block").alias("b2"), F.lit(1).alias("_side"), "id", words)
 
     def run(table: pa.Table) -> pa.Table:
         side, ids = table["_side"].to_numpy(), table["id"].to_numpy()
-        v = matrix(table[bits])
+        v = matrix(table[words], np.int64).view(np.uint64)
+        ones = np.bitwise_count(v).sum(axis=1, dtype=np.int64)
         diagonal = table["pc1"][0].as_py() == table["pc2"][0].as_py() and table["b1"][0].as_py() == table["b2"][0].as_py()
         ia = np.flatnonzero(side == 0)
         ib = ia if diagonal else np.flatnonzero(side == 1)
-        both = v[ia] @ v[ib].T
-        either = v[ia].sum(axis=1)[:, None] + v[ib].sum(axis=1)[None, :] - both
-        dist = 1.0 - np.divide(both, either, out=np.ones_like(both), where=either > 0)
+        both = np.zeros((len(ia), len(ib)), np.int64)
+        for k in range(v.shape[1]):
+            both += np.bitwise_count(v[ia, k][:, None] & v[ib, k][None, :])
+        either = ones[ia][:, None] + ones[ib][None, :] - both
+        dist = 1.0 - np.divide(both, either, out=np.ones(both.shape), where=either > 0)
         near = dist <= cutoff
         if diagonal:
             near &= np.triu(np.ones_like(near), 1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.session import cut_lineage
+
 
 def shared_cohort(df: DataFrame, keys: Sequence[str], arm: str, exempt: Column | None = None) -> DataFrame:
     """Restrict every arm to the observation keys present in all arms; exempt rows bypass the restriction. A key that an arm has twice is an error."""
@@ -19,9 +21,9 @@ def shared_cohort(df: DataFrame, keys: Sequence[str], arm: str, exempt: Column |
     return bound.join(keep, list(keys), "left_semi").unionByName(df.filter(exempt))
 
 
-def run_registry(runs: DataFrame, keep: int | None = None) -> DataFrame:
-    """Run folders to a table: time stamp and experiment from the name, numbers from `key = value` lines of the
-    summary; all runs, or the first `keep` of each experiment by time (the window keeps only those before the shuffle)."""
+def run_registry(runs: DataFrame, keep: int | None = None, experiments: DataFrame | None = None) -> DataFrame:
+    """Run folders to a table: time stamp and experiment from the name, numbers from `key = value` lines of the summary; all runs, or the first `keep` of each experiment by time (the
+    window keeps only those before the shuffle). `experiments` (experiment and its columns, one row each) is joined on; runs of experiments it does not list are left out."""
     from platewise.functions.text import RUN_STAMP
     pairs = F.map_from_entries(F.transform(
         F.filter(F.split("summary", "\n"), lambda s: s.contains(" = ")),
@@ -31,6 +33,8 @@ def run_registry(runs: DataFrame, keep: int | None = None) -> DataFrame:
     typed = parsed.filter("stamp <> ''").select(
         "run_id", "stamp", "experiment", *[F.try_element_at("kv", F.lit(c)).try_cast(k).alias(c)
                                            for c, k in (("val_spearman", "double"), ("test_pearson", "double"), ("n_train", "bigint"))])
+    if experiments is not None:
+        typed = typed.join(experiments, "experiment")
     if keep is None:
         return typed
     order = Window.partitionBy("experiment").orderBy("stamp", "run_id")
@@ -47,15 +51,48 @@ def validate_bundle(df: DataFrame, vectors: Sequence[str], width: int) -> DataFr
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad_shape).alias("n_bad_shape"), F.count_if(not_finite).alias("n_not_finite"))
 
 
-def filter_sweep(arms: DataFrame, base: DataFrame, arm: str, bin_: str, keys: Sequence[str], metric: str) -> DataFrame:
-    """Mean of each arm per bin of the base table, difference to the base on shared keys, signed-rank p, and q over
-    all (arm, bin) tests."""
-    from platewise.operators.statistics import bh_fdr, wilcoxon
+def filter_sweep(arms: DataFrame, base: DataFrame, arm: str, bin_: str, keys: Sequence[str], metric: str, least: int = 100, n_boot: int = 1000) -> DataFrame:
+    """Mean of each arm per bin of the base table, difference to the base on shared keys with its bootstrap interval, signed-rank p, and q over all (arm, bin) tests. Only
+    bins in which the base has `least` rows or more are kept."""
+    from platewise.operators.statistics import bh_fdr, bootstrap_mean, wilcoxon
+    kept = base.groupBy(bin_).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).select(bin_)
+    base = base.join(kept, bin_, "left_semi")
     j = arms.select(arm, *keys, F.col(metric).alias("_v")).join(base.select(bin_, *keys, F.col(metric).alias("_b")), list(keys))
-    j = j.withColumn("d", F.round(F.col("_v") - F.col("_b"), 12))
+    j = cut_lineage(j.withColumn("d", F.round(F.col("_v") - F.col("_b"), 12)))
     means = j.groupBy(arm, bin_).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.avg("d").alias("diff"))
+    bounds = bootstrap_mean(j, [arm, bin_], "d", [arm, bin_, *keys], n_boot).select(arm, bin_, "lo", "hi")
     tests = wilcoxon(j, [arm, bin_]).select(arm, bin_, "p")
-    return bh_fdr(means.join(tests, [arm, bin_], "left"), "p")
+    return bh_fdr(means.join(bounds, [arm, bin_], "left").join(tests, [arm, bin_], "left"), "p")
+
+
+def compare_baselines(df: DataFrame, by: Sequence[str], cluster: str, model: str, baselines: Sequence[str]) -> DataFrame:
+    """One row per group and baseline: rows, rows with both values, clusters, micro and macro means of model and baseline with their differences, clusters won, and two signed-rank tests, over rows
+    and over cluster means. Means skip missing values; a test of differences that are all zero has no p."""
+    from platewise.operators.statistics import wilcoxon
+    by = list(by)
+    pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("baseline"), F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double")).alias("b")) for b in baselines]))
+    long = df.select(*by, cluster, F.nanvl(F.col(model).cast("double"), F.lit(None).cast("double")).alias("m"), pairs.alias("p")).select(*by, cluster, "m", "p.*")
+    on = [*by, "baseline"]
+    per = long.groupBy(*on, cluster).agg(F.count(F.lit(1)).alias("_n"), F.count(F.col("m") - F.col("b")).alias("_np"), F.sum("m").alias("_sm"), F.count("m").alias("_cm"), F.sum("b").alias("_sb"),
+                                         F.count("b").alias("_cb")).withColumns({"_am": F.try_divide("_sm", "_cm"), "_ab": F.try_divide("_sb", "_cb")})
+    per = per.withColumn("d", F.round(F.col("_am") - F.col("_ab"), 9))
+    micro = lambda v: F.try_divide(F.sum(f"_s{v}"), F.sum(f"_c{v}"))
+    out = per.groupBy(*on).agg(F.sum("_n").alias("n_obs"), F.sum("_np").alias("n_obs_paired"), F.count(F.lit(1)).alias("n_cell_lines"), micro("m").alias("micro_model"), micro("b").alias("micro_baseline"),
+                               F.avg("_am").alias("macro_model"), F.avg("_ab").alias("macro_baseline"), F.count_if(F.col("d") > 0).alias("n_cl_wins"))
+    out = out.withColumns({"micro_diff": F.col("micro_model") - F.col("micro_baseline"), "macro_diff": F.col("macro_model") - F.col("macro_baseline")})
+    rows = wilcoxon(long.withColumn("d", F.round(F.col("m") - F.col("b"), 9)), on).select(*on, F.col("p").alias("p_obs"))
+    lines = wilcoxon(per, on).select(*on, F.col("p").alias("p_cellline"))
+    return out.join(rows, on, "left").join(lines, on, "left")
+
+
+def cluster_gains(df: DataFrame, by: Sequence[str], cluster: str, model: str, baseline: str, n_boot: int = 1000) -> DataFrame:
+    """Mean over clusters of the mean paired gain, with an interval over clusters, macro means of both sides, clusters, rows, and clusters that gain."""
+    from platewise.operators.statistics import bootstrap_mean
+    by = list(by)
+    both = df.dropna(subset=[model, baseline])
+    per = both.groupBy(*by, cluster).agg(F.avg(model).alias("_m"), F.avg(baseline).alias("_b"), F.avg(F.col(model) - F.col(baseline)).alias("gain"), F.count(F.lit(1)).alias("_n"))
+    sums = per.groupBy(*by).agg(F.avg("_m").alias("model_macro"), F.avg("_b").alias("baseline_macro"), F.sum("_n").alias("n_obs"), F.count_if(F.round("gain", 9) > 0).alias("wins"))
+    return bootstrap_mean(per, by, "gain", [*by, cluster], n_boot).withColumnsRenamed({"mean": "estimate", "n": "n_cell_lines"}).join(sums, by)
 
 
 def compare_by_cluster(paired: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.hashing import md5_key
-from platewise.operators.pairs import CONDITION, distinct_fingerprints, neighbour_pairs
+from platewise.operators.pairs import CONDITION, distinct_fingerprints, neighbour_pairs, packed
 from platewise.plans.ordering import numbered
 from platewise.session import cut_lineage
 
@@ -24,7 +24,7 @@ def leader_clusters(df: DataFrame, row_id: str, bits: str, cutoff: float = 0.4)
     neighbours are decided, which yields the clusters of the sequential walk. Rounds are checkpointed.
     """
     points = cut_lineage(distinct_fingerprints(df, row_id, bits))
-    edges = cut_lineage(neighbour_pairs(points, cutoff, bits).select(F.col("id_i").alias("a"), F.col("id_j").alias("b")))
+    edges = cut_lineage(neighbour_pairs(points, cutoff).select(F.col("id_i").alias("a"), F.col("id_j").alias("b")))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = points.select("id", "copies")
     degree = both.join(size.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("d"))
@@ -49,8 +49,8 @@ def leader_clusters(df: DataFrame, row_id: str, bits: str, cutoff: float = 0.4)
     owner = follow.groupBy("a").agg(F.max_by("b", "prio_b").alias("centroid")).withColumnRenamed("a", "id")
     member = owner.unionByName(leaders.select("id", F.col("id").alias("centroid")))
     order = ranked.select(F.col("id").alias("centroid"), F.col("prio.d").alias("neighbours"))
-    named = points.select(bits, F.col("id").alias("_point")).join(member.withColumnRenamed("id", "_point"), "_point").join(order, "centroid")
-    return df.select(row_id, bits).join(named, bits).select(row_id, "centroid", "neighbours")
+    named = points.select("words", F.col("id").alias("_point")).join(member.withColumnRenamed("id", "_point"), "_point").join(order, "centroid")
+    return df.select(row_id, packed(F.col(bits)).alias("words")).join(named, "words").select(row_id, "centroid", "neighbours")
 
 
 def cluster_sizes(members: DataFrame) -> DataFrame:

@@ -363,17 +363,32 @@ def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[st
     out = _line(df, by, x, y)
     if unit is None:
         return out
-    ok = finite(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *unit_keys(seed, unit))
-    # centred on the group's means first, so that sums of squares keep their digits
-    means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    c = _attach(ok, means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).withColumns(
-        {"xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y")})
-    s = replicate_sums(c, by, ["x", "y", "xx", "xy"], n_boot)
+    s = pair_sums(df, by, x, y, unit, n_boot, seed)
     n = F.nullif("w", F.lit(0.0))
     slope = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / n, F.col("xx") - F.col("x") * F.col("x") / n)
     return _attach(out, percentile_bounds(s.select(*by, slope.alias("m")), by, "m", ci), by)
 
 
+def pair_sums(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Per group and replicate the weighted sums of x, y, their squares and their product, about the means of all rows, so that sums of squares keep their digits."""
+    by = list(by)
+    ok = finite(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *unit_keys(seed, unit))
+    means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    c = _attach(ok, means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
+    return replicate_sums(c.withColumns({"xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}), by, ["x", "y", "xx", "xy", "yy"], n_boot)
+
+
+def correlation_interval(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
+    """Pearson correlation per group with a percentile interval over resampled rows (pairs of values)."""
+    by = list(by)
+    point = finite(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(x), F.col(y)).alias("r"))
+    s = pair_sums(df, by, x, y, unit, n_boot, seed)
+    n = F.nullif("w", F.lit(0.0))
+    cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / n
+    r = F.try_divide(cov("x", "y", "xy"), F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")))
+    return _attach(point, percentile_bounds(s.select(*by, r.alias("m")).filter("m IS NOT NULL AND NOT isnan(m)"), by, "m", ci), by)
+
+
 def _line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     a = finite(df, x, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(x, y), F.var_pop(x)).alias("slope"),
@@ -494,6 +509,50 @@ def curve_fits(df: DataFrame, x: str, y: str, grids: dict[str, list[float]]) ->
     return union_all(frames)
 
 
+#: Grid points of a level of `curve_optimum`, families whose parameter may be negative, and the bounds of each family's parameter.
+GRID_POINTS, SIGNED, BOUNDS = 33, ("power",), {"power": (0.01, 10.0), "saturating": (0.001, 1e6), "michaelis_menten": (0.001, 1e6)}
+
+
+def curve_optimum(df: DataFrame, x: str, y: str, tolerance: float = 1e-9, bounds: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:
+    """Families y = a + b g(x; k) at the parameter of largest R2 within its bounds: nested grids, first over the logarithm, each next one around the best point of the last, until the
+    parameter stands still. Every level is one aggregate over the table of distinct x, in which rows are only counted and added up; families without a parameter have k = 1."""
+    sums = finite(df, x, y).groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("sy"), F.sum(F.col(y).cast("double") ** 2).alias("syy"))
+    v = cut_lineage(sums)
+    n, sy, syy = v.agg(F.sum("n"), F.sum("sy"), F.sum("syy")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "family string, k double, slope double, intercept double, r2 double, adj_r2 double")
+    mean, vy = sy / n, syy - sy * sy / n
+
+    def fits(grid: dict[str, np.ndarray]) -> dict[str, list]:
+        points = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(k)).alias("k")) for f, ks in grid.items() for k in ks]))
+        g = F.coalesce(*[F.when(F.col("p.f") == f, CURVES[f][0](F.col("x"), F.col("p.k"))) for f in grid])
+        e = v.select("x", "n", (F.col("sy") - F.col("n") * mean).alias("c"), points.alias("p")).select("p.f", "p.k", "n", "c", g.alias("g"))
+        rows = e.groupBy("f", "k").agg(F.sum(F.col("n") * F.col("g")).alias("sg"), F.sum(F.col("n") * F.col("g") ** 2).alias("sgg"), F.sum(F.col("g") * F.col("c")).alias("cov")).collect()
+        out: dict[str, list] = {f: [] for f in grid}
+        for r in rows:
+            vg = r["sgg"] - r["sg"] ** 2 / n
+            r2 = r["cov"] ** 2 / (vg * vy) if vg > 0 and vy > 0 else 0.0
+            out[r["f"]].append((r2, -r["k"], r["cov"] / vg if vg > 0 else 0.0, r["sg"]))
+        return out
+
+    done = {f: max(p) for f, p in fits({f: np.array([1.0]) for f in CURVES if f not in bounds}).items()}
+    grid = {f: np.geomspace(lo, hi, GRID_POINTS) for f, (lo, hi) in bounds.items()}
+    grid |= {f: np.concatenate([-grid[f][::-1], grid[f]]) for f in SIGNED if f in grid}
+    while grid:
+        best, ahead = {f: max(p) for f, p in fits(grid).items()}, {}
+        for f, b in best.items():
+            at = int(np.argmin(np.abs(grid[f] + b[1])))
+            lo, hi = grid[f][max(0, at - 1)], grid[f][min(len(grid[f]) - 1, at + 1)]
+            if hi - lo <= tolerance * abs(b[1]):
+                done[f] = b
+            else:
+                ahead[f] = np.linspace(lo, hi, GRID_POINTS)
+        grid = ahead
+    rows = [(f, -b[1], b[2], mean - b[2] * b[3] / n, b[0], 1 - (1 - b[0]) * (n - 1) / (n - CURVES[f][1]) if n > CURVES[f][1] else None) for f, b in done.items()]
+    return df.sparkSession.createDataFrame([(f, float(k), float(s), float(i), float(r), None if a is None else float(a)) for f, k, s, i, r, a in rows],
+                                           "family string, k double, slope double, intercept double, r2 double, adj_r2 double")
+
+
 def factor_sums(long: DataFrame, unit: str, value: str, factors: Sequence[str]) -> DataFrame:
     """Per (unit, factor) sum of squares between levels, the total as factor 'total'. All level sums come from one
     pass with grouping sets."""

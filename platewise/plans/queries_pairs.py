@@ -12,6 +12,7 @@ from platewise.operators import profiles as P
 from platewise.plans import inputs as I
 from platewise.plans.catalog import Tables, query
 from platewise.plans.oracle import cte
+from platewise.session import cut_lineage
 
 cte("profile_rank", """
 SELECT *, rank() OVER (PARTITION BY cell_line, sample ORDER BY value) + (count(*) OVER (PARTITION BY cell_line, sample, value) - 1) / 2.0::DOUBLE AS rk
@@ -52,8 +53,9 @@ def repro_inter(t):
 @query("q_repro_grid", " UNION ALL ".join(
     f"SELECT '{k}' AS kind, '{m}' AS plate_mode, * FROM {k}_{m}" for k in ("untreated", "treated", "delta") for m in ("intra", "inter")), PAIR_FLOATS)
 def repro_grid(t):
-    p = I.profiles(t)
-    kinds = {"untreated": p.filter(F.col("drug") == I.CONTROL), "treated": p.filter(F.col("drug") != I.CONTROL), "delta": I.delta(t)}
+    # Written once, since each of them is read by both modes.
+    p, delta = cut_lineage(I.profiles(t)), cut_lineage(I.delta(t))
+    kinds = {"untreated": p.filter(F.col("drug") == I.CONTROL), "treated": p.filter(F.col("drug") != I.CONTROL), "delta": delta}
     out = None
     for kind, df in kinds.items():
         for mode in ("intra", "inter"):

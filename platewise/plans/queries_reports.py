@@ -290,9 +290,9 @@ def representation_id(t):
 
 @query("q_stream_pseudobulk", "SELECT cell_line, sample, gene, v AS value FROM bulk_sums", "value")
 def stream_pseudobulk(t):
-    """Measurements written as files by plate, read as a stream one file at a time, summed in state."""
+    """Measurements written as files by sample, read as a stream of a few files a trigger, summed in state."""
     folder, out, state = (scratch_path(t.spark, n) for n in ("cells", "sums", "state"))
     rows = I.counts(t).join(I.cell_meta(t).select("barcode", "cell_line", "sample"), "barcode").select("cell_line", "sample", "gene", "cnt")
     rows.repartition(F.col("sample")).write.parquet(folder)
-    Z.run_to_table(Z.read_measurements(t.spark, folder, rows.schema), out, state)
+    Z.run_to_table(Z.read_measurements(t.spark, folder, rows.schema, files_per_trigger=4), out, state)
     return Z.latest_sums(t.spark, out)

@@ -164,12 +164,26 @@ FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationk
 """)
 
 
+cte("experiment_meta", """
+SELECT concat('exp', n_nationkey, '_', seg) AS experiment, r_name AS dataset, lower(seg) AS category, concat(n_name, ' ', seg) AS label FROM nation JOIN region ON n_regionkey = r_regionkey,
+ (SELECT DISTINCT c_mktsegment AS seg FROM customer) WHERE n_nationkey % 7 <> 6
+""")
+
+
 @query("q_run_registry", r"""
 WITH p AS (SELECT *, regexp_extract(dir_name, '_(\d{4}-\d{2}-\d{2}_\d{6})$', 1) AS stamp, regexp_extract(dir_name, '^(.*)_\d{4}-\d{2}-\d{2}_\d{6}$', 1) AS experiment FROM run_text)
-SELECT experiment, stamp, run_id, val_spearman, test_pearson, n_train FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY stamp, run_id) AS rn FROM p) WHERE rn <= 5
+SELECT experiment, stamp, run_id, val_spearman, test_pearson, n_train, dataset, category, label FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY stamp, run_id) AS rn FROM p JOIN experiment_meta USING (experiment)) WHERE rn <= 50
 """, "val_spearman test_pearson")
 def run_registry(t):
-    return B.run_registry(run_text(t), keep=5).select("experiment", "stamp", "run_id", "val_spearman", "test_pearson", "n_train")
+    return B.run_registry(run_text(t), 50, experiment_meta(t)).select("experiment", "stamp", "run_id", "val_spearman", "test_pearson", "n_train", "dataset", "category", "label")
+
+
+def experiment_meta(t: Tables):
+    """Data set, category and label of every experiment that is listed."""
+    seg = F.col("c_mktsegment")
+    lands = t.nation.filter("n_nationkey % 7 <> 6").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.customer.select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct().join(lands, "n_nationkey").select(
+        F.concat(F.lit("exp"), "n_nationkey", F.lit("_"), seg).alias("experiment"), F.col("r_name").alias("dataset"), F.lower(seg).alias("category"), F.concat_ws(" ", "n_name", seg).alias("label"))
 
 
 def run_text(t: Tables):

@@ -241,13 +241,20 @@ def bh_fdr(t):
     return S.bh_fdr(I.scores(t).select("arm", "cell_line", "drug", "dose", p.alias("p")), "p", ["arm"])
 
 
-@query("q_sar_corr", """
-WITH u AS (SELECT cell_line, 'ecfp' AS representation, ecfp_dist AS d, pearson FROM sar UNION ALL SELECT cell_line, 'dense', dense_dist, pearson FROM sar)
-SELECT cell_line, representation, count(*) AS n, corr(d, pearson) AS r FROM u WHERE d IS NOT NULL AND NOT isnan(d) GROUP BY ALL
-""", "r")
+@query("q_sar_corr", f"""
+WITH u AS (SELECT cell_line, 'ecfp' AS representation, dose, time, plate, drug_i, drug_j, ecfp_dist AS d, pearson FROM sar UNION ALL SELECT cell_line, 'dense', dose, time, plate, drug_i, drug_j, dense_dist, pearson FROM sar),
+k AS (SELECT *, d - avg(d) OVER g AS x, pearson - avg(pearson) OVER g AS y FROM u WHERE d IS NOT NULL AND NOT isnan(d) AND pearson IS NOT NULL AND NOT isnan(pearson) WINDOW g AS (PARTITION BY cell_line, representation)),
+{boot_sql('k', 'cell_line, representation', 'x', 'cell_line, representation, dose, time, plate, drug_i, drug_j').split('rp AS')[0].replace('x AS x,', 'x, y,')}
+cr AS (SELECT cell_line, representation, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / sqrt((sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) * (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w))) AS m
+ FROM u5 WHERE w > 0 GROUP BY cell_line, representation, b),
+cb AS (SELECT cell_line, representation, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM cr WHERE NOT isnan(m) GROUP BY ALL)
+SELECT cell_line, representation, n, r, lo, hi FROM (SELECT cell_line, representation, count(*) AS n, corr(x, y) AS r FROM k GROUP BY ALL) JOIN cb USING (cell_line, representation)
+""", "r lo hi")
 def sar_corr(t):
-    u = sar(t).select("cell_line", "pearson", F.col("ecfp_dist").alias("ecfp"), F.col("dense_dist").alias("dense")).unpivot(["cell_line", "pearson"], ["ecfp", "dense"], "representation", "d")
-    return S.finite(u, "d", "pearson").groupBy("cell_line", "representation").agg(F.count(F.lit(1)).alias("n"), S.safe_corr(F.col("d"), F.col("pearson")).alias("r"))
+    """Correlation of structural distance with profile similarity, with an interval over resampled pairs."""
+    pair = ["cell_line", "dose", "time", "plate", "drug_i", "drug_j"]
+    u = sar(t).select(*pair, "pearson", F.col("ecfp_dist").alias("ecfp"), F.col("dense_dist").alias("dense")).unpivot([*pair, "pearson"], ["ecfp", "dense"], "representation", "d")
+    return S.correlation_interval(cut_lineage(u), ["cell_line", "representation"], "d", "pearson", ["cell_line", "representation", *pair[1:]], BOOT)
 
 
 BINNED = f"""
@@ -274,20 +281,21 @@ def binned_r2(t):
 
 @query("q_filter_sweep", """
 WITH a AS (SELECT th AS threshold, cell_line, drug, dose, pearson, spearman FROM scores, (SELECT unnest([-0.5::DOUBLE, 0.0, 0.3]) AS th) WHERE arm = 'model' AND l2 / 25 - 1 >= th / 10),
-n AS (SELECT cell_line, drug, dose, pearson AS p0, (ceil(round((spearman + 1) / 0.2::DOUBLE, 9)) - 1)::INT AS bin FROM scores WHERE arm = 'reference')
-, j AS (SELECT threshold, bin, pearson, round(pearson - p0, 12) AS d FROM a JOIN n USING (cell_line, drug, dose) WHERE bin >= 0 AND bin < 10),
-""" + wilcoxon_sql("j", "threshold, bin") + """,
-o AS (SELECT * FROM (SELECT threshold, bin, count(*) AS n, avg(pearson) AS mean, avg(d) AS diff FROM j GROUP BY ALL) LEFT JOIN (SELECT threshold, bin, """ + normal_p("z") + """ AS p FROM wz) USING (threshold, bin)),
+n0 AS (SELECT cell_line, drug, dose, pearson AS p0, (ceil(round((spearman + 1) / 0.2::DOUBLE, 9)) - 1)::INT AS bin FROM scores WHERE arm = 'reference'),
+n AS (SELECT * FROM n0 WHERE bin IN (SELECT bin FROM n0 GROUP BY bin HAVING count(*) >= 100))
+, j AS (SELECT threshold, bin, cell_line, drug, dose, pearson, round(pearson - p0, 12) AS d FROM a JOIN n USING (cell_line, drug, dose) WHERE bin >= 0 AND bin < 10),
+""" + wilcoxon_sql("j", "threshold, bin") + "," + boot_sql("j", "threshold, bin", "d", "threshold, bin, cell_line, drug, dose") + """,
+o AS (SELECT * FROM (SELECT threshold, bin, count(*) AS n, avg(pearson) AS mean, avg(d) AS diff FROM j GROUP BY ALL) LEFT JOIN bd USING (threshold, bin) LEFT JOIN (SELECT threshold, bin, """ + normal_p("z") + """ AS p FROM wz) USING (threshold, bin)),
 b AS (SELECT *, count(p) OVER () AS m, CASE WHEN p IS NOT NULL THEN count(p) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS r FROM o)
-SELECT threshold, bin, n, mean, diff, p, CASE WHEN p IS NOT NULL THEN least(1, min(p * m / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS q FROM b
-""", "mean diff p q")
+SELECT threshold, bin, n, mean, diff, lo, hi, p, CASE WHEN p IS NOT NULL THEN least(1, min(p * m / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS q FROM b
+""", "mean diff lo hi p q")
 def filter_sweep(t):
-    """Arms of a training-filter sweep against the unfiltered arm, per reproducibility bin, with tests."""
+    """Arms of a training-filter sweep against the unfiltered arm, per reproducibility bin of 100 rows or more, with intervals and tests."""
     from platewise.operators.reports import filter_sweep as sweep
     a, b = arms(t)
     kept = a.withColumn("threshold", F.explode(F.array(F.lit(-0.5), F.lit(0.0), F.lit(0.3)))).filter(F.col("l2") / 25 - 1 >= F.col("threshold") / 10)
     binned = b.withColumn("bin", S.right_closed_bin(F.col("spearman"), -1.0, 0.2, 10)).dropna(subset=["bin"])
-    return sweep(kept, binned, "threshold", "bin", ["cell_line", "drug", "dose"], "pearson")
+    return sweep(kept, binned, "threshold", "bin", ["cell_line", "drug", "dose"], "pearson", 100, BOOT)
 
 
 GRIDS = {"power": [0.1, 0.2, 0.5, 1.5, 2.0], "saturating": [1.0, 3.0, 10.0, 30.0], "michaelis_menten": [1.0, 5.0, 20.0, 80.0]}
@@ -305,6 +313,60 @@ def curve_fits(t):
     return S.curve_fits(t.lineitem, "l_quantity", "l_extendedprice", GRIDS)
 
 
+@query("q_curve_optimum")
+def curve_optimum(t):
+    """The same families at their best parameter."""
+    return S.curve_optimum(t.lineitem, "l_quantity", "l_extendedprice")
+
+
+cte("quad_scores", """
+SELECT q.*, s.model, s.reference, s.train_mean FROM quads q JOIN (SELECT cell_line, drug, smiles, dose, time, max(pearson) FILTER (arm = 'model') AS model, max(pearson) FILTER (arm = 'reference') AS reference,
+ max(pearson) FILTER (arm = 'train_mean') AS train_mean FROM scores GROUP BY ALL) s USING (cell_line, drug, smiles, dose, time)
+""")
+
+
+def quad_scores(t: Tables):
+    """Scores of all arms beside each test observation and its quadrant."""
+    from platewise.plans.queries_splits import quads
+    of = lambda a: F.max(F.when(F.col("arm") == a, F.col("pearson"))).alias(a)
+    return cut_lineage(quads(t).join(I.scores(t).groupBy(*OBS).agg(of("model"), of("reference"), of("train_mean")), OBS))
+
+
+_base = " UNION ALL ".join(f"SELECT quadrant, cell_line, drug, dose, '{b}' AS baseline, model AS m, {b} AS b, round(model - {b}, 9) AS d FROM quad_scores" for b in ("reference", "train_mean"))
+_means = "micro_model micro_baseline micro_diff macro_model macro_baseline macro_diff p_obs p_cellline"
+
+
+@query("q_quadrant_baselines", f"""
+WITH l AS ({_base}), c AS (SELECT quadrant, baseline, cell_line, avg(m) AS am, avg(b) AS ab, round(avg(m) - avg(b), 9) AS d FROM l GROUP BY ALL),
+{wilcoxon_sql('l', 'quadrant, baseline')}, pl AS (SELECT quadrant, baseline, {normal_p('z')} AS p_obs FROM wz),
+{wilcoxon_sql('c', 'quadrant, baseline').replace('wr ', 'xr ').replace('ws ', 'xs ').replace('wz ', 'xz ').replace('FROM wr', 'FROM xr').replace('FROM ws', 'FROM xs')}, pc AS (SELECT quadrant, baseline, {normal_p('z')} AS p_cellline FROM xz)
+SELECT quadrant, baseline, n_obs, n_obs_paired, n_cell_lines, micro_model, micro_baseline, macro_model, macro_baseline, n_cl_wins, micro_model - micro_baseline AS micro_diff, macro_model - macro_baseline AS macro_diff, p_obs, p_cellline
+FROM (SELECT quadrant, baseline, count(*) AS n_obs, count(d) AS n_obs_paired, count(DISTINCT cell_line) AS n_cell_lines, avg(m) AS micro_model, avg(b) AS micro_baseline FROM l GROUP BY ALL)
+JOIN (SELECT quadrant, baseline, avg(am) AS macro_model, avg(ab) AS macro_baseline, count(*) FILTER (d > 0) AS n_cl_wins FROM c GROUP BY ALL) USING (quadrant, baseline)
+LEFT JOIN pl USING (quadrant, baseline) LEFT JOIN pc USING (quadrant, baseline)
+""", _means)
+def quadrant_baselines(t):
+    from platewise.operators.reports import compare_baselines
+    return compare_baselines(quad_scores(t), ["quadrant"], "cell_line", "model", ["reference", "train_mean"])
+
+
+@query("q_quadrant_gain", f"""
+WITH s AS (SELECT * FROM quad_scores WHERE model IS NOT NULL AND reference IS NOT NULL AND (quadrant IN ('Q2', 'Q3') OR quadrant = 'Q4' AND cell_line IN (SELECT cell_line FROM quads WHERE quadrant = 'Q3')
+ AND smiles IN (SELECT smiles FROM smiles_split WHERE split = 'test'))),
+g AS (SELECT quadrant, cell_line, avg(model) AS am, avg(reference) AS ab, avg(model - reference) AS gain, count(*) AS k FROM s GROUP BY ALL), {boot_sql('g', 'quadrant', 'gain', 'quadrant, cell_line')}
+SELECT quadrant, mean AS estimate, n AS n_cell_lines, lo, hi, model_macro, baseline_macro, n_obs, wins FROM pt JOIN bd USING (quadrant)
+JOIN (SELECT quadrant, avg(am) AS model_macro, avg(ab) AS baseline_macro, sum(k)::BIGINT AS n_obs, count(*) FILTER (round(gain, 9) > 0) AS wins FROM g GROUP BY 1) USING (quadrant)
+""", "estimate lo hi model_macro baseline_macro")
+def quadrant_gain(t):
+    """Gain over the reference by quadrant and cell line; both new: only cell lines and compounds held out for the test."""
+    from platewise.operators.reports import cluster_gains
+    from platewise.plans.queries_splits import obs_keys, quads, smiles_split
+    lines = quads(t).filter("quadrant = 'Q3'").select("cell_line").distinct().withColumn("_line", F.lit(True))
+    held = smiles_split(obs_keys(t)).filter("split = 'test'").select("smiles").distinct().withColumn("_smiles", F.lit(True))
+    s = quad_scores(t).join(lines, "cell_line", "left").join(held, "smiles", "left")
+    return cluster_gains(s.filter("quadrant in ('Q2', 'Q3') or quadrant = 'Q4' and _line and _smiles"), ["quadrant"], "cell_line", "model", "reference", BOOT)
+
+
 @query("q_quadrant_vs_baseline", f"""
 WITH c AS (SELECT dose, cell_line, round(avg(a) - avg(b), 9) AS d, avg(a) AS a, avg(b) AS b, sum(a) AS sa, sum(b) AS sb, count(*) AS n FROM paired GROUP BY ALL), {wilcoxon_sql('c', 'dose')}
 SELECT dose, sum(sa) / sum(c.n) AS micro_a, sum(sb) / sum(c.n) AS micro_b, avg(a) AS macro_a, avg(b) AS macro_b, avg(a - b) AS macro_diff, count(*) FILTER (d > 0) AS wins, count(*) AS n_lines, any_value(w) AS w, any_value(p) AS p

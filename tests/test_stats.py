@@ -6,6 +6,7 @@ from platewise.functions.dense import average_ranks
 from platewise.operators import cleaning as C
 from platewise.operators import enrichment as E
 from platewise.operators import observations as O
+from platewise.operators import reports as B
 from platewise.operators import scoring as M
 from platewise.operators import splits as L
 from platewise.operators import statistics as S
@@ -304,3 +305,37 @@ def test_lasso_meets_its_optimality_conditions(spark):
     assert (w[5] == 0).all() and w[0, 0] > 0.5 and (w[:5, 1] == 0).any()
     with pytest.raises(ValueError, match="reduce them"):
         scoring.gram(spark.createDataFrame([([0.0] * 6000, [1.0])], "x array<double>, y array<double>"), "x", "y")
+
+
+def test_curve_optimum_stands_where_a_fine_grid_does(spark):
+    rng = np.random.default_rng(21)
+    x = rng.integers(1, 40, 400).astype(float)
+    y = 0.6 + 0.25 * x / (7.0 + x) + rng.normal(0, 0.01, 400)
+    got = {r.family: r for r in S.curve_optimum(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "x", "y").collect()}
+    assert set(got) == {"log", "sqrt", "power", "saturating", "michaelis_menten"}
+
+    def fit(g):
+        b, a = np.polyfit(g, y, 1)
+        r2 = np.corrcoef(g, y)[0, 1] ** 2
+        return r2, b, a
+
+    shapes = {"power": lambda k: x**k, "saturating": lambda k: 1 - np.exp(-x / k), "michaelis_menten": lambda k: x / (k + x)}
+    for name, g in shapes.items():
+        r = got[name]
+        near = [fit(g(r.k * f))[0] for f in np.linspace(0.5, 2, 301)]
+        r2, b, a = fit(g(r.k))
+        assert r.r2 >= max(near) - 1e-12 and [r.r2, r.slope, r.intercept] == pytest.approx([r2, b, a], rel=1e-6)
+        assert all(fit(g(r.k * f))[0] <= r.r2 + 1e-12 for f in (0.999, 0.999999, 1.000001, 1.001))
+        assert r.adj_r2 == pytest.approx(1 - (1 - r2) * 399 / 397)
+    for name, g in (("log", np.log(x)), ("sqrt", np.sqrt(x))):
+        assert [got[name].k, got[name].r2] == pytest.approx([1.0, fit(g)[0]])
+    assert abs(got["michaelis_menten"].k - 7) < 3 and S.curve_optimum(spark.createDataFrame([], "x double, y double"), "x", "y").collect() == []
+
+
+def test_baselines_with_gaps(spark):
+    rows = [("Q1", "c1", 0.5, 0.4, None), ("Q1", "c1", 0.7, 0.9, 0.1), ("Q1", "c2", 0.3, None, float("nan")), ("Q1", "c2", 0.9, 0.2, 0.3), ("Q2", "c3", 0.1, 0.1, 0.1)]
+    got = {(r.quadrant, r.baseline): r for r in B.compare_baselines(spark.createDataFrame(rows, "quadrant string, cell string, m double, a double, b double"), ["quadrant"], "cell", "m", ["a", "b"]).collect()}
+    r = got[("Q1", "a")]
+    assert [r.n_obs, r.n_obs_paired, r.n_cell_lines, r.n_cl_wins] == [4, 3, 2, 1]
+    assert [r.micro_model, r.micro_baseline, r.macro_model, r.macro_baseline] == pytest.approx([0.6, 0.5, 0.6, (0.65 + 0.2) / 2])
+    assert got[("Q1", "b")].n_obs_paired == 2 and got[("Q2", "a")].p_obs is None and got[("Q2", "a")].micro_diff == 0
