@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import col
+from platewise.llm.common import col, staged
+from platewise.llm.merkle import slots
 
 SHINGLE = 5
 #: Part of the hash range that is kept.
 FRACTION = 1 / 8
-#: Documents that are put next to each other by one window.
-NEIGHBOURS = 2048
-#: Keys that one window may order at once.
-ONE_WINDOW = 1 << 16
+#: Documents that are put next to each other by one window, and spans of ids with blocks of their own width.
+NEIGHBOURS, SPANS = 2048, 64
 
 
 def sketch(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION) -> Column:
@@ -55,35 +54,34 @@ def printed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def nearest_above(keys: DataFrame, low: int, high: int, rows: int) -> DataFrame:
-    """(k, above): for each of the distinct integers `k` between `low` and `high` the next larger one, null for the largest. Beyond ONE_WINDOW keys the
-    same is done by blocks of keys first."""
-    if rows <= ONE_WINDOW:
-        return keys.select("k", F.lag("k").over(Window.orderBy(F.col("k").desc())).alias("above"))
-    width = max(1, (high - low + 1) * NEIGHBOURS // rows)
-    placed = keys.withColumn("b", F.expr(f"(k - {low}) div {width}"))
-    blocks = placed.groupBy("b").agg(F.min("k").alias("least"))
-    up = nearest_above(blocks.select(F.col("b").alias("k")), 0, (high - low) // width, rows // NEIGHBOURS + 1)
-    next_least = up.join(blocks.withColumnRenamed("b", "above"), "above").select(F.col("k").alias("b"), "least")
-    inside = placed.select("k", "b", F.lag("k").over(Window.partitionBy("b").orderBy(F.col("k").desc())).alias("near"))
-    return inside.join(next_least, "b", "left").select("k", F.coalesce("near", "least").alias("above"))
+def block_of(low: int, bounds: list[int], high: int, rows: int) -> Column:
+    """Number of the block of `doc_id`, never falling as the id grows; -1 for null. `bounds` cut the ids into spans of about as many rows each, and each span is cut evenly into blocks of
+    about NEIGHBOURS rows, so that ids far from the others widen the blocks of their own span only."""
+    whole = "DECIMAL(38,0)"
+    starts = sorted({low, *bounds})
+    ends = [*(x - 1 for x in starts[1:]), high]
+    widths = [max(1, -(-(e - s + 1) * NEIGHBOURS * len(starts) // max(1, rows))) for s, e in zip(starts, ends)]
+    exact = lambda v: F.lit(str(v)).cast(whole)
+    span = F.size(F.filter(F.array(*[F.lit(x) for x in starts[1:]]).cast("array<bigint>"), lambda x: x <= F.col("doc_id"))) if len(starts) > 1 else F.lit(0)
+    pick = lambda values: F.get(F.array(*map(exact, values)), span)
+    inside = F.call_function("div", F.col("doc_id").cast(whole) - pick(starts), pick(widths))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(span.cast("bigint") * (1 << 40) + inside)
 
 
 def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
     """`docs` (doc_id, _text) with the `derived` columns, and `_next`: text and derived columns of the row that follows in descending order of doc_id (null ids
     last, ties by text in descending order); the last row is followed by the first.
 
-    Ids are cut into blocks of about NEIGHBOURS rows by their range and number; a window within a block finds all followers but the last row's, which
-    is the top row of the next block that has any. Rows move once, by block; of the others only the blocks' top rows are read again."""
-    low, high, rows, known = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * NEIGHBOURS // max(1, rows))
-    lowest = 0 if known == rows else -1
-    block = F.coalesce(F.expr(f"(doc_id - {low}) div {width}"), F.lit(-1).cast("bigint"))
+    Ids are cut into blocks (`block_of`); a window within a block finds all followers but the last row's, which is the top row of the next block that has any. Rows move once, by
+    block; of the others only the blocks' top rows are read again. The rows of one id, or without one, share a block."""
+    low, high, rows, bounds = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.percentile_approx("doc_id", [i / SPANS for i in range(1, SPANS)], 10 * SPANS)).first()
+    block = block_of(low or 0, bounds or [], high or 0, rows)
     tops = docs.groupBy(block.alias("k")).agg(F.max("doc_id").alias("top"))
-    above = nearest_above(tops.select("k"), lowest, (high - low) // width, rows // NEIGHBOURS + 2)
+    placed = staged(slots(tops.select(F.lit("").alias("g"), "k", "top"), ["k"]), "blocks")
+    lowest = placed.agg(F.min("k")).first()[0]
     # The last row of the block above is followed by this block's top row; above the top of all stands the lowest block.
-    edges = tops.join(above, "k").select("top", F.coalesce("above", F.lit(lowest).cast("bigint")).alias("_edge"))
+    above = placed.select(F.col("k").alias("_edge"), (F.col("slot") - 1).alias("slot"))
+    edges = placed.select("top", "slot").join(above, "slot", "left").select("top", F.coalesce("_edge", F.lit(lowest).cast("bigint")).alias("_edge"))
     heads = docs.join(edges, F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("_edge").agg(F.max("_text").alias("_text")).withColumns(derived)
     row = F.struct("_text", *derived)
     down = Window.partitionBy("_block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("_text").desc())

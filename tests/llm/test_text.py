@@ -180,10 +180,12 @@ def edits(spark, df):
     return scaled_sketch.compare_edited(df).select("*", F.sha2("edited", 256).alias("edited_sha256")).collect()
 
 
-@pytest.mark.parametrize("neighbours,window", [(2048, 1 << 16), (2, 4)])
-def test_edited_texts(spark, monkeypatch, neighbours, window):
+@pytest.mark.parametrize("neighbours,spans", [(2048, 64), (2, 4), (3, 64)])
+def test_edited_texts(spark, monkeypatch, neighbours, spans):
     monkeypatch.setattr(scaled_sketch, "NEIGHBOURS", neighbours)
-    monkeypatch.setattr(scaled_sketch, "ONE_WINDOW", window)
+    monkeypatch.setattr(scaled_sketch, "SPANS", spans)
+    ends = [(i * 3, prose(6, i + 1)) for i in range(30)] + [(2**63 - 1, "top"), (-2**63, "bottom"), (10**15, "far off")] + [(7, f"same id {i}") for i in range(9)] + [(None, f"none {i}") for i in range(9)]
+    check_edits(ends, edits(spark, frame(spark, ends)))
     check_edits(awkward(), edits(spark, frame(spark, awkward())))
     sparse = [(i * i * 37 % 100003, prose(5 + i % 40, i)) for i in range(120)]
     check_edits(sparse, edits(spark, frame(spark, sparse)))
