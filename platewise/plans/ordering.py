@@ -1,7 +1,8 @@
 """Exact ranks, quantiles and tiles that hold for hot groups.
 
 Equal values are counted before any window runs. A group's distinct values are cut into ranges by a function of the value
-alone, so a window sees only the distinct values of one range, and the plan is the same lazy one for every size.
+alone, and ranges into finer ones, so a window sees only the distinct values of one fine range (relative distance 2e-7) or the fine ranges of one
+coarse range, and the plan is the same lazy one for every size.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 from platewise.session import cut_lineage
 
 STEPS = 1024  # ranges between a value and its double
+FINE = 4096  # fine ranges of a range
 
 
-def range_of(value: Column) -> Column:
-    """Number of the value's range, never falling as the value grows: the scaled logarithm, mirrored below zero. Infinite values have the outermost ranges."""
-    v = value.cast("double")
-    step = F.floor(F.log2(F.abs(v)) * STEPS) + 1100 * STEPS
-    end, far = F.lit(float("inf")), F.lit(4000 * STEPS)
+def range_of(value: Column, fine: int = 1) -> Column:
+    """Number of the value's range, or of its fine range with `fine` of them in a range; it never falls as the value grows: the scaled logarithm, mirrored below zero. Infinite values have
+    the outermost ranges."""
+    v, steps = value.cast("double"), STEPS * fine
+    step = F.floor(F.log2(F.abs(v)) * steps) + 1100 * steps
+    end, far = F.lit(float("inf")), F.lit(4000 * steps).cast("bigint")
     return F.when(v == 0, 0).when(v == end, far).when(v == -end, -far).when(v > 0, step).otherwise(-step).cast("bigint")
 
 
@@ -55,12 +58,15 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     """Distinct values per group with `cnt`, `before` (rows with a smaller value) and `n` (rows of the group)."""
     df, on = one_group(df, by)
     freq = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*on, value).agg(F.count(F.lit(1)).alias("cnt"))
-    freq = freq.withColumn("_r", range_of(F.col(value)))
+    freq = freq.withColumn("_f", range_of(F.col(value), FINE))
     over = Window.partitionBy(*on)
-    totals = freq.groupBy(*on, "_r").agg(F.sum("cnt").alias("_t"))
-    offsets = totals.select(*on, "_r", (F.sum("_t").over(over.orderBy("_r")) - F.col("_t")).alias("_o"), F.sum("_t").over(over).alias("n"))
-    run = freq.withColumn("_c", F.sum("cnt").over(Window.partitionBy(*on, "_r").orderBy(value)) - F.col("cnt"))
-    return run.join(offsets, on + ["_r"]).select(*by, value, "cnt", (F.col("_o") + F.col("_c")).alias("before"), "n")
+    fine = freq.groupBy(*on, "_f").agg(F.sum("cnt").alias("_t")).withColumn("_r", F.floor(F.col("_f") / FINE))
+    coarse = fine.groupBy(*on, "_r").agg(F.sum("_t").alias("_c"))
+    coarse = coarse.select(*on, "_r", (F.sum("_c").over(over.orderBy("_r")) - F.col("_c")).alias("_o"), F.sum("_c").over(over).alias("n"))
+    within = F.sum("_t").over(Window.partitionBy(*on, "_r").orderBy("_f")) - F.col("_t")
+    offsets = fine.join(coarse, on + ["_r"]).select(*on, "_f", (F.col("_o") + within).alias("_o"), "n")
+    run = freq.withColumn("_c", F.sum("cnt").over(Window.partitionBy(*on, "_f").orderBy(value)) - F.col("cnt"))
+    return run.join(offsets, on + ["_f"]).select(*by, value, "cnt", (F.col("_o") + F.col("_c")).alias("before"), "n")
 
 
 def with_average_ranks(df: DataFrame, by: Sequence[str], ranks: dict[str, str]) -> DataFrame:

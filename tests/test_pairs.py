@@ -176,6 +176,18 @@ def test_ranks_of_infinite_values(spark):
     assert [r.r for r in ordering.with_average_rank(df, [], "v", "r").collect()] and all(r.r == ranks[r.v] for r in ordering.with_average_rank(df, [], "v", "r").collect())
 
 
+def test_values_close_together_beside_their_size_spread_over_ranges(spark):
+    """Time stamps of one day: few coarse ranges, many fine ones."""
+    rng = np.random.default_rng(3)
+    x = (1.7e9 + rng.integers(0, 86_400, 3000)).tolist() + [-1.7e9 - 5, -1.7e9, 0.0]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    ranks = average_rank_map(np.array(x))
+    assert all(r.r == ranks[r.v] for r in ordering.with_average_rank(df, [], "v", "r").collect())
+    per = df.select(ordering.range_of(F.col("v")).alias("c"), ordering.range_of(F.col("v"), ordering.FINE).alias("f"), "v").distinct()
+    assert per.select("c").distinct().count() < 6 and per.groupBy("f").count().agg(F.max("count")).first()[0] < 400
+    assert per.filter(F.floor(F.col("f") / ordering.FINE) != F.col("c")).filter("v > 0").count() == 0
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(60, 8))
@@ -218,6 +230,7 @@ def test_pseudobulk_counts_cells_before_the_gene_filter(spark):
 @pytest.fixture
 def force_ranges(monkeypatch):
     monkeypatch.setattr(ordering, "STEPS", 3)
+    monkeypatch.setattr(ordering, "FINE", 2)
 
 
 def test_ranks_and_quantiles_by_ranges(spark, force_ranges):
