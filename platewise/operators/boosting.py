@@ -127,7 +127,7 @@ def best_splits(h: np.ndarray, penalty: float, least: float) -> tuple[np.ndarray
     return f, k, left, right
 
 
-def level_splits(rows: DataFrame, since: Sequence[Trees], now: Trees, level: int, width: int, bins: int, penalty: float, least: float) -> list:
+def level_splits(rows: DataFrame, since: Sequence[Trees], now: Trees, level: int, width: int, bins: int, penalty: float, least: float, parts: int) -> list:
     """The splits of all outputs' nodes of one level: rows (output, features, bins, left, right)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,9 @@ def level_splits(rows: DataFrame, since: Sequence[Trees], now: Trees, level: int
         if own is not None:
             yield picked()
 
-    each = rows.mapInArrow(partial, "k int, h binary").repartition("k").sortWithinPartitions("k")
+    each = rows.mapInArrow(partial, "k int, h binary")
+    if parts > 1:  # a single partition has all sums of an output already, in order
+        each = each.repartition("k").sortWithinPartitions("k")
     return each.mapInArrow(joined, "k int, f array<bigint>, b array<bigint>, left array<double>, right array<double>").collect()
 
 
@@ -175,14 +177,15 @@ def fit(train: DataFrame, x: str, y: str, rounds: int = 50, eta: float = 0.1, de
     mean = source.select(F.posexplode("y").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).orderBy("k").collect()
     model = Boosted(cut_points(source, "x", bins), np.array([r["v"] for r in mean]))
     width, outputs = len(model.cuts), len(model.base)
-    rows = cut_lineage(binned(source, "x", "y", model.cuts, model.base).repartition(max(1, -(-n // PART_ROWS))))
+    parts = -(-n // PART_ROWS)
+    rows = cut_lineage(binned(source, "x", "y", model.cuts, model.base).repartition(parts))
     since: list[Trees] = []
     for _ in range(rounds):
         inner = (1 << depth) - 1
         now = Trees(np.zeros((outputs, inner), np.int64), np.full((outputs, inner), 255), np.zeros((outputs, 1 << depth)))
         for level in range(depth):
             first, many = (1 << level) - 1, 1 << level
-            for r in level_splits(rows, since, now, level, width, bins, penalty, least):
+            for r in level_splits(rows, since, now, level, width, bins, penalty, least, parts):
                 now.feature[r["k"], first: first + many], now.bin[r["k"], first: first + many] = r["f"], r["b"]
                 if level == depth - 1:
                     now.leaf[r["k"]] = eta * np.stack([r["left"], r["right"]], axis=1).ravel()
