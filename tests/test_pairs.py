@@ -280,3 +280,12 @@ def test_bh_by_ranges(spark, force_ranges):
     for k, v in zip(order, q):
         assert got[int(k)] == pytest.approx(min(1, v))
     assert got[99] is None
+
+
+def test_wide_distances_move_no_pair(spark):
+    """Between the tiles and the result of q_sar_wide stands no aggregate and no exchange."""
+    from platewise.plans.all_queries import QUERIES
+
+    plan = QUERIES["q_sar_wide"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("FlatMapGroupsInArrow")]
+    assert "Aggregate" not in above and "Exchange" not in above
