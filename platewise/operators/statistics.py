@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from platewise.functions.hashing import md5_halves, md5_key, mix32
 from platewise.functions.ranks import chi2_upper, normal_two_sided, t_two_sided
 from platewise.operators.summaries import union_all
-from platewise.session import cut_lineage
+from platewise.session import cut_lineage, written
 from platewise.plans.ordering import cumulative_counts, least_from_top, numbered, one_group, with_average_ranks
 
 N_BOOT = 1000
@@ -27,18 +28,34 @@ def finite(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int) -> np.ndarray:
-    """Poisson(1) counts (rows x replicates), functions of a unit's 60-bit key (32 + 28 bits) and the replicate's number only."""
-    mask = np.uint64(4294967295)
+def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int, first: int = 1) -> np.ndarray:
+    """Poisson(1) counts (rows x replicates, from replicate `first`), functions of a unit's 60-bit key (32 + 28 bits) and the replicate's number only. A draw counts the bounds that a
+    32-bit number reaches; rows are taken in strips that stay in the processor's cache."""
+    bounds = [np.uint32(math.ceil(p * 4294967296)) for p in POISSON_CDF]
+    b = (np.arange(first, first + n_boot, dtype=np.uint64) * np.uint64(2654435769)).astype(np.uint32)
+    low, high, out = low.astype(np.uint32), high.astype(np.uint32), np.empty((len(low), n_boot), np.int8)
+    rows = max(1, 65_536 // max(n_boot, 1))
+    x, t = (np.empty((min(rows, len(low)), n_boot), np.uint32) for _ in range(2))
 
-    def mix(x: np.ndarray) -> np.ndarray:
+    def mix(x: np.ndarray, t: np.ndarray) -> None:
         for _ in range(2):
-            x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & mask
-        return x ^ (x >> np.uint64(16))
-
-    b = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(2654435769)
-    x = mix((low.astype(np.uint64)[:, None] + mix((high.astype(np.uint64)[:, None] + b[None, :]) & mask)) & mask)
-    return np.searchsorted(POISSON_CDF, x / 4294967296.0, side="right").astype(np.int8)
+            np.right_shift(x, 16, out=t)
+            np.bitwise_xor(x, t, out=x)
+            np.multiply(x, np.uint32(73244475), out=x)
+        np.right_shift(x, 16, out=t)
+        np.bitwise_xor(x, t, out=x)
+
+    for i in range(0, len(low), rows):
+        n = min(rows, len(low) - i)
+        np.add(high[i:i + n, None], b[None, :], out=x[:n])
+        mix(x[:n], t[:n])
+        np.add(x[:n], low[i:i + n, None], out=x[:n])
+        mix(x[:n], t[:n])
+        count = out[i:i + n]
+        np.greater_equal(x[:n], bounds[0], out=count.view(bool))
+        for bound in bounds[1:]:
+            count += x[:n] >= bound
+    return out
 
 
 def unit_keys(seed: int, unit: Sequence[str]) -> list[Column]:
@@ -369,20 +386,24 @@ def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[st
     return _attach(out, percentile_bounds(s.select(*by, slope.alias("m")), by, "m", ci), by)
 
 
-def pair_sums(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+def pair_sums(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int, seed: int, means: DataFrame | None = None) -> DataFrame:
     """Per group and replicate the weighted sums of x, y, their squares and their product, about the means of all rows, so that sums of squares keep their digits."""
     by = list(by)
     ok = finite(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *unit_keys(seed, unit))
-    means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    c = _attach(ok, means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
+    if means is None:
+        means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    c = _attach(ok, means.select(*by, "_mx", "_my"), by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
     return replicate_sums(c.withColumns({"xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}), by, ["x", "y", "xx", "xy", "yy"], n_boot)
 
 
 def correlation_interval(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
-    """Pearson correlation per group with a percentile interval over resampled rows (pairs of values)."""
+    """Pearson correlation per group with a percentile interval over resampled rows (pairs of values). The rows are made twice, for the groups' moments and for the replicates, and never
+    written or shuffled: the moments are a table of known size that Spark broadcasts."""
     by = list(by)
-    point = finite(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(x), F.col(y)).alias("r"))
-    s = pair_sums(df, by, x, y, unit, n_boot, seed)
+    moments = written(finite(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(x), F.col(y)).alias("r"),
+                                                       F.avg(F.col(x).cast("double")).alias("_mx"), F.avg(F.col(y).cast("double")).alias("_my")), "moments")
+    point = moments.select(*by, "n", "r")
+    s = pair_sums(df, by, x, y, unit, n_boot, seed, moments)
     n = F.nullif("w", F.lit(0.0))
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / n
     r = F.try_divide(cov("x", "y", "xy"), F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")))

@@ -339,3 +339,28 @@ def test_baselines_with_gaps(spark):
     assert [r.n_obs, r.n_obs_paired, r.n_cell_lines, r.n_cl_wins] == [4, 3, 2, 1]
     assert [r.micro_model, r.micro_baseline, r.macro_model, r.macro_baseline] == pytest.approx([0.6, 0.5, 0.6, (0.65 + 0.2) / 2])
     assert got[("Q1", "b")].n_obs_paired == 2 and got[("Q2", "a")].p_obs is None and got[("Q2", "a")].micro_diff == 0
+
+
+def test_correlation_of_pairs_writes_and_moves_no_pair(spark, monkeypatch):
+    """q_sar_corr makes its pairs where they are needed: no checkpoint of them, and their groups' means are broadcast."""
+    from platewise.plans import queries_stats as Q
+    from platewise.plans.all_queries import QUERIES
+
+    written = []
+    for module in (Q, S):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df) or df)
+    df = QUERIES["q_sar_corr"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not written and "SortMergeJoin" not in plan[plan.index("MapInArrow"):plan.index("FlatMapGroupsInArrow")]
+
+
+def test_poisson_counts_are_the_draws_of_the_formula():
+    low, high = np.array([0, 1, 2**32 - 1, 77], np.int64), np.array([5, 2**28 - 1, 0, 9], np.int64)
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) % 2**32
+        return x ^ (x >> 16)
+
+    want = [[sum(mix((int(a) + mix((int(h) + b * 2654435769) % 2**32)) % 2**32) / 2**32 >= p for p in S.POISSON_CDF) for b in range(3, 9)] for a, h in zip(low, high)]
+    assert S.poisson_counts(low, high, 6, 3).tolist() == want
