@@ -228,23 +228,29 @@ def correlation_p(r: Column, n: Column, k: int = 0) -> Column:
     return t_two_sided(F.try_divide(r * F.sqrt(free), F.sqrt(1 - r * r)), free)
 
 
-#: Distinct values of a range of `replicate_moments`, and rows that a task weighs.
-RANGE_VALUES, WEIGHED_ROWS = 512, 8192
+#: Distinct values of a range of `replicate_moments`, rows that a task weighs, rows of a range of the variable with the most values, and replicates that a task ranks at a time.
+RANGE_VALUES, WEIGHED_ROWS, LOCAL_ROWS, AT_ONCE = 512, 65_536, 32_768, 125
 
 
 def coded_rows(rows: DataFrame, on: list[str], names: Sequence[str]) -> DataFrame:
-    """Rows of `on`, `_low`, `_high` with, for each variable k, the place `_p{k}` of its value among the group's distinct ones; `_block` has bounded rows and bounded values of variable 0."""
+    """Rows of `on`, `_low`, `_high` with, for each variable k, the place `_p{k}` of its value among the group's values, a range `_r{k}` of places and a part `_s{k}` of `_n{k}` of the range's
+    rows. Ranges of variable 0 are cut by rows, so only one that holds a value of many rows has several parts; the others are cut by distinct values. `_block` is a part of a range of variable 0."""
     for k, v in enumerate(names):
-        places = numbered(rows.groupBy(*on, v).agg(F.count(F.lit(1)).alias("_c")), on, [F.col(v)], f"_p{k}").withColumn("_range", F.floor((F.col(f"_p{k}") - 1) / RANGE_VALUES))
-        sizes = places.groupBy(*on, "_range").agg(F.ceil(F.sum("_c") / WEIGHED_ROWS).alias(f"_parts{k}"))
-        rows = rows.join(places.drop("_c").join(sizes, [*on, "_range"]).withColumnRenamed("_range", f"_r{k}"), [*on, v]).withColumn(f"_s{k}", F.pmod(F.xxhash64("_low", "_high"), F.col(f"_parts{k}")))
-    codes = [f"_{c}{k}" for k in range(len(names)) for c in "prs"]
+        if k:
+            places = numbered(rows.groupBy(*on, v).agg(F.count(F.lit(1)).alias("_c")), on, [F.col(v)], f"_p{k}").withColumn(f"_r{k}", F.floor((F.col(f"_p{k}") - 1) / RANGE_VALUES))
+        else:
+            places = numbered(rows.select(*on, v), on, [F.col(v)], "_first").groupBy(*on, v).agg(F.min("_first").alias("_p0"), F.count(F.lit(1)).alias("_c"))
+            places = places.withColumn("_r0", F.floor((F.col("_p0") - 1) / LOCAL_ROWS))
+        sizes = places.groupBy(*on, f"_r{k}").agg(F.ceil(F.sum("_c") / (WEIGHED_ROWS if k else 2 * LOCAL_ROWS)).alias(f"_n{k}"))
+        rows = rows.join(places.drop("_c").join(sizes, [*on, f"_r{k}"]), [*on, v]).withColumn(f"_s{k}", F.pmod(F.xxhash64("_low", "_high"), F.col(f"_n{k}")))
+    codes = [F.col(f"_{c}{k}").cast("bigint").alias(f"_{c}{k}") for k in range(len(names)) for c in "prsn"]
     return cut_lineage(rows.select(*on, "_low", "_high", *codes, F.concat_ws("|", "_r0", "_s0").alias("_block")))
 
 
 def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> DataFrame:
     """(on, p, ranks) of each distinct value of variable k: twice its average rank in every replicate, as 64-bit integers. Counts of (range, replicate) are summed up over ranges; within a range
-    a task counts by value. No window holds a replicate, and a value of many rows is counted in parts."""
+    a task counts by value. No window holds a replicate, and a value of many rows is counted in parts. Of variable 0 only ranges of several parts give their values; the others, whose
+    rows are in one task that ranks them itself, give as place -2 - range twice the rows of all ranges before."""
     kinds = dict(coded.dtypes)
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in on)
 
@@ -258,12 +264,14 @@ def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> Dat
     def counted(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("p").to_numpy(), kind="stable")
         p, low, high = (table.column(c).to_numpy()[order] for c in ("p", "_low", "_high"))
+        if k == 0 and table.column("n")[0].as_py() == 1:
+            p = np.full(len(p), -1)
         values, code = np.unique(p, return_inverse=True)
         out = np.zeros((len(values), n_boot), np.int64)
         for i in range(0, len(p), 2048):
             own = code[i:i + 2048]
             starts = np.flatnonzero(np.diff(own, prepend=-1))
-            out[own[starts]] += np.add.reduceat(poisson_counts(low[i:i + 2048], high[i:i + 2048], n_boot).astype(np.int64), starts, axis=0)
+            out[own[starts]] += np.add.reduceat(poisson_counts(low[i:i + 2048], high[i:i + 2048], n_boot), starts, axis=0, dtype=np.int64)
         return told(table, values, out)
 
     def ranked(table: pa.Table) -> pa.Table:
@@ -271,6 +279,8 @@ def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> Dat
         values, code = np.unique(table.column("p").to_numpy(), return_inverse=True)
         v = np.zeros((len(values), n_boot), np.int64)
         np.add.at(v, code, vectors(table.column("v")))
+        if values[0] == -1:
+            return told(table, np.array([-2 - table.column("r")[0].as_py(), -1]), np.vstack([np.zeros_like(v), v]))
         upto = v.cumsum(axis=0)
         return told(table, np.append(values, -1), np.vstack([2 * upto - v + 1, upto[-1]]))
 
@@ -280,7 +290,7 @@ def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> Dat
         return told(table, table.column("p").to_numpy(), vectors(table.column("v")) + 2 * more)
 
     schema = f"{keys}, r bigint, p bigint, v binary"
-    source = coded.select(*on, F.col(f"_r{k}").cast("bigint").alias("r"), F.col(f"_s{k}").alias("s"), F.col(f"_p{k}").cast("bigint").alias("p"), "_low", "_high")
+    source = coded.select(*on, F.col(f"_r{k}").alias("r"), F.col(f"_s{k}").alias("s"), F.col(f"_n{k}").alias("n"), F.col(f"_p{k}").alias("p"), "_low", "_high")
     inner = cut_lineage(source.groupBy(*on, "r", "s").applyInArrow(counted, schema).groupBy(*on, "r").applyInArrow(ranked, schema))
 
     def spread(batches):
@@ -293,7 +303,7 @@ def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> Dat
     totals = inner.filter("p = -1").drop("p").mapInArrow(spread, f"{keys}, r bigint, b bigint, t bigint")
     before = Window.partitionBy(*on, "b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*on, "r", "b", F.coalesce(F.sum("t").over(before), F.lit(0).cast("bigint")).alias("o"))
-    out = inner.filter("p > 0").groupBy(*on, "r").cogroup(renamed(offsets).groupBy(*on, "r")).applyInArrow(lifted, schema)
+    out = inner.filter("p <> -1").groupBy(*on, "r").cogroup(renamed(offsets).groupBy(*on, "r")).applyInArrow(lifted, schema)
     return out.select(*on, "p", F.col("v").alias("ranks"))
 
 
@@ -302,37 +312,64 @@ def renamed(df: DataFrame) -> DataFrame:
     return df.toDF(*df.columns)
 
 
+def most_values_first(rows: DataFrame, names: Sequence[str]) -> list[int]:
+    """Numbers of the variables, the one with the most distinct values (by estimate) first."""
+    found = rows.agg(*[F.approx_count_distinct(v).alias(f"d{k}") for k, v in enumerate(names)]).first()
+    return sorted(range(len(names)), key=lambda k: (-found[k], k))
+
+
 def replicate_moments(rows: DataFrame, by: Sequence[str], names: Sequence[str], n_boot: int) -> DataFrame:
     """Per group and replicate `b`: the drawn rows `n`, sums `s{i}` and products `s{i}_{j}` of the variables' doubled average ranks among the drawn rows. `rows` has `by`, `names`, `_low` and
-    `_high`. Tasks hold a bounded block of rows and the replicate ranks of the values in it."""
+    `_high`. Tasks hold a block of rows that are close in the variable with the most values, which they rank themselves, and the replicate ranks of the other variables' values in it."""
     rows, on = one_group(rows, by)
     kinds = dict(rows.dtypes)
-    names, p = list(names), len(names)
-    coded = coded_rows(rows, on, names)
+    p, order = len(names), most_values_first(rows, names)
+    coded = coded_rows(rows, on, [names[k] for k in order])
     tables = []
     for k in range(p):
-        wanted = coded.select(*on, "_block", F.col(f"_p{k}").cast("bigint").alias("p")).distinct()
+        place = F.col(f"_p{k}") if k else F.when(F.col("_n0") == 1, -2 - F.col("_r0")).otherwise(F.col("_p0"))
+        wanted = coded.select(*on, "_block", place.alias("p")).distinct()
         tables.append(wanted.join(replicate_ranks(coded, on, k, n_boot), [*on, "p"]).withColumn("k", F.lit(k)))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     made = ["n", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in pairs)]
+    at = [order.index(i) for i in range(p)]
 
     def moments(block: pa.Table, table: pa.Table) -> pa.Table:
         ks, values = table.column("k").to_numpy(), table.column("p").to_numpy()
-        ranks = np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.int64).reshape(-1, n_boot)
-        places = []
+        raw = table.column("ranks").to_pylist()
+        places, own = [], [block.column(f"_p{k}").to_numpy() for k in range(p)]
+        local = block.column("_n0")[0].as_py() == 1
+        rank_rows = []
         for k in range(p):
-            own = np.flatnonzero(ks == k)
-            own = own[np.argsort(values[own])]
-            places.append(own[np.searchsorted(values[own], block.column(f"_p{k}").to_numpy())])
-        low, high = block.column("_low").to_numpy(), block.column("_high").to_numpy()
-        sums = np.zeros((len(made), n_boot))
-        for i in range(0, len(low), 1024):
-            w = poisson_counts(low[i:i + 1024], high[i:i + 1024], n_boot).astype(float)
-            r = [ranks[at[i:i + 1024]].astype(float) for at in places]
-            wr = [w * x for x in r]
-            sums += np.stack([w.sum(axis=0), *(x.sum(axis=0) for x in wr), *(np.einsum("rb,rb->b", wr[a], r[b]) for a, b in pairs)])
+            mine = np.flatnonzero(ks == k)
+            mine = mine[np.argsort(values[mine])]
+            rank_rows.append([np.frombuffer(raw[i], np.int64) for i in mine.tolist()])
+            places.append(np.unique(own[0], return_inverse=True)[1] if local and k == 0 else np.searchsorted(values[mine], own[k]))
+        by_place = np.argsort(places[0], kind="stable")
+        places = [x[by_place] for x in places]
+        low, high = block.column("_low").to_numpy()[by_place], block.column("_high").to_numpy()[by_place]
+        out = []
+        for b in range(0, n_boot, AT_ONCE):
+            width = min(AT_ONCE, n_boot - b)
+            ranks = [np.array([x[b:b + width] for x in found]) for found in rank_rows]
+            draw = lambda i: poisson_counts(low[i:i + 4096], high[i:i + 4096], width, b + 1)
+            if local:
+                counts = np.zeros((int(places[0][-1]) + 1, width), np.int64)
+                for i in range(0, len(low), 4096):
+                    code = places[0][i:i + 4096]
+                    starts = np.flatnonzero(np.diff(code, prepend=-1))
+                    counts[code[starts]] += np.add.reduceat(draw(i), starts, axis=0, dtype=np.int64)
+                ranks[0] = 2 * counts.cumsum(axis=0) - counts + 1 + ranks[0][0]
+            sums = np.zeros((len(made), width))
+            for i in range(0, len(low), 4096):
+                w = draw(i).astype(float)
+                r = [ranks[k][x[i:i + 4096]].astype(float) for k, x in enumerate(places)]
+                r = [r[k] for k in at]
+                wr = [w * x for x in r]
+                sums += np.stack([w.sum(axis=0), *(x.sum(axis=0) for x in wr), *(np.einsum("rb,rb->b", wr[a], r[c]) for a, c in pairs)])
+            out.append(sums)
         keys = [pa.array([block.column(c)[0].as_py()] * n_boot, block.schema.field(c).type) for c in on]
-        return pa.Table.from_arrays([*keys, pa.array(np.arange(1, n_boot + 1)), *(pa.array(v) for v in sums)], [*on, "b", *made])
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(1, n_boot + 1)), *(pa.array(v) for v in np.concatenate(out, axis=1))], [*on, "b", *made])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), "b bigint", *(f"{c} double" for c in made)])
     out = coded.groupBy(*on, "_block").cogroup(renamed(union_all(tables)).groupBy(*on, "_block")).applyInArrow(moments, schema)
@@ -366,10 +403,12 @@ def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str, n_boot: int
     """Spearman correlation with p and, if asked, a bootstrap interval whose replicates are ranked anew."""
     by = list(by)
     ok = finite(df, x, y)
+    if n_boot:  # written once: the point and the replicates read it many times
+        ok = cut_lineage(ok.select(*by, x, y, *unit_keys(seed, unit)))
     ranked = with_average_ranks(ok, by, {x: "_rx", y: "_ry"})
     point = ranked.groupBy(*by).agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
     if n_boot:
-        rows = cut_lineage(ok.select(*by, F.col(x).alias("_v0"), F.col(y).alias("_v1"), *unit_keys(seed, unit)))
+        rows = ok.select(*by, F.col(x).alias("_v0"), F.col(y).alias("_v1"), "_low", "_high")
         point = _attach(point, rank_bounds(rows, by, ["_v0", "_v1"], n_boot), by)
     return point.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
@@ -422,6 +461,8 @@ def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, covariate
     """Rank correlation of x and y with the covariates' ranks removed, from pairwise rank correlations; if asked with a bootstrap interval over rows, each replicate ranked anew."""
     by, names = list(by), [x, y, *covariates]
     ok = finite(df.select(*dict.fromkeys([*by, *names, *unit])), *names)
+    if n_boot:  # written once, as in `spearman_test`
+        ok = cut_lineage(ok.select(*by, *names, *unit_keys(seed, unit)))
     ranked = with_average_ranks(ok, by, {c: f"_r_{c}" for c in names})
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     row = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
@@ -429,7 +470,7 @@ def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, covariate
     k = len(covariates)
     out = row.withColumn("rho", partial_correlation(lambda i, j: F.col(f"_c{i}_{j}"), k)).filter(F.col("n") >= k + 3).select(*by, "n", "rho")
     if n_boot:
-        rows = cut_lineage(ok.select(*by, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(names)], *unit_keys(seed, unit)))
+        rows = ok.select(*by, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(names)], "_low", "_high")
         out = _attach(out, rank_bounds(rows, by, [f"_v{i}" for i in range(len(names))], n_boot), by)
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n"), k))
 

@@ -96,6 +96,26 @@ def test_cluster_intervals_like_concatenated_draws(spark, monkeypatch, block):
     assert [row["mean"], row.lo, row.hi, row.n, row.n_clusters] == pytest.approx([y.mean(), *np.percentile(means, [2.5, 97.5]), n, len(names)])
 
 
+@pytest.mark.parametrize("values, rows", [(512, 8192), (3, 11)])
+@pytest.mark.parametrize("local, at_once", [(32_768, 125), (7, 6)])
+def test_rank_intervals_of_ranges_ranked_where_they_are(spark, monkeypatch, values, rows, local, at_once):
+    """The variable with the most values is ranked in its tasks, a hot value in parts, replicates a few at a time."""
+    monkeypatch.setattr(S, "LOCAL_ROWS", local)
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    test_rank_intervals_like_resampled_rows(spark, monkeypatch, values, rows)
+
+
+def test_rank_intervals_send_no_ranks_of_the_finest_variable(spark, monkeypatch):
+    """Written and sent vectors of replicates grow with the values of the coarse variable only."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(x), float(x + y)) for i, (x, y) in enumerate(zip(rng.integers(0, 8, 4000), rng.normal(size=4000)))], "i int, x double, y double")
+    sent = []
+    real = S.replicate_ranks
+    monkeypatch.setattr(S, "replicate_ranks", lambda *a: sent.append((out := real(*a)).count()) or out)
+    row = S.spearman_test(df, [], "x", "y", 10, ["i"]).first()
+    assert row.lo < row.rho < row.hi and sum(sent) <= 9
+
+
 @pytest.mark.parametrize("values, rows", [(512, 8192), (3, 11)])
 def test_rank_intervals_like_resampled_rows(spark, monkeypatch, values, rows):
     """Rows repeated as drawn and ranked anew, with ties, a hot value and two groups."""
