@@ -81,3 +81,20 @@ def test_average_vectors(spark, monkeypatch, block, held):
     nan = got.pop(("nan", 4))
     assert np.isnan(nan[0]) and nan[1] == 2.0
     assert got == {("hot", 1): [19.5, 2.0, None, pytest.approx(39 / 40), 1.0], ("ragged", 1): [2.0, 5.0, 7.0], ("none", 1): None, (None, 2): [6.0], ("empty", 3): None}
+
+
+def test_rank_correlations_are_exact():
+    """Equal sums of squares give the fraction itself, in any order of the columns and beside any other rows."""
+    from platewise.functions.dense import rank_correlations
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 12, (2, 25))
+        m = np.stack([a, b, np.zeros(25, int), b[::-1]]).astype(float)
+        ranks = lambda v: [2 * sum(y < x for y in v) + sum(y == x for y in v) - 25 for x in v]
+        p, q = ranks(a.tolist()), ranks(b.tolist())
+        top, left, right = sum(x * y for x, y in zip(p, q)), sum(x * x for x in p), sum(y * y for y in q)
+        want = top / np.sqrt(left * right)
+        order = rng.permutation(25)
+        got = rank_correlations(m[:, order], np.array([0, 1, 0]), np.array([1, 3, 2]))
+        assert got[0] == want == rank_correlations(m, np.array([0]), np.array([1]))[0] and np.isnan(got[2])
