@@ -29,7 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts whose five-word shingles have Jaccard similarity 0.8 or more the document with the smallest id.
+    """Of each class of texts whose five-word shingles have Jaccard similarity 0.8 or more the document with the smallest id. SimHash fingerprints linked through Golay codewords propose
+    the closest ones, bands of least values the others, and whole sets decide.
     Null counts as empty; texts without words are alike; of equal ids the row numbered first stays, null ids come last; extra columns are kept; an empty table stays empty."""
     return near_jaccard.one_of_each(docs)
 

@@ -3,6 +3,9 @@
 Texts with equal sets are taken as one. Each set has 64 least values under as many permutations; sets that agree in all four values of one of 16 bands are
 candidates, and a candidate counts only if its whole sets reach the similarity exactly. At similarity 0.8 a pair shares a band with probability
 1 - (1 - 0.8^4)^16 = 0.9998, above it more often.
+
+Before that, fingerprints of the sets are linked through Golay codewords (`simhash_golay`) and links whose whole sets reach the similarity hold; the bands then find what differs in
+more bits than those links cover.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.llm import simhash_golay
 from platewise.llm.common import col, components, discard, slices, staged, with_row_id
-from platewise.llm.simhash_golay import SEED, shingle_hashes
+from platewise.llm.simhash_golay import SEED, majority, shingle_hashes
 
 SHINGLE = 5
 #: Similarity that makes two texts near duplicates, as a fraction of whole numbers.
@@ -60,25 +64,26 @@ def shingle_set(data: bytes | None) -> np.ndarray:
 
 
 def marks(docs: DataFrame, text: str, id_col: str, row: str) -> DataFrame:
-    """Per row: `id`, `row`, a 128-bit `digest` of its set, the set's size `n`, one byte of each least value `brief`, and the keys of its bands."""
+    """Per row: `id`, `row`, a 128-bit `digest` of its set, the set's size `n`, one byte of each least value `brief`, the keys of its bands, and its fingerprint `fp`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, summands = permutations()
         for part in slices(batches, "_text"):
-            digests, sizes, least = [], [], []
+            digests, sizes, least, prints = [], [], [], []
             for t in part.column("_text").cast(pa.binary()).to_pylist():
                 own = shingle_set(t)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 least.append(least_values(own, factors, summands))
+                prints.append(majority(own))
             least = np.array(least, np.uint32).reshape(-1, BANDS * ROWS)
             brief = [b.tobytes() for b in (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)]
             keys = pa.ListArray.from_arrays(np.arange(len(least) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(least).ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(brief, pa.binary()),
-                                              keys], ["id", "row", "digest", "n", "brief", "keys"])
+                                              keys, pa.array(prints, pa.int64())], ["id", "row", "digest", "n", "brief", "keys", "fp"])
 
     source = docs.select(col(id_col).alias("id"), col(row).alias("row"), col(text).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, row bigint, digest binary, n bigint, brief binary, keys array<bigint>")
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, row bigint, digest binary, n bigint, brief binary, keys array<bigint>, fp bigint")
 
 
 def sets_of(docs: DataFrame, text: str, row: str) -> DataFrame:
@@ -256,11 +261,27 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, row: str) -> DataFram
     return out
 
 
+def fingerprint_links(heads: DataFrame, docs: DataFrame, text: str, row: str) -> DataFrame:
+    """Pairs (a, b) of `heads` (node, n, fp) that reach the similarity, of those that connect all fingerprints within four bits: the operator of `simhash_golay` on five-word sets."""
+    prints = staged(heads.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    near = simhash_golay.links(prints.select("fp"))
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
+    apart = near.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    alike = heads.select("node", "fp").join(prints, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    size = lambda side: heads.select(F.col("node").alias(side), F.col("n").alias(f"_{side}"))
+    pairs = apart.union(alike).join(size("a"), "a").join(size("b"), "b").filter(OF * F.least("_a", "_b") >= LIKE * F.greatest("_a", "_b"))
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    out = verified(pairs, docs, text, row)
+    discard(prints, pairs)
+    return out
+
+
 def links(heads: DataFrame, docs: DataFrame, text: str, row: str, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of `heads` (node, n, brief, keys) that reach the similarity and connect all pairs that share a band and do so.
+    """Pairs (a, b) of `heads` (node, n, brief, keys, fp) that reach the similarity and connect all pairs that share a band and do so. Fingerprints give the first ones.
 
     A first pass over the buckets proposes pairs that connect all hopeful ones, fewer than rows in large buckets, and verifies them. Where hopeful pairs of large buckets are still
     apart, their rows fetch their whole sets into the bucket's tiles and are compared there."""
+    known = fingerprint_links(heads, docs, text, row)
     keys = heads.select("node", "n", F.explode("keys").alias("key"))
     sizes = staged(keys.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("c > 1"), "sizes")
     # Written out, so that the join has plain exchanges on both sides.
@@ -272,7 +293,7 @@ def links(heads: DataFrame, docs: DataFrame, text: str, row: str, block: int = B
     rows = staged(tiles.select("node", tile.alias("tile"), "c").join(heads.select("node", "n", "brief"), "node"), "tiles")
     discard(sizes, buckets)
     first = staged(proposals(rows), "candidates")
-    good = verified(first, docs, text, row)
+    good = known.union(verified(first, docs, text, row))
     discard(first)
     large = rows.filter(F.col("c") > FEW)
     if large.isEmpty():
@@ -297,8 +318,9 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
     numbered = staged(numbered, "numbered", "zstd")
     marked = staged(marks(numbered, text, id_col, row), "marks")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    alike = marked.groupBy("digest").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("brief").alias("brief"), F.first("keys").alias("keys"))
-    heads = staged(alike.select(F.col("best.row").alias("node"), "best", "n", "brief", "keys"), "heads")
+    alike = marked.groupBy("digest").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("brief").alias("brief"), F.first("keys").alias("keys"),
+                                         F.first("fp").alias("fp"))
+    heads = staged(alike.select(F.col("best.row").alias("node"), "best", "n", "brief", "keys", "fp"), "heads")
     discard(marked)
     root = components(links(heads, numbered, text, row, block))
     rooted = heads.select("node", "best").join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))

@@ -60,3 +60,14 @@ def test_near_crowded_buckets_and_pairs_just_below(spark, block):
         # Four edits far apart change 20 of 200 shingles: 180 / 220 shared; five change 25: 175 / 225, below.
         rows += [(100 * g + k, edited(words, set(range(5 + k, 200, 50)))) for k in range(30)] + [(100 * g + 90, " ".join(words)), (100 * g + 95, edited(words, set(range(4, 200, 35))))]
     assert found(frame(spark, rows), block=block) == kept(rows)
+
+
+def test_near_stage_links_fingerprints_through_golay_codewords(spark, monkeypatch):
+    """The stage's fingerprint step alone finds close copies, and only pairs whose whole sets reach the similarity come out of it."""
+    close = prose(600, 3).split()
+    rows = [(1, " ".join(close)), (2, edited(close, {300})), (3, prose(500, 8)), (4, "two words"), (5, None)]
+    seen = []
+    real = near_jaccard.fingerprint_links
+    monkeypatch.setattr(near_jaccard, "fingerprint_links", lambda *a: seen.append((out := real(*a)).collect()) or out)
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == kept(rows) and len(seen[0]) == 1
