@@ -23,7 +23,7 @@ def stored_cells(t: Tables) -> str:
         text("l_returnflag").alias("c5"), text("l_shipdate").alias("c6"), text("l_returnflag").alias("c7"), text("l_partkey").alias("c8"), text("l_linestatus").alias("c9"))
     folder = scratch_path(t.spark, "cells")
     for part, flag in (("a", "c7 = 'N'"), ("b", "c7 <> 'N'")):
-        cells.filter(flag).repartition(F.col("c9")).write.parquet(f"{folder}/{part}")
+        cells.filter(flag).repartition(F.col("c4")).write.parquet(f"{folder}/{part}")
     return folder
 
 

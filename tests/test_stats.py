@@ -384,3 +384,18 @@ def test_poisson_counts_are_the_draws_of_the_formula():
 
     want = [[sum(mix((int(a) + mix((int(h) + b * 2654435769) % 2**32)) % 2**32) / 2**32 >= p for p in S.POISSON_CDF) for b in range(3, 9)] for a, h in zip(low, high)]
     assert S.poisson_counts(low, high, 6, 3).tolist() == want
+
+
+def test_stored_cells_spread_over_tasks(spark):
+    """No file of the stored cells holds most rows of its directory."""
+    from platewise.plans.catalog import Tables
+    from platewise.plans.queries_sources import stored_cells
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        folder = stored_cells(Tables(spark, "/root/testdata/sf0.001"))
+        for part in "ab":
+            sizes = [r["count"] for r in spark.read.parquet(f"{folder}/{part}").groupBy(F.input_file_name()).count().collect()]
+            assert max(sizes) < 0.5 * sum(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
