@@ -228,8 +228,21 @@ def correlation_p(r: Column, n: Column, k: int = 0) -> Column:
     return t_two_sided(F.try_divide(r * F.sqrt(free), F.sqrt(1 - r * r)), free)
 
 
-#: Distinct values of a range of `replicate_moments`, rows that a task weighs, rows of a range of the variable with the most values, and replicates that a task ranks at a time.
-RANGE_VALUES, WEIGHED_ROWS, LOCAL_ROWS, AT_ONCE = 512, 65_536, 32_768, 125
+#: Distinct values of a range of `replicate_moments`, rows that a task weighs, rows of a range of the variable with the most values, replicates of a task, and those that it ranks at a time.
+RANGE_VALUES, WEIGHED_ROWS, LOCAL_ROWS, TASK_REPLICATES, AT_ONCE = 512, 262_144, 524_288, 200, 20
+
+
+def packed_numbers(v: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as bytes, four a number where all of them fit."""
+    kind = np.int32 if not v.size or max(-int(v.min()), int(v.max())) < 1 << 31 else np.int64
+    return pa.array([x.tobytes() for x in v.astype(kind, copy=False)], pa.binary())
+
+
+def unpacked_numbers(raw: Sequence[bytes], n: int) -> np.ndarray:
+    """The rows of `n` numbers each that `packed_numbers` made, of both widths."""
+    if all(len(x) == 4 * n for x in raw):
+        return np.frombuffer(b"".join(raw), np.int32).reshape(-1, n)
+    return np.stack([np.frombuffer(x, np.int32 if len(x) == 4 * n else np.int64).astype(np.int64) for x in raw])
 
 
 def coded_rows(rows: DataFrame, on: list[str], names: Sequence[str]) -> DataFrame:
@@ -248,18 +261,18 @@ def coded_rows(rows: DataFrame, on: list[str], names: Sequence[str]) -> DataFram
 
 
 def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> DataFrame:
-    """(on, p, ranks) of each distinct value of variable k: twice its average rank in every replicate, as 64-bit integers. Counts of (range, replicate) are summed up over ranges; within a range
+    """(on, p, ranks) of each distinct value of variable k: twice its average rank in every replicate, as whole numbers of four or eight bytes. Counts of (range, replicate) are summed up over ranges; within a range
     a task counts by value. No window holds a replicate, and a value of many rows is counted in parts. Of variable 0 only ranges of several parts give their values; the others, whose
     rows are in one task that ranks them itself, give as place -2 - range twice the rows of all ranges before."""
     kinds = dict(coded.dtypes)
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in on)
 
     def vectors(column: pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, n_boot)
+        return unpacked_numbers(column.to_pylist(), n_boot).astype(np.int64)
 
     def told(table: pa.Table, p: np.ndarray, v: np.ndarray) -> pa.Table:
         first = lambda c: pa.array([table.column(c)[0].as_py()] * len(p), table.schema.field(c).type)
-        return pa.Table.from_arrays([*(first(c) for c in on), first("r"), pa.array(p), pa.array([x.tobytes() for x in v], pa.binary())], [*on, "r", "p", "v"])
+        return pa.Table.from_arrays([*(first(c) for c in on), first("r"), pa.array(p), packed_numbers(v)], [*on, "r", "p", "v"])
 
     def counted(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("p").to_numpy(), kind="stable")
@@ -297,7 +310,7 @@ def replicate_ranks(coded: DataFrame, on: list[str], k: int, n_boot: int) -> Dat
         for batch in batches:
             n = batch.num_rows
             at = pa.array(np.repeat(np.arange(n), n_boot))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (*on, "r")), pa.array(np.tile(np.arange(n_boot), n)), pa.array(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.int64))],
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (*on, "r")), pa.array(np.tile(np.arange(n_boot), n)), pa.array(unpacked_numbers(batch.column("v").to_pylist(), n_boot).astype(np.int64).ravel())],
                                              [*on, "r", "b", "t"])
 
     totals = inner.filter("p = -1").drop("p").mapInArrow(spread, f"{keys}, r bigint, b bigint, t bigint")
@@ -320,59 +333,61 @@ def most_values_first(rows: DataFrame, names: Sequence[str]) -> list[int]:
 
 def replicate_moments(rows: DataFrame, by: Sequence[str], names: Sequence[str], n_boot: int) -> DataFrame:
     """Per group and replicate `b`: the drawn rows `n`, sums `s{i}` and products `s{i}_{j}` of the variables' doubled average ranks among the drawn rows. `rows` has `by`, `names`, `_low` and
-    `_high`. Tasks hold a block of rows that are close in the variable with the most values, which they rank themselves, and the replicate ranks of the other variables' values in it."""
+    `_high`. Tasks hold a block of rows that are close in the variable with the most values, which they rank themselves, and some replicates' ranks of the other variables' values in it."""
     rows, on = one_group(rows, by)
     kinds = dict(rows.dtypes)
     p, order = len(names), most_values_first(rows, names)
     coded = coded_rows(rows, on, [names[k] for k in order])
+    part = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // TASK_REPLICATES))).alias("_part")
     tables = []
     for k in range(p):
         place = F.col(f"_p{k}") if k else F.when(F.col("_n0") == 1, -2 - F.col("_r0")).otherwise(F.col("_p0"))
         wanted = coded.select(*on, "_block", place.alias("p")).distinct()
-        tables.append(wanted.join(replicate_ranks(coded, on, k, n_boot), [*on, "p"]).withColumn("k", F.lit(k)))
+        found = wanted.join(replicate_ranks(coded, on, k, n_boot), [*on, "p"]).select(*on, "_block", part, "p", "ranks")
+        share = F.expr(f"substring(ranks, cast(_part * {TASK_REPLICATES} * (length(ranks) div {n_boot}) + 1 as int), cast({TASK_REPLICATES} * (length(ranks) div {n_boot}) as int))")
+        tables.append(found.withColumn("ranks", share).withColumn("k", F.lit(k)))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     made = ["n", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in pairs)]
     at = [order.index(i) for i in range(p)]
 
     def moments(block: pa.Table, table: pa.Table) -> pa.Table:
+        first = int(block.column("_part")[0].as_py()) * TASK_REPLICATES
+        own_boot = min(TASK_REPLICATES, n_boot - first)
         ks, values = table.column("k").to_numpy(), table.column("p").to_numpy()
-        raw = table.column("ranks").to_pylist()
-        places, own = [], [block.column(f"_p{k}").to_numpy() for k in range(p)]
+        raw = table.column("ranks")
+        places, own, found = [], [block.column(f"_p{k}").to_numpy() for k in range(p)], []
         local = block.column("_n0")[0].as_py() == 1
-        rank_rows = []
         for k in range(p):
             mine = np.flatnonzero(ks == k)
             mine = mine[np.argsort(values[mine])]
-            rank_rows.append([np.frombuffer(raw[i], np.int64) for i in mine.tolist()])
+            found.append(unpacked_numbers(raw.take(pa.array(mine)).to_pylist(), own_boot))
             places.append(np.unique(own[0], return_inverse=True)[1] if local and k == 0 else np.searchsorted(values[mine], own[k]))
         by_place = np.argsort(places[0], kind="stable")
         places = [x[by_place] for x in places]
         low, high = block.column("_low").to_numpy()[by_place], block.column("_high").to_numpy()[by_place]
+        starts = np.flatnonzero(np.diff(places[0], prepend=-1))
         out = []
-        for b in range(0, n_boot, AT_ONCE):
-            width = min(AT_ONCE, n_boot - b)
-            ranks = [np.array([x[b:b + width] for x in found]) for found in rank_rows]
-            draw = lambda i: poisson_counts(low[i:i + 4096], high[i:i + 4096], width, b + 1)
+        for b in range(0, own_boot, AT_ONCE):
+            width = min(AT_ONCE, own_boot - b)
+            ranks = [np.ascontiguousarray(x[:, b:b + width]).astype(float) for x in found]
+            drawn = poisson_counts(low, high, width, first + b + 1)
             if local:
-                counts = np.zeros((int(places[0][-1]) + 1, width), np.int64)
-                for i in range(0, len(low), 4096):
-                    code = places[0][i:i + 4096]
-                    starts = np.flatnonzero(np.diff(code, prepend=-1))
-                    counts[code[starts]] += np.add.reduceat(draw(i), starts, axis=0, dtype=np.int64)
-                ranks[0] = 2 * counts.cumsum(axis=0) - counts + 1 + ranks[0][0]
+                counts = np.add.reduceat(drawn, starts, axis=0, dtype=np.int64)
+                ranks[0] = 2 * counts.cumsum(axis=0) - counts + 1 + found[0][0, b:b + width].astype(np.int64)
             sums = np.zeros((len(made), width))
             for i in range(0, len(low), 4096):
-                w = draw(i).astype(float)
+                w = drawn[i:i + 4096].astype(float)
                 r = [ranks[k][x[i:i + 4096]].astype(float) for k, x in enumerate(places)]
                 r = [r[k] for k in at]
                 wr = [w * x for x in r]
                 sums += np.stack([w.sum(axis=0), *(x.sum(axis=0) for x in wr), *(np.einsum("rb,rb->b", wr[a], r[c]) for a, c in pairs)])
             out.append(sums)
-        keys = [pa.array([block.column(c)[0].as_py()] * n_boot, block.schema.field(c).type) for c in on]
-        return pa.Table.from_arrays([*keys, pa.array(np.arange(1, n_boot + 1)), *(pa.array(v) for v in np.concatenate(out, axis=1))], [*on, "b", *made])
+        keys = [pa.array([block.column(c)[0].as_py()] * own_boot, block.schema.field(c).type) for c in on]
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(first + 1, first + own_boot + 1)), *(pa.array(v) for v in np.concatenate(out, axis=1))], [*on, "b", *made])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), "b bigint", *(f"{c} double" for c in made)])
-    out = coded.groupBy(*on, "_block").cogroup(renamed(union_all(tables)).groupBy(*on, "_block")).applyInArrow(moments, schema)
+    rows = coded.select(*on, "_block", part, "_low", "_high", "_n0", *[f"_p{k}" for k in range(p)])
+    out = rows.groupBy(*on, "_block", "_part").cogroup(renamed(union_all(tables)).groupBy(*on, "_block", "_part")).applyInArrow(moments, schema)
     out = out.groupBy(*on, "b").agg(*[F.sum(c).alias(c) for c in made])
     return out if by else out.drop(*on)
 

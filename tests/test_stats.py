@@ -116,6 +116,23 @@ def test_rank_intervals_send_no_ranks_of_the_finest_variable(spark, monkeypatch)
     assert row.lo < row.rho < row.hi and sum(sent) <= 9
 
 
+def test_rank_intervals_of_replicates_dealt_over_tasks(spark, monkeypatch):
+    """A task takes a block of rows and seven of the replicates."""
+    monkeypatch.setattr(S, "TASK_REPLICATES", 7)
+    monkeypatch.setattr(S, "LOCAL_ROWS", 11)
+    test_rank_intervals_like_resampled_rows(spark, monkeypatch, 3, 11)
+
+
+def test_ranks_are_sent_in_four_bytes_to_few_blocks(spark):
+    """40,000 rows that the former blocks of 32,768 would have cut in two."""
+    rows = spark.range(40_000).select((F.col("id") * 1.0).alias("_v0"), (F.col("id") % 5 * 1.0).alias("_v1"), (F.col("id") * 7).alias("_low"), (F.col("id") * 11).alias("_high")).withColumn("_all", F.lit(0))
+    coded = S.coded_rows(rows, ["_all"], ["_v0", "_v1"])
+    assert coded.select("_block").distinct().count() == 1
+    assert {len(r.ranks) for r in S.replicate_ranks(coded, ["_all"], 1, 10).collect()} == {40}
+    wide = np.array([[1, 2], [1 << 40, -1]])
+    assert (S.unpacked_numbers([*S.packed_numbers(wide).to_pylist(), *S.packed_numbers(wide[:1]).to_pylist()], 2) == np.vstack([wide, wide[:1]])).all()
+
+
 @pytest.mark.parametrize("values, rows", [(512, 8192), (3, 11)])
 def test_rank_intervals_like_resampled_rows(spark, monkeypatch, values, rows):
     """Rows repeated as drawn and ranked anew, with ties, a hot value and two groups."""
