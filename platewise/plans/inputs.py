@@ -80,16 +80,22 @@ def fingerprints(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("bits"))
 
 
+#: Measurements that a task of `scores` joins, and averages.
+SCORE_ROWS = 1_000_000
+
+
 def scores(t: Tables) -> DataFrame:
-    """Per-observation score table of three arms."""
+    """Per-observation score table of three arms. Joined rows are dealt by observation before they are averaged, over tasks whose number grows with the rows, so that a task's sort and
+    its table of means keep their size."""
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.lineitem.count() // SCORE_ROWS))
     o = t.orders.join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    base = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    base = t.lineitem.repartition(parts, "l_orderkey").join(o.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     arm = F.when(F.col("l_returnflag") == "A", "reference").when(F.col("l_returnflag") == "N", "model").otherwise("train_mean")
     keyed = base.select(
         arm.alias("arm"), F.col("c_mktsegment").alias("cell_line"), F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"),
         F.concat(F.lit("S"), F.expr("l_suppkey div 2")).alias("smiles"), dose_of(F.col("o_orderstatus")).alias("dose"),
         F.lit("24 h").alias("time"), "l_discount", "l_tax", "l_quantity", "l_extendedprice")
-    return keyed.groupBy("arm", "cell_line", "drug", "smiles", "dose", "time").agg(
+    return keyed.repartition(parts, "arm", "cell_line", "drug", "smiles", "dose", "time").groupBy("arm", "cell_line", "drug", "smiles", "dose", "time").agg(
         (F.avg("l_discount") * 20 - 1).alias("pearson"), (F.avg("l_tax") * 25 - 1).alias("spearman"),
         F.avg("l_quantity").alias("l2"), (F.avg(F.col("l_discount") + F.col("l_tax")) * 5).alias("cosine"),
         (F.avg("l_extendedprice") / 1000).alias("rmse"))

@@ -443,3 +443,18 @@ def test_null_tails_shuffle_null_scores_once(spark):
     assert sorted(got) == ["x", "y"]
     assert [*got["x"]][1:] == [3, 5, 2, 4]
     assert [*got["y"]][1:] == [2, 3, 2, 4]
+
+
+def test_scores_are_dealt_over_more_tasks_as_rows_grow(spark, monkeypatch):
+    """Joined and averaged in parts of so many measurements, with the same scores."""
+    from platewise.plans import inputs as I
+    from platewise.plans.catalog import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    few = rows(I.scores(t))
+    monkeypatch.setattr(I, "SCORE_ROWS", 500)
+    parts = -(-t.lineitem.count() // 500)
+    many = I.scores(t)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert parts > 4 and f", {parts}), REPARTITION_BY_NUM" in plan
+    assert rows(many) == few
