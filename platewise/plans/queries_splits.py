@@ -36,8 +36,8 @@ def smiles_split(df):
     return df.select("smiles").distinct().withColumn("split", F.when(h < "3", "test").when(h < "5", "val").otherwise("train"))
 
 
-def pinned(t: Tables):
-    o = obs_keys(t)
+def pinned(t: Tables, o=None):
+    o = obs_keys(t) if o is None else o
     return L.pinned_split(o, line_split(o), smiles_split(o))
 
 
@@ -119,8 +119,8 @@ SELECT te.*, CASE WHEN a AND b THEN 'Q1' WHEN a THEN 'Q2' WHEN b THEN 'Q3' ELSE
 """)
 
 
-def quads(t: Tables):
-    p = pinned(t)
+def quads(t: Tables, o=None):
+    p = pinned(t, o)
     return L.quadrants(p.filter("split = 'test'"), p.filter("split = 'train'"))
 
 

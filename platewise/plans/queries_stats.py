@@ -11,7 +11,7 @@ from platewise.plans import inputs as I
 from platewise.plans.catalog import Tables, query
 from platewise.plans.oracle import cte, mix_sql
 from platewise.plans.queries_pairs import sar
-from platewise.session import cut_lineage
+from platewise.session import cut_lineage, written
 
 OBS = ["cell_line", "drug", "smiles", "dose", "time"]
 BOOT = S.N_BOOT
@@ -325,11 +325,19 @@ SELECT q.*, s.model, s.reference, s.train_mean FROM quads q JOIN (SELECT cell_li
 """)
 
 
-def quad_scores(t: Tables):
-    """Scores of all arms beside each test observation and its quadrant."""
+def quad_tables(t: Tables):
+    """Scores, observations and quadrants, each written once for the steps that read it."""
     from platewise.plans.queries_splits import quads
+    s = written(I.scores(t).select("arm", *OBS, "pearson"), "scores")
+    o = written(s.select(*OBS).distinct(), "observations")
+    return s, o, written(quads(t, o), "quadrants")
+
+
+def quad_scores(t: Tables, tables=None):
+    """Scores of all arms beside each test observation and its quadrant."""
+    s, _, q = tables or quad_tables(t)
     of = lambda a: F.max(F.when(F.col("arm") == a, F.col("pearson"))).alias(a)
-    return cut_lineage(quads(t).join(I.scores(t).groupBy(*OBS).agg(of("model"), of("reference"), of("train_mean")), OBS))
+    return cut_lineage(q.join(s.groupBy(*OBS).agg(of("model"), of("reference"), of("train_mean")), OBS))
 
 
 _base = " UNION ALL ".join(f"SELECT quadrant, cell_line, drug, dose, '{b}' AS baseline, model AS m, {b} AS b, round(model - {b}, 9) AS d FROM quad_scores" for b in ("reference", "train_mean"))
@@ -360,10 +368,12 @@ JOIN (SELECT quadrant, avg(am) AS model_macro, avg(ab) AS baseline_macro, sum(k)
 def quadrant_gain(t):
     """Gain over the reference by quadrant and cell line; both new: only cell lines and compounds held out for the test."""
     from platewise.operators.reports import cluster_gains
-    from platewise.plans.queries_splits import obs_keys, quads, smiles_split
-    lines = quads(t).filter("quadrant = 'Q3'").select("cell_line").distinct().withColumn("_line", F.lit(True))
-    held = smiles_split(obs_keys(t)).filter("split = 'test'").select("smiles").distinct().withColumn("_smiles", F.lit(True))
-    s = quad_scores(t).join(lines, "cell_line", "left").join(held, "smiles", "left")
+    from platewise.plans.queries_splits import smiles_split
+    tables = quad_tables(t)
+    _, o, q = tables
+    lines = q.filter("quadrant = 'Q3'").select("cell_line").distinct().withColumn("_line", F.lit(True))
+    held = smiles_split(o).filter("split = 'test'").select("smiles").distinct().withColumn("_smiles", F.lit(True))
+    s = quad_scores(t, tables).join(lines, "cell_line", "left").join(held, "smiles", "left")
     return cluster_gains(s.filter("quadrant in ('Q2', 'Q3') or quadrant = 'Q4' and _line and _smiles"), ["quadrant"], "cell_line", "model", "reference", BOOT)
 
 

@@ -458,3 +458,14 @@ def test_scores_are_dealt_over_more_tasks_as_rows_grow(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert parts > 4 and f", {parts}), REPARTITION_BY_NUM" in plan
     assert rows(many) == few
+
+
+def test_quadrant_gain_makes_the_scores_once(spark, monkeypatch):
+    from platewise.plans import inputs as I
+    from platewise.plans import queries_stats as Q
+    from platewise.plans.catalog import Tables
+    made = []
+    real = I.scores
+    monkeypatch.setattr(I, "scores", lambda t: made.append(1) or real(t))
+    assert Q.quadrant_gain(Tables(spark, "/root/testdata/sf0.001")).count() > 0
+    assert len(made) == 1
