@@ -79,6 +79,50 @@ def test_sar_missing_embedding_keeps_pair(spark):
     assert len(got) == 6 and got[("s0", "s1")] == 0.0 and got[("s1", "s2")] is None
 
 
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_sar_pairs_strip_by_strip(spark, monkeypatch, tile):
+    """Every pair and metric as by brute force: copies, close vectors of great length, a constant one, missing and empty fingerprints."""
+    monkeypatch.setattr(R, "SAR_STRIP", 50)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    x[5:9], x[9:12], x[12] = x[5], 1e4 * x[9] * (1 + 1e-7 * rng.normal(size=(3, 6))), 2.0
+    bits = [None if k % 7 == 0 else (rng.random(5) < (0 if k % 9 == 0 else 0.5)).astype(float).tolist() for k in range(40)]
+    rows = [("c", "1", "t", "p", f"d{k}", f"s{k * 37 % 40}", x[k].tolist(), bits[k], None) for k in range(40)]
+    df = spark.createDataFrame(rows, "cell_line string, dose string, time string, plate string, drug string, smiles string, expr array<double>, bits array<double>, none array<double>")
+    got = {(r.smiles_i, r.smiles_j): r for r in R.sar_pairs(df, {"bits": "tanimoto", "none": "cosine"}, tile_rows=tile).collect()}
+    assert len(got) == 40 * 39 // 2
+    by_name = sorted(rows, key=lambda r: r[5])
+    for a, b in itertools.combinations(by_name, 2):
+        r, u, v = got[(a[5], b[5])], np.array(a[6]), np.array(b[6])
+        assert (r.drug_i, r.drug_j) == (a[4], b[4]) and [r.delta_norm_i, r.delta_norm_j] == pytest.approx([np.linalg.norm(u), np.linalg.norm(v)])
+        assert r.l2 == pytest.approx(np.linalg.norm(u - v), rel=1e-12, abs=1e-300) and r.mse == pytest.approx(((u - v) ** 2).mean(), rel=1e-12, abs=1e-300)
+        assert r.cosine == pytest.approx(u @ v / (np.linalg.norm(u) * np.linalg.norm(v) + 1.1920929e-7))
+        flat = np.ptp(u) == 0 or np.ptp(v) == 0
+        assert r.pearson is None and r.spearman is None if flat else r.pearson == pytest.approx(np.corrcoef(u, v)[0, 1])
+        if a[7] is None or b[7] is None:
+            assert r.bits_dist is None
+        else:
+            one, two = np.array(a[7]), np.array(b[7])
+            either = np.maximum(one, two).sum()
+            assert r.bits_dist == pytest.approx(1 - (one * two).sum() / either if either else 0.0)
+        assert r.none_dist is None
+
+
+def test_sar_tile_never_holds_all_its_pairs(spark, monkeypatch):
+    import pyarrow as pa
+
+    held = {}
+    monkeypatch.setattr(R, "tile_apply", lambda tiled, by, fn, schema: held.update(fn=fn, tiled=tiled))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("c", "1", "t", "p", f"d{k}", f"s{k}", rng.normal(size=4).tolist()) for k in range(600)],
+                               "cell_line string, dose string, time string, plate string, drug string, smiles string, expr array<double>")
+    R.sar_pairs(df, {})
+    tile = pa.Table.from_pandas(held["tiled"].toPandas())
+    assert tile.num_rows == 600  # one block: a row goes to one tile
+    sizes = [b.num_rows for b in held["fn"](iter(tile.to_batches(max_chunksize=100)))]
+    assert sum(sizes) == 600 * 599 // 2 and max(sizes) <= R.SAR_STRIP
+
+
 def test_context_correlations_counts_constants_as_zero(spark):
     rows = [("a", "d1", [1.0, 2.0, 3.0]), ("b", "d1", [2.0, 4.0, 6.0]), ("a", "d2", [1.0, 1.0, 1.0]), ("b", "d2", [3.0, 1.0, 2.0]), ("c", "d2", [1.0, 2.0, 4.0])]
     df = spark.createDataFrame(rows, "cell_line string, drug string, expr array<double>").withColumn("dose", F.lit("1")).withColumn("time", F.lit("t"))

@@ -98,3 +98,18 @@ def test_rank_correlations_are_exact():
         order = rng.permutation(25)
         got = rank_correlations(m[:, order], np.array([0, 1, 0]), np.array([1, 3, 2]))
         assert got[0] == want == rank_correlations(m, np.array([0]), np.array([1]))[0] and np.isnan(got[2])
+
+
+def test_rounded_is_round_without_a_decimal_per_value(spark):
+    """Bit by bit what `F.round` gives: ties, their neighbours, large, tiny, infinite and missing values; and the usual value takes the short way."""
+    from platewise.plans import catalog
+
+    rng = np.random.default_rng(6)
+    ties = (rng.integers(-10**7, 10**7, 400) + 0.5) / 1e6
+    v = np.concatenate([ties, np.nextafter(ties, 9), np.nextafter(ties, -9), rng.normal(size=400), rng.normal(size=200) * 1e9, rng.normal(size=100) * 1e18,
+                        [0.0, -0.0, -1e-9, 1e-300, 5e-7, -5e-7, 0.1515625, -0.1515625, 1e308, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    for digits in (6, 2):
+        rows = df.select(catalog.rounded(F.col("v"), digits), F.round("v", digits) + F.lit(0.0)).collect()
+        assert [(a, np.signbit(a) if a is not None else None) for a, _ in rows] == [(b, np.signbit(b) if b is not None else None) for _, b in rows]
+    assert "rint" in catalog.settle(df)._jdf.queryExecution().optimizedPlan().toString().lower()
