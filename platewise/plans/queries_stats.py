@@ -253,7 +253,7 @@ SELECT cell_line, representation, n, r, lo, hi FROM (SELECT cell_line, represent
 def sar_corr(t):
     """Correlation of structural distance with profile similarity, with an interval over resampled pairs."""
     pair = ["cell_line", "dose", "time", "plate", "drug_i", "drug_j"]
-    u = sar(t).select(*pair, "pearson", F.col("ecfp_dist").alias("ecfp"), F.col("dense_dist").alias("dense")).unpivot([*pair, "pearson"], ["ecfp", "dense"], "representation", "d")
+    u = sar(t, columns=[*pair, "pearson", "ecfp_dist", "dense_dist"]).select(*pair, "pearson", F.col("ecfp_dist").alias("ecfp"), F.col("dense_dist").alias("dense")).unpivot([*pair, "pearson"], ["ecfp", "dense"], "representation", "d")
     return S.correlation_interval(u, ["cell_line", "representation"], "d", "pearson", ["cell_line", "representation", *pair[1:]], BOOT)
 
 

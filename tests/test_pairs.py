@@ -123,6 +123,29 @@ def test_sar_tile_never_holds_all_its_pairs(spark, monkeypatch):
     assert sum(sizes) == 600 * 599 // 2 and max(sizes) <= R.SAR_STRIP
 
 
+def test_sar_pairs_make_the_wanted_columns_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = [("c", "1", "t", "p", f"d{k}", f"s{k}", rng.normal(size=4).tolist(), rng.integers(0, 2, 5).astype(float).tolist(), 2.5) for k in range(12)]
+    df = spark.createDataFrame(rows, "cell_line string, dose string, time string, plate string, drug string, smiles string, expr array<double>, bits array<double>, dose_um double")
+    full = R.sar_pairs(df, {"bits": "tanimoto"})
+    for some in (["drug_j", "pearson"], ["smiles_i", "smiles_j", "bits_dist"], ["cell_line", "l2", "delta_norm_i", "drug_i"]):
+        part = R.sar_pairs(df, {"bits": "tanimoto"}, tile_rows=5, columns=some)
+        flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert part.columns == some and flat(part) == flat(full.select(*some))
+    assert {r.dose_um for r in R.sar_pairs(df, {}, columns=["dose_um"], context=["dose_um"]).collect()} == {2.5}
+
+
+def test_sar_export_parses_no_pair(spark):
+    """Between the tiles of q_sar_export and its result no text is parsed, and its tiles send no column that it drops."""
+    from platewise.plans.all_queries import QUERIES
+
+    df = QUERIES["q_sar_export"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("FlatMapGroupsInArrow")]
+    assert "regexp" not in above.lower() and "delta_norm" not in plan[:plan.index("FlatMapGroupsInArrow") + 600]
+    assert {(r.dose_um, r.time_h) for r in df.collect()} == {(1.0, 24.0)}
+
+
 def test_context_correlations_counts_constants_as_zero(spark):
     rows = [("a", "d1", [1.0, 2.0, 3.0]), ("b", "d1", [2.0, 4.0, 6.0]), ("a", "d2", [1.0, 1.0, 1.0]), ("b", "d2", [3.0, 1.0, 2.0]), ("c", "d2", [1.0, 2.0, 4.0])]
     df = spark.createDataFrame(rows, "cell_line string, drug string, expr array<double>").withColumn("dose", F.lit("1")).withColumn("time", F.lit("t"))
