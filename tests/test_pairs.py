@@ -135,6 +135,20 @@ def test_sar_pairs_make_the_wanted_columns_alone(spark):
     assert {r.dose_um for r in R.sar_pairs(df, {}, columns=["dose_um"], context=["dose_um"]).collect()} == {2.5}
 
 
+def test_fingerprint_only_tiles_are_large_and_carry_no_other_vector(spark):
+    """The sf0.1 compounds of q_sar_fingerprint_only, all in one context, are one tile, so each row is shuffled once; compounds without a fingerprint are left out."""
+    from platewise.plans.queries_pairs import sar_rows
+    from platewise.plans.catalog import Tables
+
+    rows = sar_rows(Tables(spark, "/root/testdata/sf0.1")).withColumn("cell_line", F.lit("L"))
+    held = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(R, "tile_apply", lambda tiled, by, fn, schema: held.update(tiled=tiled))
+        R.sar_pairs(rows, {"ecfp": "tanimoto"}, required=["ecfp"])
+    per_row = held["tiled"].groupBy("cell_line", "smiles").agg(F.count(F.lit(1)).alias("n"), F.count("ecfp").alias("bits"))
+    assert {(r.n, r.bits) for r in per_row.select("n", "bits").distinct().collect()} == {(1, 1)} and "dense" not in held["tiled"].columns
+
+
 def test_sar_export_parses_no_pair(spark):
     """Between the tiles of q_sar_export and its result no text is parsed, and its tiles send no column that it drops."""
     from platewise.plans.all_queries import QUERIES
