@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -14,11 +17,13 @@ from pyspark.sql import types as T
 
 from platewise.functions.hashing import md5_halves, md5_key, mix32
 from platewise.functions.ranks import chi2_upper, normal_two_sided, t_two_sided
+from platewise.operators.pairs import SAR_KEY, sar_strips, sar_tile, sar_tiles
 from platewise.operators.summaries import union_all
 from platewise.session import cut_lineage, written
-from platewise.plans.ordering import cumulative_counts, least_from_top, numbered, one_group, with_average_ranks
+from platewise.plans.ordering import cumulative_counts, least_from_top, numbered, one_group, tile_apply, with_average_ranks
 
 N_BOOT = 1000
+PAIR_TERMS = ["w", "x", "y", "xx", "xy", "yy"]
 POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]  # fixed values: P(X <= k), mean 1
 
 
@@ -28,6 +33,16 @@ def finite(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+def mix_draws(x: np.ndarray, t: np.ndarray) -> None:
+    """One round of the draws' mix of 32-bit numbers, in place; `t` is room of the same shape."""
+    for _ in range(2):
+        np.right_shift(x, 16, out=t)
+        np.bitwise_xor(x, t, out=x)
+        np.multiply(x, np.uint32(73244475), out=x)
+    np.right_shift(x, 16, out=t)
+    np.bitwise_xor(x, t, out=x)
+
+
 def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int, first: int = 1) -> np.ndarray:
     """Poisson(1) counts (rows x replicates, from replicate `first`), functions of a unit's 60-bit key (32 + 28 bits) and the replicate's number only. A draw counts the bounds that a
     32-bit number reaches; rows are taken in strips that stay in the processor's cache."""
@@ -37,20 +52,12 @@ def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int, first: int =
     rows = max(1, 65_536 // max(n_boot, 1))
     x, t = (np.empty((min(rows, len(low)), n_boot), np.uint32) for _ in range(2))
 
-    def mix(x: np.ndarray, t: np.ndarray) -> None:
-        for _ in range(2):
-            np.right_shift(x, 16, out=t)
-            np.bitwise_xor(x, t, out=x)
-            np.multiply(x, np.uint32(73244475), out=x)
-        np.right_shift(x, 16, out=t)
-        np.bitwise_xor(x, t, out=x)
-
     for i in range(0, len(low), rows):
         n = min(rows, len(low) - i)
         np.add(high[i:i + n, None], b[None, :], out=x[:n])
-        mix(x[:n], t[:n])
+        mix_draws(x[:n], t[:n])
         np.add(x[:n], low[i:i + n, None], out=x[:n])
-        mix(x[:n], t[:n])
+        mix_draws(x[:n], t[:n])
         count = out[i:i + n]
         np.greater_equal(x[:n], bounds[0], out=count.view(bool))
         for bound in bounds[1:]:
@@ -58,6 +65,37 @@ def poisson_counts(low: np.ndarray, high: np.ndarray, n_boot: int, first: int =
     return out
 
 
+#: Rows and replicates whose draws are made and weighed in one go; they stay near the processor.
+DRAWN_ROWS, DRAWN_REPLICATES = 4096, 32
+
+
+def drawn_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray, n_boot: int) -> np.ndarray:
+    """Sums of `values` (terms x rows) weighed by the `poisson_counts` of the rows, per term and replicate; the counts of all rows and replicates are never held."""
+    bounds = [np.uint32(math.ceil(p * 4294967296)) for p in POISSON_CDF]
+    b = (np.arange(1, 1 + n_boot, dtype=np.uint64) * np.uint64(2654435769)).astype(np.uint32)
+    low, high, out = low.astype(np.uint32), high.astype(np.uint32), np.zeros((n_boot, len(values)))
+    size = min(DRAWN_ROWS, len(low)) * min(DRAWN_REPLICATES, n_boot)
+    room = [np.empty(size, kind) for kind in (np.uint32, np.uint32, np.int8, bool, float)]
+    for i in range(0, len(low), DRAWN_ROWS):
+        h, l = high[i:i + DRAWN_ROWS], low[i:i + DRAWN_ROWS]
+        weighed = np.ascontiguousarray(values[:, i:i + DRAWN_ROWS].T)
+        for j in range(0, n_boot, DRAWN_REPLICATES):
+            own = b[j:j + DRAWN_REPLICATES, None]
+            x, t, count, over, wide = (v[:len(own) * len(h)] for v in room)
+            table = x.reshape(len(own), len(h))
+            np.add(own, h, out=table)
+            mix_draws(x, t)
+            np.add(table, l, out=table)
+            mix_draws(x, t)
+            np.greater_equal(x, bounds[0], out=count.view(bool))
+            for bound in bounds[1:]:
+                np.greater_equal(x, bound, out=over)
+                np.add(count, over.view(np.int8), out=count)
+            np.copyto(wide, count)
+            out[j:j + len(own)] += wide.reshape(table.shape) @ weighed
+    return out.T
+
+
 def unit_keys(seed: int, unit: Sequence[str]) -> list[Column]:
     if not unit:
         raise ValueError("name the columns that identify a resampled unit")
@@ -440,28 +478,105 @@ def line_fit(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[st
     return _attach(out, percentile_bounds(s.select(*by, slope.alias("m")), by, "m", ci), by)
 
 
-def pair_sums(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int, seed: int, means: DataFrame | None = None) -> DataFrame:
+def pair_sums(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Per group and replicate the weighted sums of x, y, their squares and their product, about the means of all rows, so that sums of squares keep their digits."""
     by = list(by)
     ok = finite(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *unit_keys(seed, unit))
-    if means is None:
-        means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    c = _attach(ok, means.select(*by, "_mx", "_my"), by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
+    means = ok.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    c = _attach(ok, means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
     return replicate_sums(c.withColumns({"xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}), by, ["x", "y", "xx", "xy", "yy"], n_boot)
 
 
-def correlation_interval(df: DataFrame, by: Sequence[str], x: str, y: str, unit: Sequence[str], n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0) -> DataFrame:
-    """Pearson correlation per group with a percentile interval over resampled rows (pairs of values). The rows are made twice, for the groups' moments and for the replicates, and never
-    written or shuffled: the moments are a table of known size that Spark broadcasts."""
-    by = list(by)
-    moments = written(finite(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(x), F.col(y)).alias("r"),
-                                                       F.avg(F.col(x).cast("double")).alias("_mx"), F.avg(F.col(y).cast("double")).alias("_my")), "moments")
-    point = moments.select(*by, "n", "r")
-    s = pair_sums(df, by, x, y, unit, n_boot, seed, moments)
+#: Rows of a block of `pair_correlations`, whose pairs cost far more than rows, and least number of tasks that its tiles are dealt over.
+CORRELATION_ROWS, CORRELATION_TASKS = 1024, 256
+
+
+def pair_correlations(df: DataFrame, representations: dict[str, str], by: Sequence[str], unit: Sequence[str], n_boot: int = N_BOOT, ci: float = 95.0, seed: int = 0,
+                      key: Sequence[str] = SAR_KEY, tile_rows: int = CORRELATION_ROWS) -> DataFrame:
+    """Per group `by` (columns of `key`) and representation the Pearson correlation of chemical distance and profile similarity over the pairs of `sar_pairs`, with a percentile interval over
+    resampled pairs; `unit` names a pair by columns of `key`, `representation` and, last, the two drugs.
+
+    Pairs are made twice where their rows are, for the moments and for the replicates, and never leave a task: a tile sends one row of sums per representation. Moments are about the tile's
+    means, and replicates about the means of all pairs, so that sums of squares keep their digits."""
+    by, key, reps = list(by), list(key), dict(representations)
+    wanted = ["pearson", *(f"{r}_dist" for r in reps)]
+    types = "".join(f"`{c}` string, " for c in by)
+    group = [*by, "representation"]
+
+    def defined(table: pa.Table) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(representation, first compounds, second compounds, distances, similarities) of the pairs that have both, strip by strip."""
+        for i, j, values in sar_strips(table, reps, wanted):
+            for r in reps:
+                ok = np.flatnonzero(~np.isnan(values[f"{r}_dist"]) & ~np.isnan(values["pearson"]))
+                if len(ok):
+                    yield r, i[ok], j[ok], values[f"{r}_dist"][ok], values["pearson"][ok]
+
+    def named(table: pa.Table, made: dict[str, dict[str, object]]) -> pa.RecordBatch:
+        cols = {c: pa.repeat(table[c][0], len(made)) for c in by} | {"representation": pa.array(list(made), pa.string())}
+        return pa.RecordBatch.from_pydict(cols | {c: pa.array([m[c] for m in made.values()]) for c in next(iter(made.values()))})
+
+    def moments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sar_tile(batches)
+        for r, _, _, x, y in defined(table):
+            mx, my = x.mean(), y.mean()
+            yield named(table, {r: {"n": len(x), "mx": mx, "my": my, "xx": ((x - mx) ** 2).sum(), "xy": ((x - mx) * (y - my)).sum(), "yy": ((y - my) ** 2).sum(),
+                                    "x0": x.min(), "x1": x.max(), "y0": y.min(), "y1": y.max()}})
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sar_tile(batches)
+        text = lambda c: [None if v is None else v.encode() for v in table[c].to_pylist()]
+        drugs = [b"" if v is None else b"|" + v for v in text("drug")]
+        held = {}
+        for r, i, j, x, y in defined(table):
+            fixed = [r if c == "representation" else table[c][0].as_py() for c in unit[:-2]]
+            start = "|".join([str(seed), *(c for c in fixed if c is not None)]).encode()
+            digests = b"".join([hashlib.md5(start + drugs[a] + drugs[b], usedforsecurity=False).digest() for a, b in zip(i.tolist(), j.tolist())])
+            words = np.frombuffer(digests, ">u4").reshape(-1, 4)
+            x, y = x - table[f"_mx_{r}"][0].as_py(), y - table[f"_my_{r}"][0].as_py()
+            sums = drawn_sums(np.stack([np.ones(len(x)), x, y, x * x, x * y, y * y]), words[:, 0], words[:, 1] >> np.uint32(4), n_boot)
+            held[r] = held[r] + sums if r in held else sums
+        if held:
+            yield named(table, {r: dict(zip(PAIR_TERMS, v.tolist())) for r, v in held.items()})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = {c: pa.array([k[i] for k in held], pa.string()) for i, c in enumerate(group)}
+            made = {c: pa.array([v[i].tolist() for v in held.values()], pa.list_(pa.float64())) for i, c in enumerate(PAIR_TERMS)}
+            held.clear()
+            return pa.RecordBatch.from_pydict(cols | made)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name = tuple(batch.column(c)[k].as_py() for c in group)
+                sums = np.stack([batch.column(c)[k].values.to_numpy() for c in PAIR_TERMS])
+                held[name] = held[name] + sums if name in held else sums
+            if len(held) > 256:
+                yield out()
+        if held:
+            yield out()
+
+    tiled = lambda rows, *more: sar_tiles(rows, list(reps), key, tile_rows, context=more, tasks=CORRELATION_TASKS)
+    parts = written(tile_apply(tiled(df), key, moments_of, types + "representation string, n bigint, " + ", ".join(f"{c} double" for c in ("mx", "my", "xx", "xy", "yy", "x0", "x1", "y0", "y1"))), "moments")
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    whole = parts.groupBy(*group).agg(F.sum("n").alias("_n"), mean("mx").alias("_mx"), mean("my").alias("_my"), (F.min("x0") == F.max("x1")).alias("_fx"), (F.min("y0") == F.max("y1")).alias("_fy"))
+    dx, dy = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    about = lambda c, d: F.sum(F.col(c) + F.col("n") * d)
+    whole = whole.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    r = F.try_divide(about("xy", dx * dy), F.sqrt(about("xx", dx * dx) * about("yy", dy * dy)))
+    moments = written(parts.join(whole, reduce(and_, same)).select(*group, "n", "mx", "my", "xx", "xy", "yy", "_n", "_mx", "_my", "_fx", "_fy").groupBy(*group).agg(
+        F.first("_n").alias("n"), F.first("_mx").alias("_mx"), F.first("_my").alias("_my"), F.when(~(F.first("_fx") | F.first("_fy")), r).alias("r")), "moments")
+    means = [F.max(F.when(F.col("representation") == r, F.col(f"_m{v}"))).alias(f"_m{v}_{r}") for r in reps for v in "xy"]
+    near = df.join(moments.groupBy(*by).agg(*means), by) if by else df.crossJoin(F.broadcast(moments.agg(*means)))
+    arrays = ", ".join(f"{c} array<double>" for c in PAIR_TERMS)
+    sums = tile_apply(tiled(near, *[f"_m{v}_{r}" for r in reps for v in "xy"]), key, sums_of, f"{types}representation string, {arrays}").mapInArrow(merged, f"{types}representation string, {arrays}")
+    long = sums.select(*group, F.posexplode(F.arrays_zip(*PAIR_TERMS)).alias("b", "_v")).groupBy(*group, "b").agg(*[F.sum(f"_v.{c}").alias(c) for c in PAIR_TERMS])
     n = F.nullif("w", F.lit(0.0))
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / n
-    r = F.try_divide(cov("x", "y", "xy"), F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")))
-    return _attach(point, percentile_bounds(s.select(*by, r.alias("m")).filter("m IS NOT NULL AND NOT isnan(m)"), by, "m", ci), by)
+    m = F.try_divide(cov("x", "y", "xy"), F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")))
+    return _attach(moments.select(*group, "n", "r"), percentile_bounds(long.select(*group, m.alias("m")).filter("m IS NOT NULL AND NOT isnan(m)"), group, "m", ci), group)
 
 
 def _line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

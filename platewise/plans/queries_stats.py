@@ -10,7 +10,7 @@ from platewise.operators import summaries as M
 from platewise.plans import inputs as I
 from platewise.plans.catalog import Tables, query
 from platewise.plans.oracle import cte, mix_sql
-from platewise.plans.queries_pairs import sar
+from platewise.plans.queries_pairs import SAR_REPRESENTATIONS, sar_rows
 from platewise.session import cut_lineage, written
 
 OBS = ["cell_line", "drug", "smiles", "dose", "time"]
@@ -252,9 +252,7 @@ SELECT cell_line, representation, n, r, lo, hi FROM (SELECT cell_line, represent
 """, "r lo hi")
 def sar_corr(t):
     """Correlation of structural distance with profile similarity, with an interval over resampled pairs."""
-    pair = ["cell_line", "dose", "time", "plate", "drug_i", "drug_j"]
-    u = sar(t, columns=[*pair, "pearson", "ecfp_dist", "dense_dist"]).select(*pair, "pearson", F.col("ecfp_dist").alias("ecfp"), F.col("dense_dist").alias("dense")).unpivot([*pair, "pearson"], ["ecfp", "dense"], "representation", "d")
-    return S.correlation_interval(u, ["cell_line", "representation"], "d", "pearson", ["cell_line", "representation", *pair[1:]], BOOT)
+    return S.pair_correlations(sar_rows(t), SAR_REPRESENTATIONS, ["cell_line"], ["cell_line", "representation", "dose", "time", "plate", "drug_i", "drug_j"], BOOT)
 
 
 BINNED = f"""

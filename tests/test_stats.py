@@ -391,6 +391,46 @@ def test_correlation_of_pairs_writes_and_moves_no_pair(spark, monkeypatch):
     assert not written and "SortMergeJoin" not in plan[plan.index("MapInArrow"):plan.index("FlatMapGroupsInArrow")]
 
 
+def test_pair_correlations_send_sums_alone(spark, monkeypatch):
+    """Correlations and intervals of the pairs of `sar_pairs`, again from whole arrays; a tile sends one row of sums per representation, never a pair. A constant side has no correlation."""
+    import hashlib
+
+    from platewise.operators import pairs as R
+
+    rng = np.random.default_rng(12)
+    rows = [(f"L{k % 2}", "1 uM", "24 h", "P", None if k == 4 else f"d{k}", f"s{k:02d}", rng.normal(size=8).tolist(),
+             None if k % 7 == 3 else (rng.random(8) < 0.5).astype(float).tolist(), [1.0, 2.0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "cell_line string, dose string, time string, plate string, drug string, smiles string, expr array<double>, bits array<double>, flat array<double>")
+    reps = {"bits": "tanimoto", "flat": "tanimoto"}
+    unit = ["cell_line", "representation", "dose", "time", "plate", "drug_i", "drug_j"]
+    sent, real = [], S.tile_apply
+    monkeypatch.setattr(S, "tile_apply", lambda *a: sent.append((out := real(*a)).count()) or out)
+    got = {(r.cell_line, r.representation): r for r in S.pair_correlations(df, reps, ["cell_line"], unit, 50, tile_rows=8).collect()}
+    assert len(sent) == 2 and max(sent) <= 2 * 2 * 6  # representations, cell lines, tiles of up to three blocks
+    pairs = R.sar_pairs(df, reps).collect()
+    for (line, rep), r in got.items():
+        mine = [p for p in pairs if p.cell_line == line and p[f"{rep}_dist"] is not None]
+        x, y = np.array([p[f"{rep}_dist"] for p in mine]), np.array([p.pearson for p in mine])
+        assert r.n == len(mine)
+        if rep == "flat":
+            assert r.r is None
+            continue
+        keys = [hashlib.md5("|".join(["0", line, rep, "1 uM", "24 h", "P", *(d for d in (p.drug_i, p.drug_j) if d is not None)]).encode()).hexdigest() for p in mine]
+        w = S.poisson_counts(np.array([int(k[:8], 16) for k in keys]), np.array([int(k[8:15], 16) for k in keys]), 50).astype(float)
+        m = lambda v: (w * v[:, None]).sum(0) / w.sum(0)
+        boots = (m(x * y) - m(x) * m(y)) / np.sqrt((m(x * x) - m(x) ** 2) * (m(y * y) - m(y) ** 2))
+        assert [r.r, r.lo, r.hi] == pytest.approx([np.corrcoef(x, y)[0, 1], *np.quantile(boots, [0.025, 0.975])])
+    assert set(got) >= {("L0", "bits"), ("L1", "bits")}
+
+
+def test_drawn_sums_are_those_of_the_counts(monkeypatch):
+    monkeypatch.setattr(S, "DRAWN_ROWS", 7)
+    monkeypatch.setattr(S, "DRAWN_REPLICATES", 4)
+    rng = np.random.default_rng(13)
+    low, high, values = rng.integers(0, 2**32, 30), rng.integers(0, 2**28, 30), rng.normal(size=(3, 30))
+    assert np.allclose(S.drawn_sums(values, low, high, 9), values @ S.poisson_counts(low, high, 9))
+
+
 def test_poisson_counts_are_the_draws_of_the_formula():
     low, high = np.array([0, 1, 2**32 - 1, 77], np.int64), np.array([5, 2**28 - 1, 0, 9], np.int64)
 
