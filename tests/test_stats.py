@@ -458,6 +458,26 @@ def test_stored_cells_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_permutation_test_holds_a_bounded_part_of_the_null(spark, monkeypatch):
+    """Many sets get smaller blocks of null scores, lists travel in pieces and sets are scored in bundles; every number stays the same."""
+    rng = np.random.default_rng(14)
+    n = 60
+    ranked = E.ranked_list(spark.createDataFrame([(p, f"g{i:02d}", float(v)) for p in "ab" for i, v in enumerate(rng.normal(size=n))], "profile string, symbol string, score double"), ["profile"])
+    terms = spark.createDataFrame([("c", f"t{t}", f"g{i:02d}") for t in range(9) for i in rng.permutation(n)[:15 + t]], "collection string, term string, symbol string")
+    tested = lambda: {(r.profile, r.term): [r.set_size, r.es, r.nes, r.nominal_p, r.fdr_q, r.fwer_p] for r in E.permutation_test(ranked, terms, ["profile"], 50, seed=3, block=20).collect()}
+    whole = tested()
+    made, real = [], E.null_scores
+    monkeypatch.setattr(E, "null_scores", lambda *a: made.append(real(*a)) or made[-1])
+    for name, value in (("LIST_ROWS", 7), ("NULL_VALUES", 40), ("SCORED_VALUES", 33)):
+        monkeypatch.setattr(E, name, value)
+    small = tested()
+    held = made[0].groupBy("profile", "block").agg(F.sum(F.size("es0")).alias("n")).collect()
+    assert len(held) == 2 * 13 and max(r.n for r in held) <= 40
+    assert set(small) == set(whole) and len(whole) == 18
+    for k, v in whole.items():
+        assert small[k] == pytest.approx(v)
+
+
 def test_null_tails_shuffle_null_scores_once(spark):
     """Null scores meet the sets' means in the task that ranks them, and sets without a normalised score take no part."""
     null = spark.createDataFrame([("c", t, b, v) for t, rows in (("x", ([0.5, -0.2], [0.1, -0.4])), ("y", ([0.3, 0.2], [-0.6, 0.4])), ("z", ([9.0, 9.0], [9.0, 9.0]))) for b, v in enumerate(rows)],
