@@ -123,6 +123,22 @@ def test_sar_tile_never_holds_all_its_pairs(spark, monkeypatch):
     assert sum(sizes) == 600 * 599 // 2 and max(sizes) <= R.SAR_STRIP
 
 
+def test_sar_rows_of_a_large_group_are_sent_to_few_tiles(spark, monkeypatch):
+    """A group of 15 blocks of two rows has eight larger ones, since these are still small: a row is sent eight times, and all pairs are there. Blocks grow to their limit only."""
+    rng = np.random.default_rng(8)
+    rows = [("c", "1", "t", "p", f"d{k}", f"s{k}", rng.normal(size=4).tolist(), rng.integers(0, 2, 5).astype(float).tolist()) for k in range(30)]
+    df = spark.createDataFrame(rows, "cell_line string, dose string, time string, plate string, drug string, smiles string, expr array<double>, bits array<double>")
+    sent, real = [], R.tile_apply
+    monkeypatch.setattr(R, "tile_apply", lambda tiled, *a: sent.append(tiled.count()) or real(tiled, *a))
+    want = {(f"s{i}", f"s{j}") for i in range(30) for j in range(30) if f"s{i}" < f"s{j}"}
+    pairs = lambda: [(r.smiles_i, r.smiles_j) for r in R.sar_pairs(df, {"bits": "tanimoto"}, tile_rows=2).collect()]
+    got = pairs()
+    assert sent[0] == 8 * 30 and len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(R, "SAR_MOST_ROWS", 3)
+    got = pairs()
+    assert sent[1] == 10 * 30 and len(got) == len(want) and set(got) == want
+
+
 def test_sar_pairs_make_the_wanted_columns_alone(spark):
     rng = np.random.default_rng(7)
     rows = [("c", "1", "t", "p", f"d{k}", f"s{k}", rng.normal(size=4).tolist(), rng.integers(0, 2, 5).astype(float).tolist(), 2.5) for k in range(12)]
